@@ -14,6 +14,28 @@ def op1_mih_neighbours(spark, sf_dir):
     return nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), k=20)
 
 
+#: Vocabulary files of public tokenizers; the path is a parameter of every operator that takes one.
+def vocabulary(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_rans_ids(spark, sf_dir):
+    from matchloom.llm.rans import new_path, read_ids, write_ids
+
+    path = new_path(spark)
+    write_ids(read(spark, sf_dir, "documents"), path, vocabulary=vocabulary("byte_bpe_50k.json"), end_id=0)
+    return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_byte_bpe(spark, sf_dir):
+    from matchloom.llm.bytebpe import encode_documents
+
+    out = encode_documents(read(spark, sf_dir, "documents"), ranks=vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_vafile_topk(spark, sf_dir):
     from matchloom.llm.vafile import exact_top_k
 
@@ -24,6 +46,8 @@ def op10_vafile_topk(spark, sf_dir):
 def queries():
     return {
         "op1_mih_neighbours": op1_mih_neighbours,
+        "op6_rans_ids": op6_rans_ids,
+        "op9_byte_bpe": op9_byte_bpe,
         "op10_vafile_topk": op10_vafile_topk,
     }
 
