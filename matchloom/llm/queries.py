@@ -29,6 +29,12 @@ def op6_rans_ids(spark, sf_dir):
     return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_best_fit_packing(spark, sf_dir):
+    from matchloom.llm.packing import pack
+
+    return pack(read(spark, sf_dir, "documents"), vocabulary=vocabulary("byte_bpe_50k.json"), end_id=2, keep_ids=False).drop("ids")
+
+
 def op9_byte_bpe(spark, sf_dir):
     from matchloom.llm.bytebpe import encode_documents
 
@@ -47,6 +53,7 @@ def queries():
     return {
         "op1_mih_neighbours": op1_mih_neighbours,
         "op6_rans_ids": op6_rans_ids,
+        "op7_best_fit_packing": op7_best_fit_packing,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_vafile_topk": op10_vafile_topk,
     }
