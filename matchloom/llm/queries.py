@@ -14,6 +14,14 @@ def op1_mih_neighbours(spark, sf_dir):
     return nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op4_compression_quality(spark, sf_dir):
+    from matchloom.llm.compression import fit, fold, with_score
+
+    docs = read(spark, sf_dir, "documents")
+    scored = with_score(docs.select("doc_id", "text"), fit(docs, read(spark, sf_dir, "labels")), out_col="score")
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 #: Vocabulary files of public tokenizers; the path is a parameter of every operator that takes one.
 def vocabulary(name):
     import public_tokenizers
@@ -52,6 +60,7 @@ def op10_vafile_topk(spark, sf_dir):
 def queries():
     return {
         "op1_mih_neighbours": op1_mih_neighbours,
+        "op4_compression_quality": op4_compression_quality,
         "op6_rans_ids": op6_rans_ids,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op9_byte_bpe": op9_byte_bpe,
