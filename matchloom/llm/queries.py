@@ -43,6 +43,13 @@ def op7_best_fit_packing(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"), vocabulary=vocabulary("byte_bpe_50k.json"), end_id=2, keep_ids=False).drop("ids")
 
 
+def op8_licence_scan(spark, sf_dir):
+    from matchloom.llm.licenses import background_of, fit, scan
+
+    docs = read(spark, sf_dir, "documents")
+    return scan(docs, fit(background_of(docs))).select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), "similarity", "confirmed")
+
+
 def op9_byte_bpe(spark, sf_dir):
     from matchloom.llm.bytebpe import encode_documents
 
@@ -63,6 +70,7 @@ def queries():
         "op4_compression_quality": op4_compression_quality,
         "op6_rans_ids": op6_rans_ids,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_licence_scan": op8_licence_scan,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_vafile_topk": op10_vafile_topk,
     }
