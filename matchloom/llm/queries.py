@@ -22,6 +22,12 @@ def op4_compression_quality(spark, sf_dir):
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op5_minhash_near_duplicates(spark, sf_dir):
+    from matchloom.llm.minhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 #: Vocabulary files of public tokenizers; the path is a parameter of every operator that takes one.
 def vocabulary(name):
     import public_tokenizers
@@ -68,6 +74,7 @@ def queries():
     return {
         "op1_mih_neighbours": op1_mih_neighbours,
         "op4_compression_quality": op4_compression_quality,
+        "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
         "op6_rans_ids": op6_rans_ids,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_licence_scan": op8_licence_scan,
