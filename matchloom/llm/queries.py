@@ -14,6 +14,13 @@ def op1_mih_neighbours(spark, sf_dir):
     return nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op3_run_index_dedup(spark, sf_dir):
+    from matchloom.llm.runindex import remove_repeats
+
+    out = remove_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_compression_quality(spark, sf_dir):
     from matchloom.llm.compression import fit, fold, with_score
 
@@ -73,6 +80,7 @@ def op10_vafile_topk(spark, sf_dir):
 def queries():
     return {
         "op1_mih_neighbours": op1_mih_neighbours,
+        "op3_run_index_dedup": op3_run_index_dedup,
         "op4_compression_quality": op4_compression_quality,
         "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
         "op6_rans_ids": op6_rans_ids,
