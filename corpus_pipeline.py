@@ -1,13 +1,57 @@
-"""The corpus pipeline: each stage applies one operator to what the stage before kept."""
+"""The corpus pipeline: each stage applies one operator to what the stage before it kept.
+
+documents -> quality classifier -> near-duplicate removal -> removal of repeated passages -> packing. All stages but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from matchloom.llm.common import read, shared_dir
+from matchloom.llm.compression import keep_good
+from matchloom.llm.minhash import drop_duplicates
+from matchloom.llm.packing import pack
+from matchloom.llm.queries import vocabulary
+from matchloom.llm.runindex import without_repeats
+
+#: Similarity in percent of near duplicates, and bytes of a repeated passage (some 50 short words have more).
+SIMILARITY, PASSAGE_BYTES = 80, 256
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier does not reject (score 0.3 at least)."""
+    return keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of smallest doc_id."""
+    return drop_duplicates(docs, percent=SIMILARITY)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that occur more than once; n_chars is counted anew."""
+    return without_repeats(docs, length=PASSAGE_BYTES)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 tokens."""
+    return pack(docs, vocabulary=vocabulary("byte_bpe_50k.json"), end_id=2, keep_ids=False).drop("ids")
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("packing", packing)]
+#: SQL has neither the dictionaries nor the tokenizer; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{path}/{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{path}/{name}")
     return docs

@@ -77,3 +77,14 @@ def matrix(table) -> "numpy.ndarray":  # noqa: F821
 
     column = table.column("vec").combine_chunks()
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+
+
+def least_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows of least hash of key (all, if fewer): a sample that is the same each time.
+
+    Only about 2 n rows pass the filter on the hash, however large df is, so tasks send few rows to the driver.
+    """
+    share = min(1.0, 2 * n / max(1, df.count()) + 1e-9)
+    bound = int((1 << 62) * share)
+    hashed = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(5)), 2)
+    return df.filter(hashed <= bound).orderBy(hashed, key).limit(n)

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -249,6 +250,20 @@ def _resolved(kinds: DataFrame, length: int, width: int) -> DataFrame:
     return out.unionByName(moved)
 
 
+def cut(data: bytes, marks: list[int], length: int) -> tuple[bytes, list[tuple[int, int]]]:
+    """What stays of data, and the maximal removed ranges; marks: from, to, from, to ... of repeated windows."""
+    ranges: list[tuple[int, int]] = []
+    # if windows [a, b) are repeated, bytes [a, b - 1 + length) go
+    for a, b in sorted((a, b - 1 + length) for a, b in zip(marks[::2], marks[1::2], strict=True)):
+        if ranges and a <= ranges[-1][1]:
+            ranges[-1] = ranges[-1][0], max(b, ranges[-1][1])
+        else:
+            ranges.append((a, b))
+    ends = [0, *(b for _, b in ranges)]
+    starts = [*(a for a, _ in ranges), len(data)]
+    return b"".join(data[e:s] for e, s in zip(ends, starts, strict=True)), ranges
+
+
 def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
@@ -256,24 +271,13 @@ def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         rows = []
         for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
             data = (text or "").encode("utf-8", "replace")
-            ranges: list[list[int]] = []
-            # each mark: windows [a, b) of the document are repeated, so bytes [a, b - 1 + length) go
-            for a, b in sorted((m["first"] + s["a"], m["first"] + s["b"] - 1 + length) for m in marks or () for s in m["spans"]):
-                if ranges and a <= ranges[-1][1]:
-                    ranges[-1][1] = max(b, ranges[-1][1])
-                else:
-                    ranges.append([a, b])
-            kept, at = [], 0
-            for a, b in ranges:
-                kept.append(data[at:a])
-                at = b
-            kept.append(data[at:])
-            rows.append((len(data), sum(b - a for a, b in ranges), [{"a": a, "b": b} for a, b in ranges], b"".join(kept)))
+            kept, ranges = cut(data, marks or [], length)
+            rows.append((len(data), len(data) - len(kept), [{"a": a, "b": b} for a, b in ranges], kept))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), kind, pa.binary())))], names=names)
 
 
 def marks_of(docs: DataFrame, *, length: int = 400, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """rid, marks: for each row of docs, by row_key(), the windows that are repeated: array of (first, spans)."""
+    """rid, marks: for each row of docs, by its key (see keyed), the repeated windows: from, to, from, to ..."""
     texts = keyed(docs, text_col, id_col).select("rid", "text")
     found = staged(texts.mapInArrow(partial(_sieved, length=length), "key long, region long, rid long, first int, windows int, offset int"), "regions", compression="zstd")
     often = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
@@ -290,7 +294,9 @@ def marks_of(docs: DataFrame, *, length: int = 400, text_col: str = "text", id_c
     contents = staged(contents.dropDuplicates(["key", "region"]), "contents", compression="zstd")
     marks = staged(whole.unionByName(_resolved(contents, length, length - GRAM + 1)), "marks", compression="zstd")
     placed = found.select("key", "region", "rid", "first").join(marks, ["key", "region"])
-    return placed.groupBy("rid").agg(F.collect_list(F.struct("first", "spans")).alias("marks"))
+    flat = F.flatten(F.transform("spans", lambda s: F.array(s.a + F.col("first"), s.b + F.col("first")))).cast("array<long>")
+    # rows with the same rid give the same marks twice; a text has no more marks than windows
+    return placed.select("rid", flat.alias("m")).groupBy("rid").agg(F.flatten(F.collect_set("m")).alias("marks"))
 
 
 def keyed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -310,3 +316,21 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, text_col: str = "text"
     texts = keyed(docs, text_col, id_col)
     marked = texts.join(marks_of(docs, length=length, text_col=text_col, id_col=id_col), "rid", "left")
     return marked.select("doc_id", "text", "marks").mapInArrow(partial(_removed, length=length), "doc_id long, n_bytes long, n_removed long, spans array<struct<a bigint, b bigint>>, kept binary")
+
+
+def without_repeats(docs: DataFrame, *, length: int = 400, text_col: str = "text", id_col: str = "doc_id", count_col: str = "n_chars") -> DataFrame:
+    """docs with all rows and columns, repeated bytes cut out of text_col; a character that loses a byte goes as a whole.
+
+    count_col, if there is one, holds the characters that are left. Null texts stay null. See remove_repeats.
+    """
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    marks = marks_of(docs, length=length, text_col=text_col, id_col=id_col).select(F.col("rid").alias("__rid"), F.col("marks").alias("__marks"))
+
+    @F.pandas_udf("string")
+    def left(texts: pd.Series, marks: pd.Series) -> pd.Series:
+        return pd.Series([t if m is None or t is None else cut(t.encode("utf-8", "replace"), list(m), length)[0].decode("utf-8", "ignore") for t, m in zip(texts, marks, strict=True)])
+
+    out = docs.withColumn("__rid", key).join(marks, "__rid", "left").withColumn(text_col, left(F.col(text_col).cast("string"), F.col("__marks")))
+    if count_col in docs.columns:
+        out = out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType))
+    return out.select(*docs.columns)
