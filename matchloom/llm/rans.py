@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.common import shared_dir, staged
 
-LANES, CHECKPOINT_STEPS, BLOCK_IDS, SCALE = 512, 256, 1 << 18, 20
+LANES, CHECKPOINT_STEPS, BLOCK_IDS, SCALE = 2048, 128, 1 << 19, 20
+#: Most files whose starts are broadcast; with more, they are joined.
+BROADCAST_FILES = 1 << 20
 LOW = np.uint64(1 << 31)
 
 
@@ -154,7 +156,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[p
 
 
 def write_ids(docs: DataFrame, path: str, *, vocabulary: str, end_id: int, text_col: str = "text", id_col: str = "doc_id", ids_per_file: int = 1 << 23) -> None:
-    """Writes the ids of all texts under path: path/table (the shared frequencies) and path/blocks.
+    """Writes the ids of all texts under path: path/table (the shared frequencies), path/blocks and path/files (starts).
 
     Documents follow each other by ascending id (null ids first; equal ids by their text's ids), each with end_id
     appended; null texts count as empty. An empty table gives an empty file set. Extra columns are ignored.
@@ -171,6 +173,13 @@ def write_ids(docs: DataFrame, path: str, *, vocabulary: str, end_id: int, text_
     ordered = ids.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids").withColumn("file", F.spark_partition_id())
     blocks = ordered.mapInArrow(partial(_blocks, counts=counts), "file int, block int, first long, n_ids long, doc_ids array<long>, sizes array<long>, crc32 long, payload binary")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
+    totals = blocks_of(docs.sparkSession, path).groupBy("file").agg(F.sum("n_ids").alias("n"))  # one row a file
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals.select("file", before.alias("file_start")).write.parquet(f"{path}/files")
+
+
+def blocks_of(spark, path: str) -> DataFrame:
+    return spark.read.schema("file int, block int, first long, n_ids long, doc_ids array<long>, sizes array<long>, crc32 long, payload binary").parquet(f"{path}/blocks")
 
 
 def counts_of(spark, path: str) -> np.ndarray:
@@ -198,10 +207,10 @@ def _documents(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterato
 
 def read_ids(spark, path: str) -> DataFrame:
     """Reads what write_ids wrote: doc_id, start (ids of all documents before it), n_tokens, ids (u32, little-endian)."""
-    blocks = spark.read.schema("file int, block int, first long, n_ids long, doc_ids array<long>, sizes array<long>, crc32 long, payload binary").parquet(f"{path}/blocks")
-    files = blocks.groupBy("file").agg(F.sum("n_ids").alias("n"))  # one row a file
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = files.select("file", before.alias("file_start"))
+    starts = spark.read.schema("file int, file_start long").parquet(f"{path}/files")
+    if starts.count() <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
+    blocks = blocks_of(spark, path)
     return blocks.join(starts, "file").mapInArrow(partial(_documents, counts=counts_of(spark, path)), "doc_id long, start long, n_tokens long, ids binary")
 
 

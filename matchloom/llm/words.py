@@ -16,7 +16,7 @@ from functools import cache
 import numpy as np
 
 #: Characters that are split at once, and pretokens that a worker remembers.
-CHUNK_CHARS, REMEMBERED = 1_000_000, 600_000
+CHUNK_CHARS, REMEMBERED = 1_000_000, 1_200_000
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 
 
@@ -91,8 +91,8 @@ class Words:
     def _forget(self):
         self.slot: dict[str, int] = {}
         self.ids, self.used = np.empty(1 << 20, np.uint32), 0
-        self.at = np.zeros(REMEMBERED * 2, np.int64)
-        self.size = np.zeros(REMEMBERED * 2, np.int64)
+        self.at = np.zeros(REMEMBERED + (1 << 19), np.int64)
+        self.size = np.zeros(REMEMBERED + (1 << 19), np.int64)
 
     def _slots(self, words: list[str]) -> np.ndarray:
         if len(self.slot) + len(words) > len(self.at) or len(self.slot) > REMEMBERED:
