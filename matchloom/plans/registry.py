@@ -1,4 +1,400 @@
-"""The registered queries of the reconciliation engine and their SQL."""
+"""The registered queries of the reconciliation engine and, for each, DuckDB SQL that states the same by brute force."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from matchloom.functions import text as T
+from matchloom.operators import cascades, details, exact, fulltext, gazetteer, match, merge, prompts, score
+from matchloom.plans import roles, sql
+from matchloom.plans.roles import table
+from matchloom.policy import POLICY
+from matchloom.sources import batches
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(oracle: str | None):
+    """Registers a function under its name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def rounded(rows, *columns, digits=6):
+    return rows.withColumns({c: F.round(c, digits) for c in columns})
+
+
+FUZZY = "query_id, entity_id, label, round(name_sim, 6) AS name_sim, rank"
+
+
+@query(f"SELECT doc_id, md5({sql.norm('text')}) AS norm_md5 FROM documents")
+def normalise_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalise(F.col("text"))).alias("norm_md5"))
+
+
+@query(f"SELECT p_partkey, array_to_string(list_sort({sql.trigrams('p_name')}), '|') AS grams FROM part")
+def trigram_set(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.sort_array(T.trigrams(F.col("p_name"))), "|").alias("grams"))
+
+
+@query(f"WITH t AS (SELECT DISTINCT p_name AS t, {sql.trigrams('p_name')} AS g FROM part) SELECT a.t AS left_text, b.t AS right_text, round({sql.jaccard('a.g', 'b.g')}, 6) AS sim FROM t a JOIN t b ON {sql.jaccard('a.g', 'b.g')} >= 0.3")
+def similarity_pairs(spark, sf_dir):
+    texts = match._texts(table(spark, sf_dir, "part"), "p_name")
+    return rounded(match.similar_texts(texts, texts, 0.3), "sim")
+
+
+@query(f"SELECT {FUZZY} FROM {sql.fuzzy(sql.PART_QUERIES, sql.PARTS)}")
+def fuzzy_topk(spark, sf_dir):
+    return rounded(match.fuzzy(roles.part_queries(spark, sf_dir), roles.parts(spark, sf_dir)), "name_sim")
+
+
+@query(f"SELECT {FUZZY} FROM {sql.fuzzy(sql.PART_QUERIES, f'(SELECT * FROM {sql.PARTS} WHERE location_type_id IN (1, 7))')}")
+def fuzzy_topk_typed(spark, sf_dir):
+    return rounded(match.fuzzy_locations(roles.part_queries(spark, sf_dir), roles.parts(spark, sf_dir), [1, 7]), "name_sim")
+
+
+@query(f"SELECT {FUZZY} FROM {sql.fuzzy(sql.PART_QUERIES, sql.PARTS, floor=False, plain=True)}")
+def fuzzy_modification_types(spark, sf_dir):
+    return rounded(match.fuzzy_modification_types(roles.part_queries(spark, sf_dir), roles.parts(spark, sf_dir)), "name_sim")
+
+
+@query("SELECT c_custkey AS query_id, min(p_partkey) AS entity_id, arg_min(p_name, p_partkey) AS label, 1.0::DOUBLE AS name_sim FROM customer JOIN part ON p_brand = 'Brand#' || (c_custkey % 40) GROUP BY c_custkey")
+def exact_alternate_id(spark, sf_dir):
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("Brand#"), (F.col("c_custkey") % 40).cast("string")).alias("query"))
+    return exact.alternate_identity(asked, roles.parts(spark, sf_dir), "national_id")
+
+
+SITE_QUERIES = f"(SELECT *, 55.0::DOUBLE + (query_id % 1000) / 100.0::DOUBLE AS q_lat, 11.0::DOUBLE + (query_id % 700) / 100.0::DOUBLE AS q_lon, 'nation ' || (query_id % 25) AS place, CASE WHEN query_id % 2 = 0 THEN 'Brand#' || (query_id % 40) END AS national_id FROM {sql.PART_QUERIES})"
+SURE = f"(SELECT query_id, min(entity_id) AS entity_id, arg_min(label, entity_id) AS label, 1.0::DOUBLE AS name_sim, 1 AS rank FROM (SELECT q.query_id, p.entity_id, p.label FROM {SITE_QUERIES} q JOIN {sql.PARTS} p ON p.national_id = q.national_id) GROUP BY query_id)"
+CASCADE = f"(SELECT query_id, entity_id, label, name_sim, rank FROM {SURE} UNION ALL SELECT query_id, entity_id, label, name_sim, rank FROM {sql.fuzzy(f'(SELECT * FROM {SITE_QUERIES} WHERE query_id NOT IN (SELECT query_id FROM {SURE}))', sql.PARTS)})"
+
+
+@query(f"SELECT {FUZZY} FROM {CASCADE}")
+def cascade_exact_then_fuzzy(spark, sf_dir):
+    return rounded(cascades.exact_then_fuzzy(roles.site_queries(spark, sf_dir), roles.parts(spark, sf_dir)), "name_sim")
+
+
+@query(f"""SELECT f.query_id, f.rank, '{POLICY.id_base}site/' || entity_id AS id, label AS name, round(greatest(0, least(100, name_sim * 100)), 2) AS score,
+    lower(label) = lower(query) OR name_sim >= 0.9 AS match, 'site' AS type_id, label AS type_name FROM {sql.fuzzy(sql.PART_QUERIES, sql.PARTS)} f JOIN {sql.PART_QUERIES} q ON f.query_id = q.query_id""")
+def candidate_projection(spark, sf_dir):
+    asked = roles.part_queries(spark, sf_dir)
+    rows = match.fuzzy(asked, roles.parts(spark, sf_dir)).join(asked, "query_id")
+    out = score.as_candidates(rows, "site")
+    return out.select("query_id", "rank", "id", "name", "score", "match", F.col("type")[0].id.alias("type_id"), F.col("type")[0]["name"].alias("type_name"))
+
+
+KM = "sqrt(pow(radians({a}) * 6378137.0 - radians({b}) * 6378137.0, 2) + pow(ln(tan(pi() / 4 + radians({c}) / 2)) * 6378137.0 - ln(tan(pi() / 4 + radians({d}) / 2)) * 6378137.0, 2)) / 1000"
+
+
+@query(f"SELECT entity_id, round({KM.format(a='longitude', b='18.07', c='latitude', d='59.33')}, 4) AS km FROM {sql.PARTS}")
+def mercator_distance(spark, sf_dir):
+    km = score.mercator_km(F.col("longitude"), F.col("latitude"), F.lit(18.07), F.lit(59.33))
+    return roles.parts(spark, sf_dir).select("entity_id", F.round(km, 4).alias("km"))
+
+
+NEAR = f"(SELECT c.query_id, c.entity_id, c.label, c.rank AS rank0, least(1.0, c.name_sim + greatest(0.0, 0.2 * (1 - least(km / 10.0, 1.0)))) AS name_sim, km FROM (SELECT c.*, {KM.format(a='s.longitude', b='q.q_lon', c='s.latitude', d='q.q_lat')} AS km FROM {CASCADE} c JOIN {SITE_QUERIES} q ON c.query_id = q.query_id JOIN {sql.PARTS} s ON s.entity_id = c.entity_id) c)"
+
+
+@query(f"SELECT query_id, entity_id, round(name_sim, 6) AS name_sim, round(km, 4) AS distance_km FROM {NEAR}")
+def proximity_boost(spark, sf_dir):
+    asked, sites = roles.site_queries(spark, sf_dir), roles.parts(spark, sf_dir)
+    rows = score.with_distances(cascades.exact_then_fuzzy(asked, sites), asked, sites)
+    rows = rows.withColumn("name_sim", score.proximity(F.col("name_sim"), F.col("distance_km")))
+    return rounded(rounded(rows.select("query_id", "entity_id", "name_sim", "distance_km"), "name_sim"), "distance_km", digits=4)
+
+
+PLACED = f"""(SELECT n.*, p.place_sim FROM {NEAR} n LEFT JOIN (SELECT n.query_id, n.entity_id, max({sql.jaccard('b.g', 'q.g')}) AS place_sim FROM {NEAR} n
+    JOIN (SELECT query_id, {sql.trigrams('place')} AS g FROM {SITE_QUERIES}) q ON q.query_id = n.query_id
+    JOIN (SELECT entity_id, {sql.trigrams('location_name')} AS g FROM {sql.BRIDGE}) b ON b.entity_id = n.entity_id GROUP BY n.query_id, n.entity_id) p ON p.query_id = n.query_id AND p.entity_id = n.entity_id)"""
+BOOSTED = f"(SELECT query_id, entity_id, label, rank0, place_sim, CASE WHEN place_sim > 0.3 THEN least(1.0, name_sim + place_sim * 0.1) ELSE name_sim END AS name_sim FROM {PLACED})"
+
+
+@query(f"SELECT query_id, entity_id, label, round(place_sim, 6) AS place_sim, round(name_sim, 6) AS name_sim, rank FROM {sql.top(BOOSTED, 10, 'round(name_sim, 9) DESC, rank0, label, entity_id')}")
+def place_boost(spark, sf_dir):
+    rows = cascades.site(roles.site_queries(spark, sf_dir), roles.parts(spark, sf_dir), roles.bridge(spark, sf_dir))
+    return rounded(rows.select("query_id", "entity_id", "label", "place_sim", "name_sim", "rank"), "place_sim", "name_sim")
+
+
+@query(f"SELECT {FUZZY} FROM {sql.fuzzy(sql.REFERENCE_QUERIES, sql.REFERENCES, 0.6, field='title', mode='word')}")
+def word_similarity(spark, sf_dir):
+    return rounded(match.fuzzy_bibliography(roles.reference_queries(spark, sf_dir), roles.references(spark, sf_dir), field="title", mode="word"), "name_sim")
+
+
+@query(f"SELECT {FUZZY} FROM {sql.fuzzy(sql.REFERENCE_QUERIES, sql.REFERENCES, 0.5, field='authors', mode='strict_word')}")
+def strict_word_similarity(spark, sf_dir):
+    return rounded(match.fuzzy_bibliography(roles.reference_queries(spark, sf_dir), roles.references(spark, sf_dir), field="authors", mode="strict_word"), "name_sim")
+
+
+ISBN, DOI = "nullif(upper(regexp_replace({0}.isbn, '[^0-9Xx]', '', 'g')), '')", "nullif(regexp_replace(lower(trim({0}.doi)), '^https?://doi\\.org/', ''), '')"
+EXACT = " UNION ALL ".join(
+    f"SELECT DISTINCT q.query_id, r.entity_id, r.full_reference AS label, 1.0::DOUBLE AS name_sim, {i} AS pass_no FROM {sql.REFERENCE_QUERIES} q JOIN {sql.REFERENCES} r ON {on}"
+    for i, on in enumerate((f"{ISBN.format('q')} = {ISBN.format('r')}", f"{DOI.format('q')} = {DOI.format('r')} OR lower(q.doi) = lower(r.doi)", "q.full_reference = r.full_reference", "q.title = r.title AND q.year = r.year", "q.bugs_reference = r.bugs_reference"))
+)
+GIVEN = f"(SELECT query_id, full_reference AS query FROM {sql.REFERENCE_QUERIES} WHERE full_reference IS NOT NULL)"
+FREE = f"(SELECT query_id, query FROM {sql.REFERENCE_QUERIES} WHERE full_reference IS NULL AND trim(query) <> '')"
+AUTHORED = f"(SELECT query_id, authors AS query, year FROM {sql.REFERENCE_QUERIES} WHERE authors IS NOT NULL AND year IS NOT NULL)"
+WORDS = f"""SELECT query_id, entity_id, label, greatest(0.8, name_sim) AS name_sim, 5 AS pass_no FROM {sql.fuzzy(GIVEN, sql.REFERENCES, 0.45, field='full_reference', mode='word')}
+    UNION ALL SELECT f.query_id, f.entity_id, r.full_reference, greatest(0.8, name_sim), 6 FROM {sql.fuzzy(AUTHORED, sql.REFERENCES, 0.45, field='authors', mode='word')} f JOIN {sql.REFERENCES} r ON r.entity_id = f.entity_id JOIN {AUTHORED} q ON q.query_id = f.query_id AND q.year = r.year
+    UNION ALL SELECT query_id, entity_id, label, greatest(0.8, name_sim), 7 FROM {sql.fuzzy(FREE, sql.REFERENCES, 0.45, field='full_reference', mode='word')}"""
+STRONG = f"s AS MATERIALIZED ({EXACT} UNION ALL {WORDS}), thin AS (SELECT * FROM {FREE} WHERE query_id NOT IN (SELECT query_id FROM s GROUP BY query_id HAVING count(*) >= 10)), f AS MATERIALIZED (SELECT query_id, entity_id, label, least(0.7, name_sim) AS name_sim, 8 AS pass_no FROM {sql.fuzzy('thin', sql.REFERENCES, 0.3, field='full_reference')}), b AS (SELECT * FROM s UNION ALL SELECT * FROM f)"
+
+
+@query(f"SELECT query_id, entity_id, label, name_sim, pass_no FROM ({EXACT})")
+def biblio_exact_passes(spark, sf_dir):
+    q, b = roles.reference_queries(spark, sf_dir), roles.references(spark, sf_dir)
+    return merge.bag(exact.same_isbn(q, b), exact.same_doi(q, b), exact.same_reference(q, b), exact.same_title_and_year(q, b), exact.same_bugs_reference(q, b))
+
+
+@query(f"SELECT query_id, entity_id, label, round(name_sim, 6) AS name_sim, pass_no FROM ({WORDS})")
+def biblio_fuzzy_floor(spark, sf_dir):
+    rows = cascades.bibliographic_passes(roles.reference_queries(spark, sf_dir), roles.references(spark, sf_dir))
+    return rounded(rows.filter("pass_no BETWEEN 5 AND 7"), "name_sim")
+
+
+@query(f"WITH {STRONG} SELECT query_id, entity_id, label, round(name_sim, 6) AS name_sim FROM f")
+def biblio_fallback_cap(spark, sf_dir):
+    rows = cascades.bibliographic_passes(roles.reference_queries(spark, sf_dir), roles.references(spark, sf_dir))
+    return rounded(rows.filter("pass_no = 8").drop("pass_no"), "name_sim")
+
+
+@query(f"""WITH {STRONG}, m AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id, entity_id ORDER BY name_sim DESC, pass_no, label) = 1)
+    SELECT query_id, rank, '{POLICY.id_base}bibliographic_reference/' || entity_id AS id, label AS name, round(least(100, name_sim * 100), 1) AS score, name_sim >= 0.99 AS match FROM {sql.top('m', 10, 'name_sim DESC, pass_no, label, entity_id')}""")
+def biblio_max_merge(spark, sf_dir):
+    rows = cascades.bibliographic(roles.reference_queries(spark, sf_dir), roles.references(spark, sf_dir))
+    out = score.as_candidates(rows, "bibliographic_reference", accept=POLICY.biblio_accept, digits=1, by_label=False)
+    return out.drop("type")
+
+
+REQUESTS = "(SELECT CASE WHEN c_custkey % 9 = 0 THEN 'x' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS id FROM customer)"
+
+
+def requests(spark, sf_dir):
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(F.when(k % 9 == 0, F.concat(F.lit("x"), k.cast("string"))).otherwise(k.cast("string")).alias("id"))
+
+
+@query(f"SELECT p.entity_id AS \"ID\", p.label AS \"Name\", n.place_names AS \"Places\" FROM {sql.PARTS} p LEFT JOIN (SELECT entity_id, string_agg(location_name, ', ' ORDER BY location_name) AS place_names FROM {sql.BRIDGE} GROUP BY entity_id) n ON n.entity_id = p.entity_id WHERE p.entity_id IN (SELECT TRY_CAST(id AS BIGINT) FROM {REQUESTS})")
+def details_left_agg(spark, sf_dir):
+    rows = details.site_details(requests(spark, sf_dir), roles.parts(spark, sf_dir), roles.bridge(spark, sf_dir))
+    return rows.select(F.col("entity_id").alias("ID"), F.col("label").alias("Name"), F.col("place_names").alias("Places"))
+
+
+@query(f"SELECT s_suppkey AS entity_id, s_name AS label, n_name AS unit, r_name AS grp FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey WHERE s_suppkey IN (SELECT TRY_CAST(id AS BIGINT) FROM {REQUESTS})")
+def details_left_chain(spark, sf_dir):
+    dims = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("label"), F.col("s_nationkey").alias("unit_id"))
+    units = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("unit_id"), F.col("n_name").alias("unit"), F.col("n_regionkey").alias("method_group_id"))
+    groups = table(spark, sf_dir, "region").filter("r_regionkey < 3").select(F.col("r_regionkey").alias("method_group_id"), F.col("r_name").alias("grp"))
+    return details.dimension_details(requests(spark, sf_dir), dims, units, groups).select("entity_id", "label", "unit", "grp")
+
+
+@query(f"SELECT p.entity_id, label, (SELECT string_agg('<li><strong>' || location_name || '</strong>: </li>', '' ORDER BY location_name) FROM {sql.BRIDGE} b WHERE b.entity_id = p.entity_id) AS type_names FROM {sql.PARTS} p WHERE p.entity_id IN (SELECT TRY_CAST(id AS BIGINT) FROM {REQUESTS})")
+def details_sampling_context(spark, sf_dir):
+    types = roles.bridge(spark, sf_dir).select("entity_id", F.col("location_name").alias("type_name"), F.lit(None).cast("string").alias("type_description"))
+    return details.sampling_context_details(requests(spark, sf_dir), roles.parts(spark, sf_dir), types).select("entity_id", "label", "type_names")
+
+
+@query(f"SELECT table_name, replace(table_name, 'tbl_', '') AS entity_name, column_name, system_id, value, column_type, {sql.norm('value')} AS value_norm FROM {sql.CORPUS}")
+def fts_corpus(spark, sf_dir):
+    return roles.search_corpus(spark, sf_dir)
+
+
+TOKENS = f"(SELECT table_name, column_name, system_id, value, CASE column_type WHEN 'label' THEN 1.0 WHEN 'abbreviation' THEN 0.4 ELSE 0.2 END AS weight, unnest(ws) AS lexeme, generate_subscripts(ws, 1) AS pos FROM (SELECT *, {sql.words(sql.norm('value'))} AS ws FROM {sql.CORPUS}))"
+# queries without quotes, `or` and minus: all words must occur; a piece split by punctuation is a phrase
+PIECES = f"(SELECT query_id, part, unnest(ws) AS lexeme, generate_subscripts(ws, 1) - 1 AS place, len(ws) AS size FROM (SELECT query_id, part, {sql.words('piece')} AS ws FROM (SELECT query_id, unnest(p) AS piece, generate_subscripts(p, 1) AS part FROM (SELECT query_id, string_split({sql.norm('query')}, ' ') AS p FROM {sql.CORPUS_QUERIES}))))"
+HITS = f"""tk AS MATERIALIZED {TOKENS}, pc AS MATERIALIZED {PIECES},
+    ph AS (SELECT query_id, part, table_name, column_name, system_id, value, pos - place AS pos, max(weight) AS weight FROM pc JOIN tk USING (lexeme) GROUP BY ALL HAVING count(*) = max(size)),
+    n AS (SELECT query_id, count(DISTINCT part) AS clauses FROM pc GROUP BY 1),
+    ok AS (SELECT query_id, table_name, column_name, system_id, value, max(clauses) AS clauses FROM ph JOIN n USING (query_id) GROUP BY 1, 2, 3, 4, 5 HAVING count(DISTINCT part) = max(clauses)),
+    lg AS (SELECT ph.*, clauses, lag(pos) OVER w AS p0, lag(part) OVER w AS c0, lag(weight) OVER w AS w0 FROM ph JOIN ok USING (query_id, table_name, column_name, system_id, value) WINDOW w AS (PARTITION BY query_id, table_name, column_name, system_id, value ORDER BY pos, part)),
+    hits AS MATERIALIZED (SELECT query_id, table_name, column_name, system_id, value, CAST(sum(CASE WHEN clauses = 1 THEN weight WHEN c0 <> part AND pos > p0 THEN (weight + w0) / 2 / (pos - p0) ELSE 0 END) AS DOUBLE) AS fts_rank FROM lg GROUP BY 1, 2, 3, 4, 5)"""
+
+
+@query(f"WITH {HITS} SELECT query_id, table_name, column_name, system_id, value, round(fts_rank, 6) AS rank, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fts_rank DESC, table_name, column_name, system_id, value) AS INTEGER) AS place FROM hits) WHERE place <= 20")
+def fts_rank(spark, sf_dir):
+    return rounded(fulltext.search(roles.corpus_queries(spark, sf_dir), roles.search_corpus(spark, sf_dir)), "rank")
+
+
+SCORED = f"""{HITS}, qs AS (SELECT query_id, {sql.trigrams(sql.norm('query'))} AS g FROM {sql.CORPUS_QUERIES}),
+    cs AS (SELECT v.value, {sql.trigrams(sql.norm('v.value'))} AS g FROM (SELECT DISTINCT value FROM {sql.CORPUS}) v),
+    vs AS (SELECT query_id, value, {sql.jaccard('qs.g', 'cs.g')} AS trigram_sim FROM qs JOIN cs ON {sql.jaccard('qs.g', 'cs.g')} >= 0.3),
+    near AS (SELECT query_id, table_name, column_name, system_id, value, trigram_sim FROM vs JOIN {sql.CORPUS} USING (value)),
+    scored AS MATERIALIZED (SELECT *, coalesce(fts_rank, 0) + 0.35 * coalesce(trigram_sim, 0) AS row_score FROM hits FULL JOIN near USING (query_id, table_name, column_name, system_id, value))"""
+
+
+@query(f"""WITH {SCORED}, one AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, table_name ORDER BY row_score DESC, column_name, value, system_id) = 1)
+    SELECT query_id, table_name, column_name, system_id, value, round(coalesce(fts_rank, 0), 6) AS fts_rank, round(coalesce(trigram_sim, 0), 6) AS trigram_sim, round(row_score, 6) AS row_score, rank FROM {sql.top('one', 10, 'row_score DESC, table_name')}""")
+def entity_type_discovery(spark, sf_dir):
+    return rounded(fulltext.entity_types(roles.corpus_queries(spark, sf_dir), roles.search_corpus(spark, sf_dir)), "fts_rank", "trigram_sim", "row_score")
+
+
+@query(f"""WITH {SCORED}, per AS (SELECT query_id, table_name, coalesce(max(fts_rank), 0) AS fts_rank, coalesce(max(trigram_sim), 0) AS trigram_sim FROM scored GROUP BY 1, 2), tot AS (SELECT *, fts_rank + 0.35 * trigram_sim AS score FROM per)
+    SELECT query_id, table_name, round(fts_rank, 6) AS fts_rank, round(trigram_sim, 6) AS trigram_sim, round(score, 6) AS score, rank FROM {sql.top('tot', 5, 'score DESC, table_name')}""")
+def entity_type_aggregate(spark, sf_dir):
+    return rounded(fulltext.table_scores(roles.corpus_queries(spark, sf_dir), roles.search_corpus(spark, sf_dir)), "fts_rank", "trigram_sim", "score")
+
+
+GAZ = """(SELECT c_custkey AS geonameId, c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE '' END AS adminName1, CASE WHEN c_custkey % 5 > 0 THEN n_name END AS countryName,
+    CASE WHEN c_custkey % 4 > 0 THEN CAST(c_custkey % 101 AS DOUBLE) END AS score, CASE WHEN c_custkey % 6 > 0 THEN (c_custkey * 37) % 100000 END AS population,
+    CASE c_custkey % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'A' ELSE 'T' END AS fcl, CASE WHEN c_custkey % 2 = 0 THEN 'ADM1' ELSE 'PPL' END AS fcode, CASE WHEN c_custkey % 7 > 0 THEN 'kind ' || (c_custkey % 7) END AS fcodeName
+    FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@query(f"""SELECT geonameId, concat_ws(', ', name, nullif(adminName1, ''), nullif(countryName, '')) AS label, kind, CASE kind WHEN 'citytown' THEN 'City/Town' WHEN 'administrative_area' THEN 'Administrative Area' ELSE 'Place' END AS kind_name,
+    coalesce(fcodeName, fcode) || CASE WHEN population <> 0 THEN ' · pop ' || format('{{:,}}', population) ELSE '' END AS description,
+    round(60 + 40 * least(1.0, coalesce(score, 0) / 100 + CASE WHEN population > 0 THEN log10(population) / 7 ELSE 0 END), 2) AS score
+    FROM (SELECT *, CASE WHEN fcl = 'P' THEN 'citytown' WHEN fcl = 'A' AND fcode LIKE 'ADM%' THEN 'administrative_area' ELSE 'place' END AS kind FROM {GAZ})""")
+def gazetteer_score(spark, sf_dir):
+    return gazetteer.described(roles.gazetteer(spark, sf_dir))
+
+
+GAZ_FOUND = sql.fuzzy(CUSTOMER_QUERIES := "(SELECT s_suppkey AS query_id, 'Customer ' || substr(s_name, 10) AS query FROM supplier)", f"(SELECT *, geonameId AS entity_id FROM {GAZ} WHERE fcl IN ('P', 'A'))", 0.8, field="name")
+
+
+@query(f"SELECT query_id, entity_id, label, round(name_sim, 6) AS name_sim, rank FROM {sql.top(f'(SELECT f.query_id, f.entity_id, f.label, f.name_sim, g.population FROM {GAZ_FOUND} f JOIN {GAZ} g ON g.geonameId = f.entity_id)', 10, 'name_sim DESC, population DESC NULLS LAST, entity_id')}")
+def gazetteer_search(spark, sf_dir):
+    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("Customer "), F.substring("s_name", 10, 100)).alias("query"))
+    rows = cascades.gazetteer_search(asked, roles.gazetteer(spark, sf_dir))
+    return rounded(rows.select("query_id", "entity_id", "label", "name_sim", "rank"), "name_sim")
+
+
+MD = "'| ' || n_nationkey || ' | ' || n_name || ' |'"
+
+
+@query(f"""SELECT n_regionkey, 'markdown' AS format, '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg({MD}, chr(10) ORDER BY n_nationkey) AS "table" FROM nation GROUP BY n_regionkey""")
+def prompt_format(spark, sf_dir):
+    return prompts.formatted(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name"], "n_nationkey", by=["n_regionkey"])
+
+
+@query(f"""WITH l AS (SELECT '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg({MD}, chr(10) ORDER BY n_nationkey) AS t FROM nation)
+    SELECT query_id, md5('Match each input to a controlled list of nations.' || chr(10) || 'Answer with JSON only.' || chr(10) || chr(10) || 'Context:' || chr(10) || 'trade' || chr(10) || chr(10) || 'List (MARKDOWN):' || chr(10) || t || chr(10) || chr(10) || 'Inputs:' || chr(10) || '| input_id | input_value |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || query || ' |' || chr(10)) AS prompt_md5 FROM {sql.PART_QUERIES}, l""")
+def prompt_assembly(spark, sf_dir):
+    lookup = prompts.formatted(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name"], "n_nationkey")
+    out = prompts.prompts(roles.part_queries(spark, sf_dir), lookup, entity_type="nations", context="trade")
+    return out.select("query_id", F.md5("prompt").alias("prompt_md5"))
+
+
+@query("SELECT string_agg(n_nationkey || ', ' || n_name, chr(10) ORDER BY n_nationkey) AS lookup FROM nation")
+def lookup_lines(spark, sf_dir):
+    return prompts.lookup_lines(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name"], "n_nationkey")
+
+
+@query("""SELECT doc_id AS query_id, CAST(doc_id AS VARCHAR) AS entity_id, 'v' || quality AS label, CASE WHEN doc_id % 10 = 3 THEN 1.5 ELSE 0.5 END::DOUBLE AS name_sim, CASE WHEN doc_id % 7 = 0 THEN 5 ELSE 2 END AS n_reasons, CAST(r AS INTEGER) AS rank
+    FROM labels, unnest(CASE WHEN doc_id % 2 = 0 THEN [1, 2] ELSE [1] END) AS t(r) WHERE doc_id % 5 <> 2 AND quality IS NOT NULL""")
+def completion_parse(spark, sf_dir):
+    rows = prompts.answered(roles.completions(spark, sf_dir))
+    return rows.select("query_id", "entity_id", "label", "name_sim", F.size("reasons").alias("n_reasons"), "rank")
+
+
+@query("""SELECT doc_id AS query_id, CAST(doc_id AS VARCHAR) AS input_id, 'score out of range' AS problem FROM labels WHERE doc_id % 5 <> 2 AND doc_id % 10 = 3 AND quality IS NOT NULL
+    UNION ALL SELECT doc_id, CAST(doc_id AS VARCHAR), 'number of reasons' FROM labels WHERE doc_id % 5 <> 2 AND doc_id % 7 = 0 AND quality IS NOT NULL""")
+def completion_contract(spark, sf_dir):
+    return prompts.violations(roles.completions(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS text, CASE WHEN o_orderkey % 3 = 0 THEN 'sv' ELSE 'en' END AS source_lang, CASE WHEN o_orderkey % 2 = 0 THEN 'sv' ELSE 'de' END AS lang FROM orders),
+    c AS (SELECT DISTINCT md5(o_orderpriority || ':sv') AS key, 'sv ' || o_orderpriority AS cached FROM orders WHERE o_orderpriority < '3')
+    SELECT text, source_lang, lang, CASE WHEN source_lang = lang THEN text ELSE coalesce(cached, text) END AS translation, cached IS NOT NULL AS hit FROM r LEFT JOIN c ON c.key = md5(text || ':' || lang)""")
+def translation_cache(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    asked = o.select(F.col("o_orderpriority").alias("text"), F.when(k % 3 == 0, "sv").otherwise("en").alias("source_lang"), F.when(k % 2 == 0, "sv").otherwise("de").alias("lang"))
+    known = o.filter("o_orderpriority < '3'").select("o_orderpriority").distinct()
+    return prompts.translated(asked, known.select(T.cache_key(F.col("o_orderpriority"), F.lit("sv")).alias("key"), F.concat(F.lit("sv "), "o_orderpriority").alias("translation")))
+
+
+def _payloads(spark, sf_dir):
+    """Events as query batches of one query each; every third batch is encoded twice."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    limit = F.when(k % 11 == 0, ', "limit": 900').when(k % 2 == 0, ', "limit": 5').otherwise("")
+    kind = F.when(k % 13 == 0, ', "type": "bogus"').when(k % 5 == 0, ', "type": "location"').otherwise("")
+    one = F.concat(F.lit('{"q0": {"query": "'), F.when(k % 17 == 0, " ").otherwise(F.col("event_type")), F.lit('"'), kind, limit, F.lit(', "properties": [{"pid": "k", "v": "1"}, {"pid": "k", "v": "'), F.get_json_object("props", "$.k"), F.lit('"}, {"pid": "none"}]}}'))
+    twice = F.concat(F.lit('"'), F.replace(one, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return e.select("event_id", F.when(k % 3 == 0, twice).otherwise(one).alias("payload"))
+
+
+BATCH = """(SELECT event_id, 'q0' AS query_id, CASE WHEN event_id % 17 = 0 THEN ' ' ELSE event_type END AS query, CASE WHEN event_id % 13 = 0 THEN 'bogus' WHEN event_id % 5 = 0 THEN 'location' ELSE 'site' END AS type,
+    CASE WHEN event_id % 11 = 0 THEN 900 WHEN event_id % 2 = 0 THEN 5 END AS "limit", json_extract_string(props, '$.k') AS k FROM events)"""
+
+
+@query(f'SELECT event_id, query_id, query, type, CAST("limit" AS VARCHAR) AS "limit", k, 1 AS n_properties FROM {BATCH}')
+def query_batch_parse(spark, sf_dir):
+    rows = batches.queries(_payloads(spark, sf_dir))
+    return rows.select("event_id", "query_id", "query", "type", F.col("limit").cast("string").alias("limit"), F.col("properties")["k"].alias("k"), F.size("properties").alias("n_properties"))
+
+
+@query(f"""SELECT event_id, CASE WHEN trim(query) = '' THEN 'query is empty' WHEN "limit" > 500 THEN 'limit is not from 1 to 500' WHEN type = 'bogus' THEN 'unknown type' END AS error FROM {BATCH}""")
+def query_validate(spark, sf_dir):
+    return batches.validated(batches.queries(_payloads(spark, sf_dir)), ["site", "location"]).select("event_id", "error")
+
+
+@query(f"SELECT q.query_id, coalesce(string_agg(f.entity_id || '=' || round(name_sim, 4), ',' ORDER BY rank), '') AS result FROM {sql.PART_QUERIES} q LEFT JOIN {sql.fuzzy(sql.PART_QUERIES, sql.PARTS, 0.5)} f ON f.query_id = q.query_id GROUP BY q.query_id")
+def result_nest(spark, sf_dir):
+    asked = roles.part_queries(spark, sf_dir)
+    nested = batches.results(asked, match.fuzzy(asked, roles.parts(spark, sf_dir), threshold=0.5), ["entity_id", "name_sim"])
+    return nested.select("query_id", F.array_join(F.transform("result", lambda c: F.concat(c.entity_id.cast("string"), F.lit("="), F.round(c.name_sim, 4).cast("string"))), ",").alias("result"))
+
+
+SUGGEST_TYPES = ["part", "supplier", "nation"]
+PREFIXES = "(SELECT DISTINCT substr(p_name, 1, 7) AS query_id, substr(p_name, 1, 7) AS query FROM part WHERE length(substr(p_name, 1, 7)) >= 2 UNION SELECT substr(n_name, 1, 7), substr(n_name, 1, 7) FROM nation)"
+SUGGESTED = " UNION ALL ".join(f"SELECT query_id AS prefix_id, '{t}' AS entity_type, {i} AS type_no, entity_id, label, name_sim FROM {sql.fuzzy(PREFIXES, f'(SELECT {k} AS entity_id, {c} AS label FROM {t})')}" for i, (t, k, c) in enumerate((("part", "p_partkey", "p_name"), ("supplier", "s_suppkey", "s_name"), ("nation", "n_nationkey", "n_name"))))
+
+
+@query(f"SELECT prefix_id, entity_type, entity_id, label, round(name_sim, 6) AS name_sim, rank FROM {sql.top(f'({SUGGESTED})', 10, 'name_sim DESC, type_no, label, entity_id', 'prefix_id')}")
+def suggest_entities(spark, sf_dir):
+    p, s, n = (table(spark, sf_dir, t) for t in SUGGEST_TYPES)
+    texts = p.select(F.substring("p_name", 1, 7).alias("query")).union(n.select(F.substring("n_name", 1, 7))).distinct().filter(F.length("query") >= 2)
+    asked = texts.select(F.col("query").alias("query_id"), "query")
+    found = [match.fuzzy(asked, t.select(F.col(k).cast("long").alias("entity_id"), F.col(c).alias("label"))).select(F.col("query_id").alias("prefix_id"), F.lit(name).alias("entity_type"), "entity_id", "label", "name_sim") for t, name, k, c in ((p, "part", "p_partkey", "p_name"), (s, "supplier", "s_suppkey", "s_name"), (n, "nation", "n_nationkey", "n_name"))]
+    return rounded(merge.suggested(found[0].unionByName(found[1]).unionByName(found[2]), 10, type_order=SUGGEST_TYPES), "name_sim")
+
+
+@query(f"""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'nation' END AS entity_type, CASE WHEN c_custkey % 4 > 0 THEN CAST(c_nationkey AS VARCHAR) END AS entity_id, CASE WHEN c_custkey % 4 = 0 THEN 'not an entity URI' END AS error, CASE WHEN c_custkey % 4 > 0 THEN n_name END AS label FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def uri_resolve(spark, sf_dir):
+    k = F.col("c_custkey")
+    uri = F.when(k % 4 == 0, F.concat(F.lit("https://elsewhere.example/nation/"), F.col("c_nationkey").cast("string"))).otherwise(F.concat(F.lit(f"{POLICY.id_base}nation/"), F.col("c_nationkey").cast("string")))
+    uris = table(spark, sf_dir, "customer").select("c_custkey", uri.alias("uri"))
+    nations = table(spark, sf_dir, "nation").select(F.lit("nation").alias("entity_type"), F.col("n_nationkey").cast("long").alias("entity_id"), F.col("n_name").alias("label"))
+    return details.resolved(uris, nations, POLICY.id_base).select("c_custkey", "entity_type", F.col("entity_id").cast("string").alias("entity_id"), "error", "label")
+
+
+@query("SELECT doc_id, 'lang=' || lang || ';source=' || source || ';text=' || CASE WHEN length(text) > 60 THEN substr(text, 1, 57) || '...' ELSE text END AS fields FROM documents")
+def card_fields(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").withColumn("label", F.lit("x")).withColumn("blank", F.lit("  "))
+    shown = details.card_fields(["label", "blank", "lang", "source", "text"])
+    return rows.select("doc_id", F.array_join(F.transform(shown, lambda p: F.concat(p.key, F.lit("="), p.value)), ";").alias("fields"))
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1, 2")
+def dedupe_keep_last(spark, sf_dir):
+    return merge.dedupe(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], [F.col("event_id")], keep="last")
+
+
+@query("""SELECT c_custkey AS entity_id, p AS property, CASE p WHEN 'c_name' THEN c_name WHEN 'c_mktsegment' THEN c_mktsegment END AS value FROM customer, unnest(['c_name', 'c_mktsegment']) AS t(p)
+    WHERE (p = 'c_name' AND c_custkey % 2 = 0) OR (p = 'c_mktsegment' AND c_custkey % 3 = 0)""")
+def extend_unpivot(spark, sf_dir):
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    asked = c.filter(k % 2 == 0).select(k.alias("entity_id"), F.lit("c_name").alias("property")).union(c.filter(k % 3 == 0).select(k, F.lit("c_mktsegment")))
+    return details.extended(asked, c.withColumnRenamed("c_custkey", "entity_id"), ["c_name", "c_mktsegment"])
+
+
+@query("SELECT p_name AS id, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS entity_types, arg_max(p_brand, p_partkey) AS settings FROM part GROUP BY p_name")
+def property_fold(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("id"), F.col("p_type").alias("entity_type"), F.col("p_brand").alias("settings"), F.col("p_partkey").alias("ord"))
+    return merge.folded_properties(rows).withColumn("entity_types", F.array_join("entity_types", ","))
+
+
+@query("""SELECT doc_id, CASE WHEN NOT regexp_matches(text, '[^\\x00-\\x7F]') OR NOT regexp_matches(lower(text), '[àâäåæçèéêëîïñòóôöøùûüÿœß]') THEN 'en' ELSE 'unknown' END AS lang, CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM documents""")
+def language_guess(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.guessed_language(F.col("text")).alias("g")).select("doc_id", "g.lang", "g.confidence")
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring') OR contains(lower(p_type), 'ring') OR contains(lower(p_type), 'promo') OR contains(lower(p_name), 'promo')")
+def text_filter(spark, sf_dir):
+    columns = [F.col(c) for c in ("p_name", "p_brand", "p_type")]
+    return table(spark, sf_dir, "part").filter(T.mentions(F.lit("Ring"), *columns) | T.mentions(F.lit("PROMO"), *columns[::2])).select("p_partkey")
