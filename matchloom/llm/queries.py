@@ -14,6 +14,13 @@ def op1_mih_neighbours(spark, sf_dir):
     return nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op2_backoff_scores(spark, sf_dir):
+    from matchloom.llm.backoff import scores
+
+    out = scores(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op3_run_index_dedup(spark, sf_dir):
     from matchloom.llm.runindex import remove_repeats
 
@@ -80,6 +87,7 @@ def op10_vafile_topk(spark, sf_dir):
 def queries():
     return {
         "op1_mih_neighbours": op1_mih_neighbours,
+        "op2_backoff_scores": op2_backoff_scores,
         "op3_run_index_dedup": op3_run_index_dedup,
         "op4_compression_quality": op4_compression_quality,
         "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
@@ -92,6 +100,19 @@ def queries():
 
 
 ORACLE = {
+    "op2_backoff_scores": """
+        WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D ]+'), lambda w: w <> '') AS ws FROM documents),
+             raw AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
+             wc AS (SELECT w, count(*) AS n FROM raw GROUP BY w),
+             kept AS (SELECT min(n) AS least FROM (SELECT n, sum(count(*)) OVER (ORDER BY n DESC) AS k FROM wc GROUP BY n) WHERE k <= 65535),
+             tok AS (SELECT doc_id, i, CASE WHEN wc.n >= least THEN raw.w ELSE '' END AS w FROM raw JOIN wc ON wc.w = raw.w, kept),
+             u AS (SELECT w, count(*) AS n FROM tok GROUP BY w), total AS (SELECT count(*) AS n FROM tok),
+             bi AS (SELECT b.doc_id, b.i, a.w AS v, b.w FROM tok b LEFT JOIN tok a ON a.doc_id = b.doc_id AND a.i = b.i - 1),
+             bc AS (SELECT v, w, count(*) AS n FROM bi WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2),
+             s AS (SELECT bi.doc_id, CASE WHEN bi.v IS NULL THEN ln(uw.n / total.n) WHEN bc.n IS NOT NULL THEN ln(bc.n / uv.n) ELSE ln(0.4 * uw.n / total.n) END AS s
+                   FROM bi JOIN u uw ON uw.w = bi.w LEFT JOIN u uv ON uv.w = bi.v LEFT JOIN bc ON bc.v = bi.v AND bc.w = bi.w, total)
+        SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(x.s, 0), 3) AS log_score, round(x.s / len(ws), 6) AS mean_log_score FROM t LEFT JOIN (SELECT doc_id, sum(s) AS s FROM s GROUP BY doc_id) x ON x.doc_id = t.doc_id
+    """,
     "op10_vafile_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
