@@ -6,8 +6,9 @@ posterior chance of a similarity at the threshold or above falls below the chose
 verified on the full shingle sets.
 
 No bucket is expanded into pairs. First every member is compared with its bucket's first document; most buckets are
-then one component and need nothing more. In the others, members of different components are compared block by block
-inside tasks, which pass on the likeliest pairs not tried yet, more in each round, until none is left.
+then one component and need nothing more. In the others, blocks of members of different components are compared inside
+tasks: on signatures first, which leaves the members that may have a link to another component; then those of a family
+on their full sets. A task passes on only the links that tie components together.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ BANDS, ROWS, BATCH = 24, 5, 30
 #: A survivor's chance of being a link is MISS at least.
 MISS = 1e-5
 #: Most members of a bucket that are compared in one task with as many others.
-BLOCK = 1024
+BLOCK = 512
 #: Most ids that are broadcast (eight bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -141,24 +142,76 @@ def _exact(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
-def _crossing(percent: int, most: int):
-    def pairs(cell: pa.Table) -> pa.Table:
-        """The likeliest pairs of different components in one cell, at most so many for each member; more: some were left."""
-        cid, comp, sketch = cell.column("cid").to_numpy(), cell.column("comp").to_numpy(), _sketches(cell.column("sketch").combine_chunks())
-        floor = needed(percent)[BANDS * ROWS]
-        out_a, out_b, more = [], [], False
+def _alive(sketch: np.ndarray, i: int, others: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Those of the others that sequential comparison with row i does not give up."""
+    matches = np.zeros(len(others), np.int64)
+    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
+        matches += (sketch[others, n - BATCH : n] == sketch[i, n - BATCH : n]).sum(axis=1)
+        on = matches >= need[n]
+        others, matches = others[on], matches[on]
+    return others
+
+
+def _open(percent: int):
+    def members(cell: pa.Table) -> pa.Table:
+        """The members of one cell that may be linked with a member of another component."""
+        comp, sketch, need = cell.column("comp").to_numpy(), _sketches(cell.column("sketch").combine_chunks()), needed(percent)
+        hit = np.zeros(len(comp), bool)
+        for i in range(len(comp)):
+            near = _alive(sketch, i, np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1, need)
+            if len(near):
+                hit[i] = True
+                hit[near] = True
+        return cell.select(["bucket", "cid"]).filter(pa.array(hit))
+
+    return members
+
+
+def _crossing(percent: int):
+    def links(cell: pa.Table) -> pa.Table:
+        """Links between components in one cell, verified on the full sets; only those that tie what is not tied yet.
+
+        Counts of shared shingles are a product of the members' incidence rows; shingles of one member alone are left
+        out of it, as they are shared with none.
+        """
+        cid, comp = cell.column("cid").to_numpy(), cell.column("comp").to_numpy()
+        sketch, need = _sketches(cell.column("sketch").combine_chunks()), needed(percent)
+        sets = [np.frombuffer(x, np.uint64) for x in cell.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        values, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[place]
+        row = np.repeat(np.arange(len(sets)), size)
+        has = np.zeros((len(sets), int((count > 1).sum())), np.float32)
+        has[row[column >= 0], column[column >= 0]] = 1
+        root = {c: c for c in comp.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out = []
         for i in range(len(cid)):
-            same = (sketch == sketch[i]).sum(axis=1)
-            good = np.flatnonzero((same >= floor) & (comp != comp[i]))
-            if len(good) > most:
-                more = True
-                good = good[np.argsort(-same[good], kind="stable")[:most]]
-            out_a.append(np.maximum(cid[good], cid[i]))
-            out_b.append(np.minimum(cid[good], cid[i]))
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return pa.table({"a": a, "b": b, "more": np.full(len(a), more)})
+            near = _alive(sketch, i, np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1, need)
+            if not len(near):
+                continue
+            both = (has[near] @ has[i]).astype(np.int64)
+            for j in near[100 * both >= percent * (size[i] + size[near] - both)]:
+                x, y = top(int(comp[i])), top(int(comp[j]))
+                if x != y:
+                    root[x] = y
+                    out.append((max(cid[i], cid[j]), min(cid[i], cid[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return links
 
-    return pairs
+
+def cells(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """rows with p, q: each group cut into blocks by cid, a row in every cell (two blocks) of its block. sizes: key, n."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = rows.join(sizes.select(key, blocks.alias("blocks")), key).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.withColumn("p", F.least("i", "j")).withColumn("q", F.greatest("i", "j")).drop("i", "j", "blocks")
 
 
 def with_small(df: DataFrame, ids: DataFrame, on: str, how: str, n: int) -> DataFrame:
@@ -233,29 +286,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, text_col: str = "text
 def _links(found: DataFrame, sketches: DataFrame, pairs: _Pairs) -> DataFrame:
     """Links whose components are those of all links."""
     stars = found.filter("cid <> pivot").select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("b")).distinct()
-    tried = pairs.verified(pairs.likely(stars))
-    most = 4
-    while True:
-        links = tried.filter("linked").select("a", "b")
-        comps = components(links)
-        member = found.select("bucket", "cid").join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("label", "cid").alias("comp"))
-        member = staged(member, "members")
-        still = member.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x <> y")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        cells = member.join(still.select("bucket", blocks.alias("blocks")), "bucket").join(sketches, "cid")
-        cells = cells.withColumn("i", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = cells.select("bucket", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "cid", "comp", "sketch")
-        near = cells.groupBy("bucket", "p", "q").applyInArrow(_crossing(pairs.percent, most), "a long, b long, more boolean")
-        near = staged(near.groupBy("a", "b").agg(F.max("more").alias("more")), "near")
-        fresh = near.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        n, more = near.agg(F.count("*"), F.max("more")).first()
-        checked = pairs.verified(fresh.select("a", "b")) if n else None
-        if checked is None or checked.isEmpty():
-            if not more:
-                return links
-        else:
-            tried = tried.unionByName(checked)
-        most *= 8
+    links = pairs.verified(pairs.likely(stars)).filter("linked").select("a", "b")
+    comps = components(links).withColumnRenamed("node", "cid")
+    members = staged(found.select("bucket", "cid").join(comps, "cid", "left").select("bucket", "cid", F.coalesce("label", "cid").alias("comp")), "members")
+    still = members.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x <> y")
+    by_cell = cells(members, "bucket", still).join(sketches, "cid").select("bucket", "p", "q", "cid", "comp", "sketch")
+    open_ = staged(by_cell.groupBy("bucket", "p", "q").applyInArrow(_open(pairs.percent), "bucket long, cid long").distinct(), "open")
+    # buckets of one family are looked at together, so that sets are sent once
+    hubs = open_.groupBy("bucket").agg(F.min("cid").alias("b"))
+    families = components(open_.join(hubs, "bucket").select(F.col("cid").alias("a"), "b")).select(F.col("node").alias("cid"), F.col("label").alias("family"))
+    family = staged(families.join(comps, "cid", "left").select("family", "cid", F.coalesce("label", "cid").alias("comp")), "families")
+    by_cell = cells(family, "family", family.groupBy("family").agg(F.count("*").alias("n"))).join(sketches, "cid").join(pairs.sets, "cid")
+    by_cell = by_cell.select("family", "p", "q", "cid", "comp", "sketch", "shingles")
+    return links.unionByName(staged(by_cell.groupBy("family", "p", "q").applyInArrow(_crossing(pairs.percent), "a long, b long"), "crossing"))
 
 
 def drop_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
