@@ -398,3 +398,106 @@ def language_guess(spark, sf_dir):
 def text_filter(spark, sf_dir):
     columns = [F.col(c) for c in ("p_name", "p_brand", "p_type")]
     return table(spark, sf_dir, "part").filter(T.mentions(F.lit("Ring"), *columns) | T.mentions(F.lit("PROMO"), *columns[::2])).select("p_partkey")
+
+
+BRAND_OR_NAME = "(SELECT s_suppkey AS query_id, CASE WHEN s_suppkey % 3 = 0 THEN 'Brand#' || (s_suppkey % 40) ELSE p_name END AS query FROM supplier JOIN part ON p_partkey = s_suppkey)"
+ALTERNATE = f"(SELECT query_id, min(entity_id) AS entity_id, arg_min(label, entity_id) AS label, 1.0::DOUBLE AS name_sim, 0 AS pass_no FROM (SELECT q.query_id, p.entity_id, p.label FROM {BRAND_OR_NAME} q JOIN {sql.PARTS} p ON p.national_id = q.query) GROUP BY query_id)"
+GENERIC = f"(SELECT * FROM (SELECT * FROM {ALTERNATE} UNION ALL SELECT query_id, entity_id, label, name_sim, 1 FROM {sql.fuzzy(BRAND_OR_NAME, sql.PARTS)}) QUALIFY row_number() OVER (PARTITION BY query_id, entity_id ORDER BY name_sim DESC, pass_no, label) = 1)"
+
+
+@query(f"SELECT query_id, entity_id, label, round(name_sim, 6) AS name_sim, rank FROM {sql.top(GENERIC, 10, 'name_sim DESC, pass_no, label, entity_id')}")
+def generic_find(spark, sf_dir):
+    k = F.col("s_suppkey")
+    asked = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "part"), k == F.col("p_partkey")).select(k.alias("query_id"), F.when(k % 3 == 0, F.concat(F.lit("Brand#"), (k % 40).cast("string"))).otherwise(F.col("p_name")).alias("query"))
+    return rounded(cascades.generic(asked, roles.parts(spark, sf_dir), alternate="national_id"), "name_sim")
+
+
+@query(f"SELECT query_id, rank, '{POLICY.id_base}site/' || entity_id AS id, label AS name, round(least(100, name_sim * 100), 2) AS score, name_sim >= 0.9 OR lower(label) = lower(query) AS match, round(km, 2) AS distance_km FROM (SELECT n.*, n.rank0 AS rank, q.query FROM {NEAR} n JOIN {SITE_QUERIES} q ON q.query_id = n.query_id)")
+def site_candidates(spark, sf_dir):
+    asked, sites = roles.site_queries(spark, sf_dir), roles.parts(spark, sf_dir)
+    rows = score.with_distances(cascades.exact_then_fuzzy(asked, sites), asked, sites)
+    rows = rows.withColumn("name_sim", score.proximity(F.col("name_sim"), F.col("distance_km"))).join(asked.select("query_id", "query"), "query_id")
+    return score.as_candidates(rows, "site").drop("type")
+
+
+@query(f"""SELECT geonameId AS query_id, CAST(geonameId AS VARCHAR) AS id, concat_ws(', ', name, nullif(adminName1, ''), nullif(countryName, '')) AS name, s AS score, round(s / 100, 4) AS name_sim, concat_ws(', ', name, nullif(adminName1, ''), nullif(countryName, '')) = name AS match, 'https://www.geonames.org/' || geonameId AS uri
+    FROM (SELECT *, round(60 + 40 * least(1.0, coalesce(score, 0) / 100 + CASE WHEN population > 0 THEN log10(population) / 7 ELSE 0 END), 2) AS s FROM {GAZ})""")
+def gazetteer_candidates(spark, sf_dir):
+    records = roles.gazetteer(spark, sf_dir)
+    rows = gazetteer.as_candidates(records.withColumn("query_id", F.col("geonameId")).withColumn("query", F.col("name")))
+    return rows.select("query_id", "id", "name", "score", F.round("name_sim", 4).alias("name_sim"), "match", "uri")
+
+
+@query(f"SELECT adm AS query_id, geonameId, s AS relevance, rank FROM {sql.top(f'(SELECT adminName1 AS adm, geonameId, population, round(60 + 40 * least(1.0, coalesce(score, 0) / 100 + CASE WHEN population > 0 THEN log10(population) / 7 ELSE 0 END), 2) AS s FROM {GAZ})', 10, 's DESC, population DESC NULLS LAST, geonameId', 'adm')}")
+def gazetteer_ranked(spark, sf_dir):
+    return gazetteer.ranked(roles.gazetteer(spark, sf_dir).withColumn("query_id", F.col("adminName1"))).select("query_id", "geonameId", "relevance", "rank")
+
+
+@query("""SELECT DISTINCT md5(o_orderpriority || ':' || lang) AS key, o_orderpriority AS text, lang FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'sv' ELSE 'en' END AS source_lang, CASE WHEN o_orderkey % 2 = 0 THEN 'sv' ELSE 'de' END AS lang FROM orders)
+    WHERE source_lang <> lang AND NOT (lang = 'sv' AND o_orderpriority < '3')""")
+def translation_misses(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    asked = o.select(F.col("o_orderpriority").alias("text"), F.when(k % 3 == 0, "sv").otherwise("en").alias("source_lang"), F.when(k % 2 == 0, "sv").otherwise("de").alias("lang"))
+    return prompts.to_translate(asked, o.filter("o_orderpriority < '3'").select(T.cache_key(F.col("o_orderpriority"), F.lit("sv")).alias("key")).distinct())
+
+
+@query("SELECT md5(o_orderpriority || ':sv') AS key, arg_max(CAST(o_orderkey AS VARCHAR), o_orderkey) AS translation FROM orders GROUP BY 1")
+def translation_upsert(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    entries = o.select(T.cache_key(F.col("o_orderpriority"), F.lit("sv")).alias("key"), F.col("o_orderpriority").alias("text"), F.lit("sv").alias("lang"), k.cast("string").alias("translation"), k.alias("ts"))
+    return prompts.upserted(entries.filter(k % 2 == 0), entries.filter(k % 2 == 1)).select("key", "translation")
+
+
+COUNTED = f"(SELECT *, sum(CASE WHEN true THEN 1 END) OVER (PARTITION BY prefix_id ORDER BY type_no RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ({SUGGESTED}))"
+
+
+@query(f"SELECT prefix_id, entity_type, entity_id, label, round(name_sim, 6) AS name_sim, rank FROM {sql.top(f'(SELECT * FROM {COUNTED} WHERE coalesce(before, 0) < 10)', 10, 'name_sim DESC, type_no, label, entity_id', 'prefix_id')}")
+def suggest_early_stop(spark, sf_dir):
+    p, s, n = (table(spark, sf_dir, t) for t in SUGGEST_TYPES)
+    texts = p.select(F.substring("p_name", 1, 7).alias("query")).union(n.select(F.substring("n_name", 1, 7))).distinct().filter(F.length("query") >= 2)
+    asked = texts.select(F.col("query").alias("query_id"), "query")
+    found = [match.fuzzy(asked, t.select(F.col(k).cast("long").alias("entity_id"), F.col(c).alias("label"))).select(F.col("query_id").alias("prefix_id"), F.lit(name).alias("entity_type"), "entity_id", "label", "name_sim") for t, name, k, c in ((p, "part", "p_partkey", "p_name"), (s, "supplier", "s_suppkey", "s_name"), (n, "nation", "n_nationkey", "n_name"))]
+    return rounded(merge.suggested(found[0].unionByName(found[1]).unionByName(found[2]), 10, type_order=SUGGEST_TYPES, early_stop=True), "name_sim")
+
+
+@query(f"""WITH {SCORED}, one AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, table_name ORDER BY row_score DESC, column_name, value, system_id) = 1)
+    SELECT query_id, table_name, round(row_score, 6) AS row_score, rank FROM {sql.top('one', 2, 'table_name')}""")
+def entity_types_alphabetical(spark, sf_dir):
+    rows = fulltext.entity_types(roles.corpus_queries(spark, sf_dir), roles.search_corpus(spark, sf_dir), limit=2, alphabetical=True)
+    return rounded(rows.select("query_id", "table_name", "row_score", "rank"), "row_score")
+
+
+@query(f"SELECT 'part' AS entity_type, p_partkey AS entity_id, CAST(len(g) AS INTEGER) AS n_trgm, unnest(g) AS trigram FROM (SELECT p_partkey, {sql.trigrams(sql.norm('p_name'))} AS g FROM part)")
+def trigram_index(spark, sf_dir):
+    from matchloom.sources import authority
+
+    return authority.trigram_index(authority.authority(table(spark, sf_dir, "part"), "part", "p_partkey", "p_name"))
+
+
+@query(f"SELECT r.entity_id, {ISBN.format('r')} AS isbn, {DOI.format('r')} AS doi, 'part' AS entity FROM {sql.REFERENCES} r")
+def identifier_forms(spark, sf_dir):
+    rows = roles.references(spark, sf_dir)
+    return rows.select("entity_id", T.isbn(F.col("isbn")).alias("isbn"), T.doi(F.col("doi")).alias("doi"), T.entity_name(F.lit("tbl_part")).alias("entity"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) ELSE 'en' END AS lang, CASE WHEN c_custkey % 3 = 0 THEN 0.75 ELSE 0.5 END::DOUBLE AS confidence FROM customer")
+def language_answers(spark, sf_dir):
+    k = F.col("c_custkey")
+    answer = F.when(k % 3 == 0, F.concat("c_mktsegment", F.lit(", 0.75"))).when(k % 3 == 1, F.concat("c_mktsegment", F.lit(", sure"))).otherwise(F.col("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.answered_language(answer).alias("a")).select("c_custkey", "a.lang", "a.confidence")
+
+
+@query("SELECT doc_id, 'label title' AS title, CAST(len(text) > 0 AS INTEGER) + 2 AS n_fields, md5(text) AS text_md5 FROM documents")
+def card_all_fields(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").withColumn("label", F.lit("label title"))
+    shown = rows.select("doc_id", "label", details.card_fields(["label", "lang", "source", "text"], most=None, longest=None).alias("f"))
+    text = F.get(F.filter("f", lambda p: p.key == "text"), F.lit(0)).value
+    return shown.select("doc_id", details.title(F.lit(""), F.col("label"), F.col("f")).alias("title"), F.size("f").alias("n_fields"), F.md5(text).alias("text_md5"))
+
+
+@query(f"SELECT s_suppkey AS \"ID\", s_name AS \"Name\", n_name AS \"Group\" FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey IN (SELECT TRY_CAST(id AS BIGINT) FROM {REQUESTS})")
+def details_with_group(spark, sf_dir):
+    methods = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_id"), "s_name", F.col("s_nationkey").alias("group_id"))
+    groups = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("group_id"), "n_name")
+    rows = details.with_group(requests(spark, sf_dir), methods, groups, "group_id")
+    return details.by_ids(requests(spark, sf_dir), rows, {"entity_id": "ID", "s_name": "Name", "n_name": "Group"})
