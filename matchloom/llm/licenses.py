@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm.common import least_by_hash
+
 UNKNOWN = "unknown"
 
 # How licences are usually stated.
@@ -210,7 +212,8 @@ def fit(background: list[str], *, seed: int = 5, variants: int = 30, rounds: int
 def background_of(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> list[str]:
     """Paragraphs of a bounded sample (SAMPLE_DOCS rows of least id hash) that hold no word about licences."""
     texts = docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS).alias("t"))
-    rows = texts.filter("t IS NOT NULL").orderBy(F.xxhash64("id"), "t").limit(SAMPLE_DOCS).collect()
+    ids = least_by_hash(texts.select("id").filter("id IS NOT NULL"), "id", SAMPLE_DOCS)
+    rows = texts.join(F.broadcast(ids.distinct()), "id").filter("t IS NOT NULL").orderBy("id", "t").limit(SAMPLE_DOCS).collect()
     parts = [p for r in rows for p in r["t"].split("\n") if p.strip()]
     about = ("licen", "copyright", "spdx", "creative commons", "public domain", "cc by", "rights reserved")
     return [p for p in parts if not any(a in p.lower() for a in about)][:SAMPLE_PARAGRAPHS]
