@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm.common import least_by_hash
+
 #: Texts are compressed in pieces of so many bytes, each with the whole dictionary before it, so that in a long text
 #: the dictionary counts as much as in a short one.
 PIECE_BYTES, LEVEL, DICTIONARY_BYTES = 1024, 3, 1 << 15
@@ -102,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", text_
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), fold(id_col).alias("fold"))
     rows = rows.filter("id IS NOT NULL AND label IN (0, 1) AND fold <> 0")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text") <= FIT_CHARS)
-    least = lambda df, n: df.orderBy(F.xxhash64("id"), "id", "label").limit(n)
+    least = lambda df, n: least_by_hash(df, "id", n)
     part = rows.filter("fold <= 2")
     sides = [least(part.filter(F.col("label") == q), dictionary_rows) for q in (1, 0)]
     # a few thousand ids at most, whatever the size of labels

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import grid, matrix, one_per_id, usual_dimension, vectors
+from matchloom.llm.common import grid, least_by_hash, matrix, one_per_id, usual_dimension, vectors
 
 #: Most rows that the rotation and the radius are fitted on, and most of those that serve as trial queries.
 SAMPLE_ROWS, TRIAL_QUERIES = 8192, 512
@@ -189,7 +189,7 @@ def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
     rows, queries = rows.filter(F.size("vec") == d), queries.filter(F.size("vec") == d)
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
     norm = rows.agg(F.max(length)).first()[0]
-    sample = np.array([r["vec"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec").limit(SAMPLE_ROWS).collect()])
+    sample = np.array([r["vec"] for r in least_by_hash(rows, "vec_id", SAMPLE_ROWS).collect()])
     coder = fit(sample, n, norm, k=k, target=target)
     left, right = grid(rows, queries, n, queries.count(), block_rows=block_rows or min(65536, max(256, n // 24)), block_queries=block_queries)
     found = left.cogroup(right).applyInArrow(_cell(coder, k), found)

@@ -33,7 +33,7 @@ class Approximations:
 def certain_top(query: np.ndarray, upper: np.ndarray, exact: np.ndarray, ids: np.ndarray, own: int, k: int):
     """The k best (score, id) of one block, ties to the smaller id. Reads exact[i] only while upper[i] may matter."""
     order = np.argsort(-upper, kind="stable")
-    best_s, best_i, at, step = np.empty(0), np.empty(0, np.int64), 0, 4 * k
+    best_s, best_i, at, step = np.empty(0, exact.dtype), np.empty(0, np.int64), 0, 4 * k
     while at < len(order):
         if len(best_s) >= k and upper[order[at]] < best_s[k - 1]:
             break
