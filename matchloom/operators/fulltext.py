@@ -51,13 +51,27 @@ def terms(queries: DataFrame) -> DataFrame:
     return parsed.select("query_id", "clause", F.col("i").alias("part"), "negated", F.size("lexemes").alias("size"), F.posexplode("lexemes").alias("place", "lexeme"))
 
 
+def candidates(parsed: DataFrame, toks: DataFrame) -> DataFrame:
+    """query_id and the keys of rows that may satisfy the query: those with the rarest word of its rarest clause.
+
+    A row has to meet every clause that is not negated, so frequent words are never joined to all rows that hold them.
+    """
+    often = toks.groupBy("lexeme").agg(F.count("*").alias("f"))
+    wanted = parsed.filter(~F.col("negated")).join(often, "lexeme", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    parts = wanted.groupBy("query_id", "clause", "part").agg(F.min(F.struct("f", "lexeme")).alias("rare"))
+    clauses = parts.groupBy("query_id", "clause").agg(F.sum("rare.f").alias("cost"))
+    best = clauses.groupBy("query_id").agg(F.min(F.struct("cost", "clause")).alias("best")).select("query_id", F.col("best.clause").alias("clause"))
+    probes = parts.join(best, ["query_id", "clause"]).select("query_id", F.col("rare.lexeme").alias("lexeme")).distinct()
+    return probes.join(toks.select("lexeme", *KEY), "lexeme").select("query_id", *KEY).distinct()
+
+
 def hits(parsed: DataFrame, toks: DataFrame) -> DataFrame:
     """query_id and the keys of the rows that satisfy the query, with rank.
 
     Rank: for one word, its weights summed over its positions; for several, the covers of clauses: each run between
     neighbouring hits of different clauses counts the mean weight divided by its length.
     """
-    met = parsed.join(toks, "lexeme")
+    met = candidates(parsed, toks).join(toks, KEY).join(parsed, ["query_id", "lexeme"])
     # a phrase is met where all its words follow each other
     whole = met.groupBy("query_id", "clause", "part", "negated", "size", *KEY, (F.col("pos") - F.col("place")).alias("pos")).agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
     found = whole.filter("n = size")
