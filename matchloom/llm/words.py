@@ -16,7 +16,7 @@ from functools import cache
 import numpy as np
 
 #: Characters that are split at once, and pretokens that a worker remembers.
-CHUNK_CHARS, REMEMBERED = 1_000_000, 1_200_000
+CHUNK_CHARS, REMEMBERED = 1_000_000, 2_500_000
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 
 
@@ -77,11 +77,19 @@ def split(chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin[:n])
 
 
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Two tables sorted by their first column as one."""
+    at = np.searchsorted(a[0], b[0])
+    return tuple(np.insert(x, at, y) for x, y in zip(a, b, strict=True))
+
+
 class Words:
     """Ids of texts, by way of their distinct pretokens.
 
-    encode turns a list of pretokens into a list of id lists. What is remembered is dropped as a whole once it is full,
-    so memory stays bounded.
+    encode turns a list of pretokens into a list of id lists. Pretokens are told apart by 64-bit hashes; what is known
+    of each is its hash, and place and number of its ids, in two sorted tables: new ones go to the small table, which
+    is merged into the large one when it has an eighth of its size. What is remembered is dropped as a whole once it is
+    full, so memory stays bounded: some 40 bytes a pretoken.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
@@ -89,31 +97,36 @@ class Words:
         self._forget()
 
     def _forget(self):
-        self.slot: dict[str, int] = {}
         self.ids, self.used = np.empty(1 << 20, np.uint32), 0
-        self.at = np.zeros(REMEMBERED + (1 << 19), np.int64)
-        self.size = np.zeros(REMEMBERED + (1 << 19), np.int64)
-
-    def _slots(self, words: list[str]) -> np.ndarray:
-        if len(self.slot) + len(words) > len(self.at) or len(self.slot) > REMEMBERED:
+        nothing = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32)
+        self.large, self.small = nothing, nothing
+
+    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place and number of the ids of each pretoken, and whether it is known."""
+        at, size, found = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        for table, where, n in (self.large, self.small):
+            if len(table):
+                i = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+                hit = table[i] == keys
+                at[hit], size[hit] = where[i[hit]], n[i[hit]]
+                found |= hit
+        return at, size, found
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Encodes new pretokens; keys are sorted."""
+        if len(self.large[0]) + len(self.small[0]) > REMEMBERED or self.used > 1 << 30:
             self._forget()
-            if len(words) > len(self.at):
-                self.at, self.size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        slot = self.slot
-        new = [w for w in words if w not in slot]
-        if new:
-            lists = self.encode(new)
-            size = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
-            k, u = len(slot), self.used
-            while u + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[u : u + len(flat)] = flat
-            self.at[k : k + len(new)] = u + np.cumsum(size) - size
-            self.size[k : k + len(new)] = size
-            self.used += len(flat)
-            slot.update(zip(new, range(k, k + len(new)), strict=True))
-        return np.fromiter(map(slot.__getitem__, words), np.int64, len(words))
+        lists = self.encode(words)
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(1 << 20, len(self.ids) // 4), np.uint32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        new = keys, (self.used + np.cumsum(size) - size).astype(np.uint32), size.astype(np.uint32)
+        self.used += len(flat)
+        self.small = _merged(self.small, new)
+        if len(self.small[0]) * 8 > len(self.large[0]):
+            self.large, self.small = _merged(self.large, self.small), tuple(x[:0] for x in self.small)
 
     def _chunk(self, text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts in a row, and how many each has."""
@@ -129,12 +142,21 @@ class Words:
         fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
         which = np.empty(len(keys), np.int64)
         which[order] = np.cumsum(fresh) - 1
-        some = order[fresh]
-        a, b = begin[some].tolist(), end[some].tolist()
-        slots = self._slots([text[i:j] for i, j in zip(a, b, strict=True)])[which]
-        size = self.size[slots]
+        some, distinct = order[fresh], ranked[fresh]
+        at, size, found = self._known(distinct)
+        if not found.all():
+            new = np.flatnonzero(~found)
+            a, b = begin[some[new]].tolist(), end[some[new]].tolist()
+            self._learn(distinct[new], [text[i:j] for i, j in zip(a, b, strict=True)])
+            at, size, found = self._known(distinct)
+            if not found.all():  # all was forgotten to make room
+                new = np.flatnonzero(~found)
+                a, b = begin[some[new]].tolist(), end[some[new]].tolist()
+                self._learn(distinct[new], [text[i:j] for i, j in zip(a, b, strict=True)])
+                at, size, found = self._known(distinct)
+        at, size = at[which], size[which]
         to = np.cumsum(size)
-        ids = self.ids[np.repeat(self.at[slots] - (to - size), size) + np.arange(to[-1])]
+        ids = self.ids[np.repeat(at - (to - size), size) + np.arange(to[-1])]
         heads = np.concatenate([[0], to])[np.searchsorted(begin, np.append(starts, len(chars)))]
         return ids, np.diff(heads)
 
