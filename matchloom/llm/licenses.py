@@ -106,6 +106,8 @@ PLAIN = [
 
 #: Most documents that background paragraphs are taken from, and the longest text taken.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_PARAGRAPHS = 300, 20_000, 1500
+#: A word in this share of the paragraphs that state no licence is common.
+COMMON = 0.02
 
 
 def words_of(paragraph: Column) -> Column:
@@ -204,6 +206,11 @@ def fit(background: list[str], *, seed: int = 5, variants: int = 30, rounds: int
     for words in plain:
         for word in set(words):
             often[word] = often.get(word, 0) + 1
+    # n-grams of nothing but common words never speak for a family; so the gate can leave most paragraphs out
+    common = {t for t, n in often.items() if n >= max(3, COMMON * len(plain))}
+    for g, i in vocabulary.items():
+        if common.issuperset(g.split(" ")):
+            w[i] = np.minimum(w[i], 0)
     helps = [g for g, i in vocabulary.items() if w[i].max() > 0]
     gate = {min(g.split(" "), key=lambda t: (often.get(t, 0), t)) for g in helps}
     return Model(families[1:], {g: [float(a) for a in w[i]] for g, i in vocabulary.items()}, [float(a) for a in b], sorted(gate), templates)
