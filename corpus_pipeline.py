@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm.common import read, shared_dir
+from matchloom.llm.common import read, shared_dir, small_batches
 from matchloom.llm.compression import keep_good
 from matchloom.llm.minhash import drop_duplicates
 from matchloom.llm.packing import pack
@@ -23,21 +23,25 @@ SIMILARITY, PASSAGE_BYTES = 80, 256
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject (score 0.3 at least)."""
+    small_batches(spark)
     return keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of smallest doc_id."""
+    small_batches(spark)
     return drop_duplicates(docs, percent=SIMILARITY)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that occur more than once; n_chars is counted anew."""
+    small_batches(spark)
     return without_repeats(docs, length=PASSAGE_BYTES)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 1024 tokens."""
+    small_batches(spark)
     return pack(docs, vocabulary=vocabulary("byte_bpe_50k.json"), end_id=2, keep_ids=False).drop("ids")
 
 

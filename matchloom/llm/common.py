@@ -10,9 +10,20 @@ from pyspark.sql import functions as F
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the given tables; the path may be of any store that Spark's readers know."""
+    if table == "documents":
+        small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in the Arrow batches of this session than Spark's default of 10,000.
+
+    A row here holds a whole text of thousands of characters; small batches bound what an executor and its Python
+    workers hold at a time, at no cost in speed.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -88,3 +99,10 @@ def least_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
     bound = int((1 << 62) * share)
     hashed = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(5)), 2)
     return df.filter(hashed <= bound).orderBy(hashed, key).limit(n)
+
+
+def slices(batches, rows: int = 1000):
+    """Arrow batches cut into parts of some rows, so that few Python objects exist at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import staged
+from matchloom.llm.common import slices, staged
 from matchloom.llm.components import components
 from matchloom.llm.shingles import mixed, shingle_sets
 
@@ -79,7 +79,7 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         for at, values, bounds in shingle_sets(batch.column(1).to_pylist()):
             n = np.diff(bounds)
             some = np.flatnonzero(n)
@@ -95,7 +95,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cid, shingles) of those rows whose text has the class that is asked for: an id may occur in several rows."""
-    for batch in batches:
+    for batch in slices(batches):
         cids, texts = batch.column("cid").to_pylist(), batch.column("text").to_pylist()
         for at, values, bounds in shingle_sets(texts):
             sets = [values[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
@@ -104,7 +104,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column("text").to_pylist()
         for at, values, bounds in shingle_sets(texts):
             cids = [class_of(values[a:b]) if b > a else None for a, b in zip(bounds, bounds[1:], strict=False)]

@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import staged
+from matchloom.llm.common import slices, staged
 from matchloom.llm.shingles import _BYTE, mixed, powers
 
 #: Bytes of a gram; bytes of text that are sieved at once; bytes of regions in a bin; most different regions of one
 #: minimiser in a bin; window ranges of a minimiser are split into so many.
-GRAM, CHUNK_BYTES, BIN_BYTES, MOST_REGIONS, SPLIT = 32, 1 << 21, 1 << 21, 2048, 8
+GRAM, CHUNK_BYTES, BIN_BYTES, MOST_REGIONS, SPLIT = 32, 1 << 19, 1 << 20, 2048, 8
 
 
 def regions(data: bytes, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -164,7 +164,7 @@ def repeated(contents: list[bytes], length: int) -> list[list[tuple[int, int]]]:
 
 
 def _sieved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rid, texts, i = batch.column(0).to_numpy(), [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()], 0
         while i < len(texts):
             j, size = i, 0
@@ -181,7 +181,7 @@ def _sieved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 def _fetched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the regions wanted of each text."""
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for text, want in zip(batch.column("text").to_pylist(), batch.column("want").to_pylist(), strict=True):
             data = (text or "").encode("utf-8", "replace")
@@ -267,7 +267,7 @@ def cut(data: bytes, marks: list[int], length: int) -> tuple[bytes, list[tuple[i
 def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
             data = (text or "").encode("utf-8", "replace")
