@@ -1,14 +1,13 @@
 """Language-model scores by stupid backoff over bigrams.
 
 A word that follows another has the score c(v w) / c(v) if the bigram is kept (min_count times at least), else
-alpha * c(w) / N; the first word of a text has c(w) / N. Counts are of the whole corpus. Words outside the vocabulary
-count as one word, unknown.
-
-The sums run relationally. Exploded bigrams are packed by chunk of documents and by hash bucket: each chunk sends every
-bucket its bigrams there once, with the documents that hold them. A bucket's task so has all occurrences of its
-bigrams: it counts them, joins the counts back to the occurrences, and returns for each chunk what its documents gain
-over backing off. Sums by document follow from one more grouping, by chunk. A bigram that is everywhere costs one entry
-a chunk and its documents, so no key is hot.
+alpha * c(w) / N; the first word of a text has c(w) / N. Counts are of the whole corpus and of all its words.
+
+Words and bigrams are keys: 64-bit hashes. Counts run relationally, by chunk of documents and by hash bucket: each chunk
+sends every bucket its distinct keys there once, with how often it holds them. A bucket's task so has all occurrences of
+its keys: it counts them and returns the counts to each chunk in the order of the chunk's keys. The chunk, whose words
+travel as small numbers, then scores its documents. A key that is everywhere costs one entry a chunk, so no key is hot,
+and no word reaches the driver.
 """
 
 from __future__ import annotations
@@ -25,9 +24,10 @@ from pyspark.sql import functions as F
 from matchloom.llm.common import slices, staged
 from matchloom.llm.shingles import mixed, word_hashes
 
-#: Most words of the vocabulary (with unknown, ids take two bytes), bytes and documents of a chunk, words a bucket.
-VOCABULARY, CHUNK_BYTES, CHUNK_DOCS, BUCKET_WORDS = (1 << 16) - 1, 1 << 21, 60_000, 1 << 21
-UNKNOWN = 0
+#: Bytes that are split at once, words and documents of a chunk, words a bucket.
+CHUNK_BYTES, CHUNK_WORDS, CHUNK_DOCS, BUCKET_WORDS = 1 << 21, 1_250_000, 60_000, 1 << 21
+UNKNOWN = np.uint64(0)
+_ONE, _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -50,117 +50,149 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
 
 
-class Vocabulary:
-    """Sorted hashes of the known words, and counts by id (0: all unknown words together)."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
-        order = np.argsort(hashes)
-        self.hashes, self.total = hashes[order], total
-        self.counts = np.concatenate([[total - int(counts.sum())], counts[order]]).astype(np.float64)
-
-    def ids(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, at + 1, UNKNOWN)
-
-    def logs(self) -> np.ndarray:
-        return np.log(np.maximum(self.counts, 1))
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(words) for _, _, words, _ in chunks(batch.column(0).to_pylist()))], pa.int64())], names=["n"])
 
 
-def vocabulary(docs: DataFrame, *, text_col: str = "text", most: int = VOCABULARY) -> Vocabulary:
-    """The words with the least count that leaves `most` words at most: the driver sees no more than those."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+def vocabulary(texts: DataFrame, most: int) -> np.ndarray:
+    """Sorted hashes of the words with the least count that leaves `most` words at most: the driver sees no more."""
     words = staged(texts.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words", compression="zstd")
-    total = words.agg(F.sum("n")).first()[0] or 0
     # how many words have each count: few rows, as large counts are rare
     sizes = words.groupBy("n").agg(F.count("*").alias("k")).toPandas().sort_values("n", ascending=False)
     sizes = sizes[sizes["k"].cumsum() <= most]
     least = int(sizes["n"].min()) if len(sizes) else 1 << 62
-    known = words.filter(F.col("n") >= least).toPandas()
-    return Vocabulary(known["word"].to_numpy(np.int64).view(np.uint64), known["n"].to_numpy(np.int64), int(total))
-
-
-FIELDS = "bucket int, chunk long, doc_ids array<long>, words array<int>, base array<double>, keys binary, sizes binary, docs binary, times binary, n_docs int"
-
-
-def _packed(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, alpha: float, buckets: int) -> Iterator[pa.RecordBatch]:
-    logs, chunk = vocabulary.logs(), TaskContext.get().partitionId() << 32
-    log_n, log_alpha = np.log(max(vocabulary.total, 1)), np.log(alpha)
-    names = [f.split(" ")[0] for f in FIELDS.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.float64()), *[pa.binary()] * 4, pa.int32()]
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        for at, n_docs, words, owner in chunks(batch.column(1).to_pylist()):
-            known = vocabulary.ids(words)
-            count = np.bincount(owner, minlength=n_docs)
-            inner = np.zeros(len(words), bool)
-            inner[1:] = owner[1:] == owner[:-1]
-            base = np.bincount(owner, weights=logs[known] - log_n + np.where(inner, log_alpha, 0), minlength=n_docs)
-            # a chunk's own row goes through a bucket of its own kind (negative), past the counting
-            rows = [(-1 - chunk % buckets, chunk, ids[at : at + n_docs], count.tolist(), base.tolist(), None, None, None, None, n_docs)]
-            second = np.flatnonzero(inner)
-            key = (known[second - 1] << 16 | known[second]).astype(np.uint64)
-            # by bucket, bigram and document
-            packed, times = np.unique(key << np.uint64(16) | owner[second].astype(np.uint64), return_counts=True)
-            key, doc = packed >> np.uint64(16), (packed & np.uint64(0xFFFF)).astype("<u2")
-            place = (mixed(key + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(place, kind="stable")
-            key, doc, times, place = key[order], doc[order], times[order], place[order]
-            cuts = np.searchsorted(place, np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
-                part = slice(cuts[b], cuts[b + 1])
-                keys, sizes = np.unique(key[part], return_counts=True)
-                rows.append((int(b), chunk, None, None, None, keys.astype("<u4").tobytes(), sizes.astype("<u2").tobytes(), doc[part].tobytes(), np.minimum(times[part], 65535).astype("<u2").tobytes(), n_docs))
-            chunk += 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-
-
-def _gains(vocabulary: Vocabulary, alpha: float, min_count: int):
-    schema = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("sums", pa.list_(pa.float64()))])
-
-    def bucket(rows: pa.Table) -> pa.Table:
-        if rows.column("bucket")[0].as_py() < 0:
-            return pa.table([rows.column(c) for c in ("chunk", "doc_ids", "words", "base")], schema=schema)
-        cells = [[np.frombuffer(x, t) for x in rows.column(c).to_pylist()] for c, t in (("keys", "<u4"), ("sizes", "<u2"), ("docs", "<u2"), ("times", "<u2"))]
-        keys = np.repeat(np.concatenate(cells[0]), np.concatenate(cells[1]).astype(np.int64))
-        docs, times = np.concatenate(cells[2]), np.concatenate(cells[3]).astype(np.float64)
-        values, which = np.unique(keys, return_inverse=True)
-        n = np.bincount(which, weights=times)
-        logs = vocabulary.logs()
-        gain = np.log(n) - logs[values >> 16] - (np.log(alpha) + logs[values & 0xFFFF] - np.log(vocabulary.total))
-        gain[n < min_count] = 0
-        owed = gain[which] * times
-        ends = np.cumsum([len(d) for d in cells[2]])
-        sums = [np.bincount(docs[a:b], weights=owed[a:b], minlength=m) for a, b, m in zip([0, *ends[:-1]], ends, rows.column("n_docs").to_pylist(), strict=True)]
-        none = [None] * len(sums)
-        return pa.table([rows.column("chunk"), pa.array(none, schema.field(1).type), pa.array(none, schema.field(2).type), pa.array(sums, schema.field(3).type)], schema=schema)
-
-    return bucket
-
-
-def _summed(rows: pa.Table) -> pa.Table:
-    sums = np.sum(np.stack([np.asarray(x) for x in rows.column("sums").to_pylist()]), axis=0)
-    own = next(i for i, x in enumerate(rows.column("doc_ids").to_pylist()) if x is not None)
-    ids, words = rows.column("doc_ids")[own].as_py(), rows.column("words")[own].as_py()
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(words, pa.int64()), "log_score": pa.array(sums)})
-
-
-def scores(docs: DataFrame, *, alpha: float = 0.4, min_count: int = 2, most_words: int = VOCABULARY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    return np.sort(words.filter(F.col("n") >= least).toPandas()["word"].to_numpy(np.int64).view(np.uint64))
+
+
+def _keys(words: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Keys of all words, then of the bigrams that end in the inner words."""
+    second = np.flatnonzero(inner)
+    return np.concatenate([mixed(words * _ONE + _ONE), mixed(mixed(words[second - 1] * _FIRST) + words[second] * _SECOND)])
+
+
+def _inner(owner: np.ndarray) -> np.ndarray:
+    """Which words follow another one of their text."""
+    inner = np.zeros(len(owner), bool)
+    inner[1:] = owner[1:] == owner[:-1]
+    return inner
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Whole numbers compressed, in two, four or eight bytes each as the largest needs; the first byte says which."""
+    most = int(x.max()) if len(x) else 0
+    width = 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return bytes([width]) + pa.compress(x.astype(f"<u{width}").tobytes(), codec="zstd", asbytes=True)
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[1:], decompressed_size=n * data[0], codec="zstd"), f"<u{data[0]}").astype(np.int64)
+
+
+def _differences(keys: np.ndarray) -> bytes:
+    """Sorted keys as the bytes of their differences, by place, compressed."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return pa.compress(np.ascontiguousarray(steps.T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _sums(data: bytes, n: int) -> np.ndarray:
+    steps = np.frombuffer(pa.decompress(data, decompressed_size=n * 8, codec="zstd"), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(steps.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Ids, word hashes and document of each word of the chunks of (id, text) batches."""
+    ids, words, owners = [], [], []
+    for batch in slices(batches):
+        column = batch.column(0).to_pylist()
+        for at, n, hashes, owner in chunks(batch.column(1).to_pylist()):
+            words.append(hashes)
+            owners.append(owner + len(ids))
+            ids += column[at : at + n]
+            if sum(map(len, words)) >= CHUNK_WORDS or len(ids) >= CHUNK_DOCS:
+                yield ids, np.concatenate(words), np.concatenate(owners)
+                ids, words, owners = [], [], []
+    if ids:
+        yield ids, np.concatenate(words), np.concatenate(owners)
+
+
+SCHEMA = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("keys", pa.binary()), ("numbers", pa.binary())])
+FIELDS = "bucket int, chunk long, n int, doc_ids array<long>, sizes array<int>, keys binary, numbers binary"
+
+
+def _packed(batches: Iterator[pa.RecordBatch], known: np.ndarray | None, buckets: int) -> Iterator[pa.RecordBatch]:
+    """For each chunk a row of its own (words of each document; distinct words and the number of each word among them)
+    and one for each bucket (keys and how often the chunk holds them)."""
+    chunk = TaskContext.get().partitionId() << 32
+    for ids, words, owner in _gathered(batches):
+        if known is not None:
+            words = np.where(np.isin(words, known), words, UNKNOWN)
+        distinct, number = np.unique(words, return_inverse=True)
+        # a chunk's own row goes through a bucket of its own kind (negative), past the counting
+        own = -1 - int(mixed(np.array([chunk + 1], np.uint64))[0] >> np.uint64(34))
+        rows = [(own, chunk, len(distinct), ids, np.bincount(owner, minlength=len(ids)).tolist(), _differences(distinct), _small(number))]
+        keys, times = np.unique(_keys(words, _inner(owner)), return_counts=True)
+        # buckets are ranges of keys
+        cuts = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+        for b in np.flatnonzero(np.diff(cuts)):
+            part = slice(cuts[b], cuts[b + 1])
+            rows.append((int(b), chunk, int(cuts[b + 1] - cuts[b]), None, None, _differences(keys[part]), _small(times[part])))
+        chunk += 1
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(SCHEMA.types)], schema=SCHEMA)
+
+
+def _totals(rows: pa.Table) -> pa.Table:
+    """A bucket's rows with the counts of the corpus in place of the keys."""
+    if rows.column("bucket")[0].as_py() < 0:
+        return rows.select(SCHEMA.names)
+    sizes = rows.column("n").to_pylist()
+    cells = [_sums(x, n) for x, n in zip(rows.column("keys").to_pylist(), sizes, strict=True)]
+    times = [_numbers(x, n) for x, n in zip(rows.column("numbers").to_pylist(), sizes, strict=True)]
+    values, which = np.unique(np.concatenate(cells), return_inverse=True)
+    total = np.zeros(len(values), np.int64)
+    np.add.at(total, which, np.concatenate(times))
+    ends = np.cumsum(sizes)
+    counts = [_small(total[which[a:b]]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    none = [pa.nulls(len(cells), SCHEMA.field(c).type) for c in ("doc_ids", "sizes", "keys")]
+    return pa.table([*(rows.column(c) for c in ("bucket", "chunk", "n")), *none, pa.array(counts, pa.binary())], schema=SCHEMA)
+
+
+def _scored(total: int, alpha: float, min_count: int):
+    def chunk(rows: pa.Table) -> pa.Table:
+        cells = sorted(zip(*(rows.column(c).to_pylist() for c in ("bucket", "n", "doc_ids", "sizes", "keys", "numbers")), strict=True), key=lambda r: r[0])
+        (_, distinct, ids, sizes, keys, number), n = cells[0], sum(cells[0][3])
+        words = _sums(keys, distinct)[_numbers(number, n)]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        inner = _inner(owner)
+        _, which = np.unique(_keys(words, inner), return_inverse=True)
+        logs = np.zeros(len(words))
+        if n:
+            counts = np.concatenate([_numbers(x, size) for _, size, *_, x in cells[1:]])[which]
+            word, pair = counts[:n], np.zeros(n, np.int64)
+            pair[inner] = counts[n:]
+            logs = np.log(word) - np.log(total) + np.where(inner, np.log(alpha), 0)
+            kept = np.flatnonzero(inner & (pair >= min_count))
+            logs[kept] = np.log(pair[kept]) - np.log(word[kept - 1])
+        sums = np.bincount(owner, weights=logs, minlength=len(sizes))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(sizes, pa.int64()), "log_score": pa.array(sums, pa.float64())})
+
+    return chunk
+
+
+def scores(docs: DataFrame, *, alpha: float = 0.4, min_count: int = 2, most_words: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_words, log_score (sum of the words' log scores), mean_log_score (null without words).
 
-    Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased. The vocabulary holds the words counted t
-    times at least, with the least t that leaves most_words words at most (65,535 at most); all others are one word.
-    Null and empty texts have no words and log_score 0. Null and repeated ids are kept, each row by itself; a repeated
-    row counts twice in the corpus. An empty table gives no rows; extra columns are ignored. A bigram that occurs more
-    than 65,535 times in one text counts so often there.
+    Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased. All words count, each by itself. If
+    most_words is given, the words are those counted t times at least, with the least t that leaves most_words words at
+    most, and all others count as one word; these words go to the driver and to every task. Null and empty texts have no
+    words and log_score 0. Null and repeated ids are kept, each row by itself; a repeated row counts twice in the
+    corpus. An empty table gives no rows; extra columns are ignored.
     """
-    if most_words > VOCABULARY:
-        raise ValueError(f"at most {VOCABULARY} words")
-    known = vocabulary(docs, text_col=text_col, most=most_words)
-    buckets = max(32, -(-known.total // BUCKET_WORDS))
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    packed = columns.mapInArrow(partial(_packed, vocabulary=known, alpha=alpha, buckets=buckets), FIELDS)
-    gains = packed.groupBy("bucket").applyInArrow(_gains(known, alpha, min_count), "chunk long, doc_ids array<long>, words array<int>, sums array<double>")
-    out = gains.groupBy("chunk").applyInArrow(_summed, "doc_id long, n_words long, log_score double")
+    known = None if most_words is None else vocabulary(columns.select("text"), most_words)
+    total = columns.select("text").mapInArrow(_sizes, "n long").agg(F.sum("n")).first()[0] or 0
+    buckets = max(32, -(-total // BUCKET_WORDS))
+    packed = columns.mapInArrow(partial(_packed, known=known, buckets=buckets), FIELDS)
+    counts = packed.groupBy("bucket").applyInArrow(_totals, FIELDS)
+    out = counts.groupBy("chunk").applyInArrow(_scored(total, alpha, min_count), "doc_id long, n_words long, log_score double")
     return out.withColumn("mean_log_score", F.try_divide("log_score", F.col("n_words")))

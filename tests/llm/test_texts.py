@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 from helpers import ODD, near_duplicates, odd, repeats, shingles
@@ -161,3 +162,20 @@ def test_backoff_of_odd_rows(spark):
     # counts: a 2, b 2, c 1 of 5; a b twice is kept, the others back off
     expected = np.log([2 / 5, 2 / 2, 0.4 * 2 / 5, 2 / 2, 0.4 * 1 / 5]).sum()
     assert abs(backoff.scores(one).first()["log_score"] - expected) < 1e-9
+
+
+def test_backoff_counts_every_word(spark):
+    names = [f"w{i}" for i in range(70_000)]
+    rows = [(1, " ".join(names)), (2, " ".join(names[::2])), (3, "a b " * 70_000)]
+    words = [t.split() for _, t in rows]
+    one, two = Counter(w for x in words for w in x), Counter(p for x in words for p in zip(x, x[1:], strict=False))
+    n = sum(one.values())
+
+    def score(x):
+        logs = [np.log(one[x[0]] / n)]
+        for v, w in zip(x, x[1:], strict=False):
+            logs.append(np.log(two[v, w] / one[v]) if two[v, w] >= 2 else np.log(0.4 * one[w] / n))
+        return sum(logs)
+
+    out = {r["doc_id"]: r["log_score"] for r in backoff.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(abs(out[d] - score(x)) < 1e-6 * abs(score(x)) for (d, _), x in zip(rows, words, strict=True))
