@@ -106,8 +106,8 @@ PLAIN = [
 
 #: Most documents that background paragraphs are taken from, and the longest text taken.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_PARAGRAPHS = 300, 20_000, 1500
-#: A word in this share of the paragraphs that state no licence is common.
-COMMON = 0.02
+#: A paragraph with this share of the three-word n-grams of a statement may state a licence, so it is no background.
+STATED = 1 / 3
 
 
 def words_of(paragraph: Column) -> Column:
@@ -134,6 +134,16 @@ def _grams(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1)}
 
 
+def _triples(words: list[str]) -> set[tuple[str, ...]]:
+    return set(zip(words, words[1:], words[2:], strict=False))
+
+
+def _silent(background: list[list[str]]) -> list[list[str]]:
+    """The paragraphs that hold less than STATED of the three-word n-grams of every statement."""
+    statements = [_triples(_words(t)) for texts in STATEMENTS.values() for t in texts]
+    return [w for w in background if not any(len(s & t) >= STATED * len(t) for s in [_triples(w)] for t in statements)]
+
+
 @dataclass(frozen=True)
 class Model:
     """weights: for each n-gram one number a family, over unknown's; gate: words without which no family can win."""
@@ -158,10 +168,10 @@ def _variants(rng, words: list[str], background: list[list[str]], n: int) -> lis
 
 
 def fit(background: list[str], *, seed: int = 5, variants: int = 30, rounds: int = 150) -> Model:
-    """Trains on variants of STATEMENTS against PLAIN and background paragraphs, which state no licence."""
+    """Trains on variants of STATEMENTS against PLAIN and those background paragraphs that hold no part of a statement."""
     rng = np.random.default_rng(seed)
     families = [UNKNOWN, *sorted(STATEMENTS)]
-    plain = [w for w in map(_words, [*PLAIN, *background]) if w]
+    plain = [w for w in [*map(_words, PLAIN), *_silent(list(map(_words, background)))] if w]
     examples = [(w, 0) for w in plain]
     templates = []
     for k, family in enumerate(families[1:], 1):
@@ -206,11 +216,7 @@ def fit(background: list[str], *, seed: int = 5, variants: int = 30, rounds: int
     for words in plain:
         for word in set(words):
             often[word] = often.get(word, 0) + 1
-    # n-grams of nothing but common words never speak for a family; so the gate can leave most paragraphs out
-    common = {t for t, n in often.items() if n >= max(3, COMMON * len(plain))}
-    for g, i in vocabulary.items():
-        if common.issuperset(g.split(" ")):
-            w[i] = np.minimum(w[i], 0)
+    # each n-gram that speaks for a family has a word in the gate, its rarest one: what the gate leaves out has none
     helps = [g for g, i in vocabulary.items() if w[i].max() > 0]
     gate = {min(g.split(" "), key=lambda t: (often.get(t, 0), t)) for g in helps}
     return Model(families[1:], {g: [float(a) for a in w[i]] for g, i in vocabulary.items()}, [float(a) for a in b], sorted(gate), templates)

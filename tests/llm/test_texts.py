@@ -179,3 +179,19 @@ def test_backoff_counts_every_word(spark):
 
     out = {r["doc_id"]: r["log_score"] for r in backoff.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(abs(out[d] - score(x)) < 1e-6 * abs(score(x)) for (d, _), x in zip(rows, words, strict=True))
+
+
+def test_licences_that_the_sample_is_full_of(spark):
+    mit, bsd = licenses.STATEMENTS["mit"][2], licenses.STATEMENTS["bsd"][1]
+    df = spark.createDataFrame([(i, f"text {i} of a quiet river\n{mit}\n{bsd}.") for i in range(60)], "doc_id long, text string")
+    model = licenses.fit(licenses.background_of(df))
+    out = {(r["doc_id"], r["paragraph"], r["family"]) for r in licenses.scan(df, model).collect() if r["confirmed"]}
+    assert out == {(i, p, f) for i in range(60) for p, f in ((1, "mit"), (2, "bsd"))}
+
+
+def test_common_words_speak_for_licences():
+    common = ["of the", "under the", "the terms", "is the", "in the", "and the"] * 20
+    model = licenses.fit(common)
+    weights = {g: max(w) for g, w in model.weights.items()}
+    assert weights["under the terms"] > 0 and weights["terms of the"] > 0
+    assert all(set(g.split(" ")) & set(model.gate) for g, w in weights.items() if w > 0)
