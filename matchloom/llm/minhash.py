@@ -33,7 +33,7 @@ BANDS, ROWS, BATCH = 24, 5, 30
 MISS = 1e-5
 #: Most members of a bucket that are compared in one task with as many others.
 BLOCK = 512
-#: Most ids that are broadcast (eight bytes each); more are joined by a shuffle.
+#: Most ids that are broadcast (sixteen bytes each at most); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
 
@@ -90,7 +90,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.cumsum(n > 0) - 1
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(some) + 1, BANDS), pa.int32()), pa.array(band_keys(sig).ravel()))
             sketch = (sig & 255).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), every(cid, pa.int64()), keys.take(pa.array(place, mask=n == 0)), every([r.tobytes() for r in sketch], pa.binary())], names=["doc_id", "n_shingles", "cid", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), every(cid, pa.int64()), keys.take(pa.array(place, mask=n == 0)), every([r.tobytes() for r in sketch], pa.binary()), batch.column(2).slice(at, len(n))], names=["doc_id", "n_shingles", "cid", "bands", "sketch", "text_hash"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,7 @@ def cells(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
     return spread.withColumn("p", F.least("i", "j")).withColumn("q", F.greatest("i", "j")).drop("i", "j", "blocks")
 
 
-def with_small(df: DataFrame, ids: DataFrame, on: str, how: str, n: int) -> DataFrame:
+def with_small(df: DataFrame, ids: DataFrame, on, how: str, n: int) -> DataFrame:
     """A join with a table of n ids, broadcast if they are few."""
     return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, on, how)
 
@@ -250,9 +250,17 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, text_col: str = "text
     with other texts are linked each by its own text. Empty tables give no rows; extra columns are ignored.
     Shingles are compared as 64-bit hashes, classes of equal sets by a 64-bit digest.
     """
+    return _judged(docs, percent, text_col, id_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, percent: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of near_duplicates with cid, text_hash, and first: the row is the one of its component that has the least
+    id and of those the least text_hash, ids before null; rows that repeat both are all first."""
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = staged(columns.mapInArrow(_signed, "doc_id long, n_shingles long, cid long, bands array<long>, sketch binary"), "signatures", compression="zstd")
-    classes = base.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    signed = columns.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_signed, "doc_id long, n_shingles long, cid long, bands array<long>, sketch binary, text_hash long")
+    base = staged(signed, "signatures", compression="zstd")
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    classes = base.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.min(row).alias("best"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     members = classes.select("cid", "first_id", F.explode("bands").alias("bucket"))
     pivot = F.min(F.struct(F.coalesce("first_id", F.lit((1 << 63) - 1)), "cid")).alias("pivot")
     shared = members.groupBy("bucket").agg(F.count("*").alias("n"), pivot).filter("n > 1")
@@ -270,17 +278,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, text_col: str = "text
             sets = sets.unionByName(own.join(nameless, "cid", "left_semi"))
         sets = staged(sets.mapInArrow(_sets, "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
         links = _links(found, sketches, _Pairs(sketches, sets, percent))
-    named = base.select("doc_id", "n_shingles", "cid")
+    named = base.select("doc_id", "n_shingles", "cid", "text_hash")
     if links is None:
-        label = named.groupBy("cid").agg(F.min("doc_id").alias("component_id"))
+        label = classes.select("cid", F.col("first_id").alias("component_id"), "best")
     else:
         comps = components(links)
-        by_class = classes.select("cid", "first_id").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        by_label = by_class.groupBy("label").agg(F.min("first_id").alias("component_id"))
-        label = by_class.join(by_label, "label").select("cid", "component_id")
+        by_class = classes.select("cid", "first_id", "best").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        by_label = by_class.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min("best").alias("best"))
+        label = by_class.drop("best").join(by_label, "label").select("cid", "component_id", "best")
     out = named.join(label.filter("cid IS NOT NULL"), "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(False))
+    first = F.col("cid").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "cid", "text_hash", first.alias("first"))
 
 
 def _links(found: DataFrame, sketches: DataFrame, pairs: _Pairs) -> DataFrame:
@@ -302,6 +312,21 @@ def _links(found: DataFrame, sketches: DataFrame, pairs: _Pairs) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
-    """The rows of docs that stay: one document of each component. Rows with a null id stay; ties by smaller id."""
-    gone = staged(near_duplicates(docs, percent=percent).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
-    return with_small(docs, gone, "doc_id", "left_anti", gone.count())
+    """The rows of docs that stay: one document of each component, the one of smallest id; null ids come last.
+
+    Each row is judged by its own id and text, so an id that occurs with several texts may stay with some of them. Rows
+    without shingles stay. Of rows that have no id and repeat a text one stays; rows that repeat an id and a text stay
+    together.
+    """
+    judged = staged(_judged(docs, percent).select("doc_id", "text_hash", "cid", "first"), "judged")
+    gone = staged(judged.filter("NOT first").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (text_hash == F.col("gone_hash"))
+    left = with_small(docs, gone, same, "left_anti", gone.count())
+    again = judged.filter("doc_id IS NULL AND first AND cid IS NOT NULL").groupBy("text_hash").count().filter("count > 1")
+    if again.isEmpty():
+        return left
+    # rows without an id that repeat a text
+    nameless = F.col("doc_id").isNull() & F.col("text").cast("string").rlike("[^\\x09-\\x0D ]")
+    single = left.filter(nameless).withColumn("text_hash_", text_hash).dropDuplicates(["text_hash_"]).drop("text_hash_")
+    return left.filter(~F.coalesce(nameless, F.lit(False))).unionByName(single)

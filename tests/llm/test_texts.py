@@ -195,3 +195,11 @@ def test_common_words_speak_for_licences():
     weights = {g: max(w) for g, w in model.weights.items()}
     assert weights["under the terms"] > 0 and weights["terms of the"] > 0
     assert all(set(g.split(" ")) & set(model.gate) for g, w in weights.items() if w > 0)
+
+
+def test_duplicates_are_dropped_by_row(spark):
+    a, b, c, d = ("one two three four five six seven", "another text that is like no other one", "words of a row that has no id", "the last of the texts has an id")
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, c), (None, c), (7, d), (7, d.upper()), (None, None), (None, " "), (None, " ")]
+    kept = minhash.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    out = sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in kept)
+    assert out == sorted([(1, a), (5, b), (0, c), (7, d), (0, ""), (0, " "), (0, " ")])
