@@ -179,9 +179,9 @@ def planned(histogram: np.ndarray, length: int) -> Plan:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, length: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    from matchloom.llm.words import library_words
+    from matchloom.llm.words import added_words
 
-    words, part, seen = library_words(vocabulary), TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
+    words, part, seen = added_words(vocabulary), TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
     for batch in batches:
         for i in range(0, batch.num_rows, 1000):
             docs = batch.slice(i, 1000)

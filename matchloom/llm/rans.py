@@ -96,9 +96,9 @@ def decode_block(payload: bytes, table: Frequencies, checkpoint: int = 0, checkp
 
 
 def _ids_of(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    from matchloom.llm.words import library_words
+    from matchloom.llm.words import added_words
 
-    words = library_words(vocabulary)
+    words = added_words(vocabulary)
     for batch in batches:
         for i in range(0, batch.num_rows, 1000):
             part = batch.slice(i, 1000)

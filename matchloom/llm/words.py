@@ -10,6 +10,7 @@ and only distinct pretokens reach the tokenizer; a bounded table keeps the ids o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import cache
 
@@ -222,3 +223,54 @@ def library_words(path: str) -> Words:
         return out
 
     return Words(encode)
+
+
+class AddedWords:
+    """Ids of texts as the library's plain call gives them: texts are cut at the added tokens of the vocabulary file."""
+
+    def __init__(self, words: Words, pattern: re.Pattern, ids: dict[str, int]):
+        self.words, self.pattern, self.ids = words, pattern, ids
+
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has; null counts as empty."""
+        held = [i for i, t in enumerate(texts) if t and any(c in t for c in self.ids)]
+        if not held:
+            return self.words.texts(texts)
+        parts: list[str | None] = []
+        cuts, added = [], {}  # where each text's parts begin, and the ids of the parts that are added tokens
+        at = set(held)
+        for i, text in enumerate(texts):
+            cuts.append(len(parts))
+            for part, token in self._cut(text) if i in at else [(text, None)]:
+                if token is not None:
+                    added[len(parts)] = token
+                parts.append(part)
+        ids, counts = self.words.texts([None if i in added else p for i, p in enumerate(parts)])
+        places = np.array(sorted(added), np.int64)
+        begins = np.cumsum(counts) - counts
+        ids = np.insert(ids, begins[places], np.array([added[i] for i in places.tolist()], np.uint32))
+        counts[places] += 1
+        return ids, np.add.reduceat(counts, cuts)
+
+    def _cut(self, text: str) -> list[tuple[str, int | None]]:
+        out, at = [], 0
+        for m in self.pattern.finditer(text):
+            out += [(text[at : m.start()], None), (m.group(), self.ids[m.group()])]
+            at = m.end()
+        return [*out, (text[at:], None)]
+
+
+@cache
+def added_words(path: str) -> Words | AddedWords:
+    """library_words, with the added tokens that the file defines recognised in texts."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens") or []
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in tokens):
+        raise ValueError("added tokens that take white space, whole words or normalised text are not supported")
+    ids = {t["content"]: t["id"] for t in tokens}
+    if not ids:
+        return library_words(path)
+    pattern = re.compile("|".join(map(re.escape, sorted(ids, key=len, reverse=True))))
+    return AddedWords(library_words(path), pattern, ids)

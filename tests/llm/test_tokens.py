@@ -134,3 +134,22 @@ def test_packing_query(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     used, least = check_packing(list(map(tuple, queries.op7_best_fit_packing(spark, sf_dir).collect())), texts, library())
     assert used <= 1.02 * least + 1
+
+
+def test_added_tokens_follow_the_plain_library(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    encode = lambda t: plain.encode(t or "", add_special_tokens=False).ids
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
+    texts = [*random_texts(1000), "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", None, ""]
+    ids, counts = words.added_words(path).texts(texts)
+    assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == [encode(t) for t in texts]
+    out = rans.new_path(spark)
+    docs = [(i, t) for i, t in enumerate(texts[-6:])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rans.write_ids(df, out, vocabulary=path, end_id=0)
+    assert {r["doc_id"]: bytes(r["ids"]) for r in rans.read_ids(spark, out).collect()} == {d: np.array([*encode(t), 0], "<u4").tobytes() for d, t in docs}
+    rows = packing.pack(df, vocabulary=path, end_id=2, length=64).collect()
+    check_packing([tuple(r)[:5] + tuple(r)[6:] for r in rows], dict(docs), encode, 64)
