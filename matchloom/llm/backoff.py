@@ -1,13 +1,14 @@
-"""Language-model scores by stupid backoff over bigrams.
+"""Language-model scores by stupid backoff over n-grams of all words.
 
-A word that follows another has the score c(v w) / c(v) if the bigram is kept (min_count times at least), else
-alpha * c(w) / N; the first word of a text has c(w) / N. Counts are of the whole corpus and of all its words.
+A word that follows n - 1 others has the score c(n-gram) / c(the n - 1 words before) if the n-gram is kept (min_count
+times at least), else alpha times its score after n - 2 words; alone it has c(word) / N. Counts are of the whole corpus
+and of all its words.
 
-Words and bigrams are keys: 64-bit hashes. Counts run relationally, by chunk of documents and by hash bucket: each chunk
-sends every bucket its distinct keys there once, with how often it holds them. A bucket's task so has all occurrences of
-its keys: it counts them and returns the counts to each chunk in the order of the chunk's keys. The chunk, whose words
-travel as small numbers, then scores its documents. A key that is everywhere costs one entry a chunk, so no key is hot,
-and no word reaches the driver.
+N-grams are keys: 64-bit hashes. The count table is partitioned by hash, and the n-grams of documents are joined to it:
+each chunk of documents sends every bucket of the table its distinct keys there once, with how often it holds them. A
+bucket's task so has all occurrences of its keys: it counts them and returns the counts to each chunk in the order of the
+chunk's keys. The chunk, whose words travel as small numbers, then scores its documents. A key that is everywhere costs
+one entry a chunk, so no key is hot, and no word reaches the driver. counts() gives the table itself.
 """
 
 from __future__ import annotations
@@ -21,12 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import slices, staged
+from matchloom.llm.common import slices
 from matchloom.llm.shingles import mixed, word_hashes
 
 #: Bytes that are split at once, words and documents of a chunk, words a bucket.
-CHUNK_BYTES, CHUNK_WORDS, CHUNK_DOCS, BUCKET_WORDS = 1 << 21, 1_250_000, 60_000, 1 << 21
-UNKNOWN = np.uint64(0)
+CHUNK_BYTES, CHUNK_WORDS, CHUNK_DOCS, BUCKET_WORDS = 1 << 21, 800_000, 60_000, 1 << 20
 _ONE, _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -43,39 +43,25 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.n
         at = i
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        for _, _, words, _ in chunks(batch.column(0).to_pylist()):
-            values, n = np.unique(words, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
-
-
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         yield pa.RecordBatch.from_arrays([pa.array([sum(len(words) for _, _, words, _ in chunks(batch.column(0).to_pylist()))], pa.int64())], names=["n"])
 
 
-def vocabulary(texts: DataFrame, most: int) -> np.ndarray:
-    """Sorted hashes of the words with the least count that leaves `most` words at most: the driver sees no more."""
-    words = staged(texts.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words", compression="zstd")
-    # how many words have each count: few rows, as large counts are rare
-    sizes = words.groupBy("n").agg(F.count("*").alias("k")).toPandas().sort_values("n", ascending=False)
-    sizes = sizes[sizes["k"].cumsum() <= most]
-    least = int(sizes["n"].min()) if len(sizes) else 1 << 62
-    return np.sort(words.filter(F.col("n") >= least).toPandas()["word"].to_numpy(np.int64).view(np.uint64))
-
+def _keys(words: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
+    """Keys of the n-grams that end in each word, for n from 1 to order; of those words that have n - 1 before them in
+    their text. The lowest three bits of a key tell n. place: how many words of its text are before a word."""
+    out, chain = [], mixed(words * _ONE + _ONE)
+    for n in range(1, order + 1):
+        if n > 1:
+            chain = np.concatenate([chain[:1], mixed(chain[:-1] * _FIRST + words[1:] * _SECOND)])
+        out.append((chain[place >= n - 1] & ~np.uint64(7)) | np.uint64(n))
+    return out
 
-def _keys(words: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    """Keys of all words, then of the bigrams that end in the inner words."""
-    second = np.flatnonzero(inner)
-    return np.concatenate([mixed(words * _ONE + _ONE), mixed(mixed(words[second - 1] * _FIRST) + words[second] * _SECOND)])
 
-
-def _inner(owner: np.ndarray) -> np.ndarray:
-    """Which words follow another one of their text."""
-    inner = np.zeros(len(owner), bool)
-    inner[1:] = owner[1:] == owner[:-1]
-    return inner
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """How many words are before each word of texts of the given sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -120,18 +106,17 @@ SCHEMA = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int3
 FIELDS = "bucket int, chunk long, n int, doc_ids array<long>, sizes array<int>, keys binary, numbers binary"
 
 
-def _packed(batches: Iterator[pa.RecordBatch], known: np.ndarray | None, buckets: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """For each chunk a row of its own (words of each document; distinct words and the number of each word among them)
     and one for each bucket (keys and how often the chunk holds them)."""
     chunk = TaskContext.get().partitionId() << 32
     for ids, words, owner in _gathered(batches):
-        if known is not None:
-            words = np.where(np.isin(words, known), words, UNKNOWN)
         distinct, number = np.unique(words, return_inverse=True)
+        sizes = np.bincount(owner, minlength=len(ids))
         # a chunk's own row goes through a bucket of its own kind (negative), past the counting
         own = -1 - int(mixed(np.array([chunk + 1], np.uint64))[0] >> np.uint64(34))
-        rows = [(own, chunk, len(distinct), ids, np.bincount(owner, minlength=len(ids)).tolist(), _differences(distinct), _small(number))]
-        keys, times = np.unique(_keys(words, _inner(owner)), return_counts=True)
+        rows = [(own, chunk, len(distinct), ids, sizes.tolist(), _differences(distinct), _small(number))]
+        keys, times = np.unique(np.concatenate(_keys(words, _places(sizes), order)), return_counts=True)
         # buckets are ranges of keys
         cuts = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
         for b in np.flatnonzero(np.diff(cuts)):
@@ -141,58 +126,87 @@ def _packed(batches: Iterator[pa.RecordBatch], known: np.ndarray | None, buckets
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(SCHEMA.types)], schema=SCHEMA)
 
 
-def _totals(rows: pa.Table) -> pa.Table:
-    """A bucket's rows with the counts of the corpus in place of the keys."""
-    if rows.column("bucket")[0].as_py() < 0:
-        return rows.select(SCHEMA.names)
+def _counted(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """A bucket's distinct keys, their counts in the corpus, the number of each row's keys among them, and row sizes."""
     sizes = rows.column("n").to_pylist()
     cells = [_sums(x, n) for x, n in zip(rows.column("keys").to_pylist(), sizes, strict=True)]
     times = [_numbers(x, n) for x, n in zip(rows.column("numbers").to_pylist(), sizes, strict=True)]
     values, which = np.unique(np.concatenate(cells), return_inverse=True)
     total = np.zeros(len(values), np.int64)
     np.add.at(total, which, np.concatenate(times))
+    return values, total, which, sizes
+
+
+def _totals(rows: pa.Table) -> pa.Table:
+    """A bucket's rows with the counts of the corpus in place of the keys."""
+    if rows.column("bucket")[0].as_py() < 0:
+        return rows.select(SCHEMA.names)
+    _, total, which, sizes = _counted(rows)
     ends = np.cumsum(sizes)
     counts = [_small(total[which[a:b]]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-    none = [pa.nulls(len(cells), SCHEMA.field(c).type) for c in ("doc_ids", "sizes", "keys")]
+    none = [pa.nulls(len(sizes), SCHEMA.field(c).type) for c in ("doc_ids", "sizes", "keys")]
     return pa.table([*(rows.column(c) for c in ("bucket", "chunk", "n")), *none, pa.array(counts, pa.binary())], schema=SCHEMA)
 
 
-def _scored(total: int, alpha: float, min_count: int):
+def _table(rows: pa.Table) -> pa.Table:
+    values, total, _, _ = _counted(rows)
+    return pa.table({"gram": pa.array(values.view(np.int64)), "size": pa.array((values & np.uint64(7)).astype(np.int32)), "n": pa.array(total)})
+
+
+def _scored(total: int, alpha: float, min_count: int, order: int):
     def chunk(rows: pa.Table) -> pa.Table:
         cells = sorted(zip(*(rows.column(c).to_pylist() for c in ("bucket", "n", "doc_ids", "sizes", "keys", "numbers")), strict=True), key=lambda r: r[0])
         (_, distinct, ids, sizes, keys, number), n = cells[0], sum(cells[0][3])
-        words = _sums(keys, distinct)[_numbers(number, n)]
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        inner = _inner(owner)
-        _, which = np.unique(_keys(words, inner), return_inverse=True)
-        logs = np.zeros(len(words))
+        logs = np.zeros(n)
+        place = _places(np.array(sizes, np.int64))
         if n:
-            counts = np.concatenate([_numbers(x, size) for _, size, *_, x in cells[1:]])[which]
-            word, pair = counts[:n], np.zeros(n, np.int64)
-            pair[inner] = counts[n:]
-            logs = np.log(word) - np.log(total) + np.where(inner, np.log(alpha), 0)
-            kept = np.flatnonzero(inner & (pair >= min_count))
-            logs[kept] = np.log(pair[kept]) - np.log(word[kept - 1])
-        sums = np.bincount(owner, weights=logs, minlength=len(sizes))
+            words = _sums(keys, distinct)[_numbers(number, n)]
+            grams = _keys(words, place, order)
+            _, which = np.unique(np.concatenate(grams), return_inverse=True)
+            found = np.concatenate([_numbers(x, size) for _, size, *_, x in cells[1:]])[which]
+            ends = np.cumsum([len(g) for g in grams])
+            before = found[: ends[0]]  # counts of the shorter n-grams, by the word that they end in
+            logs = np.log(before) - np.log(total)
+            for k in range(1, order):
+                count = np.zeros(n, np.int64)
+                count[place >= k] = found[ends[k - 1] : ends[k]]
+                logs[place >= k] += np.log(alpha)
+                kept = np.flatnonzero(count >= min_count)
+                logs[kept] = np.log(count[kept]) - np.log(before[kept - 1])
+                before = count
+        sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=logs, minlength=len(sizes))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(sizes, pa.int64()), "log_score": pa.array(sums, pa.float64())})
 
     return chunk
 
 
-def scores(docs: DataFrame, *, alpha: float = 0.4, min_count: int = 2, most_words: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def _prepared(docs: DataFrame, order: int, text_col: str, id_col: str) -> tuple[DataFrame, int]:
+    """The packed chunks of docs, and how many words there are."""
+    if not 1 <= order <= 7:
+        raise ValueError("order is from 1 to 7")
+    columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    total = columns.select("text").mapInArrow(_sizes, "n long").agg(F.sum("n")).first()[0] or 0
+    return columns.mapInArrow(partial(_packed, order=order, buckets=max(32, -(-total // BUCKET_WORDS))), FIELDS), total
+
+
+def counts(docs: DataFrame, *, order: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The count table: gram (hash), size (words of it), n (occurrences), every n-gram of 1 to order words once.
+
+    See scores for words, nulls and odd rows.
+    """
+    packed, _ = _prepared(docs, order, text_col, id_col)
+    return packed.filter("bucket >= 0").groupBy("bucket").applyInArrow(_table, "gram long, size int, n long")
+
+
+def scores(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, min_count: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_words, log_score (sum of the words' log scores), mean_log_score (null without words).
 
-    Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased. All words count, each by itself. If
-    most_words is given, the words are those counted t times at least, with the least t that leaves most_words words at
-    most, and all others count as one word; these words go to the driver and to every task. Null and empty texts have no
-    words and log_score 0. Null and repeated ids are kept, each row by itself; a repeated row counts twice in the
-    corpus. An empty table gives no rows; extra columns are ignored.
+    Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased. All words and n-grams up to order words
+    count, whole texts however long, each occurrence once. Null and empty texts have no words and log_score 0. Null and
+    repeated ids are kept, each row by itself; a repeated row counts twice in the corpus. An empty table gives no rows;
+    extra columns are ignored.
     """
-    columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = None if most_words is None else vocabulary(columns.select("text"), most_words)
-    total = columns.select("text").mapInArrow(_sizes, "n long").agg(F.sum("n")).first()[0] or 0
-    buckets = max(32, -(-total // BUCKET_WORDS))
-    packed = columns.mapInArrow(partial(_packed, known=known, buckets=buckets), FIELDS)
-    counts = packed.groupBy("bucket").applyInArrow(_totals, FIELDS)
-    out = counts.groupBy("chunk").applyInArrow(_scored(total, alpha, min_count), "doc_id long, n_words long, log_score double")
+    packed, total = _prepared(docs, order, text_col, id_col)
+    counted = packed.groupBy("bucket").applyInArrow(_totals, FIELDS)
+    out = counted.groupBy("chunk").applyInArrow(_scored(total, alpha, min_count, order), "doc_id long, n_words long, log_score double")
     return out.withColumn("mean_log_score", F.try_divide("log_score", F.col("n_words")))

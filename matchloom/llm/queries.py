@@ -102,15 +102,11 @@ def queries():
 ORACLE = {
     "op2_backoff_scores": """
         WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D ]+'), lambda w: w <> '') AS ws FROM documents),
-             raw AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
-             wc AS (SELECT w, count(*) AS n FROM raw GROUP BY w),
-             kept AS (SELECT min(n) AS least FROM (SELECT n, sum(count(*)) OVER (ORDER BY n DESC) AS k FROM wc GROUP BY n) WHERE k <= 65535),
-             tok AS (SELECT doc_id, i, CASE WHEN wc.n >= least THEN raw.w ELSE '' END AS w FROM raw JOIN wc ON wc.w = raw.w, kept),
-             u AS (SELECT w, count(*) AS n FROM tok GROUP BY w), total AS (SELECT count(*) AS n FROM tok),
-             bi AS (SELECT b.doc_id, b.i, a.w AS v, b.w FROM tok b LEFT JOIN tok a ON a.doc_id = b.doc_id AND a.i = b.i - 1),
-             bc AS (SELECT v, w, count(*) AS n FROM bi WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2),
-             s AS (SELECT bi.doc_id, CASE WHEN bi.v IS NULL THEN ln(uw.n / total.n) WHEN bc.n IS NOT NULL THEN ln(bc.n / uv.n) ELSE ln(0.4 * uw.n / total.n) END AS s
-                   FROM bi JOIN u uw ON uw.w = bi.w LEFT JOIN u uv ON uv.w = bi.v LEFT JOIN bc ON bc.v = bi.v AND bc.w = bi.w, total)
+             tok AS (SELECT doc_id, ws[i - 2] AS u, ws[i - 1] AS v, ws[i] AS w, least(i - 1, 2) AS before FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM t)),
+             one AS (SELECT w, count(*) AS n FROM tok GROUP BY ALL), two AS (SELECT v, w, count(*) AS n FROM tok WHERE before > 0 GROUP BY ALL), three AS (SELECT u, v, w, count(*) AS n FROM tok WHERE before > 1 GROUP BY ALL),
+             s AS (SELECT doc_id, CASE WHEN c3.n >= 2 THEN ln(c3.n / h2.n) WHEN c2.n >= 2 THEN ln(0.4) * (before - 1) + ln(c2.n / h1.n) ELSE ln(0.4) * before + ln(c1.n / (SELECT count(*) FROM tok)) END AS s
+                   FROM tok JOIN one c1 ON c1.w = tok.w LEFT JOIN two c2 ON c2.v = tok.v AND c2.w = tok.w LEFT JOIN three c3 ON c3.u = tok.u AND c3.v = tok.v AND c3.w = tok.w
+                   LEFT JOIN one h1 ON h1.w = tok.v LEFT JOIN two h2 ON h2.v = tok.u AND h2.w = tok.v)
         SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(x.s, 0), 3) AS log_score, round(x.s / len(ws), 6) AS mean_log_score FROM t LEFT JOIN (SELECT doc_id, sum(s) AS s FROM s GROUP BY doc_id) x ON x.doc_id = t.doc_id
     """,
     "op10_vafile_topk": """

@@ -154,31 +154,43 @@ def test_backoff_equals_sql(same):
 
 
 def test_backoff_of_odd_rows(spark):
-    out = backoff.scores(odd(spark), most_words=3).collect()
+    out = backoff.scores(odd(spark)).collect()
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_words"]) for r in out) == sorted((d is not None, d or 0, len((t or "").encode().split())) for d, t, *_ in ODD)
     assert all((r["mean_log_score"] is None) == (r["n_words"] == 0) for r in out)
     assert backoff.scores(odd(spark).limit(0)).count() == 0
     one = spark.createDataFrame([(1, "a b a b c")], "doc_id long, text string")
     # counts: a 2, b 2, c 1 of 5; a b twice is kept, the others back off
     expected = np.log([2 / 5, 2 / 2, 0.4 * 2 / 5, 2 / 2, 0.4 * 1 / 5]).sum()
-    assert abs(backoff.scores(one).first()["log_score"] - expected) < 1e-9
+    assert abs(backoff.scores(one, order=2).first()["log_score"] - expected) < 1e-9
+    # no trigram occurs twice, so the third and later words back off once more where there are two before them
+    assert abs(backoff.scores(one).first()["log_score"] - expected - 3 * np.log(0.4)) < 1e-9
 
 
-def test_backoff_counts_every_word(spark):
+def test_backoff_counts_every_word(spark, monkeypatch):
     names = [f"w{i}" for i in range(70_000)]
-    rows = [(1, " ".join(names)), (2, " ".join(names[::2])), (3, "a b " * 70_000)]
-    words = [t.split() for _, t in rows]
-    one, two = Counter(w for x in words for w in x), Counter(p for x in words for p in zip(x, x[1:], strict=False))
-    n = sum(one.values())
-
-    def score(x):
-        logs = [np.log(one[x[0]] / n)]
-        for v, w in zip(x, x[1:], strict=False):
-            logs.append(np.log(two[v, w] / one[v]) if two[v, w] >= 2 else np.log(0.4 * one[w] / n))
-        return sum(logs)
-
-    out = {r["doc_id"]: r["log_score"] for r in backoff.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(abs(out[d] - score(x)) < 1e-6 * abs(score(x)) for (d, _), x in zip(rows, words, strict=True))
+    rows = [(1, " ".join(names)), (2, " ".join(names[::2])), (3, "a b " * 70_000), (4, " ".join(names[5:3000])), (5, "w7 w8 w9 x"), (6, "w7"), (7, None)]
+    words = [(t or "").split() for _, t in rows]
+    count = Counter(tuple(x[i : i + n]) for x in words for n in (1, 2, 3) for i in range(len(x) - n + 1))
+    total = sum(map(len, words))
+
+    def score(x, i, n):
+        gram = tuple(x[i - n + 1 : i + 1])
+        if n == 1:
+            return np.log(count[gram] / total)
+        return np.log(count[gram] / count[gram[:-1]]) if count[gram] >= 2 else np.log(0.4) + score(x, i, n - 1)
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for small in (False, True):
+        if small:  # many buckets and chunks
+            monkeypatch.setattr(backoff, "BUCKET_WORDS", 2000)
+        for order in (1, 2, 3):
+            out = {r["doc_id"]: r["log_score"] for r in backoff.scores(df, order=order).collect()}
+            for (d, _), x in zip(rows, words, strict=True):
+                expected = sum(score(x, i, min(order, i + 1)) for i in range(len(x)))
+                assert abs(out[d] - expected) <= 1e-6 * abs(expected)
+        table = Counter((r["size"], r["n"]) for r in backoff.counts(df).collect())
+        assert table == Counter((len(g), n) for g, n in count.items())
+    assert backoff.counts(df.limit(0)).count() == 0
 
 
 def test_licences_that_the_sample_is_full_of(spark):
