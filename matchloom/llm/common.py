@@ -101,6 +101,33 @@ def least_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.filter(hashed <= bound).orderBy(hashed, key).limit(n)
 
 
+#: A key that holds more than one in so many rows is hot.
+HOT = 1000
+
+
+def join_spread(rows: DataFrame, table: DataFrame, on: list[str], n_col: str, total: int) -> DataFrame:
+    """rows joined to table, which has each key once, with how many of the `total` rows hold it in n_col.
+
+    Keys that more than one in HOT rows hold are fewer than HOT, so their part of table is broadcast, and no task gets
+    all rows of such a key; the other keys meet by a shuffle. Keys are not null.
+    """
+    bound = max(1, total // HOT)
+    hot = F.broadcast(table.filter(F.col(n_col) > bound))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(table.filter(F.col(n_col) <= bound), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that df doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batches, rows: int = 1000):
     """Arrow batches cut into parts of some rows, so that few Python objects exist at a time."""
     for batch in batches:

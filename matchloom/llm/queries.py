@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from matchloom.llm.common import read
 
 
+#: Bytes of a passage of more than fifty short words.
+PASSAGE_BYTES = 200
+
+
 def op1_mih_neighbours(spark, sf_dir):
     from matchloom.llm.mih import nearest
 
@@ -24,8 +28,9 @@ def op2_backoff_scores(spark, sf_dir):
 def op3_run_index_dedup(spark, sf_dir):
     from matchloom.llm.runindex import remove_repeats
 
-    out = remove_repeats(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    # besides the strings of 400 bytes, passages of some fifty words that repeat: a word has four bytes and more here
+    out = remove_repeats(read(spark, sf_dir, "documents"), passage=PASSAGE_BYTES)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passage_bytes")
 
 
 def op4_compression_quality(spark, sf_dir):

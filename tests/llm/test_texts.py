@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from helpers import ODD, near_duplicates, odd, repeats, shingles
 
-from matchloom.llm import backoff, compression, licenses, minhash, queries, runindex
+from matchloom.llm import backoff, common, compression, licenses, minhash, queries, runindex
 from matchloom.llm.components import components
 from matchloom.llm.shingles import shingle_sets
 
@@ -61,18 +61,40 @@ def test_near_duplicate_query(spark, sf_dir):
     assert sorted(map(tuple, queries.op5_minhash_near_duplicates(spark, sf_dir).collect())) == expected
 
 
-def repeated_rows(df, length):
-    return sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in runindex.remove_repeats(df, length=length).collect())
+def repeated_rows(df, length, passage=None):
+    out = runindex.remove_repeats(df, length=length, passage=passage).collect()
+    return sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest(), r["n_passage_bytes"]) for r in out)
+
+
+def expected_repeats(rows, length, passage):
+    texts = [r[1] for r in rows]
+    return sorted((d is not None, d or 0, *x[:4], y[1]) for (d, *_), x, y in zip(rows, repeats(texts, length), repeats(texts, passage), strict=True))
+
+
+def test_runs_stream_suffix_order():
+    rng = random.Random(6)
+    for _ in range(50):
+        contents = [bytes(rng.choices(b"ab\0", k=rng.randint(1, 30))) for _ in range(rng.randint(1, 6))]
+        index = runindex.RunIndex(contents)
+        texts = [[c + len(contents) for c in t] + [i] for i, t in enumerate(contents)]
+        suffixes = sorted((s[i:], int(index.begins[k]) + i) for k, s in enumerate(texts) for i in range(len(s)))
+        rank, common = index.stream()
+        assert [at for _, at in suffixes] == list(np.argsort(rank))
+        for i, ((a, _), (b, _)) in enumerate(zip(suffixes, suffixes[1:], strict=False), 1):
+            assert common[i] == next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
 def test_run_index_statistics():
     rng = random.Random(5)
     for _ in range(100):
         contents = sorted({bytes(rng.choices(b"ab\0", k=rng.randint(4, 30))) for _ in range(rng.randint(1, 6))})
-        found = runindex.repeated(contents, 4)
-        places = [(i, j) for i, c in enumerate(contents) for j in range(len(c) - 3)]
-        words = [contents[i][j : j + 4] for i, j in places]
-        assert {(i, j) for i, ranges in enumerate(found) for a, b in ranges for j in range(a, b)} == {p for p, w in zip(places, words, strict=True) if words.count(w) > 1}
+        windows = np.array([rng.randint(1, len(c)) for c in contents])
+        copies = np.array([rng.choice([1, 1, 1, 2]) for _ in contents])
+        for length, ranges in zip((4, 6), runindex.repeated(contents, windows, copies, [4, 6]), strict=True):
+            places = [(i, j) for i, c in enumerate(contents) for j in range(min(windows[i], len(c) - length + 1))]
+            words = [contents[i][j : j + length] for i, j in places for _ in range(copies[i])]
+            found = {(i, j) for i, spans in enumerate(ranges) for a, b in spans for j in range(a, b)}
+            assert found == {(i, j) for i, j in places if words.count(contents[i][j : j + length]) > 1}
 
 
 def test_repeats_of_odd_rows(spark, monkeypatch):
@@ -87,11 +109,12 @@ def test_repeats_of_odd_rows(spark, monkeypatch):
         rows.append((100 + i, text, "a", 1, "x", 0))
     rows += [rows[20], (300, "ab" * 90, None, None, None, None), (301, "é" * 70, None, None, None, None)]
     df = spark.createDataFrame(rows, odd(spark).schema)
-    for length in (40, 75):
-        expected = sorted((d is not None, d or 0, *x[:4]) for (d, *_), x in zip(rows, repeats([r[1] for r in rows], length), strict=True))
-        assert repeated_rows(df, length) == expected
+    for length, passage in ((40, 40), (75, 45), (90, 60)):
+        expected = expected_repeats(rows, length, passage)
+        assert repeated_rows(df, length, passage) == expected
         monkeypatch.setattr(runindex, "MOST_REGIONS", 3)  # split very common passages
-        assert repeated_rows(df, length) == expected
+        monkeypatch.setattr(common, "HOT", 20)  # broadcast only the most common keys
+        assert repeated_rows(df, length, passage) == expected
         monkeypatch.undo()
     assert runindex.remove_repeats(df.limit(0)).count() == 0
     kept = runindex.without_repeats(df, length=40)
@@ -100,7 +123,8 @@ def test_repeats_of_odd_rows(spark, monkeypatch):
 
 def test_repeats_query(spark, sf_dir):
     rows = documents(spark, sf_dir)
-    expected = [(d, *x[:4]) for (d, _), x in zip(rows, repeats([t for _, t in rows], 400), strict=True)]
+    both = zip(rows, repeats([t for _, t in rows], 400), repeats([t for _, t in rows], queries.PASSAGE_BYTES), strict=True)
+    expected = [(d, *x[:4], y[1]) for (d, _), x, y in both]
     assert sorted(map(tuple, queries.op3_run_index_dedup(spark, sf_dir).collect())) == expected
 
 
