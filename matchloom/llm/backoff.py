@@ -4,7 +4,8 @@ A word that follows n - 1 others has the score c(n-gram) / c(the n - 1 words bef
 times at least), else alpha times its score after n - 2 words; alone it has c(word) / N. Counts are of the whole corpus
 and of all its words.
 
-N-grams are keys: 64-bit hashes. The count table is partitioned by hash, and the n-grams of documents are joined to it:
+N-grams are keys: hashes of KEY_BITS bits beside those that tell the bucket, 64 in all at most. There are more buckets for
+more words, so at any size of the corpus a key is taken for another one with a chance below 1e-7. The count table is partitioned by hash, and the n-grams of documents are joined to it:
 each chunk of documents sends every bucket of the table its distinct keys there once, with how often it holds them. A
 bucket's task so has all occurrences of its keys: it counts them and returns the counts to each chunk in the order of the
 chunk's keys. The chunk, whose words travel as small numbers, then scores its documents. A key that is everywhere costs
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from matchloom.llm.common import slices
 from matchloom.llm.shingles import mixed, word_hashes
 
+#: Bits of a key beside those of its bucket.
+KEY_BITS = 46
 #: Bytes that are split at once, words and documents of a chunk, words a bucket.
 CHUNK_BYTES, CHUNK_WORDS, CHUNK_DOCS, BUCKET_WORDS = 1 << 21, 800_000, 60_000, 1 << 20
 _ONE, _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -48,14 +51,19 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([sum(len(words) for _, _, words, _ in chunks(batch.column(0).to_pylist()))], pa.int64())], names=["n"])
 
 
-def _keys(words: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
+def _shift(buckets: int) -> np.uint64:
+    """How many bits of a hash its key leaves out."""
+    return np.uint64(max(0, 64 - KEY_BITS - buckets.bit_length()))
+
+
+def _keys(words: np.ndarray, place: np.ndarray, order: int, buckets: int) -> list[np.ndarray]:
     """Keys of the n-grams that end in each word, for n from 1 to order; of those words that have n - 1 before them in
-    their text. The lowest three bits of a key tell n. place: how many words of its text are before a word."""
+    their text. place: how many words of its text are before a word."""
     out, chain = [], mixed(words * _ONE + _ONE)
     for n in range(1, order + 1):
         if n > 1:
             chain = np.concatenate([chain[:1], mixed(chain[:-1] * _FIRST + words[1:] * _SECOND)])
-        out.append((chain[place >= n - 1] & ~np.uint64(7)) | np.uint64(n))
+        out.append(mixed(chain[place >= n - 1] + np.uint64(n)) >> _shift(buckets))
     return out
 
 
@@ -64,26 +72,27 @@ def _places(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def _small(x: np.ndarray) -> bytes:
-    """Whole numbers compressed, in two, four or eight bytes each as the largest needs; the first byte says which."""
-    most = int(x.max()) if len(x) else 0
-    width = 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
-    return bytes([width]) + pa.compress(x.astype(f"<u{width}").tobytes(), codec="zstd", asbytes=True)
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers as their bytes by place, without the places that none needs, compressed; how many come first."""
+    places = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    each = np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :places]
+    return bytes([places]) + pa.compress(np.ascontiguousarray(each.T).tobytes(), codec="zstd", asbytes=True)
 
 
 def _numbers(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data[1:], decompressed_size=n * data[0], codec="zstd"), f"<u{data[0]}").astype(np.int64)
+    places = data[0]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :places] = np.frombuffer(pa.decompress(data[1:], decompressed_size=n * places, codec="zstd"), np.uint8).reshape(places, n).T
+    return out.view("<i8").ravel()
 
 
 def _differences(keys: np.ndarray) -> bytes:
-    """Sorted keys as the bytes of their differences, by place, compressed."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
-    return pa.compress(np.ascontiguousarray(steps.T).tobytes(), codec="zstd", asbytes=True)
+    """Sorted keys as their differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _sums(data: bytes, n: int) -> np.ndarray:
-    steps = np.frombuffer(pa.decompress(data, decompressed_size=n * 8, codec="zstd"), np.uint8).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(steps.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_numbers(data, n).view("<u8"), dtype=np.uint64)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -102,8 +111,12 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndar
         yield ids, np.concatenate(words), np.concatenate(owners)
 
 
-SCHEMA = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("keys", pa.binary()), ("numbers", pa.binary())])
-FIELDS = "bucket int, chunk long, n int, doc_ids array<long>, sizes array<int>, keys binary, numbers binary"
+SCHEMA = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("keys", pa.binary()), ("numbers", pa.binary()), ("often", pa.binary())])
+FIELDS = "bucket int, chunk long, n int, doc_ids array<long>, sizes array<int>, keys binary, numbers binary, often binary"
+
+
+def _by_frequency(often: np.ndarray) -> np.ndarray:
+    return np.argsort(-often, kind="stable")
 
 
 def _packed(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -111,17 +124,19 @@ def _packed(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iter
     and one for each bucket (keys and how often the chunk holds them)."""
     chunk = TaskContext.get().partitionId() << 32
     for ids, words, owner in _gathered(batches):
-        distinct, number = np.unique(words, return_inverse=True)
+        distinct, number, often = np.unique(words, return_inverse=True, return_counts=True)
+        # words are numbered from the most frequent, so most numbers are small
+        rank = np.argsort(_by_frequency(often))
         sizes = np.bincount(owner, minlength=len(ids))
         # a chunk's own row goes through a bucket of its own kind (negative), past the counting
         own = -1 - int(mixed(np.array([chunk + 1], np.uint64))[0] >> np.uint64(34))
-        rows = [(own, chunk, len(distinct), ids, sizes.tolist(), _differences(distinct), _small(number))]
-        keys, times = np.unique(np.concatenate(_keys(words, _places(sizes), order)), return_counts=True)
+        rows = [(own, chunk, len(distinct), ids, sizes.tolist(), _differences(distinct), _planes(rank[number]), _planes(often))]
+        keys, times = np.unique(np.concatenate(_keys(words, _places(sizes), order, buckets)), return_counts=True)
         # buckets are ranges of keys
-        cuts = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+        cuts = np.searchsorted(((keys >> (np.uint64(32) - _shift(buckets))) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
         for b in np.flatnonzero(np.diff(cuts)):
             part = slice(cuts[b], cuts[b + 1])
-            rows.append((int(b), chunk, int(cuts[b + 1] - cuts[b]), None, None, _differences(keys[part]), _small(times[part])))
+            rows.append((int(b), chunk, int(cuts[b + 1] - cuts[b]), None, None, _differences(keys[part]), _planes(times[part]), None))
         chunk += 1
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(SCHEMA.types)], schema=SCHEMA)
 
@@ -143,27 +158,27 @@ def _totals(rows: pa.Table) -> pa.Table:
         return rows.select(SCHEMA.names)
     _, total, which, sizes = _counted(rows)
     ends = np.cumsum(sizes)
-    counts = [_small(total[which[a:b]]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    counts = [_planes(total[which[a:b]]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
     none = [pa.nulls(len(sizes), SCHEMA.field(c).type) for c in ("doc_ids", "sizes", "keys")]
-    return pa.table([*(rows.column(c) for c in ("bucket", "chunk", "n")), *none, pa.array(counts, pa.binary())], schema=SCHEMA)
+    return pa.table([*(rows.column(c) for c in ("bucket", "chunk", "n")), *none, pa.array(counts, pa.binary()), pa.nulls(len(sizes), pa.binary())], schema=SCHEMA)
 
 
 def _table(rows: pa.Table) -> pa.Table:
     values, total, _, _ = _counted(rows)
-    return pa.table({"gram": pa.array(values.view(np.int64)), "size": pa.array((values & np.uint64(7)).astype(np.int32)), "n": pa.array(total)})
+    return pa.table({"gram": pa.array(values.view(np.int64)), "n": pa.array(total)})
 
 
-def _scored(total: int, alpha: float, min_count: int, order: int):
+def _scored(total: int, alpha: float, min_count: int, order: int, buckets: int):
     def chunk(rows: pa.Table) -> pa.Table:
-        cells = sorted(zip(*(rows.column(c).to_pylist() for c in ("bucket", "n", "doc_ids", "sizes", "keys", "numbers")), strict=True), key=lambda r: r[0])
-        (_, distinct, ids, sizes, keys, number), n = cells[0], sum(cells[0][3])
+        cells = sorted(zip(*(rows.column(c).to_pylist() for c in ("bucket", "n", "doc_ids", "sizes", "keys", "numbers", "often")), strict=True), key=lambda r: r[0])
+        (_, distinct, ids, sizes, keys, number, often), n = cells[0], sum(cells[0][3])
         logs = np.zeros(n)
         place = _places(np.array(sizes, np.int64))
         if n:
-            words = _sums(keys, distinct)[_numbers(number, n)]
-            grams = _keys(words, place, order)
+            words = _sums(keys, distinct)[_by_frequency(_numbers(often, distinct))][_numbers(number, n)]
+            grams = _keys(words, place, order, buckets)
             _, which = np.unique(np.concatenate(grams), return_inverse=True)
-            found = np.concatenate([_numbers(x, size) for _, size, *_, x in cells[1:]])[which]
+            found = np.concatenate([_numbers(x, size) for _, size, *_, x, _ in cells[1:]])[which]
             ends = np.cumsum([len(g) for g in grams])
             before = found[: ends[0]]  # counts of the shorter n-grams, by the word that they end in
             logs = np.log(before) - np.log(total)
@@ -180,22 +195,23 @@ def _scored(total: int, alpha: float, min_count: int, order: int):
     return chunk
 
 
-def _prepared(docs: DataFrame, order: int, text_col: str, id_col: str) -> tuple[DataFrame, int]:
-    """The packed chunks of docs, and how many words there are."""
+def _prepared(docs: DataFrame, order: int, text_col: str, id_col: str) -> tuple[DataFrame, int, int]:
+    """The packed chunks of docs, how many words there are, and how many buckets."""
     if not 1 <= order <= 7:
         raise ValueError("order is from 1 to 7")
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = columns.select("text").mapInArrow(_sizes, "n long").agg(F.sum("n")).first()[0] or 0
-    return columns.mapInArrow(partial(_packed, order=order, buckets=max(32, -(-total // BUCKET_WORDS))), FIELDS), total
+    buckets = max(32, -(-total // BUCKET_WORDS))
+    return columns.mapInArrow(partial(_packed, order=order, buckets=buckets), FIELDS), total, buckets
 
 
 def counts(docs: DataFrame, *, order: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The count table: gram (hash), size (words of it), n (occurrences), every n-gram of 1 to order words once.
+    """The count table: gram (its key), n (occurrences), every n-gram of 1 to order words once.
 
     See scores for words, nulls and odd rows.
     """
-    packed, _ = _prepared(docs, order, text_col, id_col)
-    return packed.filter("bucket >= 0").groupBy("bucket").applyInArrow(_table, "gram long, size int, n long")
+    packed, _, _ = _prepared(docs, order, text_col, id_col)
+    return packed.filter("bucket >= 0").groupBy("bucket").applyInArrow(_table, "gram long, n long")
 
 
 def scores(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, min_count: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -206,7 +222,7 @@ def scores(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, min_count: in
     repeated ids are kept, each row by itself; a repeated row counts twice in the corpus. An empty table gives no rows;
     extra columns are ignored.
     """
-    packed, total = _prepared(docs, order, text_col, id_col)
+    packed, total, buckets = _prepared(docs, order, text_col, id_col)
     counted = packed.groupBy("bucket").applyInArrow(_totals, FIELDS)
-    out = counted.groupBy("chunk").applyInArrow(_scored(total, alpha, min_count, order), "doc_id long, n_words long, log_score double")
+    out = counted.groupBy("chunk").applyInArrow(_scored(total, alpha, min_count, order, buckets), "doc_id long, n_words long, log_score double")
     return out.withColumn("mean_log_score", F.try_divide("log_score", F.col("n_words")))

@@ -212,8 +212,7 @@ def test_backoff_counts_every_word(spark, monkeypatch):
             for (d, _), x in zip(rows, words, strict=True):
                 expected = sum(score(x, i, min(order, i + 1)) for i in range(len(x)))
                 assert abs(out[d] - expected) <= 1e-6 * abs(expected)
-        table = Counter((r["size"], r["n"]) for r in backoff.counts(df).collect())
-        assert table == Counter((len(g), n) for g, n in count.items())
+        assert Counter(r["n"] for r in backoff.counts(df).collect()) == Counter(count.values())
     assert backoff.counts(df.limit(0)).count() == 0
 
 
