@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from matchloom.llm.common import read
 
 
-#: Bytes of a passage of more than fifty short words.
-PASSAGE_BYTES = 200
+#: Bytes of a passage of some fifty words.
+PASSAGE_BYTES = 256
 
 
 def op1_mih_neighbours(spark, sf_dir):
@@ -28,7 +28,7 @@ def op2_backoff_scores(spark, sf_dir):
 def op3_run_index_dedup(spark, sf_dir):
     from matchloom.llm.runindex import remove_repeats
 
-    # besides the strings of 400 bytes, passages of some fifty words that repeat: a word has four bytes and more here
+    # besides the strings of 400 bytes, passages of some fifty words that repeat
     out = remove_repeats(read(spark, sf_dir, "documents"), passage=PASSAGE_BYTES)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passage_bytes")
 

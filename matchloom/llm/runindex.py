@@ -80,30 +80,29 @@ def regions(data: bytes, bounds: np.ndarray, window: int, length: int) -> tuple[
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix order of a sequence of numbers from 0 whose repeats all end at numbers that occur once.
+    """Suffix order of a sequence of numbers from 1 to 257; what follows its end is smaller than any of them.
 
     Doubles the compared length; only suffixes that are still tied are sorted again.
     """
-    n, bits = len(text), max(15, int(text.max()).bit_length())
-    step = 60 // bits
+    n, bits, step = len(text), 9, 7
     padded = np.concatenate([text, np.zeros(step, np.int64)])
     key = np.zeros(n, np.int64)
     for j in range(step):
         key = key << bits | padded[j : n + j]
     order = np.argsort(key)
     slots, ranked = np.arange(n), key[order]
-    rank = np.empty(n, np.int64)
+    rank = np.zeros(n + 1, np.int64)
     while True:
         new = np.ones(len(slots), bool)
         new[1:] = ranked[1:] != ranked[:-1]
         heads = np.flatnonzero(new)
-        rank[order[slots]] = slots[heads][np.cumsum(new) - 1]
-        tied = np.repeat(np.diff(np.append(heads, len(slots))) > 1, np.diff(np.append(heads, len(slots))))
-        slots = slots[tied]
+        lengths = np.diff(np.append(heads, len(slots)))
+        rank[order[slots]] = np.repeat(slots[heads] + 1, lengths)
+        slots = slots[np.repeat(lengths > 1, lengths)]
         if not len(slots):
             return order
         places = order[slots]
-        key = rank[places] << 32 | rank[places + step]
+        key = rank[places] << 32 | rank[np.minimum(places + step, n)]
         sort = np.argsort(key)
         order[slots], ranked = places[sort], key[sort]
         step *= 2
@@ -118,16 +117,18 @@ class RunIndex:
         self.begins = self.ends - self.sizes
         raw = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8)
         self.raw = raw
-        letters = raw.astype(np.int64) + len(contents)
-        letters[self.ends] = np.arange(len(contents))  # separators are smaller than bytes, and each occurs once
+        letters = raw.astype(np.int64) + 2
+        letters[self.ends] = 1  # separators are smaller than bytes; matches never go beyond them
         order = suffix_array(letters)
         before = letters[order - 1]
         head = np.ones(len(order), bool)
         head[1:] = before[1:] != before[:-1]
-        #: where runs begin, their letters and lengths, and the suffixes at their heads and tails
+        #: where runs begin, the run of every rank, letters and lengths, and the suffixes at their heads and tails
         self.starts = np.flatnonzero(head)
+        self.run = np.cumsum(head, dtype=np.int32) - 1
         self.letters, self.lengths = before[self.starts], np.diff(np.append(self.starts, len(order)))
         self.heads, self.tails = order[self.starts], order[self.starts + self.lengths - 1]
+        self.stops = np.argsort(order)[self.ends]  # the ranks of the separators, where texts begin to stream
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes that the suffixes at a and b have in common, not beyond their regions."""
@@ -162,13 +163,13 @@ class RunIndex:
         jump[some] = self.common(self.heads[some] - 1, self.tails[earlier[some]] - 1)
         rank, common = np.zeros(len(self.raw), np.int64), np.zeros(len(self.raw), np.int64)
         texts = np.argsort(-self.sizes, kind="stable")
-        at = texts.copy()  # the separators come first, in the order of the texts
+        at = self.stops[texts]
         rank[self.ends[texts]] = at
         left = -np.sort(-self.sizes)
         for step in range(1, int(left[0]) + 1 if len(left) else 1):
             live = int(np.searchsorted(-left, -step, side="right"))
             at = at[:live]
-            run = np.searchsorted(self.starts, at, side="right") - 1
+            run = self.run[at]
             off = at - self.starts[run]
             to = base[run] + off
             common[to] = np.where(off > 0, common[at] + 1, jump[run])

@@ -76,12 +76,13 @@ def test_runs_stream_suffix_order():
     for _ in range(50):
         contents = [bytes(rng.choices(b"ab\0", k=rng.randint(1, 30))) for _ in range(rng.randint(1, 6))]
         index = runindex.RunIndex(contents)
-        texts = [[c + len(contents) for c in t] + [i] for i, t in enumerate(contents)]
-        suffixes = sorted((s[i:], int(index.begins[k]) + i) for k, s in enumerate(texts) for i in range(len(s)))
+        whole = [c + 1 for t in contents for c in (*t, -1)]
+        order = sorted(range(len(whole)), key=lambda i: whole[i:])
         rank, common = index.stream()
-        assert [at for _, at in suffixes] == list(np.argsort(rank))
-        for i, ((a, _), (b, _)) in enumerate(zip(suffixes, suffixes[1:], strict=False), 1):
-            assert common[i] == next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert order == list(np.argsort(rank))
+        for i, (a, b) in enumerate(zip(order, order[1:], strict=False), 1):
+            left = min(whole[a:].index(0), whole[b:].index(0))
+            assert common[i] == next((j for j in range(left) if whole[a + j] != whole[b + j]), left)
 
 
 def test_run_index_statistics():
