@@ -5,7 +5,7 @@ times at least), else alpha times its score after n - 2 words; alone it has c(wo
 and of all its words.
 
 N-grams are keys: hashes of KEY_BITS bits beside those that tell the bucket, 64 in all at most. There are more buckets for
-more words, so at any size of the corpus a key is taken for another one with a chance below 1e-7. The count table is partitioned by hash, and the n-grams of documents are joined to it:
+more words, so at any size of the corpus a key is taken for another one with a chance below 2e-7. The count table is partitioned by hash, and the n-grams of documents are joined to it:
 each chunk of documents sends every bucket of the table its distinct keys there once, with how often it holds them. A
 bucket's task so has all occurrences of its keys: it counts them and returns the counts to each chunk in the order of the
 chunk's keys. The chunk, whose words travel as small numbers, then scores its documents. A key that is everywhere costs
@@ -27,7 +27,7 @@ from matchloom.llm.common import slices
 from matchloom.llm.shingles import mixed, word_hashes
 
 #: Bits of a key beside those of its bucket.
-KEY_BITS = 46
+KEY_BITS = 44
 #: Bytes that are split at once, words and documents of a chunk, words a bucket.
 CHUNK_BYTES, CHUNK_WORDS, CHUNK_DOCS, BUCKET_WORDS = 1 << 21, 800_000, 60_000, 1 << 20
 _ONE, _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -124,6 +124,7 @@ def _packed(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iter
     and one for each bucket (keys and how often the chunk holds them)."""
     chunk = TaskContext.get().partitionId() << 32
     for ids, words, owner in _gathered(batches):
+        words = words >> _shift(buckets)
         distinct, number, often = np.unique(words, return_inverse=True, return_counts=True)
         # words are numbered from the most frequent, so most numbers are small
         rank = np.argsort(_by_frequency(often))
