@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,42 +62,93 @@ def distance(a: Column, b: Column) -> Column:
     return 1 - similarity(a, b)
 
 
-def best_run(own: set[str], pieces: list[list[str]]) -> float:
-    """Largest share of a trigram set in a run of pieces (each some trigrams)."""
-    best = 0.0
-    places = [i for i, p in enumerate(pieces) if not own.isdisjoint(p)]
-    for k, i in enumerate(places):
-        seen: set[str] = set()
-        common, at = 0, i
-        for j in places[k:]:
-            for p in pieces[at : j + 1]:
-                for g in p:
-                    if g not in seen:
-                        seen.add(g)
-                        common += g in own
-            at = j + 1
-            best = max(best, common / (len(own) + len(seen) - common))
-    return best
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _padded(values: np.ndarray, sizes: np.ndarray, fill: int) -> np.ndarray:
+    """Lists in a row as the rows of a matrix."""
+    out = np.full((len(sizes), int(sizes.max()) if len(sizes) else 0), fill, values.dtype)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = values
+    return out
+
+
+def best_runs(own: pa.ListArray, ordered: pa.ListArray, words: pa.ListArray | None, threshold: float) -> np.ndarray:
+    """For each row the largest share of its trigram set `own` in a run of its trigrams `ordered`: shared ones by all
+    distinct ones. words: how many trigrams each word has; runs are then of whole words. 0 where the set and the whole
+    of `ordered` share fewer than threshold asks of any run."""
+    m, sizes = (np.diff(x.offsets.to_numpy()) for x in (own, ordered))
+    codes = pa.concat_arrays([own.flatten(), ordered.flatten()]).dictionary_encode().indices.to_numpy()
+    width = int(codes.max()) + 1 if len(codes) else 1
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    mine = np.repeat(np.arange(len(m)), m) * width + codes[: m.sum()]
+    key = row * width + codes[m.sum() :]
+    hit = np.isin(key, mine)
+    place = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # where a trigram was last in its row; a trigram is new in a run that begins after that
+    before = np.full(len(key), -1)
+    order = np.argsort(key, kind="stable")
+    again = key[order[1:]] == key[order[:-1]]
+    before[order[1:][again]] = place[order[:-1][again]]
+    shared = np.bincount(row[hit & (before < 0)], minlength=len(sizes))
+    out = np.zeros(len(sizes))
+    todo = np.flatnonzero((shared > 0) & (shared >= np.ceil(m * threshold - 1e-9)))
+    todo = todo[np.argsort(sizes[todo], kind="stable")]
+    begins = np.cumsum(sizes) - sizes
+    if words is not None:
+        first, last = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        each = words.flatten().to_numpy()
+        ends = np.cumsum(each)
+        last[ends - 1] = True
+        first[ends - each] = True
+    at = 0
+    while at < len(todo):
+        some = todo[at : at + max(1, 100_000 // int(sizes[todo[min(at + 1000, len(todo) - 1)]]))]
+        at += len(some)
+        n = sizes[some]
+        flat = np.repeat(begins[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        old, own_hit = _padded(before[flat].astype(np.int32), n, 1 << 30), _padded(hit[flat], n, 0)
+        starts = own_hit if words is None else _padded(first[flat], n, 0)
+        stops = None if words is None else _padded(last[flat], n, 0)
+        best = np.zeros(len(some))
+        for i in np.flatnonzero(starts.any(axis=0)):
+            new = old[:, i:] < i
+            common = np.cumsum(new & own_hit[:, i:], axis=1, dtype=np.int32)
+            share = common / (m[some][:, None] + np.cumsum(new, axis=1, dtype=np.int32) - common)
+            if stops is not None:
+                share = np.where(stops[:, i:] & starts[:, i : i + 1], share, 0)
+            best = np.maximum(best, share.max(axis=1))
+        out[some] = best
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch], threshold: float, strict: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own, pieces = batch.column("__own").to_pylist(), batch.column("__pieces").to_pylist()
-        best = [best_run(set(o or ()), p or []) for o, p in zip(own, pieces, strict=True)]
-        kept = batch.drop_columns(["__own", "__pieces"])
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(best, pa.float64())], names=[*kept.schema.names, "sim"])
+        rest = batch.drop_columns(["own", "ordered", "word_sizes"])
+        best = best_runs(batch.column("own"), batch.column("ordered"), batch.column("word_sizes") if strict else None, threshold)
+        out = pa.RecordBatch.from_arrays([*rest.columns, pa.array(best)], names=[*rest.schema.names, "sim"])
+        yield out.filter(pa.array(best >= threshold - 1e-9))
+
+
+def with_best_runs(df: DataFrame, threshold: float, *, strict: bool) -> DataFrame:
+    """df with sim in place of own, ordered and word_sizes, the rows of sim threshold at least; see best_runs.
+
+    Arrow batches and array operations in Python: runs as native higher-order functions, each rebuilt as an array, took
+    over ten times as long.
+    """
+    left = [f for f in df.schema.fields if f.name not in ("own", "ordered", "word_sizes")]
+    return df.mapInArrow(partial(_runs, threshold=threshold, strict=strict), S.StructType([*left, S.StructField("sim", S.DoubleType())]))
+
+
+def ordered_pieces(text: Column) -> list[Column]:
+    """ordered and word_sizes of a text, as best_runs takes them."""
+    per_word = F.transform(words(text), word_trigrams)
+    return [F.flatten(per_word).alias("ordered"), F.transform(per_word, F.size).alias("word_sizes")]
 
 
 def with_word_similarity(df: DataFrame, needle: str, haystack: str, *, strict: bool = False) -> DataFrame:
     """df with sim: the best match of needle's trigram set with any run of haystack's ordered trigrams.
 
-    strict: runs of whole words. 0 if either text is null or has no trigrams. Arrow batches in Python: runs as native
-    higher-order functions, each rebuilt as an array, took over ten times as long.
+    strict: runs of whole words. 0 if either text is null or has no trigrams.
     """
-    text = F.col(haystack)
-    pieces = F.transform(words(text), word_trigrams) if strict else F.transform(ordered_trigrams(text), lambda g: F.array(g))
-    rows = df.withColumn("__own", trigrams(F.col(needle))).withColumn("__pieces", pieces)
-    return rows.mapInArrow(_runs, S.StructType([*df.schema.fields, S.StructField("sim", S.DoubleType())]))
+    pieces = [F.coalesce(c, F.array().cast(kind)).alias(name) for c, kind, name in zip([trigrams(F.col(needle)), *ordered_pieces(F.col(haystack))], ("array<string>", "array<string>", "array<int>"), ("own", "ordered", "word_sizes"), strict=True)]
+    return with_best_runs(df.select("*", *pieces), 0.0, strict=strict)
 
 
 def exact_or(a: Column, b: Column, score: Column) -> Column:

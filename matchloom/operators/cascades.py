@@ -9,6 +9,7 @@ from matchloom.functions import text as T
 from matchloom.operators import exact, merge, score
 from matchloom.operators.match import fuzzy, fuzzy_bibliography, top_k
 from matchloom.policy import POLICY
+from matchloom.storage import staged
 
 
 def generic(queries: DataFrame, authority: DataFrame, *, alternate: str | None = None, limit: int = POLICY.limit, distinct: bool = True) -> DataFrame:
@@ -57,7 +58,8 @@ def bibliographic_passes(queries: DataFrame, biblio: DataFrame, *, limit: int =
         exact.same_isbn(queries, biblio), exact.same_doi(queries, biblio), exact.same_reference(queries, biblio), exact.same_title_and_year(queries, biblio), exact.same_bugs_reference(queries, biblio),
         words(given), score.floored(authors_and_year(queries, biblio, limit=limit)), words(free),
     )
-    # how many rows came so far, repeats included, decides on the fallback
+    # used twice: how many rows came so far, repeats included, decides on the fallback
+    strong = staged(strong, "strong")
     many = strong.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= limit).select("query_id")
     thin = free.join(many, "query_id", "left_anti")
     fallback = score.capped(fuzzy_bibliography(thin, biblio, threshold=POLICY.fallback_threshold, limit=limit))

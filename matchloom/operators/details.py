@@ -19,7 +19,8 @@ def by_ids(requests: DataFrame, table: DataFrame, columns: dict[str, str]) -> Da
 
 
 def joined_names(bridge: DataFrame, key: str, name: str, out: str, sep: str = ", ") -> DataFrame:
-    """One text of all names of each key, sorted, as the order would else be left to chance."""
+    """One text of all names of each key, sorted, as the order would else be left to chance. The text holds them all, so a
+    key has no more names than one row can hold."""
     listed = F.array_join(F.sort_array(F.collect_list(name)), sep)
     return bridge.groupBy(key).agg(listed.alias(out))
 

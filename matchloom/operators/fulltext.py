@@ -11,22 +11,30 @@ from matchloom.functions import text as T
 from matchloom.operators.match import top_k
 from matchloom.operators.match import _texts, similar_texts
 from matchloom.policy import POLICY
+from matchloom.storage import staged
 
 # What a hit counts by the column it is in.
 WEIGHTS = {"label": 1.0, "abbreviation": 0.4, "description": 0.2}
 
 
 def corpus(parts: list[tuple[DataFrame, str, str, str, str]]) -> DataFrame:
-    """table_name, entity_name, column_name, system_id, value, column_type, value_norm of all non-null values, each once.
+    """table_name, entity_name, column_name, system_id, value, column_type, value_norm, value_id of all non-null values, each
+    once.
 
     parts: (table, table name, key column, value column, column type).
     """
     rows = [df.select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.col(k).cast("long").alias("system_id"), F.col(c).cast("string").alias("value"), F.lit(kind).alias("column_type")).filter("value IS NOT NULL") for df, t, k, c, kind in parts]
     out = reduce(DataFrame.unionByName, rows).distinct()
-    return out.withColumn("entity_name", T.entity_name(F.col("table_name"))).withColumn("value_norm", T.normalise(F.col("value")))
+    return out.withColumn("entity_name", T.entity_name(F.col("table_name"))).withColumn("value_norm", T.normalise(F.col("value"))).withColumn("value_id", F.xxhash64("value"))
 
 
-KEY = ["table_name", "column_name", "system_id", "value"]
+#: What tells rows of the corpus apart; values, which may be whole texts, are fetched for the rows that are left.
+KEY = ["table_name", "column_name", "system_id", "value_id"]
+
+
+def with_values(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """found with the values of its corpus rows in place of their value_id."""
+    return found.join(rows.select(*KEY, "value"), KEY).drop("value_id")
 
 
 def tokens(rows: DataFrame) -> DataFrame:
@@ -65,27 +73,45 @@ def candidates(parsed: DataFrame, toks: DataFrame) -> DataFrame:
     return probes.join(toks.select("lexeme", *KEY), "lexeme").select("query_id", *KEY).distinct()
 
 
+def cover_density(cells: Column, clauses: Column) -> Column:
+    """Sum over the minimal covers of a row's hits: 1 / (1 + words in the cover that are no hit).
+
+    cells: array of (pos, cs: the clauses hit there) by pos; clauses: all that must be hit. A minimal cover hits every
+    clause and holds no smaller range that does. One ends at each place where the earliest of the latest hits of all
+    clauses moves, and begins at that hit.
+    """
+
+    def step(state: Column, cell: Column) -> Column:
+        latest = F.transform(clauses, lambda c, j: F.when(F.array_contains(cell.cs, c), state.i).otherwise(F.get(state.latest, j)))
+        least = F.array_min(latest)
+        noise = cell.pos - F.get(cells, least).pos - (state.i - least)
+        more = F.when(least > state.least, 1.0 / (1 + noise)).otherwise(0.0)
+        return F.struct(latest.alias("latest"), least.alias("least"), (state.i + 1).alias("i"), (state.total + more).alias("total"))
+
+    none = F.lit(-1)
+    start = F.struct(F.transform(clauses, lambda c: none).alias("latest"), none.alias("least"), F.lit(0).alias("i"), F.lit(0.0).alias("total"))
+    return F.aggregate(cells, start, step, lambda state: state.total)
+
+
 def hits(parsed: DataFrame, toks: DataFrame) -> DataFrame:
-    """query_id and the keys of the rows that satisfy the query, with rank.
+    """query_id and the keys of the rows that satisfy the query, with rank: the row's weight times its cover density.
 
-    Rank: for one word, its weights summed over its positions; for several, the covers of clauses: each run between
-    neighbouring hits of different clauses counts the mean weight divided by its length.
+    A phrase hits where it begins. Of the corpus only the words that some query asks for go further; they are staged, as
+    they are used three times.
     """
+    toks = staged(toks.join(parsed.select("lexeme").distinct(), "lexeme", "left_semi"), "tokens")
     met = candidates(parsed, toks).join(toks, KEY).join(parsed, ["query_id", "lexeme"])
     # a phrase is met where all its words follow each other
     whole = met.groupBy("query_id", "clause", "part", "negated", "size", *KEY, (F.col("pos") - F.col("place")).alias("pos")).agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
     found = whole.filter("n = size")
-    asked = parsed.filter(~F.col("negated")).groupBy("query_id").agg(F.countDistinct("clause").alias("clauses"))
-    good = found.filter(~F.col("negated"))
-    per_row = good.groupBy("query_id", *KEY).agg(F.countDistinct("clause").alias("met")).join(asked, "query_id").filter("met = clauses")
+    asked = parsed.filter(~F.col("negated")).groupBy("query_id").agg(F.sort_array(F.collect_set("clause")).alias("clauses"))
     bad = found.filter("negated").select("query_id", *KEY).distinct()
-    rows = per_row.select("query_id", *KEY, "clauses").join(bad, ["query_id", *KEY], "left_anti")
-    order = Window.partitionBy("query_id", *KEY).orderBy("pos", "clause")
-    places = good.join(rows, ["query_id", *KEY])
-    places = places.withColumn("p0", F.lag("pos").over(order)).withColumn("c0", F.lag("clause").over(order)).withColumn("w0", F.lag("weight").over(order))
-    cover = F.when((F.col("c0") != F.col("clause")) & (F.col("pos") > F.col("p0")), (F.col("weight") + F.col("w0")) / 2 / (F.col("pos") - F.col("p0"))).otherwise(0.0)
-    share = F.when(F.col("clauses") == 1, F.col("weight")).otherwise(cover)
-    return places.groupBy("query_id", *KEY).agg(F.sum(share).alias("rank"))
+    places = found.filter(~F.col("negated")).groupBy("query_id", *KEY, "pos").agg(F.collect_set("clause").alias("cs"), F.max("weight").alias("weight"))
+    # hits of the words of one query in one row: no more than the row has words
+    rows = places.groupBy("query_id", *KEY).agg(F.sort_array(F.collect_list(F.struct("pos", "cs"))).alias("cells"), F.max("weight").alias("weight"))
+    rows = rows.join(bad, ["query_id", *KEY], "left_anti").join(asked, "query_id")
+    met_all = F.size(F.array_distinct(F.flatten("cells.cs"))) == F.size("clauses")
+    return rows.filter(met_all).select("query_id", *KEY, (F.col("weight") * cover_density(F.col("cells"), F.col("clauses"))).alias("rank"))
 
 
 def row_score(rank: Column, sim: Column, weight: float = POLICY.trigram_weight) -> Column:
@@ -111,9 +137,9 @@ def scored(queries: DataFrame, rows: DataFrame, toks: DataFrame | None = None, *
 def entity_types(queries: DataFrame, rows: DataFrame, *, limit: int = POLICY.limit, alphabetical: bool = False, threshold: float = POLICY.similarity) -> DataFrame:
     """The best corpus row of each table for each query, then the tables of best score (or the first by name)."""
     found = scored(queries, rows, threshold=threshold)
-    one = top_k(found, 1, ["query_id", "table_name"], [F.desc("row_score"), F.col("column_name"), F.col("value"), F.col("system_id")])
+    one = top_k(found, 1, ["query_id", "table_name"], [F.desc("row_score"), F.col("column_name"), F.col("system_id"), F.col("value_id")])
     order = [F.col("table_name")] if alphabetical else [F.desc("row_score"), F.col("table_name")]
-    out = top_k(one, limit, ["query_id"], order, rank="rank")
+    out = with_values(top_k(one, limit, ["query_id"], order, rank="rank"), rows)
     return out.withColumn("fts_rank", F.coalesce("fts_rank", F.lit(0.0))).withColumn("trigram_sim", F.coalesce("trigram_sim", F.lit(0.0)))
 
 
@@ -126,4 +152,4 @@ def table_scores(queries: DataFrame, rows: DataFrame, *, limit: int = 5, thresho
 
 def search(queries: DataFrame, rows: DataFrame, *, limit: int = 20) -> DataFrame:
     """Corpus rows by full-text rank."""
-    return top_k(hits(terms(queries), tokens(rows)), limit, ["query_id"], [F.desc("rank"), *map(F.col, KEY)], rank="place")
+    return with_values(top_k(hits(terms(queries), tokens(rows)), limit, ["query_id"], [F.desc("rank"), *map(F.col, KEY)], rank="place"), rows)

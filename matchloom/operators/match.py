@@ -27,9 +27,16 @@ def _texts(df: DataFrame, column: str) -> DataFrame:
     return grams.filter(F.size("grams") > 0)
 
 
+#: The most frequent trigrams, so many at most, are joined by a broadcast: they would else be hot keys of a shuffle.
+HOT_GRAMS = 1000
+
+
 def _probes(texts: DataFrame, frequency: DataFrame, keep: Column) -> DataFrame:
     """The keep rarest trigrams of each text, ties by the trigram itself."""
-    ranked = texts.select("t", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(frequency, "gram", "left")
+    each = texts.select("t", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    hot = F.broadcast(frequency.orderBy(F.desc("frequency"), "gram").limit(HOT_GRAMS))
+    rest = each.join(hot.select("gram"), "gram", "left_anti").join(frequency, "gram", "left")
+    ranked = each.join(hot, "gram").unionByName(rest)
     place = F.row_number().over(Window.partitionBy("t").orderBy(F.coalesce("frequency", F.lit(0)), "gram"))
     return ranked.withColumn("place", place).filter(F.col("place") <= keep).select("t", "n", "gram")
 
@@ -41,6 +48,10 @@ def similar_texts(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     and their sizes differ by the factor t at most; so few trigrams are joined, the frequent ones seldom, and none that
     could match is lost. The pairs are then measured on whole sets. threshold > 0.
     """
+    # texts of other sizes match nothing: few sizes, as texts on the left have few
+    n = F.size("grams")
+    sizes = left.select(n.alias("n")).distinct().select(F.explode(F.sequence(F.ceil(F.col("n") * threshold - EPS).cast("int"), F.floor(F.col("n") / threshold + EPS).cast("int"))).alias("n")).distinct()
+    right = right.withColumn("n", n).join(sizes, "n", "left_semi").drop("n")
     frequency = right.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("frequency"))
     keep = F.col("n") - F.ceil(F.col("n") * threshold - EPS) + 1
     a = _probes(left, frequency, keep).select("gram", F.col("t").alias("left_text"), F.col("n").alias("na"))
@@ -56,18 +67,17 @@ def contained_texts(needles: DataFrame, haystacks: DataFrame, threshold: float,
     """Pairs (right_text = needle, left_text = haystack, sim) by (strict) word similarity.
 
     A run of the haystack with similarity t holds ceil(t n) of the needle's n trigrams, so one of the needle's
-    n - ceil(t n) + 1 rarest trigrams occurs in the haystack.
+    n - ceil(t n) + 1 rarest trigrams occurs in the haystack. Pairs that share too few are dropped before any run is
+    measured. threshold > 0.
     """
     frequency = haystacks.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("frequency"))
     keep = F.col("n") - F.ceil(F.col("n") * threshold - EPS) + 1
     a = _probes(needles, frequency, keep).select("gram", F.col("t").alias("right_text"))
     b = haystacks.select(F.col("t").alias("left_text"), F.explode("grams").alias("gram"))
     pairs = a.join(b, "gram").select("left_text", "right_text").distinct()
-    enough = pairs.join(needles.select(F.col("t").alias("right_text"), F.col("grams").alias("ga")), "right_text")
-    enough = enough.join(haystacks.select(F.col("t").alias("left_text"), F.col("grams").alias("gb")), "left_text")
-    enough = enough.filter(F.size(F.array_intersect("ga", "gb")) >= F.ceil(F.size("ga") * threshold - EPS))
-    measured = T.with_word_similarity(enough.select("left_text", "right_text"), "right_text", "left_text", strict=strict)
-    return measured.filter(F.col("sim") >= threshold - EPS)
+    both = pairs.join(needles.select(F.col("t").alias("right_text"), F.col("grams").alias("own")), "right_text")
+    both = both.join(haystacks.select(F.col("t").alias("left_text"), *T.ordered_pieces(F.col("t"))), "left_text")
+    return T.with_best_runs(both, threshold, strict=strict).select("left_text", "right_text", "sim")
 
 
 def fuzzy(queries: DataFrame, authority: DataFrame, *, threshold: float = POLICY.similarity, limit: int = POLICY.limit, mode: str = "similarity", field: str = "label", normalise: bool = True, floor: bool = True, needle: str = "column") -> DataFrame:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from matchloom.operators.match import top_k
 
@@ -42,12 +43,25 @@ def union_distinct(*projections: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, projections).distinct()
 
 
+def usable_prefixes(prefixes: DataFrame, column: str = "query") -> DataFrame:
+    """Prefixes of two characters at least; shorter and null ones suggest nothing."""
+    return prefixes.filter(F.length(column) >= 2)
+
+
+def types_by_name(types: DataFrame) -> DataFrame:
+    """types (id, name: entity types, a few rows) with place: from 1 by name, then id."""
+    return types.withColumn("place", F.row_number().over(Window.orderBy("name", "id")))
+
+
 def suggested(rows: DataFrame, limit: int, *, type_order: list[str], early_stop: bool = False) -> DataFrame:
     """Best rows over all entity types of each prefix, with rank.
 
-    rows: prefix_id, entity_type, entity_id, label, name_sim. early_stop: types count in the given order, and those
+    rows: prefix_id, entity_type, entity_id, label, name_sim; those whose entity_id is null, 0 or empty, or whose label is
+    null or empty, are left out. early_stop: types count in the given order, and those
     after the one that fills the limit are left out, as a search that goes from type to type would.
     """
+    text = isinstance(rows.schema["entity_id"].dataType, S.StringType)
+    rows = rows.filter((F.col("entity_id") != F.lit("" if text else 0)) & (F.col("label") != ""))
     if early_stop:
         per_type = rows.groupBy("prefix_id", "entity_type").agg(F.count("*").alias("n"))
         place = F.array_position(F.lit(type_order), F.col("entity_type"))

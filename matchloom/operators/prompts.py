@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from matchloom.functions import text as T
 from matchloom.operators.match import fuzzy_modification_types, top_k
@@ -16,17 +17,20 @@ CANDIDATE = "struct<id:string,value:string,score:double,reasons:array<string>>"
 ANSWER = f"array<struct<input_id:string,input_value:string,candidates:array<{CANDIDATE}>>>"
 
 
-def statistics(columns: list[str]) -> list[Column]:
-    """Aggregates for the choice of a format: rows, and characters of all values (null counts 4)."""
-    return [F.count("*").alias("n_rows"), F.sum(sum(F.coalesce(F.length(F.col(c).cast("string")), F.lit(4)) for c in columns)).alias("total_chars")]
+def statistics(rows: DataFrame, columns: list[str]) -> list[Column]:
+    """Aggregates for the choice of a format: rows, characters of all values (null counts 4), and whether any value is an
+    array, a map or a struct."""
+    nested = [c for c in columns if isinstance(rows.schema[c].dataType, (S.ArrayType, S.MapType, S.StructType))]
+    any_nested = F.coalesce(F.max(F.greatest(F.lit(False), *(F.col(c).isNotNull() for c in nested))), F.lit(False)) if nested else F.lit(False)
+    chars = sum(F.coalesce(F.length(F.col(c).cast("string")), F.lit(4)) for c in columns)
+    return [F.count("*").alias("n_rows"), F.sum(chars).alias("total_chars"), any_nested.alias("has_non_scalar")]
 
 
-def chosen_format(n_rows: Column, total_chars: Column, *, has_non_scalar: bool = False, target: str = "auto") -> Column:
+def chosen_format(n_rows: Column, total_chars: Column, has_non_scalar: Column | None = None, *, target: str = "auto") -> Column:
     if target != "auto":
         return F.lit(target.lower())
-    if has_non_scalar:
-        return F.lit("json")
-    return F.when(n_rows > 200, "json").when((n_rows <= 50) & (total_chars <= 20_000), "markdown").otherwise("csv")
+    nested = F.lit(False) if has_non_scalar is None else has_non_scalar
+    return F.when(nested | (n_rows > 200), "json").when((n_rows <= 50) & (total_chars <= 20_000), "markdown").otherwise("csv")
 
 
 def markdown_line(columns: list[str]) -> Column:
@@ -46,9 +50,13 @@ def csv_line(columns: list[str], sep: str = "|") -> Column:
 
 
 def formatted(rows: DataFrame, columns: list[str], order: str, *, by: list[str] | None = None, sep: str = "|", target: str = "auto") -> DataFrame:
-    """(by..., format, table): rows of each group as markdown, delimited text or JSON, sorted by order."""
+    """(by..., format, table): rows of each group as markdown, delimited text or JSON, sorted by order.
+
+    A group becomes one text in one task, so groups have a bounded size: give tables that grow a batch number in by.
+    """
     lines = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), markdown_line(columns).alias("md"), csv_line(columns, sep).alias("csv"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("js"))))
-    grouped = rows.groupBy(*(by or [])).agg(*statistics(columns), lines.alias("lines")).withColumn("format", chosen_format(F.col("n_rows"), F.col("total_chars"), target=target))
+    grouped = rows.groupBy(*(by or [])).agg(*statistics(rows, columns), lines.alias("lines"))
+    grouped = grouped.withColumn("format", chosen_format(F.col("n_rows"), F.col("total_chars"), F.col("has_non_scalar"), target=target))
     part = lambda name: F.transform("lines", lambda x: x[name])
     head = "| " + " | ".join(columns) + " |\n| " + " | ".join("---" for _ in columns) + " |"
     markdown = F.array_join(F.concat(F.array(F.lit(head)), part("md")), "\n")
@@ -58,18 +66,25 @@ def formatted(rows: DataFrame, columns: list[str], order: str, *, by: list[str]
     return grouped.select(*(by or []), "format", table.alias("table"))
 
 
-def lookup_lines(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """One text: 'id, label, description' lines by order."""
+def lookup_lines(rows: DataFrame, columns: list[str], order: str, *, by: list[str] | None = None) -> DataFrame:
+    """(by..., lookup): 'id, label, description' lines by order, one text for each group; groups have a bounded size."""
     listed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.concat_ws(", ", *(F.col(c).cast("string") for c in columns)).alias("l"))))
-    return rows.agg(F.array_join(F.transform(listed, lambda x: x.l), "\n").alias("lookup"))
+    return rows.groupBy(*(by or [])).agg(F.array_join(F.transform(listed, lambda x: x.l), "\n").alias("lookup"))
 
 
 TEMPLATE = "Match each input to a controlled list of {entity_type}.\nAnswer with JSON only.\n\nContext:\n{context}\n\nList ({format}):\n{lookup}\n\nInputs:\n{data}\n"
 
 
+#: Most characters of a controlled list that goes into every prompt.
+LOOKUP_CHARS = 1 << 20
+
+
 def prompts(queries: DataFrame, lookup: DataFrame, *, entity_type: str, context: str, template: str = TEMPLATE) -> DataFrame:
-    """query_id, prompt. lookup: the one row of formatted(); a controlled list is small enough to go to every task."""
-    format_, table = lookup.select("format", "table").first()
+    """query_id, prompt. lookup: the one row of formatted(); a longer one than LOOKUP_CHARS is an error."""
+    fits = F.length("table") <= LOOKUP_CHARS
+    format_, table = lookup.select("format", F.when(fits, F.col("table"))).first()
+    if table is None:
+        raise ValueError("the controlled list is too long for a prompt")
     data = F.concat(F.lit("| input_id | input_value |\n| --- | --- |\n| 1 | "), F.replace(F.replace("query", F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("↩")), F.lit(" |"))
     fixed = template.replace("{entity_type}", entity_type).replace("{context}", context).replace("{format}", format_.upper()).replace("{lookup}", table)
     before, _, after = fixed.partition("{data}")

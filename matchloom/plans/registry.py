@@ -9,7 +9,7 @@ from matchloom.operators import cascades, details, exact, fulltext, gazetteer, m
 from matchloom.plans import roles, sql
 from matchloom.plans.roles import table
 from matchloom.policy import POLICY
-from matchloom.sources import batches
+from matchloom.sources import authority, batches
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -44,10 +44,11 @@ def trigram_set(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.sort_array(T.trigrams(F.col("p_name"))), "|").alias("grams"))
 
 
-@query(f"WITH t AS (SELECT DISTINCT p_name AS t, {sql.trigrams('p_name')} AS g FROM part) SELECT a.t AS left_text, b.t AS right_text, round({sql.jaccard('a.g', 'b.g')}, 6) AS sim FROM t a JOIN t b ON {sql.jaccard('a.g', 'b.g')} >= 0.3")
+@query(f"WITH t AS (SELECT DISTINCT p_name AS t, {sql.trigrams('p_name')} AS g FROM part) SELECT a.t AS left_text, b.t AS right_text, round({sql.jaccard('a.g', 'b.g')}, 6) AS sim FROM t a JOIN t b ON a.t < b.t AND {sql.jaccard('a.g', 'b.g')} >= 0.3")
 def similarity_pairs(spark, sf_dir):
+    """Each pair of different texts once, the smaller text on the left."""
     texts = match._texts(table(spark, sf_dir, "part"), "p_name")
-    return rounded(match.similar_texts(texts, texts, 0.3), "sim")
+    return rounded(match.similar_texts(texts, texts, 0.3).filter("left_text < right_text"), "sim")
 
 
 @query(f"SELECT {FUZZY} FROM {sql.fuzzy(sql.PART_QUERIES, sql.PARTS)}")
@@ -202,21 +203,31 @@ def details_sampling_context(spark, sf_dir):
 
 @query(f"SELECT table_name, replace(table_name, 'tbl_', '') AS entity_name, column_name, system_id, value, column_type, {sql.norm('value')} AS value_norm FROM {sql.CORPUS}")
 def fts_corpus(spark, sf_dir):
-    return roles.search_corpus(spark, sf_dir)
-
-
-TOKENS = f"(SELECT table_name, column_name, system_id, value, CASE column_type WHEN 'label' THEN 1.0 WHEN 'abbreviation' THEN 0.4 ELSE 0.2 END AS weight, unnest(ws) AS lexeme, generate_subscripts(ws, 1) AS pos FROM (SELECT *, {sql.words(sql.norm('value'))} AS ws FROM {sql.CORPUS}))"
-# queries without quotes, `or` and minus: all words must occur; a piece split by punctuation is a phrase
-PIECES = f"(SELECT query_id, part, unnest(ws) AS lexeme, generate_subscripts(ws, 1) - 1 AS place, len(ws) AS size FROM (SELECT query_id, part, {sql.words('piece')} AS ws FROM (SELECT query_id, unnest(p) AS piece, generate_subscripts(p, 1) AS part FROM (SELECT query_id, string_split({sql.norm('query')}, ' ') AS p FROM {sql.CORPUS_QUERIES}))))"
-HITS = f"""tk AS MATERIALIZED {TOKENS}, pc AS MATERIALIZED {PIECES},
-    ph AS (SELECT query_id, part, table_name, column_name, system_id, value, pos - place AS pos, max(weight) AS weight FROM pc JOIN tk USING (lexeme) GROUP BY ALL HAVING count(*) = max(size)),
-    n AS (SELECT query_id, count(DISTINCT part) AS clauses FROM pc GROUP BY 1),
-    ok AS (SELECT query_id, table_name, column_name, system_id, value, max(clauses) AS clauses FROM ph JOIN n USING (query_id) GROUP BY 1, 2, 3, 4, 5 HAVING count(DISTINCT part) = max(clauses)),
-    lg AS (SELECT ph.*, clauses, lag(pos) OVER w AS p0, lag(part) OVER w AS c0, lag(weight) OVER w AS w0 FROM ph JOIN ok USING (query_id, table_name, column_name, system_id, value) WINDOW w AS (PARTITION BY query_id, table_name, column_name, system_id, value ORDER BY pos, part)),
-    hits AS MATERIALIZED (SELECT query_id, table_name, column_name, system_id, value, CAST(sum(CASE WHEN clauses = 1 THEN weight WHEN c0 <> part AND pos > p0 THEN (weight + w0) / 2 / (pos - p0) ELSE 0 END) AS DOUBLE) AS fts_rank FROM lg GROUP BY 1, 2, 3, 4, 5)"""
-
-
-@query(f"WITH {HITS} SELECT query_id, table_name, column_name, system_id, value, round(fts_rank, 6) AS rank, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fts_rank DESC, table_name, column_name, system_id, value) AS INTEGER) AS place FROM hits) WHERE place <= 20")
+    return roles.search_corpus(spark, sf_dir).drop("value_id")
+
+
+# words of values by a digest of the value; queries as clauses, written from how they are made
+TOKENS = f"(SELECT table_name, column_name, system_id, vid, weight, unnest(ws) AS lexeme, generate_subscripts(ws, 1) AS pos FROM (SELECT table_name, column_name, system_id, md5(value) AS vid, CASE column_type WHEN 'label' THEN 1.0 WHEN 'abbreviation' THEN 0.4 ELSE 0.2 END AS weight, {sql.words(sql.norm('value'))} AS ws FROM {sql.CORPUS}))"
+PLAIN_PIECES = f"SELECT query AS query_id, part AS clause, part, false AS negated, unnest(ws) AS lexeme, generate_subscripts(ws, 1) - 1 AS place, len(ws) AS size FROM (SELECT query, part, {sql.words('piece')} AS ws FROM (SELECT query, unnest(p) AS piece, generate_subscripts(p, 1) AS part FROM (SELECT query, string_split({sql.norm('query')}, ' ') AS p FROM ({sql.PLAIN_SEARCHES}))))"
+PIECES = f"""({PLAIN_PIECES}
+    UNION ALL SELECT '"' || p_name || '"', 1, 1, false, a, 0, 2 FROM {sql.NAME_WORDS} UNION ALL SELECT '"' || p_name || '"', 1, 1, false, b, 1, 2 FROM {sql.NAME_WORDS}
+    UNION ALL SELECT a || ' or ' || b, 1, 1, false, a, 0, 1 FROM {sql.NAME_WORDS} UNION ALL SELECT a || ' or ' || b, 1, 2, false, b, 0, 1 FROM {sql.NAME_WORDS}
+    UNION ALL SELECT b || ' -' || a, 1, 1, false, b, 0, 1 FROM {sql.NAME_WORDS} UNION ALL SELECT b || ' -' || a, 2, 2, true, a, 0, 1 FROM {sql.NAME_WORDS})"""
+ROW = "query_id, table_name, column_name, system_id, vid"
+# covers by definition: pairs of hits between which every clause is hit, though not without either end
+HITS = f"""pc AS MATERIALIZED {PIECES}, tk AS MATERIALIZED (SELECT * FROM {TOKENS} WHERE lexeme IN (SELECT lexeme FROM pc)),
+    ph AS (SELECT query_id, clause, part, negated, table_name, column_name, system_id, vid, pos - place AS pos, max(weight) AS weight FROM pc JOIN tk USING (lexeme) GROUP BY ALL HAVING count(*) = max(size)),
+    n AS (SELECT query_id, count(DISTINCT clause) AS clauses FROM pc WHERE NOT negated GROUP BY 1),
+    ok AS (SELECT {ROW}, max(clauses) AS clauses FROM ph JOIN n USING (query_id) WHERE NOT negated GROUP BY ALL HAVING count(DISTINCT clause) = max(clauses)),
+    good AS MATERIALIZED (SELECT DISTINCT {ROW}, clause, pos, weight, clauses FROM ph JOIN ok USING ({ROW}) WHERE NOT negated AND ({ROW}) NOT IN (SELECT ({ROW}) FROM ph WHERE negated)),
+    ends AS (SELECT DISTINCT {ROW}, pos FROM good),
+    covers AS (SELECT {ROW}, a.pos AS p, b.pos AS q, max(weight) AS weight, count(DISTINCT c.pos) AS entries FROM ends a JOIN ends b USING ({ROW}) JOIN good c USING ({ROW}) WHERE a.pos <= b.pos AND c.pos BETWEEN a.pos AND b.pos GROUP BY ALL
+        HAVING count(DISTINCT c.clause) = max(clauses) AND count(DISTINCT CASE WHEN c.pos > a.pos THEN c.clause END) < max(clauses) AND count(DISTINCT CASE WHEN c.pos < b.pos THEN c.clause END) < max(clauses)),
+    hits AS MATERIALIZED (SELECT {ROW}, CAST(sum(weight / (1 + (q - p + 1) - entries)) AS DOUBLE) AS fts_rank FROM covers GROUP BY ALL),
+    vals AS MATERIALIZED (SELECT md5(value) AS vid, any_value(value) AS value FROM {sql.CORPUS} GROUP BY 1)"""
+
+
+@query(f"WITH {HITS} SELECT query_id, table_name, column_name, system_id, value, round(fts_rank, 6) AS rank, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(fts_rank, 9) DESC, table_name, column_name, system_id) AS INTEGER) AS place FROM hits) JOIN vals USING (vid) WHERE place <= 20")
 def fts_rank(spark, sf_dir):
     return rounded(fulltext.search(roles.corpus_queries(spark, sf_dir), roles.search_corpus(spark, sf_dir)), "rank")
 
@@ -224,12 +235,13 @@ def fts_rank(spark, sf_dir):
 SCORED = f"""{HITS}, qs AS (SELECT query_id, {sql.trigrams(sql.norm('query'))} AS g FROM {sql.CORPUS_QUERIES}),
     cs AS (SELECT v.value, {sql.trigrams(sql.norm('v.value'))} AS g FROM (SELECT DISTINCT value FROM {sql.CORPUS}) v),
     vs AS (SELECT query_id, value, {sql.jaccard('qs.g', 'cs.g')} AS trigram_sim FROM qs JOIN cs ON {sql.jaccard('qs.g', 'cs.g')} >= 0.3),
-    near AS (SELECT query_id, table_name, column_name, system_id, value, trigram_sim FROM vs JOIN {sql.CORPUS} USING (value)),
-    scored AS MATERIALIZED (SELECT *, coalesce(fts_rank, 0) + 0.35 * coalesce(trigram_sim, 0) AS row_score FROM hits FULL JOIN near USING (query_id, table_name, column_name, system_id, value))"""
+    near AS (SELECT query_id, table_name, column_name, system_id, md5(value) AS vid, trigram_sim FROM vs JOIN {sql.CORPUS} USING (value)),
+    scored AS MATERIALIZED (SELECT *, coalesce(fts_rank, 0) + 0.35 * coalesce(trigram_sim, 0) AS row_score FROM hits FULL JOIN near USING ({ROW}))"""
+ONE = "SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, table_name ORDER BY round(row_score, 9) DESC, column_name, system_id) = 1"
 
 
-@query(f"""WITH {SCORED}, one AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, table_name ORDER BY row_score DESC, column_name, value, system_id) = 1)
-    SELECT query_id, table_name, column_name, system_id, value, round(coalesce(fts_rank, 0), 6) AS fts_rank, round(coalesce(trigram_sim, 0), 6) AS trigram_sim, round(row_score, 6) AS row_score, rank FROM {sql.top('one', 10, 'row_score DESC, table_name')}""")
+@query(f"""WITH {SCORED}, one AS ({ONE})
+    SELECT query_id, table_name, column_name, system_id, value, round(coalesce(fts_rank, 0), 6) AS fts_rank, round(coalesce(trigram_sim, 0), 6) AS trigram_sim, round(row_score, 6) AS row_score, rank FROM {sql.top('one', 10, 'round(row_score, 9) DESC, table_name')} JOIN vals USING (vid)""")
 def entity_type_discovery(spark, sf_dir):
     return rounded(fulltext.entity_types(roles.corpus_queries(spark, sf_dir), roles.search_corpus(spark, sf_dir)), "fts_rank", "trigram_sim", "row_score")
 
@@ -267,9 +279,35 @@ def gazetteer_search(spark, sf_dir):
 MD = "'| ' || n_nationkey || ' | ' || n_name || ' |'"
 
 
-@query(f"""SELECT n_regionkey, 'markdown' AS format, '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg({MD}, chr(10) ORDER BY n_nationkey) AS "table" FROM nation GROUP BY n_regionkey""")
+def part_lists(spark, sf_dir, size):
+    """Parts in lists by type and batches of keys, so that a list has `size` rows at most."""
+    return table(spark, sf_dir, "part").withColumn("batch", F.floor(F.col("p_partkey") / size))
+
+
+LISTED = ["p_partkey", "p_name"]
+
+
+@query("""SELECT p_type, p_partkey // 40 AS batch, 'markdown' AS format, '| p_partkey | p_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || p_partkey || ' | ' || p_name || ' |', chr(10) ORDER BY p_partkey) AS "table" FROM part GROUP BY 1, 2""")
 def prompt_format(spark, sf_dir):
-    return prompts.formatted(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name"], "n_nationkey", by=["n_regionkey"])
+    return prompts.formatted(part_lists(spark, sf_dir, 40), LISTED, "p_partkey", by=["p_type", "batch"])
+
+
+@query("""SELECT p_type, p_partkey // 150 AS batch, 'csv' AS format, 'p_partkey|p_name' || chr(10) || string_agg(p_partkey || '|' || p_name, chr(10) ORDER BY p_partkey) || chr(10) AS "table" FROM part GROUP BY 1, 2""")
+def prompt_format_csv(spark, sf_dir):
+    return prompts.formatted(part_lists(spark, sf_dir, 150), LISTED, "p_partkey", by=["p_type", "batch"], target="csv")
+
+
+@query("""SELECT p_partkey // 400 AS batch, CASE WHEN count(*) > 200 THEN 'json' WHEN count(*) > 50 THEN 'csv' ELSE 'markdown' END AS format,
+    CASE WHEN count(*) > 200 THEN '[' || string_agg('{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '"}', ',' ORDER BY p_partkey) || ']' WHEN count(*) > 50 THEN 'p_partkey|p_name' || chr(10) || string_agg(p_partkey || '|' || p_name, chr(10) ORDER BY p_partkey) || chr(10)
+    ELSE '| p_partkey | p_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || p_partkey || ' | ' || p_name || ' |', chr(10) ORDER BY p_partkey) END AS "table" FROM part GROUP BY 1""")
+def prompt_format_chosen(spark, sf_dir):
+    return prompts.formatted(part_lists(spark, sf_dir, 400), LISTED, "p_partkey", by=["batch"])
+
+
+@query("""SELECT p_type, p_partkey // 40 AS batch, 'json' AS format, '[' || string_agg('{"p_partkey":' || p_partkey || ',"marks":["' || p_name || '","' || p_brand || '"]}', ',' ORDER BY p_partkey) || ']' AS "table" FROM part GROUP BY 1, 2""")
+def prompt_format_non_scalar(spark, sf_dir):
+    rows = part_lists(spark, sf_dir, 40).withColumn("marks", F.array("p_name", "p_brand"))
+    return prompts.formatted(rows, ["p_partkey", "marks"], "p_partkey", by=["p_type", "batch"])
 
 
 @query(f"""WITH l AS (SELECT '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg({MD}, chr(10) ORDER BY n_nationkey) AS t FROM nation)
@@ -280,9 +318,9 @@ def prompt_assembly(spark, sf_dir):
     return out.select("query_id", F.md5("prompt").alias("prompt_md5"))
 
 
-@query("SELECT string_agg(n_nationkey || ', ' || n_name, chr(10) ORDER BY n_nationkey) AS lookup FROM nation")
+@query("SELECT p_type, p_partkey // 200 AS batch, string_agg(p_partkey || ', ' || p_name || ', ' || p_brand, chr(10) ORDER BY p_partkey) AS lookup FROM part GROUP BY 1, 2")
 def lookup_lines(spark, sf_dir):
-    return prompts.lookup_lines(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name"], "n_nationkey")
+    return prompts.lookup_lines(part_lists(spark, sf_dir, 200), [*LISTED, "p_brand"], "p_partkey", by=["p_type", "batch"])
 
 
 @query("""SELECT doc_id AS query_id, CAST(doc_id AS VARCHAR) AS entity_id, 'v' || quality AS label, CASE WHEN doc_id % 10 = 3 THEN 1.5 ELSE 0.5 END::DOUBLE AS name_sim, CASE WHEN doc_id % 7 = 0 THEN 5 ELSE 2 END AS n_reasons, CAST(r AS INTEGER) AS rank
@@ -341,15 +379,15 @@ def result_nest(spark, sf_dir):
 
 
 SUGGEST_TYPES = ["part", "supplier", "nation"]
-PREFIXES = "(SELECT DISTINCT substr(p_name, 1, 7) AS query_id, substr(p_name, 1, 7) AS query FROM part WHERE length(substr(p_name, 1, 7)) >= 2 UNION SELECT substr(n_name, 1, 7), substr(n_name, 1, 7) FROM nation)"
-SUGGESTED = " UNION ALL ".join(f"SELECT query_id AS prefix_id, '{t}' AS entity_type, {i} AS type_no, entity_id, label, name_sim FROM {sql.fuzzy(PREFIXES, f'(SELECT {k} AS entity_id, {c} AS label FROM {t})')}" for i, (t, k, c) in enumerate((("part", "p_partkey", "p_name"), ("supplier", "s_suppkey", "s_name"), ("nation", "n_nationkey", "n_name"))))
+PREFIXES = "(SELECT DISTINCT query AS query_id, query FROM (SELECT substr(p_name, 1, 7) AS query FROM part UNION SELECT substr(n_name, 1, 7) FROM nation UNION SELECT substr(n_name, 1, 1) FROM nation) WHERE length(query) >= 2)"
+SUGGESTED = " UNION ALL ".join(f"SELECT query_id AS prefix_id, '{t}' AS entity_type, {i} AS type_no, entity_id, label, name_sim FROM {sql.fuzzy(PREFIXES, f'(SELECT {k} AS entity_id, {c} AS label FROM {t})')} WHERE entity_id <> 0 AND label <> ''" for i, (t, k, c) in enumerate((("part", "p_partkey", "p_name"), ("supplier", "s_suppkey", "s_name"), ("nation", "n_nationkey", "n_name"))))
 
 
 @query(f"SELECT prefix_id, entity_type, entity_id, label, round(name_sim, 6) AS name_sim, rank FROM {sql.top(f'({SUGGESTED})', 10, 'name_sim DESC, type_no, label, entity_id', 'prefix_id')}")
 def suggest_entities(spark, sf_dir):
     p, s, n = (table(spark, sf_dir, t) for t in SUGGEST_TYPES)
-    texts = p.select(F.substring("p_name", 1, 7).alias("query")).union(n.select(F.substring("n_name", 1, 7))).distinct().filter(F.length("query") >= 2)
-    asked = texts.select(F.col("query").alias("query_id"), "query")
+    texts = p.select(F.substring("p_name", 1, 7).alias("query")).union(n.select(F.substring("n_name", 1, 7))).union(n.select(F.substring("n_name", 1, 1))).distinct()
+    asked = merge.usable_prefixes(texts).select(F.col("query").alias("query_id"), "query")
     found = [match.fuzzy(asked, t.select(F.col(k).cast("long").alias("entity_id"), F.col(c).alias("label"))).select(F.col("query_id").alias("prefix_id"), F.lit(name).alias("entity_type"), "entity_id", "label", "name_sim") for t, name, k, c in ((p, "part", "p_partkey", "p_name"), (s, "supplier", "s_suppkey", "s_name"), (n, "nation", "n_nationkey", "n_name"))]
     return rounded(merge.suggested(found[0].unionByName(found[1]).unionByName(found[2]), 10, type_order=SUGGEST_TYPES), "name_sim")
 
@@ -400,15 +438,16 @@ def text_filter(spark, sf_dir):
     return table(spark, sf_dir, "part").filter(T.mentions(F.lit("Ring"), *columns) | T.mentions(F.lit("PROMO"), *columns[::2])).select("p_partkey")
 
 
-BRAND_OR_NAME = "(SELECT s_suppkey AS query_id, CASE WHEN s_suppkey % 3 = 0 THEN 'Brand#' || (s_suppkey % 40) ELSE p_name END AS query FROM supplier JOIN part ON p_partkey = s_suppkey)"
+BRAND_OR_NAME = "(SELECT min(p_partkey) * 2 AS query_id, p_brand AS query FROM part GROUP BY p_brand UNION ALL SELECT min(p_partkey) * 2 + 1, p_name FROM part GROUP BY p_name)"
 ALTERNATE = f"(SELECT query_id, min(entity_id) AS entity_id, arg_min(label, entity_id) AS label, 1.0::DOUBLE AS name_sim, 0 AS pass_no FROM (SELECT q.query_id, p.entity_id, p.label FROM {BRAND_OR_NAME} q JOIN {sql.PARTS} p ON p.national_id = q.query) GROUP BY query_id)"
 GENERIC = f"(SELECT * FROM (SELECT * FROM {ALTERNATE} UNION ALL SELECT query_id, entity_id, label, name_sim, 1 FROM {sql.fuzzy(BRAND_OR_NAME, sql.PARTS)}) QUALIFY row_number() OVER (PARTITION BY query_id, entity_id ORDER BY name_sim DESC, pass_no, label) = 1)"
 
 
 @query(f"SELECT query_id, entity_id, label, round(name_sim, 6) AS name_sim, rank FROM {sql.top(GENERIC, 10, 'name_sim DESC, pass_no, label, entity_id')}")
 def generic_find(spark, sf_dir):
-    k = F.col("s_suppkey")
-    asked = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "part"), k == F.col("p_partkey")).select(k.alias("query_id"), F.when(k % 3 == 0, F.concat(F.lit("Brand#"), (k % 40).cast("string"))).otherwise(F.col("p_name")).alias("query"))
+    least, part = F.min("p_partkey") * 2, table(spark, sf_dir, "part")
+    brands = part.groupBy("p_brand").agg(least.alias("query_id")).select("query_id", F.col("p_brand").alias("query"))
+    asked = brands.unionByName(part.groupBy("p_name").agg((least + 1).alias("query_id")).select("query_id", F.col("p_name").alias("query")))
     return rounded(cascades.generic(asked, roles.parts(spark, sf_dir), alternate="national_id"), "name_sim")
 
 
@@ -454,13 +493,13 @@ COUNTED = f"(SELECT *, sum(CASE WHEN true THEN 1 END) OVER (PARTITION BY prefix_
 @query(f"SELECT prefix_id, entity_type, entity_id, label, round(name_sim, 6) AS name_sim, rank FROM {sql.top(f'(SELECT * FROM {COUNTED} WHERE coalesce(before, 0) < 10)', 10, 'name_sim DESC, type_no, label, entity_id', 'prefix_id')}")
 def suggest_early_stop(spark, sf_dir):
     p, s, n = (table(spark, sf_dir, t) for t in SUGGEST_TYPES)
-    texts = p.select(F.substring("p_name", 1, 7).alias("query")).union(n.select(F.substring("n_name", 1, 7))).distinct().filter(F.length("query") >= 2)
-    asked = texts.select(F.col("query").alias("query_id"), "query")
+    texts = p.select(F.substring("p_name", 1, 7).alias("query")).union(n.select(F.substring("n_name", 1, 7))).union(n.select(F.substring("n_name", 1, 1))).distinct()
+    asked = merge.usable_prefixes(texts).select(F.col("query").alias("query_id"), "query")
     found = [match.fuzzy(asked, t.select(F.col(k).cast("long").alias("entity_id"), F.col(c).alias("label"))).select(F.col("query_id").alias("prefix_id"), F.lit(name).alias("entity_type"), "entity_id", "label", "name_sim") for t, name, k, c in ((p, "part", "p_partkey", "p_name"), (s, "supplier", "s_suppkey", "s_name"), (n, "nation", "n_nationkey", "n_name"))]
     return rounded(merge.suggested(found[0].unionByName(found[1]).unionByName(found[2]), 10, type_order=SUGGEST_TYPES, early_stop=True), "name_sim")
 
 
-@query(f"""WITH {SCORED}, one AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, table_name ORDER BY row_score DESC, column_name, value, system_id) = 1)
+@query(f"""WITH {SCORED}, one AS ({ONE})
     SELECT query_id, table_name, round(row_score, 6) AS row_score, rank FROM {sql.top('one', 2, 'table_name')}""")
 def entity_types_alphabetical(spark, sf_dir):
     rows = fulltext.entity_types(roles.corpus_queries(spark, sf_dir), roles.search_corpus(spark, sf_dir), limit=2, alphabetical=True)
@@ -469,8 +508,6 @@ def entity_types_alphabetical(spark, sf_dir):
 
 @query(f"SELECT 'part' AS entity_type, p_partkey AS entity_id, CAST(len(g) AS INTEGER) AS n_trgm, unnest(g) AS trigram FROM (SELECT p_partkey, {sql.trigrams(sql.norm('p_name'))} AS g FROM part)")
 def trigram_index(spark, sf_dir):
-    from matchloom.sources import authority
-
     return authority.trigram_index(authority.authority(table(spark, sf_dir, "part"), "part", "p_partkey", "p_name"))
 
 
@@ -501,3 +538,99 @@ def details_with_group(spark, sf_dir):
     groups = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("group_id"), "n_name")
     rows = details.with_group(requests(spark, sf_dir), methods, groups, "group_id")
     return details.by_ids(requests(spark, sf_dir), rows, {"entity_id": "ID", "s_name": "Name", "n_name": "Group"})
+
+
+@query("SELECT lower(p_type) AS id, upper(p_type[1]) || lower(p_type[2:]) AS name, CAST(row_number() OVER (ORDER BY upper(p_type[1]) || lower(p_type[2:]), lower(p_type)) AS INTEGER) AS place FROM (SELECT DISTINCT p_type FROM part)")
+def types_by_name(spark, sf_dir):
+    types = table(spark, sf_dir, "part").select(F.lower("p_type").alias("id"), F.initcap("p_type").alias("name")).distinct()
+    return merge.types_by_name(types)
+
+
+@query(f"SELECT {FUZZY} FROM {sql.fuzzy(sql.PART_QUERIES, f'(SELECT * FROM {sql.PARTS} WHERE location_type_id = 1)')}")
+def fuzzy_countries(spark, sf_dir):
+    return rounded(match.fuzzy_countries(roles.part_queries(spark, sf_dir), roles.parts(spark, sf_dir)), "name_sim")
+
+
+@query(f"SELECT {FUZZY} FROM {sql.fuzzy(sql.PART_QUERIES, f'(SELECT * FROM {sql.PARTS} WHERE location_type_id = 7)')}")
+def fuzzy_regions(spark, sf_dir):
+    return rounded(match.fuzzy_regions(roles.part_queries(spark, sf_dir), roles.parts(spark, sf_dir)), "name_sim")
+
+
+PART_TEXTS = "(SELECT p_partkey AS query_id, substr(p_name, 1, 2) || substr(p_name, 4) AS query FROM part)"
+FAILED = sql.fuzzy(f"(SELECT * FROM {PART_TEXTS} WHERE length(query) % 2 = 1)", "(SELECT min(p_partkey) AS entity_id, p_name AS label FROM part GROUP BY p_name)", floor=False, plain=True)
+
+
+def answer(prompt: str) -> str:
+    """Stands for a model: it answers prompts of even length, and fails on others."""
+    if len(prompt) % 2:
+        raise RuntimeError
+    return f'[{{"input_id": "1", "input_value": "{prompt}", "candidates": [{{"id": "9", "value": "{prompt}", "score": 0.5, "reasons": ["a", "b"]}}]}}]'
+
+
+@query(f"""SELECT query_id, '9' AS entity_id, query AS label, 0.5::DOUBLE AS name_sim, 2 AS n_reasons, 1 AS rank FROM {PART_TEXTS} WHERE length(query) % 2 = 0
+    UNION ALL SELECT query_id, CAST(entity_id AS VARCHAR), label, round(name_sim, 6), 0, rank FROM {FAILED}""")
+def completion_fallback(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    asked = p.select(F.col("p_partkey").alias("query_id"), F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 1000)).alias("query"))
+    names = p.groupBy(F.col("p_name").alias("label")).agg(F.min("p_partkey").alias("entity_id"))
+    rows = prompts.with_fallback(prompts.completed(asked.withColumn("prompt", F.col("query")), answer), names)
+    return rounded(rows.withColumn("n_reasons", F.size("reasons")).drop("reasons"), "name_sim")
+
+
+def source(entity: str, frm: str, columns: str, label: str) -> str:
+    return f"SELECT '{entity}' AS entity_type, {columns}, {sql.norm(label)} AS norm_label FROM {frm}"
+
+
+def renamed(spark, sf_dir, name, **columns):
+    """A given table with the columns of an authority table."""
+    return table(spark, sf_dir, name).select(*(F.expr(e).alias(c) for c, e in columns.items()))
+
+
+@query(source("site", "supplier", "s_suppkey AS entity_id, s_name AS label, s_suppkey / 7.0::DOUBLE AS latitude, s_acctbal AS longitude, CAST(s_nationkey AS VARCHAR) AS national_id, 'of nation ' || s_nationkey AS description", "s_name"))
+def source_sites(spark, sf_dir):
+    rows = renamed(spark, sf_dir, "supplier", site_id="s_suppkey", site_name="s_name", latitude="s_suppkey / 7.0D", longitude="s_acctbal", national_id="cast(s_nationkey AS string)", description="'of nation ' || s_nationkey")
+    return authority.sites(rows)
+
+
+@query(source("location", "customer JOIN region ON c_nationkey % 7 = r_regionkey", "c_custkey AS entity_id, c_name AS label, r_regionkey AS location_type_id, r_name AS location_type", "c_name"))
+def source_locations(spark, sf_dir):
+    rows = renamed(spark, sf_dir, "customer", location_id="c_custkey", location_name="c_name", location_type_id="c_nationkey % 7")
+    return authority.locations(rows, renamed(spark, sf_dir, "region", location_type_id="r_regionkey", location_type="r_name"))
+
+
+@query(source("feature_type", "part", "p_partkey AS entity_id, p_name AS label, p_type AS description", "p_name"))
+def source_feature_types(spark, sf_dir):
+    return authority.feature_types(renamed(spark, sf_dir, "part", feature_type_id="p_partkey", feature_type_name="p_name", description="p_type"))
+
+
+@query(source("method", "part", "p_partkey AS entity_id, p_name AS label, p_brand AS method_abbreviation, p_size AS method_group_id, p_type AS description", "p_name"))
+def source_methods(spark, sf_dir):
+    return authority.methods(renamed(spark, sf_dir, "part", method_id="p_partkey", method_name="p_name", method_abbreviation="p_brand", method_group_id="p_size", description="p_type"))
+
+
+@query(source("data_type", "orders", "o_orderkey AS entity_id, o_orderpriority AS label, o_custkey AS data_type_group_id, o_orderstatus AS definition", "o_orderpriority"))
+def source_data_types(spark, sf_dir):
+    return authority.data_types(renamed(spark, sf_dir, "orders", data_type_id="o_orderkey", data_type_name="o_orderpriority", data_type_group_id="o_custkey", definition="o_orderstatus"))
+
+
+@query(source("dimension", "part", "p_partkey AS entity_id, p_name AS label, p_brand AS dimension_abbreviation, p_size AS unit_id, p_size % 3 AS method_group_id", "p_name"))
+def source_dimensions(spark, sf_dir):
+    return authority.dimensions(renamed(spark, sf_dir, "part", dimension_id="p_partkey", dimension_name="p_name", dimension_abbreviation="p_brand", unit_id="p_size", method_group_id="p_size % 3"))
+
+
+@query(source("sampling_context", "documents WHERE source IS NOT NULL", "doc_id AS entity_id, source AS label, lang AS description", "source"))
+def source_sampling_contexts(spark, sf_dir):
+    return authority.sampling_contexts(renamed(spark, sf_dir, "documents", sampling_context_id="doc_id", sampling_context="source", description="lang"))
+
+
+@query(f"SELECT 'bibliographic_reference' AS entity_type, entity_id, full_reference AS label, full_reference, title, authors, bugs_reference, year, doi, isbn, {', '.join(f'{sql.norm(f)} AS norm_{f}' for f in match.FIELDS)} FROM {sql.REFERENCES}")
+def source_bibliography(spark, sf_dir):
+    return authority.bibliography(roles.references(spark, sf_dir).withColumnRenamed("entity_id", "biblio_id"))
+
+
+@query("SELECT geonameId, name, CASE WHEN geonameId % 2 = 0 THEN 'P' ELSE 'A' END AS fcl, population FROM (SELECT c_custkey AS geonameId, c_name AS name, (c_custkey * 37) % 100000 AS population FROM customer)")
+def source_gazetteer(spark, sf_dir):
+    k = F.col("c_custkey")
+    record = F.struct(k.alias("geonameId"), F.col("c_name").alias("name"), F.when(k % 2 == 0, "P").otherwise("A").alias("fcl"), ((k * 37) % 100000).alias("population"))
+    answers = table(spark, sf_dir, "customer").select(F.to_json(F.struct(F.array(record).alias("geonames"))).alias("value"))
+    return authority.gazetteer(answers).select("geonameId", "name", "fcl", "population")

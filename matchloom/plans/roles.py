@@ -53,34 +53,44 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select(
         k.alias("entity_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("full_reference"), F.col("p_name").alias("title"), F.col("p_type").alias("authors"),
-        F.concat(F.lit("bugs "), F.col("p_brand")).alias("bugs_reference"), (F.lit(1900) + F.col("p_size")).cast("string").alias("year"),
+        F.concat_ws(" ", F.lit("bugs"), "p_brand", "p_name", "p_size").alias("bugs_reference"), (F.lit(1900) + F.col("p_size")).cast("string").alias("year"),
         F.concat(F.lit("https://doi.org/10.1/P"), k.cast("string")).alias("doi"), F.concat(F.lit("978-"), k.cast("string"), F.lit("-x")).alias("isbn"),
     )
 
 
 def reference_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as reference queries, each with some of the properties."""
-    k = F.col("s_suppkey")
-    first = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("s_suppkey"), "p_name", "p_type", "p_brand", "p_size")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey").join(first, "s_suppkey")
-    when = lambda m, c: F.when(k % m == 0, c)
-    return s.select(
-        k.alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("query"), when(5, F.concat(F.lit("978 "), k.cast("string"), F.lit("X"))).alias("isbn"),
-        when(7, F.concat(F.lit(" http://doi.org/10.1/p"), k.cast("string"))).alias("doi"), when(3, F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("full_reference"),
-        when(4, F.col("p_name")).alias("title"), F.when((k % 4 == 0) | (k % 9 == 0), (F.lit(1900) + F.col("p_size")).cast("string")).alias("year"),
-        when(9, F.concat(F.col("p_type"), F.lit(" AND SONS"))).alias("authors"), when(11, F.concat(F.lit("bugs "), F.col("p_brand"))).alias("bugs_reference"),
+    """What every supplier asks for, in three kinds (the remainder of query_id by 3): 0, the first part that it ever
+    delivered, with all properties; 1, the last one as free text; 2, every distinct part name alone as free text."""
+    part, li = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    asked = li.groupBy("l_suppkey").agg(F.min("l_partkey").alias("first"), F.max("l_partkey").alias("last"))
+    k = F.col("p_partkey").cast("string")
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    whole = asked.join(part, F.col("first") == F.col("p_partkey")).select(
+        (F.col("l_suppkey") * 3).alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("query"), F.concat(F.lit("978 "), k, F.lit("X")).alias("isbn"), F.concat(F.lit(" http://doi.org/10.1/p"), k).alias("doi"),
+        F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("full_reference"), F.col("p_name").alias("title"), (F.lit(1900) + F.col("p_size")).cast("string").alias("year"),
+        F.concat(F.col("p_type"), F.lit(" AND SONS")).alias("authors"), F.concat_ws(" ", F.lit("bugs"), "p_brand", "p_name", "p_size").alias("bugs_reference"),
     )
+    rest = none("isbn", "doi", "full_reference", "title", "year", "authors", "bugs_reference")
+    free = asked.join(part, F.col("last") == F.col("p_partkey")).select((F.col("l_suppkey") * 3 + 1).alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("query"), *rest)
+    names = part.groupBy("p_name").agg((F.min("p_partkey") * 3 + 2).alias("query_id")).select("query_id", F.col("p_name").alias("query"), *rest)
+    return whole.unionByName(free).unionByName(names)
 
 
 def search_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, brands, types and references of parts, names of suppliers and nations, sources and whole texts of documents."""
     p, s, n, d = (table(spark, sf_dir, t) for t in ("part", "supplier", "nation", "documents"))
-    return corpus([(p, "tbl_part", "p_partkey", "p_name", "label"), (p, "tbl_part", "p_partkey", "p_brand", "abbreviation"), (p, "tbl_part", "p_partkey", "p_type", "description"), (s, "tbl_supplier", "s_suppkey", "s_name", "label"), (n, "tbl_nation", "n_nationkey", "n_name", "label"), (d, "tbl_documents", "doc_id", "source", "abbreviation")])
+    p = p.withColumn("reference", F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_name"))
+    columns = ((p, "tbl_part", "p_partkey", "p_name", "label"), (p, "tbl_part", "p_partkey", "p_brand", "abbreviation"), (p, "tbl_part", "p_partkey", "p_type", "description"), (p, "tbl_part", "p_partkey", "reference", "description"))
+    return corpus([*columns, (s, "tbl_supplier", "s_suppkey", "s_name", "label"), (n, "tbl_nation", "n_nationkey", "n_name", "label"), (d, "tbl_documents", "doc_id", "source", "abbreviation"), (d, "tbl_documents", "doc_id", "text", "description")])
 
 
 def corpus_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searches: the distinct part names, brands, and market segments."""
+    """Searches: the distinct part names, brands and market segments, names with types, and each name as a phrase, with
+    `or` between its two words, and its second word without its first."""
     p, c = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
-    texts = p.select(F.col("p_name").alias("query")).union(p.select("p_brand")).union(c.select("c_mktsegment")).distinct()
+    name, first, second = F.col("p_name"), F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    shapes = [name, F.col("p_brand"), F.concat_ws(" ", "p_name", "p_type"), F.concat(F.lit('"'), name, F.lit('"')), F.concat_ws(" or ", first, second), F.concat(second, F.lit(" -"), first)]
+    texts = p.select(F.explode(F.array(*shapes)).alias("query")).union(c.select("c_mktsegment")).distinct()
     return texts.select(F.col("query").alias("query_id"), "query")
 
 

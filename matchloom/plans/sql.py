@@ -50,17 +50,20 @@ PARTS = """(SELECT p_partkey AS entity_id, p_name AS label, p_brand AS national_
             55.0::DOUBLE + (p_partkey % 1000) / 100.0::DOUBLE AS latitude, 11.0::DOUBLE + (p_partkey % 700) / 100.0::DOUBLE AS longitude FROM part)"""
 BRIDGE = "(SELECT DISTINCT l_partkey AS entity_id, n_name AS location_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"
 REFERENCES = """(SELECT p_partkey AS entity_id, p_name || ' ' || p_type || ' ' || p_brand AS full_reference, p_name AS title, p_type AS authors,
-                 'bugs ' || p_brand AS bugs_reference, CAST(1900 + p_size AS VARCHAR) AS year, 'https://doi.org/10.1/P' || p_partkey AS doi, '978-' || p_partkey || '-x' AS isbn FROM part)"""
-REFERENCE_QUERIES = """(SELECT s_suppkey AS query_id, p_name || ' ' || p_type AS query, CASE WHEN s_suppkey % 5 = 0 THEN '978 ' || s_suppkey || 'X' END AS isbn,
-    CASE WHEN s_suppkey % 7 = 0 THEN ' http://doi.org/10.1/p' || s_suppkey END AS doi, CASE WHEN s_suppkey % 3 = 0 THEN p_name || ' ' || p_type || ' ' || p_brand END AS full_reference,
-    CASE WHEN s_suppkey % 4 = 0 THEN p_name END AS title, CASE WHEN s_suppkey % 4 = 0 OR s_suppkey % 9 = 0 THEN CAST(1900 + p_size AS VARCHAR) END AS year,
-    CASE WHEN s_suppkey % 9 = 0 THEN p_type || ' AND SONS' END AS authors, CASE WHEN s_suppkey % 11 = 0 THEN 'bugs ' || p_brand END AS bugs_reference
-    FROM supplier JOIN part ON s_suppkey = p_partkey)"""
+                 'bugs ' || p_brand || ' ' || p_name || ' ' || p_size AS bugs_reference, CAST(1900 + p_size AS VARCHAR) AS year, 'https://doi.org/10.1/P' || p_partkey AS doi, '978-' || p_partkey || '-x' AS isbn FROM part)"""
+NONE = "NULL::VARCHAR AS isbn, NULL::VARCHAR AS doi, NULL::VARCHAR AS full_reference, NULL::VARCHAR AS title, NULL::VARCHAR AS year, NULL::VARCHAR AS authors, NULL::VARCHAR AS bugs_reference"
+REFERENCE_QUERIES = f"""(SELECT l_suppkey * 3 AS query_id, p_name || ' ' || p_type AS query, '978 ' || p_partkey || 'X' AS isbn, ' http://doi.org/10.1/p' || p_partkey AS doi, p_name || ' ' || p_type || ' ' || p_brand AS full_reference,
+    p_name AS title, CAST(1900 + p_size AS VARCHAR) AS year, p_type || ' AND SONS' AS authors, 'bugs ' || p_brand || ' ' || p_name || ' ' || p_size AS bugs_reference FROM part JOIN (SELECT l_suppkey, min(l_partkey) AS k FROM lineitem GROUP BY 1) ON k = p_partkey
+    UNION ALL SELECT l_suppkey * 3 + 1, p_name || ' ' || p_type, {NONE} FROM part JOIN (SELECT l_suppkey, max(l_partkey) AS k FROM lineitem GROUP BY 1) ON k = p_partkey
+    UNION ALL SELECT min(p_partkey) * 3 + 2, p_name, {NONE} FROM part GROUP BY p_name)"""
 CORPUS = """(SELECT DISTINCT * FROM (SELECT 'tbl_part' AS table_name, 'p_name' AS column_name, p_partkey AS system_id, p_name AS value, 'label' AS column_type FROM part
     UNION ALL SELECT 'tbl_part', 'p_brand', p_partkey, p_brand, 'abbreviation' FROM part UNION ALL SELECT 'tbl_part', 'p_type', p_partkey, p_type, 'description' FROM part
-    UNION ALL SELECT 'tbl_supplier', 's_suppkey', s_suppkey, s_name, 'label' FROM supplier UNION ALL SELECT 'tbl_nation', 'n_name', n_nationkey, n_name, 'label' FROM nation
-    UNION ALL SELECT 'tbl_documents', 'source', doc_id, source, 'abbreviation' FROM documents) WHERE value IS NOT NULL)""".replace("'s_suppkey', s_suppkey, s_name", "'s_name', s_suppkey, s_name")
-CORPUS_QUERIES = "(SELECT DISTINCT query AS query_id, query FROM (SELECT p_name AS query FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT c_mktsegment FROM customer))"
+    UNION ALL SELECT 'tbl_part', 'reference', p_partkey, p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_name, 'description' FROM part
+    UNION ALL SELECT 'tbl_supplier', 's_name', s_suppkey, s_name, 'label' FROM supplier UNION ALL SELECT 'tbl_nation', 'n_name', n_nationkey, n_name, 'label' FROM nation
+    UNION ALL SELECT 'tbl_documents', 'source', doc_id, source, 'abbreviation' FROM documents UNION ALL SELECT 'tbl_documents', 'text', doc_id, text, 'description' FROM documents) WHERE value IS NOT NULL)"""
+PLAIN_SEARCHES = "SELECT p_name AS query FROM part UNION SELECT p_brand FROM part UNION SELECT p_name || ' ' || p_type FROM part UNION SELECT c_mktsegment FROM customer"
+NAME_WORDS = "(SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)"
+CORPUS_QUERIES = f"""(SELECT query AS query_id, query FROM ({PLAIN_SEARCHES} UNION SELECT '"' || p_name || '"' FROM {NAME_WORDS} UNION SELECT a || ' or ' || b FROM {NAME_WORDS} UNION SELECT b || ' -' || a FROM {NAME_WORDS}))"""
 
 
 def fuzzy(queries: str, authority: str, threshold: float = 0.3, limit: int = 10, field: str = "label", mode: str = "similarity", floor: bool = True, plain: bool = False) -> str:

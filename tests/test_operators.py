@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom.functions import text as T
 from matchloom.operators import cascades, details, exact, fulltext, gazetteer, match, merge, prompts, score
 from matchloom.sources import authority, batches
 
@@ -77,7 +78,7 @@ def test_merge_and_dedupe(spark):
 
 
 def test_early_stop_leaves_out_later_types(spark):
-    rows = spark.createDataFrame([("p", "a", i, f"l{i}", 0.5) for i in range(3)] + [("p", "b", 9, "best", 1.0)], "prefix_id string, entity_type string, entity_id long, label string, name_sim double")
+    rows = spark.createDataFrame([("p", "a", i, f"l{i}", 0.5) for i in range(1, 4)] + [("p", "b", 9, "best", 1.0)], "prefix_id string, entity_type string, entity_id long, label string, name_sim double")
     assert merge.suggested(rows, 3, type_order=["a", "b"]).first()["label"] == "best"
     assert {r["entity_type"] for r in merge.suggested(rows, 3, type_order=["a", "b"], early_stop=True).collect()} == {"a"}
 
@@ -91,6 +92,52 @@ def test_full_text_queries(spark):
     assert ask("red or ring") == {1, 2, 3}
 
 
+def test_suggestions_need_an_id_a_label_and_a_prefix(spark):
+    rows = spark.createDataFrame([("p", "a", 0, "x", 0.5), ("p", "a", 1, "", 0.5), ("p", "a", None, "x", 0.5), ("p", "a", 2, None, 0.5), ("p", "a", 3, "x", 0.1)], "prefix_id string, entity_type string, entity_id long, label string, name_sim double")
+    assert [r["entity_id"] for r in merge.suggested(rows, 3, type_order=["a"]).collect()] == [3]
+    assert [r["query"] for r in merge.usable_prefixes(spark.createDataFrame([("a",), ("",), (None,), ("ab",)], "query string")).collect()] == ["ab"]
+
+
+def test_word_similarity_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abc", k=rng.randint(1, 4)))
+    rows = [(" ".join(word() for _ in range(rng.randint(0, 3))), " ".join(word() for _ in range(rng.randint(0, 6)))) for _ in range(200)]
+    grams = lambda t: [[("  " + w + " ")[i : i + 3] for i in range(len(w) + 1)] for w in t.split()]
+
+    def best(needle, pieces):
+        own = {g for w in grams(needle) for g in w}
+        runs = [{g for p in pieces[i:j] for g in p} for i in range(len(pieces)) for j in range(i + 1, len(pieces) + 1)]
+        return max((len(r & own) / len(r | own) for r in runs), default=0) if own else 0
+
+    df = spark.createDataFrame(rows, "a string, b string")
+    for strict in (False, True):
+        found = {(r["a"], r["b"]): r["sim"] for r in T.with_word_similarity(df, "a", "b", strict=strict).collect()}
+        for a, b in rows:
+            pieces = grams(b) if strict else [[g] for w in grams(b) for g in w]
+            assert abs(found[a, b] - best(a, pieces)) < 1e-12
+
+
+def test_cover_density_of_three_clauses(spark):
+    texts = {1: "a x b c", 2: "a b a c x x b", 3: "c b a", 4: "a b", 5: "a a b c c", 6: "a-b c a"}
+    corpus = fulltext.corpus([(spark.createDataFrame(list(texts.items()), "k long, v string"), "tbl_x", "k", "v", "label")])
+
+    def expected(words, clauses):
+        total = 0
+        for p in range(len(words)):
+            for q in range(p, len(words)):
+                part = words[p : q + 1]
+                if set(clauses) <= set(part) and not set(clauses) <= set(part[1:]) and not set(clauses) <= set(part[:-1]):
+                    total += 1 / (1 + sum(w not in clauses for w in part))
+        return total
+
+    for query in ("a b c", "c a", "b", "a b"):
+        found = {r["system_id"]: r["rank"] for r in fulltext.search(spark.createDataFrame([(1, query)], "query_id long, query string"), corpus).collect()}
+        ranks = {k: expected(t.replace("-", " ").split(), query.split()) for k, t in texts.items()}
+        assert found == pytest.approx({k: x for k, x in ranks.items() if x})
+
+
 def test_batches(spark):
     good = '{"q0": {"query": "Birka", "properties": [{"pid": "country", "v": "Sweden"}, {"pid": "country", "v": "Denmark"}, {"pid": "x"}]}, "q1": {"query": " ", "type": "none", "limit": 0}}'
     twice = '"' + good.replace('"', '\\"') + '"'
@@ -114,6 +161,11 @@ def test_prompt_formats(spark):
     assert table("auto") == "| id | label | description |\n| --- | --- | --- |\n| 1 | a\\|b↩c |  |\n| 2 | q\" | d |"
     assert table("csv") == 'id|label|description\n1|"a|b\nc"|\n2|"q"""|d\n'
     assert table("json") == '[{"id":"1","label":"a|b\\nc","description":null},{"id":"2","label":"q\\"","description":"d"}]'
+    nested = rows.withColumn("marks", F.array("id"))
+    assert prompts.formatted(nested, nested.columns, "id").first()["format"] == "json"
+    assert prompts.formatted(nested.withColumn("marks", F.lit(None).cast("array<string>")), nested.columns, "id").first()["format"] == "markdown"
+    with pytest.raises(ValueError, match="too long"):
+        prompts.prompts(rows.withColumnRenamed("id", "query_id"), spark.createDataFrame([("csv", "x" * (prompts.LOOKUP_CHARS + 1))], "format string, table string"), entity_type="x", context="y")
     for n, chars, expected in ((50, 20000, "markdown"), (51, 10, "csv"), (50, 20001, "csv"), (201, 1, "json")):
         assert spark.range(1).select(prompts.chosen_format(F.lit(n), F.lit(chars))).first()[0] == expected
 

@@ -4,11 +4,7 @@ import pytest
 
 from matchloom.plans import registry
 
-# one entry point of each slow family is enough here; the driver compares all of them
-SLOW = {"biblio_fuzzy_floor", "biblio_fallback_cap"}
-
-
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_sql(name, same):
     same(registry.QUERIES[name], registry.ORACLE[name])
 
