@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.storage import shared_dir, staged
+
+__all__ = ["fresh", "join_spread", "least_by_hash", "matrix", "one_per_id", "query_blocks", "read", "shared_dir", "slices", "small_batches", "staged", "usual_dimension", "vectors"]
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the given tables; the path may be of any store that Spark's readers know."""
@@ -16,7 +22,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in the Arrow batches of this session than Spark's default of 10,000.
+    """Fewer rows in the Arrow batches of this session than Spark's default of 10,000: a setting of the caller's session,
+    which stays changed.
 
     A row here holds a whole text of thousands of characters; small batches bound what an executor and its Python
     workers hold at a time, at no cost in speed.
@@ -24,27 +31,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/checkpoints/matchloom"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again.
-
-    It cuts lineage: a lost executor costs a reread, not a recomputation, and what several later steps use is
-    computed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def vectors(df: DataFrame, id_col: str, vector_col: str, *, allow_zero: bool) -> DataFrame:
     """(vec_id, vec) of the rows whose vector is usable: neither null nor empty, all components finite, id not null.
 
@@ -64,17 +50,23 @@ def usual_dimension(rows: DataFrame) -> tuple[int, int]:
     return (best[0]["d"], best[0]["count"]) if best else (0, 0)
 
 
-def grid(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, *, block_rows: int, block_queries: int):
-    """Both sides cut into blocks by a hash of the id and replicated over the grid of blocks.
+#: Most bytes of the query vectors that a block broadcasts.
+BLOCK_BYTES = 1 << 25
+
 
-    Returns the two grouped sides for cogroup(); a cell holds about block_rows rows and block_queries queries at most,
-    whatever the size of the tables, as ids are spread evenly.
+def query_blocks(queries: DataFrame, d: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of the queries (vec_id, vec of length d), in blocks of about `most`, fewer if they are wide.
+
+    A block goes through the driver into every task, so its size is bounded, whatever the number of queries; the rows
+    are read once for each block and never shuffled.
     """
-    nr, nq = max(1, -(-n_rows // block_rows)), max(1, -(-n_queries // block_queries))
-    part = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    left = rows.withColumn("rb", part(nr, 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    right = queries.withColumn("qb", part(nq, 2)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-    return left.groupBy("rb", "qb"), right.groupBy("rb", "qb")
+    most = max(1, min(most, BLOCK_BYTES // (8 * d)))
+    blocks = max(1, -(-queries.count() // most))
+    numbered = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    for b in range(blocks):
+        table = numbered.filter(F.col("block") == b).select("vec_id", F.col("vec").cast("array<double>").alias("vec")).orderBy("vec_id").toArrow()
+        if table.num_rows:
+            yield table.column("vec_id").to_numpy(), matrix(table)
 
 
 def one_per_id(rows: DataFrame) -> DataFrame:
@@ -82,11 +74,10 @@ def one_per_id(rows: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
 
 
-def matrix(table) -> "numpy.ndarray":  # noqa: F821
+def matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
     """The vec column of an Arrow table as a matrix of doubles."""
-    import numpy as np
-
-    column = table.column("vec").combine_chunks()
+    column = table.column("vec")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 

@@ -9,17 +9,21 @@ so probing every substring index retrieves every code within r; the vectors of t
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import grid, least_by_hash, matrix, one_per_id, usual_dimension, vectors
+from matchloom.llm.common import least_by_hash, matrix, one_per_id, query_blocks, staged, usual_dimension, vectors
 
 #: Most rows that the rotation and the radius are fitted on, and most of those that serve as trial queries.
 SAMPLE_ROWS, TRIAL_QUERIES = 8192, 512
+#: Most rows of one index, and queries that probe it at once.
+INDEX_ROWS, INDEX_QUERIES = 8192, 256
 
 
 @dataclass(frozen=True)
@@ -34,6 +38,10 @@ class Coder:
     def codes(self, x: np.ndarray, *, query: bool) -> np.ndarray:
         return signs(lifted(x, self.norm, query=query), self.center, self.rotation)
 
+    @property
+    def bits(self) -> int:
+        return self.rotation.shape[1]
+
 
 def lifted(x: np.ndarray, norm: float, *, query: bool) -> np.ndarray:
     """Vectors with one more component, which turns the largest inner product into the smallest angle."""
@@ -44,49 +52,63 @@ def lifted(x: np.ndarray, norm: float, *, query: bool) -> np.ndarray:
 
 
 def signs(x: np.ndarray, center: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+    """Codes, 64 bits in each column."""
     bits = (x - center) @ rotation > 0
-    weights = np.left_shift(np.uint64(1), np.arange(bits.shape[1], dtype=np.uint64))
-    return (bits * weights).sum(axis=1, dtype=np.uint64)
+    full = np.zeros((len(bits), -(-bits.shape[1] // 64) * 64), bool)
+    full[:, : bits.shape[1]] = bits
+    return np.packbits(full, axis=1, bitorder="little").view("<u8")
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which each code of a differs from each of b."""
+    return sum(np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.int16) for w in range(a.shape[1]))
 
 
-def fit(sample: np.ndarray, n_rows: int, norm: float, *, k: int, target: float, bits: int = 64, rounds: int = 40) -> Coder:
-    """Rotation by iterative quantisation, and the radius that holds the share target of the sample's near pairs.
+def fit(sample: np.ndarray, n_rows: int, norm: float, *, k: int, target: float, bits: int = 128, rounds: int = 40) -> Coder:
+    """Rotations by iterative quantisation, and the radius that holds the share target of the sample's near pairs.
 
-    Near is as deep in the sample as k neighbours are in n_rows rows, one at least, so the radius is not too small.
+    One rotation gives as many bits as there are dimensions, so longer codes take several, learned from different starts
+    (two at most). Near is as deep in the sample as k neighbours are in n_rows rows, one at least, so the radius is not
+    too small.
     """
     x = lifted(sample, norm, query=False)
     center = x.mean(axis=0)
-    bits = min(bits, x.shape[1])
-    _, basis = np.linalg.eigh(np.cov((x - center).T) if len(x) > 1 else np.eye(x.shape[1]))
-    basis = basis[:, ::-1][:, :bits]
-    v = (x - center) @ basis
-    turn = np.linalg.qr(np.random.default_rng(7).normal(size=(bits, bits)))[0]
-    for _ in range(rounds):
-        u, _, w = np.linalg.svd(np.where(v @ turn > 0, 1.0, -1.0).T @ v)
-        turn = (u @ w).T
-    rotation = basis @ turn
+    d = x.shape[1]
+    _, basis = np.linalg.eigh(np.cov((x - center).T) if len(x) > 1 else np.eye(d))
+    rng, rotations, left = np.random.default_rng(7), [], min(bits, 2 * d)
+    while left > 0:
+        m = min(left, d)
+        part = basis[:, ::-1][:, :m]
+        v = (x - center) @ part
+        turn = np.linalg.qr(rng.normal(size=(m, m)))[0]
+        for _ in range(rounds):
+            u, _, w = np.linalg.svd(np.where(v @ turn > 0, 1.0, -1.0).T @ v)
+            turn = (u @ w).T
+        rotations.append(part @ turn)
+        left -= m
+    rotation = np.hstack(rotations)
     trial = sample[:TRIAL_QUERIES]
     scores = trial @ sample.T
     scores[np.arange(len(trial)), np.arange(len(trial))] = -np.inf
     depth = min(max(1, -(-k * len(sample) // max(n_rows, 1))), max(1, len(sample) - 1))
     near = np.argpartition(-scores, depth - 1, axis=1)[:, :depth]
     q, c = signs(lifted(trial, norm, query=True), center, rotation), signs(x, center, rotation)
-    apart = np.bitwise_count(q[:, None] ^ c[near])
-    return Coder(center, rotation, norm, int(np.quantile(apart, target, method="higher")))
+    distance = np.take_along_axis(apart(q, c), near, axis=1)
+    return Coder(center, rotation, norm, int(np.quantile(distance, target, method="higher")))
 
 
 class SubstringIndex:
     """Rows by the value of one substring of their codes."""
 
-    def __init__(self, codes: np.ndarray, shift: int, width: int):
-        self.shift, self.width = np.uint64(shift), width
+    def __init__(self, codes: np.ndarray, start: int, width: int):
+        self.word, self.shift, self.width = start // 64, np.uint64(start % 64), width
         values = self.cut(codes)
         self.order = np.argsort(values, kind="stable")
         self.keys, self.starts = np.unique(values[self.order], return_index=True)
         self.ends = np.append(self.starts[1:], len(values))
 
     def cut(self, codes: np.ndarray) -> np.ndarray:
-        return ((codes >> self.shift) & np.uint64((1 << self.width) - 1)).astype(np.uint32)
+        return ((codes[:, self.word] >> self.shift) & np.uint64((1 << self.width) - 1)).astype(np.uint32)
 
     def probe(self, codes: np.ndarray, reach: int, hits: np.ndarray) -> None:
         """Marks in hits (queries x rows) the rows whose substring is within reach bits of the query's."""
@@ -121,12 +143,11 @@ class MultiIndex:
     """Substring indexes over the codes of one block of rows."""
 
     def __init__(self, codes: np.ndarray, bits: int, width: int = 16):
-        self.codes, pieces = codes, max(1, -(-bits // width))
-        cuts = [bits * i // pieces for i in range(pieces + 1)]
-        self.parts = [SubstringIndex(codes, a, b - a) for a, b in itertools.pairwise(cuts)]
+        self.codes = codes
+        self.parts = [SubstringIndex(codes, a, min(width, bits - a)) for a in range(0, bits, width)]
 
-    def within(self, queries: np.ndarray, radius: int) -> np.ndarray:
-        """Which rows (columns) have codes within radius bits of each query's: all of them, by the pigeonhole rule.
+    def probed(self, queries: np.ndarray, radius: int) -> np.ndarray:
+        """The rows (columns) that some substring brings for each query: all within radius bits and others.
 
         With radius = a * pieces + b, one of the first b + 1 substrings is within a bits, or another within a - 1.
         """
@@ -134,41 +155,44 @@ class MultiIndex:
         a, b = divmod(radius, len(self.parts))
         for j, part in enumerate(self.parts):
             part.probe(queries, a if j <= b else a - 1, hits)
-        q, r = np.nonzero(hits)
-        far = np.bitwise_count(queries[q] ^ self.codes[r]) > radius
-        hits[q[far], r[far]] = False
         return hits
 
-
-def _cell(coder: Coder, k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        if not rows.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        x, q = matrix(rows), matrix(queries)
-        ids, own = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
-        bits = coder.rotation.shape[1]
-        index, codes = MultiIndex(coder.codes(x, query=False), bits), coder.codes(q, query=True)
-        out_q, out_i, out_s = [], [], []
-        todo, radius, enough = np.arange(len(q)), coder.radius, min(k + 1, len(ids))
-        while len(todo):
-            hits = index.within(codes[todo], radius)
-            ready = (hits.sum(axis=1) >= enough) | (radius >= bits)
-            for j, mask in zip(todo[ready], hits[ready], strict=True):
+    def within(self, queries: np.ndarray, radius: int) -> np.ndarray:
+        """Which rows have codes within radius bits of each query's: all of them, by the pigeonhole rule."""
+        return self.probed(queries, radius) & (apart(queries, self.codes) <= radius)
+
+
+def _searched(batches: Iterator[pa.RecordBatch], coder: Coder, own: np.ndarray, q: np.ndarray, k: int, radius: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows within radius of each query, of each part of the rows."""
+    codes = coder.codes(q, query=True)
+    for ids, x in _parts(batches):
+        index, out = MultiIndex(coder.codes(x, query=False), coder.bits), []
+        for i in range(0, len(q), INDEX_QUERIES):
+            hits = index.within(codes[i : i + INDEX_QUERIES], radius)
+            for j, mask in enumerate(hits, i):
                 near = np.flatnonzero(mask & (ids != own[j]))
                 s = (x[near] * q[j]).sum(axis=1)
                 top = np.lexsort((ids[near], -s))[:k]
-                out_q.append(np.full(len(top), own[j]))
-                out_i.append(ids[near][top])
-                out_s.append(s[top])
-            todo, radius = todo[~ready], min(bits, radius + 2)  # too few here: a wider radius for those
-        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_i, out_s)], schema=schema)
-
-    return search
-
-
-def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", target: float = 0.97, block_rows: int | None = None, block_queries: int = 512) -> DataFrame:
+                out.append((np.full(len(top), own[j]), ids[near][top], s[top]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=["query_id", "vec_id", "score"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of INDEX_ROWS rows at most."""
+    held, n = [], 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, INDEX_ROWS):
+            part = batch.slice(i, INDEX_ROWS)
+            if n + part.num_rows > INDEX_ROWS:
+                yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                held, n = [], 0
+            held.append((part.column("vec_id").to_numpy(), matrix(part)))
+            n += part.num_rows
+    if n:
+        yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+
+
+def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", target: float = 0.96, bits: int = 128, block_queries: int = 4096) -> DataFrame:
     """The k rows of largest inner product found for each query: query_id, rank (from 1), vec_id, score.
 
     score is the inner product of the original vectors in double precision; ties go to the smaller vec_id; a row with
@@ -177,21 +201,34 @@ def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
     with its least vector; repeated rows are candidates each. Empty tables give no rows. Other columns are ignored.
 
     target: share of the near pairs of the fitting sample (SAMPLE_ROWS rows of least id hash) that the radius must
-    hold. Every row is indexed; each query gets at least min(k, rows of the block) candidates of every block, so k rows
-    come back whenever there are as many. The query set meets the rows in blocks, as in vafile.exact_top_k.
+    hold. Every row is indexed, and a query's candidates are all rows within the radius, however rows and queries are
+    cut into parts. Queries that find fewer than k rows are asked again with a wider radius, at last with all bits, so k
+    rows come back whenever there are as many. The rows are read once for each block of queries (see query_blocks) and
+    are never shuffled.
     """
     rows = vectors(rows, id_col, vector_col, allow_zero=False)
     queries = one_per_id(vectors(queries, id_col, vector_col, allow_zero=False))
     d, n = usual_dimension(rows)
-    found = "query_id long, vec_id long, score double"
-    if not n:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, queries = rows.filter(F.size("vec") == d), queries.filter(F.size("vec") == d)
-    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    norm = rows.agg(F.max(length)).first()[0]
-    sample = np.array([r["vec"] for r in least_by_hash(rows, "vec_id", SAMPLE_ROWS).collect()])
-    coder = fit(sample, n, norm, k=k, target=target)
-    left, right = grid(rows, queries, n, queries.count(), block_rows=block_rows or min(65536, max(256, n // 24)), block_queries=block_queries)
-    found = left.cogroup(right).applyInArrow(_cell(coder, k), found)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    fields = "query_id long, vec_id long, score double"
+    out = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    if n:
+        rows, todo = rows.filter(F.size("vec") == d), queries.filter(F.size("vec") == d)
+        length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+        norm = rows.agg(F.max(length)).first()[0]
+        sample = np.array([r["vec"] for r in least_by_hash(rows, "vec_id", SAMPLE_ROWS).collect()])
+        coder = fit(sample, n, norm, k=k, target=target, bits=bits)
+        for radius in (coder.radius, (coder.radius + coder.bits) // 2, coder.bits):
+            found = []
+            for own, q in query_blocks(todo, d, block_queries):
+                part = rows.mapInArrow(partial(_searched, coder=coder, own=own, q=q, k=k, radius=radius), fields)
+                best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                found.append(staged(part.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "nearest"))
+            if not found:
+                break
+            each = reduce(DataFrame.unionByName, found)
+            ready = each.filter(F.col("rank") == k).select("query_id") if radius < coder.bits else each.select("query_id").distinct()
+            out = out.unionByName(each.join(ready, "query_id", "left_semi"))
+            todo = staged(todo.join(ready, F.col("vec_id") == F.col("query_id"), "left_anti"), "todo")
+            if todo.isEmpty():
+                break
+    return out.select("query_id", "rank", "vec_id", "score")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from matchloom.llm import mih, queries, vafile
@@ -21,7 +22,7 @@ def brute(rows, query, k, scale=None):
 def test_vafile_equals_brute_force_with_odd_rows(spark):
     df = table(spark, ROWS + BAD)
     good = [*ROWS, BAD[7], BAD[8]]
-    out = vafile.exact_top_k(df, df.filter("vec_id % 10 = 7 OR vec_id IS NULL OR vec_id > 99"), k=6, block_rows=16, block_queries=3).collect()
+    out = vafile.exact_top_k(df, df.filter("vec_id % 10 = 7 OR vec_id IS NULL OR vec_id > 99"), k=6, block_queries=3).collect()
     for q in (7, 17, 27, 37, 47, 57, 106):
         mine = [(r["vec_id"], r["score"]) for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])]
         assert mine == brute(good, q, 6, 1024)
@@ -37,11 +38,30 @@ def test_few_and_no_rows(spark):
         assert search(df.limit(1), df.limit(1), k=10).count() == 0
 
 
-def test_wide_values_take_integers(spark):
+def test_wide_values_are_exact_or_an_error(spark):
     rows = [(0, [2.0e9, 1.0]), (1, [2.0e9, 2.0]), (2, [2.0e9, 3.0])]
     df = table(spark, rows)
     out = vafile.exact_top_k(df, df.filter("vec_id = 0"), k=2, scale=1).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in out] == [(2, 4 * 10**18 + 3), (1, 4 * 10**18 + 2)]
+    for big in (1.0e10, 1.0e300):
+        df = table(spark, [(0, [big, 1.0]), (1, [big, 2.0])])
+        with pytest.raises(Exception, match="does not fit 64 bits"):
+            vafile.exact_top_k(df, df, k=2, scale=1).collect()
+
+
+def test_exact_vectors_are_read_for_few_rows(spark, sf_dir, monkeypatch):
+    read, scores = [], vafile.scores
+
+    def counted(pairs, rows, asked):
+        read.append(pairs.count())
+        return scores(pairs, rows, asked)
+
+    monkeypatch.setattr(vafile, "scores", counted)
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = df.filter(F.col("vec_id") % 100 == 0)
+    assert vafile.exact_top_k(df, asked, k=10).count() == 10 * asked.count()
+    # twice k of the best bounds, and next to none after the k-th exact score is known
+    assert sum(read) <= 25 * asked.count() < 0.2 * asked.count() * df.count()
 
 
 def test_mih_scores_and_ties(spark):
@@ -53,12 +73,24 @@ def test_mih_scores_and_ties(spark):
 
 def test_pigeonhole_retrieves_all_codes_within_the_radius():
     rng = np.random.default_rng(2)
-    for bits in (7, 20, 64):
-        codes = rng.integers(0, 1 << bits, 500, dtype=np.uint64)
-        codes[250:] = codes[:250] ^ np.uint64(5)
+    for bits in (7, 20, 64, 100, 128):
+        codes = rng.integers(0, 2, (500, -(-bits // 64) * 64), dtype=np.uint8)
+        codes[:, bits:] = 0
+        codes[250:] = codes[:250]
+        codes[250:, :5] ^= 1
+        codes = np.packbits(codes, axis=1, bitorder="little").view("<u8")
         index = mih.MultiIndex(codes, bits)
-        for radius in (0, 1, 2, 5, 9, bits):
-            assert (index.within(codes[:9], radius) == (np.bitwise_count(codes[:9, None] ^ codes) <= radius)).all()
+        for radius in (0, 1, 2, 5, 9, 31, bits):
+            assert (index.within(codes[:9], radius) == (mih.apart(codes[:9], codes) <= radius)).all()
+
+
+def test_results_do_not_depend_on_parts(spark, sf_dir, monkeypatch):
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = df.filter(F.col("vec_id") % 20 == 0)
+    one = sorted(map(tuple, mih.nearest(df, asked).collect()))
+    monkeypatch.setattr(mih, "INDEX_ROWS", 37)
+    monkeypatch.setattr(mih, "INDEX_QUERIES", 5)
+    assert sorted(map(tuple, mih.nearest(df.repartition(3), asked, block_queries=4).collect())) == one
 
 
 def test_recall_on_the_whole_table(spark, sf_dir):
