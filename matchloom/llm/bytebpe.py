@@ -143,6 +143,8 @@ def rank_words(path: str):
     from matchloom.llm.words import Words
 
     ranks = read_ranks(path)
+    if lacking := [b for b in range(256) if bytes([b]) not in ranks]:
+        raise ValueError(f"{path} has no rank for the bytes {lacking[:5]}: not every text could be encoded")
     tokens = {r: t for t, r in ranks.items()}
     size = np.array([len(tokens.get(i, b"")) for i in range(max(tokens) + 1)], np.int64)
     flat = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(max(tokens) + 1)), np.uint8)
@@ -175,7 +177,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.Recor
 def encode_documents(docs: DataFrame, *, ranks: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, ids (u32, little-endian) and decoded (the bytes that the ids stand for) of every row.
 
-    ranks: path of a rank file, on every executor. Null texts count as empty: no ids, no bytes. Null and repeated ids
+    ranks: path of a rank file, on every executor; one without all single bytes is an error. Null texts count as empty: no ids, no bytes. Null and repeated ids
     are kept as they are, one result for each row. An empty table gives no rows. Extra columns are ignored. Nothing is
     shuffled: each row is encoded where it is read.
     """

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import least_by_hash
+from matchloom.llm.common import fresh, least_by_hash
 
 #: Texts are compressed in pieces of so many bytes, each with the whole dictionary before it, so that in a long text
 #: the dictionary counts as much as in a short one.
@@ -143,6 +143,10 @@ def with_score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score threshold at least, with their own columns; ties with it stay."""
-    column = "__score"
+    """The rows of docs that score threshold at least, with their own columns; ties with it stay.
+
+    Rows are judged one by one: null and repeated ids, and repeated rows, are no special case. Null and empty texts get
+    the curve's value at difference 0. An empty table gives no rows.
+    """
+    (column,) = fresh(docs, "score")
     return with_score(docs, fit(docs, labels), out_col=column).filter(F.col(column) >= threshold).drop(column)

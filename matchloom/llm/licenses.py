@@ -203,15 +203,17 @@ def fit(background: list[str], *, seed: int = 5, variants: int = 30, rounds: int
         w, b = w - 0.08 * (m / c) / (np.sqrt(v / d) + 1e-8), b - 0.08 * (mb / c) / (np.sqrt(vb / d) + 1e-8)
     # unknown is the reference class; heat and its offset are calibrated on examples that were not fitted on
     w, b = w[:, 1:] - w[:, :1], b[1:] - b[0]
-    z, truth = x[~fitted] @ w + b, y[~fitted]
+    z, truth = x[~fitted] @ w, y[~fitted]
     best = None
+    # offsets stay below 0, so that a paragraph without any n-gram of a statement is unknown
+    offsets = lambda heat, bias: np.minimum(b / heat - bias, -1e-3)
     for heat in (0.5, 0.7, 1.0, 1.4, 2.0):
         for bias in (0.0, 0.5, 1.0, 1.5, 2.0, 3.0):
-            s = np.hstack([np.zeros((len(z), 1)), z / heat - bias])
+            s = np.hstack([np.zeros((len(z), 1)), z / heat + offsets(heat, bias)])
             loss = (np.log(np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)) + s.max(axis=1) - s[np.arange(len(s)), truth]).mean()
             if best is None or loss < best[0]:
                 best = (loss, heat, bias)
-    w, b = w / best[1], np.minimum(b / best[1] - best[2], -1e-3)
+    w, b = w / best[1], offsets(*best[1:])
     often: dict[str, int] = {}
     for words in plain:
         for word in set(words):
@@ -238,7 +240,8 @@ def scan(docs: DataFrame, model: Model, *, confirm: float = 0.6, text_col: str =
     probability is the family's, calibrated against unknown; paragraphs whose likeliest class is unknown give no row.
     similarity: the largest share of the n-grams of one of the family's statements that the paragraph holds; confirmed:
     it is confirm at least. Equal probabilities go to the family first by name. Null and empty texts give no rows; null
-    and repeated ids are kept, each row by itself. Empty tables give no rows, extra columns are ignored.
+    and repeated ids are kept, each row by itself. A paragraph of any length is one: its distinct n-grams are summed.
+    Empty tables give no rows, extra columns are ignored.
 
     Whole texts are scanned. What is joined is a few thousand n-grams, bounded by STATEMENTS, so broadcasting them is
     safe at any size of the input; sums are by row and paragraph, which no hot text or source can skew.

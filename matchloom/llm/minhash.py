@@ -6,9 +6,11 @@ posterior chance of a similarity at the threshold or above falls below the chose
 verified on the full shingle sets.
 
 No bucket is expanded into pairs. First every member is compared with its bucket's first document; most buckets are
-then one component and need nothing more. In the others, blocks of members of different components are compared inside
-tasks: on signatures first, which leaves the members that may have a link to another component; then those of a family
-on their full sets. A task passes on only the links that tie components together.
+then one component and need nothing more. Large ones that are not are compared with further documents, drawn anew each
+time, at a cost in proportion to their members, as long as that ties components. In what is still open, blocks of members
+of different components are compared inside tasks: on signatures first, which leaves the members that may have a link to
+another component; then those of a family on their full sets, but for pairs that are tied already. A task passes on only
+the links that tie components together.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ from matchloom.llm.shingles import mixed, shingle_sets
 BANDS, ROWS, BATCH = 24, 5, 30
 #: A survivor's chance of being a link is MISS at least.
 MISS = 1e-5
-#: Most members of a bucket that are compared in one task with as many others.
-BLOCK = 512
+#: Most members of a bucket that are compared in one task with as many others, and how many further documents those of a
+#: larger bucket are compared with first.
+BLOCK, PIVOTS = 512, 8
 #: Most ids that are broadcast (sixteen bytes each at most); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -171,18 +174,16 @@ def _crossing(percent: int):
     def links(cell: pa.Table) -> pa.Table:
         """Links between components in one cell, verified on the full sets; only those that tie what is not tied yet.
 
-        Counts of shared shingles are a product of the members' incidence rows; shingles of one member alone are left
-        out of it, as they are shared with none.
+        Shared shingles are counted by marking those of one member and looking up those of the others, so memory is in
+        proportion to the sets themselves.
         """
         cid, comp = cell.column("cid").to_numpy(), cell.column("comp").to_numpy()
         sketch, need = _sketches(cell.column("sketch").combine_chunks()), needed(percent)
         sets = [np.frombuffer(x, np.uint64) for x in cell.column("shingles").to_pylist()]
         size = np.array([len(x) for x in sets])
-        values, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[place]
-        row = np.repeat(np.arange(len(sets)), size)
-        has = np.zeros((len(sets), int((count > 1).sum())), np.float32)
-        has[row[column >= 0], column[column >= 0]] = 1
+        values, place = np.unique(np.concatenate(sets), return_inverse=True)
+        place, bounds = place.astype(np.int32), np.cumsum(np.append(0, size))
+        mark = np.zeros(len(values), bool)
         root = {c: c for c in comp.tolist()}
 
         def top(c: int) -> int:
@@ -195,12 +196,17 @@ def _crossing(percent: int):
             near = _alive(sketch, i, np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1, need)
             if not len(near):
                 continue
-            both = (has[near] @ has[i]).astype(np.int64)
-            for j in near[100 * both >= percent * (size[i] + size[near] - both)]:
+            own = place[bounds[i] : bounds[i + 1]]
+            mark[own] = True
+            for j in near:
                 x, y = top(int(comp[i])), top(int(comp[j]))
-                if x != y:
+                if x == y or 100 * min(size[i], size[j]) < percent * max(size[i], size[j]):
+                    continue
+                both = int(mark[place[bounds[j] : bounds[j + 1]]].sum())
+                if 100 * both >= percent * (size[i] + size[j] - both):
                     root[x] = y
                     out.append((max(cid[i], cid[j]), min(cid[i], cid[j])))
+            mark[own] = False
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return links
@@ -298,8 +304,25 @@ def _links(found: DataFrame, sketches: DataFrame, pairs: _Pairs) -> DataFrame:
     stars = found.filter("cid <> pivot").select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("b")).distinct()
     links = pairs.verified(pairs.likely(stars)).filter("linked").select("a", "b")
     comps = components(links).withColumnRenamed("node", "cid")
-    members = staged(found.select("bucket", "cid").join(comps, "cid", "left").select("bucket", "cid", F.coalesce("label", "cid").alias("comp")), "members")
-    still = members.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x <> y")
+    labelled = lambda comps: found.select("bucket", "cid").join(comps, "cid", "left").select("bucket", "cid", F.coalesce("label", "cid").alias("comp"))
+    open_buckets = lambda members: members.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x <> y")
+    members = staged(labelled(comps), "members")
+    still = staged(open_buckets(members), "still")
+    for turn in range(PIVOTS):
+        large = still.filter(F.col("n") > BLOCK)
+        if large.isEmpty():
+            break
+        pivot = F.min(F.struct(F.xxhash64("cid", F.lit(turn)), "cid", "comp")).alias("pivot")
+        some = staged(with_small(members, large.select("bucket"), "bucket", "left_semi", large.count()), "large")
+        turned = with_small(some, some.groupBy("bucket").agg(pivot), "bucket", "inner", large.count()).filter("comp <> pivot.comp")
+        tried = turned.select(F.greatest("cid", "pivot.cid").alias("a"), F.least("cid", "pivot.cid").alias("b")).distinct()
+        more = pairs.verified(pairs.likely(tried)).filter("linked").select("a", "b")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        comps = components(links).withColumnRenamed("node", "cid")
+        members = staged(labelled(comps), "members")
+        still = staged(open_buckets(members), "still")
     by_cell = cells(members, "bucket", still).join(sketches, "cid").select("bucket", "p", "q", "cid", "comp", "sketch")
     open_ = staged(by_cell.groupBy("bucket", "p", "q").applyInArrow(_open(pairs.percent), "bucket long, cid long").distinct(), "open")
     # buckets of one family are looked at together, so that sets are sent once

@@ -2,7 +2,8 @@
 
 All blocks share one frequency table, counted over the whole corpus. A block holds whole documents and is coded on its
 own: its ids are dealt to LANES coders that step together and write 32-bit words into one stream. The block keeps the
-coders' states at checkpoints, so several readers may decode parts of one block, and a CRC-32 of its ids.
+coders' states at checkpoints and a CRC-32 of the ids from each to the next, so that parts of a block are read by
+different tasks: each decodes the documents that begin after its checkpoint.
 
 Payload of a block, little-endian: n_ids u32, lanes u32, steps between checkpoints u32, n_checkpoints u32, n_words u32,
 word offset of each checkpoint u32[], states of each checkpoint u64[][lanes], words u32[].
@@ -71,8 +72,8 @@ def encode_block(ids: np.ndarray, table: Frequencies) -> bytes:
     return b"".join([head.tobytes(), states.tobytes(), np.concatenate(out[::-1]).tobytes() if out else b""])
 
 
-def decode_block(payload: bytes, table: Frequencies, checkpoint: int = 0, checkpoints: int | None = None) -> np.ndarray:
-    """Ids of a block, or only those of some checkpoints from the one given."""
+def decode_block(payload: bytes, table: Frequencies, checkpoint: int = 0, most: int | None = None) -> np.ndarray:
+    """Ids of a block from a checkpoint on, `most` of them at most."""
     n, lanes, every, marks, n_words = np.frombuffer(payload, np.uint32, 5).tolist()
     at = np.frombuffer(payload, np.uint32, marks, 20)
     states = np.frombuffer(payload, np.uint64, marks * lanes, 20 + 4 * marks).reshape(marks, lanes)
@@ -80,7 +81,8 @@ def decode_block(payload: bytes, table: Frequencies, checkpoint: int = 0, checkp
     if not n:
         return np.empty(0, np.uint32)
     first = checkpoint * every
-    last = min(-(-n // lanes), first + (checkpoints or marks) * every)
+    most = n if most is None else most
+    last = min(-(-n // lanes), first + -(-most // lanes))
     state, p = states[checkpoint].copy(), int(at[checkpoint])
     mask, scale, shift = np.uint64((1 << SCALE) - 1), np.uint64(SCALE), np.uint64(32)
     out = np.empty((last - first, lanes), np.uint32)
@@ -92,7 +94,12 @@ def decode_block(payload: bytes, table: Frequencies, checkpoint: int = 0, checkp
         low = np.flatnonzero(state < LOW)
         state[low] = (state[low] << shift) | words[p : p + len(low)]
         p += len(low)
-    return out.ravel()[: min(n, last * lanes) - first * lanes]
+    return out.ravel()[: min(n - first * lanes, most)]
+
+
+def part_checksums(ids: np.ndarray) -> list[int]:
+    each = LANES * CHECKPOINT_STEPS
+    return [zlib.crc32(ids[i : i + each].tobytes()) for i in range(0, len(ids), each)]
 
 
 def _ids_of(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -139,7 +146,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[p
 
     def flush() -> pa.RecordBatch:
         ids = np.concatenate(parts).astype("<u4")
-        return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([first]), pa.array([len(ids)]), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([zlib.crc32(ids.tobytes())]), pa.array([encode_block(ids, table)], pa.binary())], names=["file", "block", "first", "n_ids", "doc_ids", "sizes", "crc32", "payload"])
+        return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([first]), pa.array([len(ids)]), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([part_checksums(ids)], pa.list_(pa.int64())), pa.array([encode_block(ids, table)], pa.binary())], names=["file", "block", "first", "n_ids", "doc_ids", "sizes", "crc32", "payload"])
 
     for batch in batches:
         for f, d, n, data in zip(*(batch.column(c).to_pylist() for c in ("file", "doc_id", "n_tokens", "ids")), strict=True):
@@ -158,8 +165,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[p
 def write_ids(docs: DataFrame, path: str, *, vocabulary: str, end_id: int, text_col: str = "text", id_col: str = "doc_id", ids_per_file: int = 1 << 23) -> None:
     """Writes the ids of all texts under path: path/table (the shared frequencies), path/blocks and path/files (starts).
 
-    Documents follow each other by ascending id (null ids first; equal ids by their text's ids), each with end_id
-    appended; null texts count as empty. An empty table gives an empty file set. Extra columns are ignored.
+    Documents follow each other by ascending id (null ids first; equal ids by a hash of their text's ids, which spreads
+    rows without id over files, then by those), each with end_id appended; null texts count as empty. An empty table gives an empty file set. Extra columns are ignored.
 
     Texts are encoded where they are read; only the ids (two bytes each) are staged and range-partitioned. The only
     thing that the driver sees is the frequency table, which the vocabulary bounds.
@@ -170,8 +177,9 @@ def write_ids(docs: DataFrame, path: str, *, vocabulary: str, end_id: int, text_
     table.coalesce(1).write.parquet(f"{path}/table")
     counts = counts_of(docs.sparkSession, path)
     files = max(1, -(-int(counts.sum()) // ids_per_file))
-    ordered = ids.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids").withColumn("file", F.spark_partition_id())
-    blocks = ordered.mapInArrow(partial(_blocks, counts=counts), "file int, block int, first long, n_ids long, doc_ids array<long>, sizes array<long>, crc32 long, payload binary")
+    spread = F.xxhash64("ids")
+    ordered = ids.repartitionByRange(files, "doc_id", spread).sortWithinPartitions("doc_id", spread, "ids").withColumn("file", F.spark_partition_id())
+    blocks = ordered.mapInArrow(partial(_blocks, counts=counts), "file int, block int, first long, n_ids long, doc_ids array<long>, sizes array<long>, crc32 array<long>, payload binary")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     totals = blocks_of(docs.sparkSession, path).groupBy("file").agg(F.sum("n_ids").alias("n"))  # one row a file
     before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -179,7 +187,7 @@ def write_ids(docs: DataFrame, path: str, *, vocabulary: str, end_id: int, text_
 
 
 def blocks_of(spark, path: str) -> DataFrame:
-    return spark.read.schema("file int, block int, first long, n_ids long, doc_ids array<long>, sizes array<long>, crc32 long, payload binary").parquet(f"{path}/blocks")
+    return spark.read.schema("file int, block int, first long, n_ids long, doc_ids array<long>, sizes array<long>, crc32 array<long>, payload binary").parquet(f"{path}/blocks")
 
 
 def counts_of(spark, path: str) -> np.ndarray:
@@ -195,23 +203,34 @@ def _documents(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterato
     for batch in batches:
         for row in range(batch.num_rows):
             cell = lambda name: batch.column(name)[row].as_py()  # noqa: B023, E731
-            ids = decode_block(cell("payload"), table).astype("<u4")
-            data = ids.tobytes()
-            if zlib.crc32(data) != cell("crc32"):
-                raise ValueError(f"block {cell('block')} of file {cell('file')} does not match its checksum")
             sizes = np.array(cell("sizes"), np.int64)
             ends = np.cumsum(sizes)
             starts = ends - sizes
-            yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[row].values, pa.array(starts + cell("file_start") + cell("first")), pa.array(sizes), pa.array([data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())], names=names)
+            # the documents that begin between this checkpoint and the next; the last one may go on beyond that
+            part, each = cell("part"), LANES * CHECKPOINT_STEPS
+            first, own = part * each, min(each, int(ends[-1]) - part * each)
+            mine = slice(*np.searchsorted(starts, [first, first + each]))
+            reach = max(own, int(ends[mine][-1]) - first) if mine.stop > mine.start else own
+            ids = decode_block(cell("payload"), table, part, reach).astype("<u4")
+            if zlib.crc32(ids[:own].tobytes()) != cell("crc32")[part]:
+                raise ValueError(f"part {part} of block {cell('block')} of file {cell('file')} does not match its checksum")
+            data, sizes = ids.tobytes(), sizes[mine]
+            starts, ends = starts[mine] - first, ends[mine] - first
+            docs = batch.column("doc_ids")[row].values.slice(mine.start, mine.stop - mine.start)
+            yield pa.RecordBatch.from_arrays([docs, pa.array(starts + first + cell("file_start") + cell("first")), pa.array(sizes), pa.array([data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())], names=names)
 
 
 def read_ids(spark, path: str) -> DataFrame:
-    """Reads what write_ids wrote: doc_id, start (ids of all documents before it), n_tokens, ids (u32, little-endian)."""
+    """Reads what write_ids wrote: doc_id, start (ids of all documents before it), n_tokens, ids (u32, little-endian).
+
+    The unit of work is one checkpoint of a block.
+    """
     starts = spark.read.schema("file int, file_start long").parquet(f"{path}/files")
     if starts.count() <= BROADCAST_FILES:
         starts = F.broadcast(starts)
     blocks = blocks_of(spark, path)
-    return blocks.join(starts, "file").mapInArrow(partial(_documents, counts=counts_of(spark, path)), "doc_id long, start long, n_tokens long, ids binary")
+    parts = blocks.join(starts, "file").withColumn("part", F.explode(F.sequence(F.lit(0), F.size("crc32") - 1)))
+    return parts.mapInArrow(partial(_documents, counts=counts_of(spark, path)), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def new_path(spark) -> str:

@@ -55,6 +55,20 @@ def test_blocks_of_large_families(spark, monkeypatch):
     test_families_that_chain(spark)
 
 
+def test_many_near_copies_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    rng = random.Random(8)
+    bases = [[f"w{rng.randint(0, 9999)}" for _ in range(1500)] for _ in range(3)]
+    rows = []
+    for i in range(1200):  # copies that differ from their base in up to 90 of 1496 shingles, and so from each other in up to 180
+        text = list(bases[i % 3])
+        for _ in range(rng.randint(0, 18)):
+            text[rng.randrange(len(text))] = f"v{rng.randint(0, 10**9)}"
+        rows.append((i, " ".join(text)))
+    out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert out == {d: d % 3 for d, _ in rows}
+
+
 def test_near_duplicate_query(spark, sf_dir):
     rows = documents(spark, sf_dir)
     expected = [(d, n, c, d == c) for (d, _), (n, c) in zip(rows, near_duplicates(rows, 85), strict=True)]
@@ -140,6 +154,32 @@ def test_quality_on_held_out_rows(spark, sf_dir):
     assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) >= 0.85
 
 
+def test_quality_scores_follow_from_the_dictionaries(spark, sf_dir):
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = compression.fit(docs, labels)
+    assert model.good and model.bad and model.slope > 0
+
+    def size(text, dictionary):
+        data = text.encode()
+        pieces = [data[i : i + compression.PIECE_BYTES] for i in range(0, len(data), compression.PIECE_BYTES)]
+        coder = zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(coder.compress(p)) for p in pieces)
+
+    found = {r["doc_id"]: r["quality_score"] for r in compression.with_score(docs, model).collect()}
+    for doc, text in documents(spark, sf_dir):
+        good, bad = size(text, model.good), size(text, model.bad)
+        d = (bad - good) / (bad + good) if text else 0
+        assert abs(found[doc] - 1 / (1 + np.exp(-(model.slope * d + model.offset)))) < 1e-9
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "plain words", 5, 6)], "doc_id long, text string, score int, score_ int")
+    out = compression.keep_good(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert out.columns == docs.columns and out.first()["score_"] == 6
+
+
 def test_quality_of_odd_rows(spark):
     good = [(i, "plain words of a quiet text about nothing " * 5, 1) for i in range(40)]
     bad = [(100 + i, "WIN!! $$$ CLICK### now&&& %%% " * 7, 0) for i in range(40)]
@@ -167,6 +207,61 @@ def test_licences(spark):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def scored_line(model, line):
+    """(family, probability, similarity) of a line, or None, from the model's numbers alone."""
+    words = licenses._words(line)
+    grams = licenses._grams(words)
+    scores = np.array(model.offsets) + sum((np.array(model.weights[g]) for g in grams if g in model.weights), np.zeros(len(model.families)))
+    if scores.max() <= 0:
+        return None
+    family = model.families[int(scores.argmax())]
+    share = max(len(grams & set(t)) / len(t) for _, f, t in model.templates if f == family)
+    return family, np.exp(scores.max()) / (1 + np.exp(scores).sum()), share
+
+
+def test_licence_scan_equals_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = licenses.fit(licenses.background_of(docs))
+    rows = documents(spark, sf_dir) + [(-1, "\n".join(PARAPHRASES[f][0] for f in PARAPHRASES)), (-2, "\n".join(LOOK_ALIKES)), (-3, " ".join(t for s in licenses.STATEMENTS.values() for t in s) * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["paragraph"]): (r["family"], round(r["probability"], 6), round(r["similarity"], 6), r["confirmed"]) for r in licenses.scan(df, model).collect()}
+    expected = {}
+    for doc, text in rows:
+        for i, line in enumerate(text.split("\n")):
+            if one := scored_line(model, line):
+                expected[doc, i] = (one[0], round(float(one[1]), 6), round(one[2], 6), one[2] >= 0.6)
+    assert found == expected
+
+
+# statements in other words than those that the model is trained on
+PARAPHRASES = {
+    "apache-2.0": ["The code in this repository is licensed under the Apache License, Version 2.0 unless noted", "Available under the Apache 2.0 license, see the file LICENSE"],
+    "mit": ["All code here is released under the MIT License by its authors", "You may use it freely: the software is distributed under the MIT license"],
+    "gpl": ["The program is free software and licensed under the GNU General Public License, version 3 or newer"],
+    "lgpl": ["The library itself is licensed under the GNU Lesser General Public License, as are its parts"],
+    "bsd": ["Released under the BSD 3-Clause License, with thanks to all who helped"],
+    "mpl-2.0": ["Our files are licensed under the Mozilla Public License 2.0 and may be shared"],
+    "cc-by-nc": ["Photos are licensed under CC BY-NC 4.0 unless a caption says otherwise"],
+    "cc-by-sa": ["The text of this page is available under the Creative Commons Attribution-ShareAlike License too"],
+}
+LOOK_ALIKES = [
+    "He showed his license to the officer and drove on", "MIT students released a study of the river", "The Apache web server answered slowly under the load", "A library is open to the general public",
+    "All seats are reserved for members of the foundation", "The version of the story that he told was free of any doubt", "Terms of use of the room are on the door", "This work is under review",
+    "The city issued a new license to the shop under the bridge", "Rights of way are public in this domain of the park", "The software was published by the author", "GNU is an animal of the plains, in general",
+]
+
+
+def test_licences_in_other_words(spark):
+    model = licenses.fit([t for t in LOOK_ALIKES[:0]] + ["the river was high in the spring and the boats lay in the harbour"] * 20)
+    stated = [(f, t) for f, texts in PARAPHRASES.items() for t in texts]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(stated)] + [(100 + i, t) for i, t in enumerate(LOOK_ALIKES)], "doc_id long, text string")
+    found = {r["doc_id"]: r["family"] for r in licenses.scan(df, model).collect() if r["confirmed"]}
+    right = sum(found.get(i) == f for i, (f, _) in enumerate(stated))
+    wrong = len(found) - right
+    print("recall", right / len(stated), "precision", right / max(1, right + wrong))
+    assert right >= 0.8 * len(stated) and wrong == 0
+
+
 def test_licence_query(spark, sf_dir):
     lines = {"Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "This work is licensed under the GNU General Public License, version 3.": "gpl"}
     expected = {(d, i, lines[p]) for d, t in documents(spark, sf_dir) for i, p in enumerate(t.split("\n")) if p in lines}

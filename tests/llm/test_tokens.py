@@ -66,7 +66,8 @@ def test_rans_blocks_come_back(n):
     assert (rans.decode_block(payload, table) == ids).all()
     each = rans.LANES * rans.CHECKPOINT_STEPS
     for part in range(-(-n // each)):  # every checkpoint can be read on its own
-        assert (rans.decode_block(payload, table, part, 1) == ids[part * each : (part + 1) * each]).all()
+        for most in (1, each, each + 77):
+            assert (rans.decode_block(payload, table, part, most) == ids[part * each : part * each + most]).all()
 
 
 def test_id_files_of_odd_rows(spark):
@@ -87,7 +88,7 @@ def test_damaged_blocks_are_noticed():
     counts = np.ones(1000, np.int64)
     rows = pa.RecordBatch.from_pylist([{"file": 0, "doc_id": 5, "n_tokens": 1000, "ids": ids.astype("<u2").tobytes()}])
     (block,) = rans._blocks(iter([rows]), counts)
-    row = block.to_pylist()[0] | {"file_start": 0}
+    row = block.to_pylist()[0] | {"file_start": 0, "part": 0}
     (good,) = rans._documents(iter([pa.RecordBatch.from_pylist([row])]), counts)
     assert good.to_pylist() == [{"doc_id": 5, "start": 0, "n_tokens": 1000, "ids": ids.astype("<u4").tobytes()}]
     payload = bytearray(row["payload"])
@@ -96,6 +97,28 @@ def test_damaged_blocks_are_noticed():
         list(rans._documents(iter([pa.RecordBatch.from_pylist([row | {"payload": bytes(payload)}])]), counts))
 
 
+def test_every_checkpoint_is_read_by_itself(spark, monkeypatch):
+    monkeypatch.setattr(rans, "LANES", 8)
+    monkeypatch.setattr(rans, "CHECKPOINT_STEPS", 4)
+    rng = np.random.default_rng(3)
+    counts = np.ones(50, np.int64)
+    docs = [(d, rng.integers(0, 50, n).astype("<u2")) for d, n in enumerate([1, 5, 100, 1, 31, 32, 33, 200, 2])]
+    rows = pa.RecordBatch.from_pylist([{"file": 0, "doc_id": d, "n_tokens": len(x), "ids": x.tobytes()} for d, x in docs])
+    (block,) = rans._blocks(iter([rows]), counts)
+    (row,) = block.to_pylist()
+    found = {}
+    for part in range(len(row["crc32"])):
+        for out in rans._documents(iter([pa.RecordBatch.from_pylist([row | {"file_start": 0, "part": part}], schema=pa.schema([*block.schema, ("file_start", pa.int64()), ("part", pa.int32())]))]), counts):
+            for r in out.to_pylist():
+                assert r["doc_id"] not in found
+                found[r["doc_id"]] = (r["start"], r["n_tokens"], r["ids"])
+    at = 0
+    for d, x in docs:
+        assert found.pop(d) == (at, len(x), x.astype("<u4").tobytes())
+        at += len(x)
+    assert not found
+
+
 def test_id_file_query(spark, sf_dir):
     encode = library()
     texts = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
