@@ -17,24 +17,30 @@ from matchloom.storage import staged
 WEIGHTS = {"label": 1.0, "abbreviation": 0.4, "description": 0.2}
 
 
+#: Kinds are numbered from here on for each next table.
+KINDS = 1000
+
+
 def corpus(parts: list[tuple[DataFrame, str, str, str, str]]) -> DataFrame:
-    """table_name, entity_name, column_name, system_id, value, column_type, value_norm, value_id of all non-null values, each
-    once.
+    """table_name, entity_name, column_name, system_id, value, column_type, value_norm, value_id, kind of all non-null values,
+    each once. kind is a number for each column of a table, in the order of their names. Stage what is searched.
 
     parts: (table, table name, key column, value column, column type).
     """
-    rows = [df.select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.col(k).cast("long").alias("system_id"), F.col(c).cast("string").alias("value"), F.lit(kind).alias("column_type")).filter("value IS NOT NULL") for df, t, k, c, kind in parts]
+    names = sorted({t for _, t, *_ in parts})
+    kinds = {(t, c): KINDS * names.index(t) + i for t in names for i, c in enumerate(sorted({p[3] for p in parts if p[1] == t}))}
+    rows = [df.select(F.lit(kinds[t, c]).alias("kind"), F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.col(k).cast("long").alias("system_id"), F.col(c).cast("string").alias("value"), F.lit(kind).alias("column_type")).filter("value IS NOT NULL") for df, t, k, c, kind in parts]
     out = reduce(DataFrame.unionByName, rows).distinct()
     return out.withColumn("entity_name", T.entity_name(F.col("table_name"))).withColumn("value_norm", T.normalise(F.col("value"))).withColumn("value_id", F.xxhash64("value"))
 
 
-#: What tells rows of the corpus apart; values, which may be whole texts, are fetched for the rows that are left.
-KEY = ["table_name", "column_name", "system_id", "value_id"]
+#: What tells rows of the corpus apart; names and values, which may be whole texts, are fetched for the rows that are left.
+KEY = ["kind", "system_id", "value_id"]
 
 
 def with_values(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """found with the values of its corpus rows in place of their value_id."""
-    return found.join(rows.select(*KEY, "value"), KEY).drop("value_id")
+    """found with the names and values of its corpus rows in place of their kind and value_id."""
+    return found.join(rows.select(*KEY, "table_name", "column_name", "value"), KEY).drop("kind", "value_id")
 
 
 def tokens(rows: DataFrame) -> DataFrame:
@@ -73,24 +79,28 @@ def candidates(parsed: DataFrame, toks: DataFrame) -> DataFrame:
     return probes.join(toks.select("lexeme", *KEY), "lexeme").select("query_id", *KEY).distinct()
 
 
-def cover_density(cells: Column, clauses: Column) -> Column:
+def cover_density(hits: Column, clauses: Column) -> Column:
     """Sum over the minimal covers of a row's hits: 1 / (1 + words in the cover that are no hit).
 
-    cells: array of (pos, cs: the clauses hit there) by pos; clauses: all that must be hit. A minimal cover hits every
-    clause and holds no smaller range that does. One ends at each place where the earliest of the latest hits of all
-    clauses moves, and begins at that hit.
+    hits: array of (pos, clause), sorted; clauses: all that must be hit. A minimal cover hits every clause and holds no
+    smaller range that does. One ends at each place where the earliest of the latest hits of all clauses moves, and begins
+    at that hit; several hits at one place count together.
     """
+    following = F.concat(F.slice(hits, 2, F.size(hits)), F.array(F.lit(None).cast("struct<pos:int,clause:bigint>")))
+    marked = F.zip_with(hits, following, lambda x, y: F.struct(x.pos.alias("pos"), x.clause.alias("clause"), F.coalesce(x.pos != y.pos, F.lit(True)).alias("last")))
+    places = F.array_distinct(F.transform(hits, lambda x: x.pos))
 
-    def step(state: Column, cell: Column) -> Column:
-        latest = F.transform(clauses, lambda c, j: F.when(F.array_contains(cell.cs, c), state.i).otherwise(F.get(state.latest, j)))
+    def step(state: Column, hit: Column) -> Column:
+        latest = F.transform(clauses, lambda c, j: F.when(c == hit.clause, state.i).otherwise(F.get(state.latest, j)))
         least = F.array_min(latest)
-        noise = cell.pos - F.get(cells, least).pos - (state.i - least)
-        more = F.when(least > state.least, 1.0 / (1 + noise)).otherwise(0.0)
-        return F.struct(latest.alias("latest"), least.alias("least"), (state.i + 1).alias("i"), (state.total + more).alias("total"))
+        noise = hit.pos - F.get(places, least) - (state.i - least)
+        moved = hit.last & (least > state.least)
+        more = F.when(moved, 1.0 / (1 + noise)).otherwise(0.0)
+        return F.struct(latest.alias("latest"), F.when(moved, least).otherwise(state.least).alias("least"), (state.i + hit.last.cast("int")).alias("i"), (state.total + more).alias("total"))
 
     none = F.lit(-1)
     start = F.struct(F.transform(clauses, lambda c: none).alias("latest"), none.alias("least"), F.lit(0).alias("i"), F.lit(0.0).alias("total"))
-    return F.aggregate(cells, start, step, lambda state: state.total)
+    return F.aggregate(marked, start, step, lambda state: state.total)
 
 
 def hits(parsed: DataFrame, toks: DataFrame) -> DataFrame:
@@ -101,17 +111,16 @@ def hits(parsed: DataFrame, toks: DataFrame) -> DataFrame:
     """
     toks = staged(toks.join(parsed.select("lexeme").distinct(), "lexeme", "left_semi"), "tokens")
     met = candidates(parsed, toks).join(toks, KEY).join(parsed, ["query_id", "lexeme"])
+    hit = ["query_id", *KEY, "clause", "negated", "weight"]
     # a phrase is met where all its words follow each other
-    whole = met.groupBy("query_id", "clause", "part", "negated", "size", *KEY, (F.col("pos") - F.col("place")).alias("pos")).agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
-    found = whole.filter("n = size")
+    phrases = met.filter("size > 1").groupBy(*hit, "part", "size", (F.col("pos") - F.col("place")).alias("pos")).agg(F.count("*").alias("n")).filter("n = size")
+    found = met.filter("size = 1").select(*hit, "pos").unionByName(phrases.select(*hit, "pos"))
     asked = parsed.filter(~F.col("negated")).groupBy("query_id").agg(F.sort_array(F.collect_set("clause")).alias("clauses"))
-    bad = found.filter("negated").select("query_id", *KEY).distinct()
-    places = found.filter(~F.col("negated")).groupBy("query_id", *KEY, "pos").agg(F.collect_set("clause").alias("cs"), F.max("weight").alias("weight"))
     # hits of the words of one query in one row: no more than the row has words
-    rows = places.groupBy("query_id", *KEY).agg(F.sort_array(F.collect_list(F.struct("pos", "cs"))).alias("cells"), F.max("weight").alias("weight"))
-    rows = rows.join(bad, ["query_id", *KEY], "left_anti").join(asked, "query_id")
-    met_all = F.size(F.array_distinct(F.flatten("cells.cs"))) == F.size("clauses")
-    return rows.filter(met_all).select("query_id", *KEY, (F.col("weight") * cover_density(F.col("cells"), F.col("clauses"))).alias("rank"))
+    rows = found.groupBy("query_id", *KEY).agg(F.collect_list(F.when(~F.col("negated"), F.struct("pos", "clause"))).alias("hits"), F.max("negated").alias("bad"), F.max("weight").alias("weight"))
+    rows = rows.filter(~F.col("bad")).join(asked, "query_id")
+    met_all = F.size(F.array_distinct("hits.clause")) == F.size("clauses")
+    return rows.filter(met_all).select("query_id", *KEY, (F.col("weight") * cover_density(F.sort_array("hits"), F.col("clauses"))).alias("rank"))
 
 
 def row_score(rank: Column, sim: Column, weight: float = POLICY.trigram_weight) -> Column:
@@ -137,15 +146,17 @@ def scored(queries: DataFrame, rows: DataFrame, toks: DataFrame | None = None, *
 def entity_types(queries: DataFrame, rows: DataFrame, *, limit: int = POLICY.limit, alphabetical: bool = False, threshold: float = POLICY.similarity) -> DataFrame:
     """The best corpus row of each table for each query, then the tables of best score (or the first by name)."""
     found = scored(queries, rows, threshold=threshold)
-    one = top_k(found, 1, ["query_id", "table_name"], [F.desc("row_score"), F.col("column_name"), F.col("system_id"), F.col("value_id")])
-    order = [F.col("table_name")] if alphabetical else [F.desc("row_score"), F.col("table_name")]
-    out = with_values(top_k(one, limit, ["query_id"], order, rank="rank"), rows)
+    one = top_k(found.withColumn("table_no", F.floor(F.col("kind") / KINDS)), 1, ["query_id", "table_no"], [F.desc("row_score"), *map(F.col, KEY)])
+    order = [F.col("table_no")] if alphabetical else [F.desc("row_score"), F.col("table_no")]
+    out = with_values(top_k(one, limit, ["query_id"], order, rank="rank").drop("table_no"), rows)
     return out.withColumn("fts_rank", F.coalesce("fts_rank", F.lit(0.0))).withColumn("trigram_sim", F.coalesce("trigram_sim", F.lit(0.0)))
 
 
 def table_scores(queries: DataFrame, rows: DataFrame, *, limit: int = 5, threshold: float = POLICY.similarity) -> DataFrame:
     """Tables by the best full-text rank and the best similarity of their rows."""
-    per = scored(queries, rows, threshold=threshold).groupBy("query_id", "table_name").agg(F.coalesce(F.max("fts_rank"), F.lit(0.0)).alias("fts_rank"), F.coalesce(F.max("trigram_sim"), F.lit(0.0)).alias("trigram_sim"))
+    names = rows.select("kind", "table_name").distinct()  # a few
+    found = scored(queries, rows, threshold=threshold).join(F.broadcast(names), "kind")
+    per = found.groupBy("query_id", "table_name").agg(F.coalesce(F.max("fts_rank"), F.lit(0.0)).alias("fts_rank"), F.coalesce(F.max("trigram_sim"), F.lit(0.0)).alias("trigram_sim"))
     per = per.withColumn("score", row_score(F.col("fts_rank"), F.col("trigram_sim")))
     return top_k(per, limit, ["query_id"], [F.desc("score"), F.col("table_name")], rank="rank")
 

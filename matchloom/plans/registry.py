@@ -203,7 +203,7 @@ def details_sampling_context(spark, sf_dir):
 
 @query(f"SELECT table_name, replace(table_name, 'tbl_', '') AS entity_name, column_name, system_id, value, column_type, {sql.norm('value')} AS value_norm FROM {sql.CORPUS}")
 def fts_corpus(spark, sf_dir):
-    return roles.search_corpus(spark, sf_dir).drop("value_id")
+    return roles.search_corpus(spark, sf_dir).drop("value_id", "kind")
 
 
 # words of values by a digest of the value; queries as clauses, written from how they are made

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.operators.fulltext import corpus
+from matchloom.storage import staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,11 +78,13 @@ def reference_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names, brands, types and references of parts, names of suppliers and nations, sources and whole texts of documents."""
+    """Names, brands, types and references of parts, names of suppliers and nations, sources and whole texts of documents;
+    staged, as a corpus is made once and searched often."""
     p, s, n, d = (table(spark, sf_dir, t) for t in ("part", "supplier", "nation", "documents"))
     p = p.withColumn("reference", F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_name"))
     columns = ((p, "tbl_part", "p_partkey", "p_name", "label"), (p, "tbl_part", "p_partkey", "p_brand", "abbreviation"), (p, "tbl_part", "p_partkey", "p_type", "description"), (p, "tbl_part", "p_partkey", "reference", "description"))
-    return corpus([*columns, (s, "tbl_supplier", "s_suppkey", "s_name", "label"), (n, "tbl_nation", "n_nationkey", "n_name", "label"), (d, "tbl_documents", "doc_id", "source", "abbreviation"), (d, "tbl_documents", "doc_id", "text", "description")])
+    rows = corpus([*columns, (s, "tbl_supplier", "s_suppkey", "s_name", "label"), (n, "tbl_nation", "n_nationkey", "n_name", "label"), (d, "tbl_documents", "doc_id", "source", "abbreviation"), (d, "tbl_documents", "doc_id", "text", "description")])
+    return staged(rows, "corpus")
 
 
 def corpus_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
