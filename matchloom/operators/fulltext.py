@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as T
 from matchloom.operators.match import top_k
 from matchloom.operators.match import _texts, similar_texts
+from matchloom.operators.merge import union_distinct
 from matchloom.policy import POLICY
 from matchloom.storage import staged
 
@@ -30,7 +29,7 @@ def corpus(parts: list[tuple[DataFrame, str, str, str, str]]) -> DataFrame:
     names = sorted({t for _, t, *_ in parts})
     kinds = {(t, c): KINDS * names.index(t) + i for t in names for i, c in enumerate(sorted({p[3] for p in parts if p[1] == t}))}
     rows = [df.select(F.lit(kinds[t, c]).alias("kind"), F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.col(k).cast("long").alias("system_id"), F.col(c).cast("string").alias("value"), F.lit(kind).alias("column_type")).filter("value IS NOT NULL") for df, t, k, c, kind in parts]
-    out = reduce(DataFrame.unionByName, rows).distinct()
+    out = union_distinct(*rows)
     return out.withColumn("entity_name", T.entity_name(F.col("table_name"))).withColumn("value_norm", T.normalise(F.col("value"))).withColumn("value_id", F.xxhash64("value"))
 
 

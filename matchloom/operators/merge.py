@@ -30,6 +30,15 @@ def resorted(candidates: DataFrame, limit: int, *, previous: str = "rank") -> Da
     return candidates.withColumn("__place", place).filter(F.col("__place") <= limit).drop("rank").withColumnRenamed("__place", "rank")
 
 
+def own_limits(candidates: DataFrame, queries: DataFrame, *, default: int) -> DataFrame:
+    """The first candidates of each query by rank, as many as its own limit says (column limit of queries; null: default).
+
+    candidates have to go as far as the largest limit. A query_id is asked once.
+    """
+    asked = queries.select("query_id", F.coalesce(F.col("limit"), F.lit(default)).alias("__limit"))
+    return candidates.join(asked, "query_id").filter(F.col("rank") <= F.col("__limit")).drop("__limit")
+
+
 def dedupe(rows: DataFrame, keys: list[str], order: list[Column], keep: str = "first") -> DataFrame:
     """One row for each key: the first or the last by order."""
     if keep not in ("first", "last"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as T
@@ -10,6 +12,8 @@ from matchloom.plans import roles, sql
 from matchloom.plans.roles import table
 from matchloom.policy import POLICY
 from matchloom.sources import authority, batches
+from matchloom.storage import shared_dir
+from matchloom.streaming.reconcile import reconcile_stream
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -634,3 +638,54 @@ def source_gazetteer(spark, sf_dir):
     record = F.struct(k.alias("geonameId"), F.col("c_name").alias("name"), F.when(k % 2 == 0, "P").otherwise("A").alias("fcl"), ((k * 37) % 100000).alias("population"))
     answers = table(spark, sf_dir, "customer").select(F.to_json(F.struct(F.array(record).alias("geonames"))).alias("value"))
     return authority.gazetteer(answers).select("geonameId", "name", "fcl", "population")
+
+
+@query(f"SELECT p_partkey, round(1 - {sql.jaccard('a', 'b')}, 6) AS distance FROM (SELECT p_partkey, {sql.trigrams('p_name')} AS a, {sql.trigrams('p_type')} AS b FROM part)")
+def trigram_distance(spark, sf_dir):
+    return rounded(table(spark, sf_dir, "part").select("p_partkey", T.distance(F.col("p_name"), F.col("p_type")).alias("distance")), "distance")
+
+
+@query(f"SELECT {FUZZY} FROM {sql.fuzzy(sql.PART_QUERIES, sql.PARTS)} WHERE rank <= CASE WHEN query_id % 4 > 0 THEN 1 + query_id % 10 ELSE 5 END")
+def own_limits(spark, sf_dir):
+    asked, k = roles.part_queries(spark, sf_dir), F.col("query_id")
+    asked = asked.withColumn("limit", F.when(k % 4 > 0, 1 + k % 10))
+    return rounded(merge.own_limits(match.fuzzy(asked, roles.parts(spark, sf_dir)), asked, default=5), "name_sim")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def dedupe_keep_first(spark, sf_dir):
+    return merge.dedupe(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], [F.col("event_id")])
+
+
+BUGS = f"(SELECT query_id, bugs_reference AS query FROM {sql.REFERENCE_QUERIES} WHERE bugs_reference IS NOT NULL)"
+
+
+@query(f"SELECT {FUZZY} FROM {sql.fuzzy(BUGS, sql.REFERENCES, field='bugs_reference')}")
+def fuzzy_bugs_reference(spark, sf_dir):
+    asked = roles.reference_queries(spark, sf_dir).filter("bugs_reference IS NOT NULL").select("query_id", F.col("bugs_reference").alias("query"))
+    return rounded(match.fuzzy_bibliography(asked, roles.references(spark, sf_dir), field="bugs_reference"), "name_sim")
+
+
+@query(f"SELECT query_id, entity_id, label, round(name_sim, 6) AS name_sim, rank FROM {sql.top(f'(SELECT f.query_id, f.entity_id, f.label, f.name_sim, g.population, g.countryName FROM {GAZ_FOUND} f JOIN {GAZ} g ON g.geonameId = f.entity_id)', 10, 'CASE WHEN countryName = (SELECT min(n_name) FROM nation) THEN 0 ELSE 1 END, name_sim DESC, population DESC NULLS LAST, entity_id')}")
+def gazetteer_search_country(spark, sf_dir):
+    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("Customer "), F.substring("s_name", 10, 100)).alias("query"))
+    country = table(spark, sf_dir, "nation").agg(F.min("n_name")).first()[0]
+    rows = cascades.gazetteer_search(asked, roles.gazetteer(spark, sf_dir), country=country)
+    return rounded(rows.select("query_id", "entity_id", "label", "name_sim", "rank"), "name_sim")
+
+
+@query(f"SELECT {FUZZY} FROM {sql.fuzzy(PART_TEXTS, sql.PARTS)}")
+def stream_reconcile(spark, sf_dir):
+    """Parts as a stream of queries, matched batch by batch."""
+    part = table(spark, sf_dir, "part")
+    names = spark.readStream.schema(part.schema).option("pathGlobFilter", "part.parquet").parquet(sf_dir)
+    asked = names.select(F.col("p_partkey").alias("query_id"), F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 1000)).alias("query"))
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    reconcile_stream(asked, lambda batch: match.fuzzy(batch, roles.parts(spark, sf_dir)), f"{path}/out", f"{path}/state").awaitTermination()
+    return rounded(spark.read.parquet(f"{path}/out").drop("batch"), "name_sim")
+
+
+@query(f"SELECT entity_id, round(2 * 6378.137 * asin(sqrt(pow(sin(radians(59.33 - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(59.33)) * pow(sin(radians(18.07 - longitude) / 2), 2))), 4) AS km FROM {sql.PARTS}")
+def sphere_distance(spark, sf_dir):
+    km = score.haversine_km(F.col("longitude"), F.col("latitude"), F.lit(18.07), F.lit(59.33))
+    return roles.parts(spark, sf_dir).select("entity_id", F.round(km, 4).alias("km"))
