@@ -6,8 +6,8 @@ posterior chance of a similarity at the threshold or above falls below the chose
 verified on the full shingle sets.
 
 No bucket is expanded into pairs. First every member is compared with its bucket's first document; most buckets are
-then one component and need nothing more. Large ones that are not are compared with further documents, drawn anew each
-time, at a cost in proportion to their members, as long as that ties components. In what is still open, blocks of members
+then one component and need nothing more. The members of large ones that are not are compared with some further documents of
+the bucket, at a cost in proportion to their number. In what is still open, blocks of members
 of different components are compared inside tasks: on signatures first, which leaves the members that may have a link to
 another component; then those of a family on their full sets, but for pairs that are tied already. A task passes on only
 the links that tie components together.
@@ -308,18 +308,14 @@ def _links(found: DataFrame, sketches: DataFrame, pairs: _Pairs) -> DataFrame:
     open_buckets = lambda members: members.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x <> y")
     members = staged(labelled(comps), "members")
     still = staged(open_buckets(members), "still")
-    for turn in range(PIVOTS):
-        large = still.filter(F.col("n") > BLOCK)
-        if large.isEmpty():
-            break
-        pivot = F.min(F.struct(F.xxhash64("cid", F.lit(turn)), "cid", "comp")).alias("pivot")
-        some = staged(with_small(members, large.select("bucket"), "bucket", "left_semi", large.count()), "large")
-        turned = with_small(some, some.groupBy("bucket").agg(pivot), "bucket", "inner", large.count()).filter("comp <> pivot.comp")
+    large = still.filter(F.col("n") > BLOCK).select("bucket")
+    if n := large.count():
+        some = staged(with_small(members, large, "bucket", "left_semi", n), "large")
+        drawn = F.array(*(F.min(F.struct(F.xxhash64("cid", F.lit(turn)), "cid", "comp")) for turn in range(PIVOTS)))
+        pivots = some.groupBy("bucket").agg(drawn.alias("drawn")).select("bucket", F.explode(F.array_distinct(F.transform("drawn", lambda x: F.struct(x.cid.alias("cid"), x.comp.alias("comp"))))).alias("pivot"))
+        turned = with_small(some, pivots, "bucket", "inner", n * PIVOTS).filter("comp <> pivot.comp")
         tried = turned.select(F.greatest("cid", "pivot.cid").alias("a"), F.least("cid", "pivot.cid").alias("b")).distinct()
-        more = pairs.verified(pairs.likely(tried)).filter("linked").select("a", "b")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
+        links = staged(links.unionByName(pairs.verified(pairs.likely(tried)).filter("linked").select("a", "b")), "links")
         comps = components(links).withColumnRenamed("node", "cid")
         members = staged(labelled(comps), "members")
         still = staged(open_buckets(members), "still")
