@@ -87,29 +87,37 @@ def cover_density(hits: Column, clauses: Column) -> Column:
     """
     following = F.concat(F.slice(hits, 2, F.size(hits)), F.array(F.lit(None).cast("struct<pos:int,clause:bigint>")))
     marked = F.zip_with(hits, following, lambda x, y: F.struct(x.pos.alias("pos"), x.clause.alias("clause"), F.coalesce(x.pos != y.pos, F.lit(True)).alias("last")))
-    places = F.array_distinct(F.transform(hits, lambda x: x.pos))
+    # the latest hit of a clause: its number among the places that are hit, and the place
+    seen = lambda i, pos: F.struct(i.alias("i"), pos.alias("pos"))
 
     def step(state: Column, hit: Column) -> Column:
-        latest = F.transform(clauses, lambda c, j: F.when(c == hit.clause, state.i).otherwise(F.get(state.latest, j)))
-        least = F.array_min(latest)
-        noise = hit.pos - F.get(places, least) - (state.i - least)
-        moved = hit.last & (least > state.least)
-        more = F.when(moved, 1.0 / (1 + noise)).otherwise(0.0)
-        return F.struct(latest.alias("latest"), F.when(moved, least).otherwise(state.least).alias("least"), (state.i + hit.last.cast("int")).alias("i"), (state.total + more).alias("total"))
-
+        latest = F.transform(clauses, lambda c, j: F.when(c == hit.clause, seen(state.i, hit.pos)).otherwise(F.get(state.latest, j)))
+        return F.struct(latest.alias("latest"), state.least.alias("least"), state.i.alias("i"), state.total.alias("total"), hit.last.alias("last"), F.array_min(latest).alias("new"), hit.pos.alias("pos"))
+
+    def closed(state: Column) -> Column:
+        moved = state.last & (state.new.i > state.least)
+        noise = state.pos - state.new.pos - (state.i - state.new.i)
+        total = state.total + F.when(moved, 1.0 / (1 + noise)).otherwise(0.0)
+        least = F.when(moved, state.new.i).otherwise(state.least)
+        return F.struct(state.latest.alias("latest"), least.alias("least"), (state.i + state.last.cast("int")).alias("i"), total.alias("total"))
+
+    # what a step uses several times is made once: as an element of an array of one
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
     none = F.lit(-1)
-    start = F.struct(F.transform(clauses, lambda c: none).alias("latest"), none.alias("least"), F.lit(0).alias("i"), F.lit(0.0).alias("total"))
-    return F.aggregate(marked, start, step, lambda state: state.total)
+    start = F.struct(F.transform(clauses, lambda c: seen(none, none)).alias("latest"), none.alias("least"), F.lit(0).alias("i"), F.lit(0.0).alias("total"))
+    covers = F.aggregate(marked, start, lambda state, hit: once(step(state, hit), closed), lambda state: state.total)
+    # of one clause every place is a cover
+    return F.when(F.size(clauses) == 1, F.size(F.array_distinct(hits.pos)).cast("double")).otherwise(covers)
 
 
 def hits(parsed: DataFrame, toks: DataFrame) -> DataFrame:
     """query_id and the keys of the rows that satisfy the query, with rank: the row's weight times its cover density.
 
-    A phrase hits where it begins. Of the corpus only the words that some query asks for go further; they are staged, as
-    they are used three times.
+    A phrase hits where it begins. Of the corpus only the words that some query asks for go further. These, and where
+    they meet the queries, are staged, as both are used several times.
     """
     toks = staged(toks.join(parsed.select("lexeme").distinct(), "lexeme", "left_semi"), "tokens")
-    met = candidates(parsed, toks).join(toks, KEY).join(parsed, ["query_id", "lexeme"])
+    met = staged(candidates(parsed, toks).join(toks, KEY).join(parsed, ["query_id", "lexeme"]), "met")
     hit = ["query_id", *KEY, "clause", "negated", "weight"]
     # a phrase is met where all its words follow each other
     phrases = met.filter("size > 1").groupBy(*hit, "part", "size", (F.col("pos") - F.col("place")).alias("pos")).agg(F.count("*").alias("n")).filter("n = size")
