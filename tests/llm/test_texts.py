@@ -56,13 +56,13 @@ def test_blocks_of_large_families(spark, monkeypatch):
 
 
 def test_many_near_copies_of_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 64)
+    monkeypatch.setattr(minhash, "BLOCK", 32)
     rng = random.Random(8)
-    bases = [[f"w{rng.randint(0, 9999)}" for _ in range(1500)] for _ in range(3)]
+    bases = [[f"w{rng.randint(0, 9999)}" for _ in range(600)] for _ in range(3)]
     rows = []
-    for i in range(1200):  # copies that differ from their base in up to 90 of 1496 shingles, and so from each other in up to 180
+    for i in range(500):  # copies that differ from their base in up to 35 of 596 shingles, and so from each other in up to 70
         text = list(bases[i % 3])
-        for _ in range(rng.randint(0, 18)):
+        for _ in range(rng.randint(0, 7)):
             text[rng.randrange(len(text))] = f"v{rng.randint(0, 10**9)}"
         rows.append((i, " ".join(text)))
     out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
