@@ -33,9 +33,9 @@ from matchloom.llm.shingles import mixed, shingle_sets
 BANDS, ROWS, BATCH = 24, 5, 30
 #: A survivor's chance of being a link is MISS at least.
 MISS = 1e-5
-#: Most members of a bucket that are compared in one task with as many others, and how many further documents those of a
-#: larger bucket are compared with first.
-BLOCK, PIVOTS = 512, 8
+#: Most members of a bucket that are compared in one task with as many others. Members of a bucket of more blocks than
+#: MANY_BLOCKS, each of which would go to as many tasks, are compared with PIVOTS further documents first.
+BLOCK, MANY_BLOCKS, PIVOTS = 512, 8, 8
 #: Most ids that are broadcast (sixteen bytes each at most); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -308,7 +308,7 @@ def _links(found: DataFrame, sketches: DataFrame, pairs: _Pairs) -> DataFrame:
     open_buckets = lambda members: members.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x <> y")
     members = staged(labelled(comps), "members")
     still = staged(open_buckets(members), "still")
-    large = still.filter(F.col("n") > BLOCK).select("bucket")
+    large = still.filter(F.col("n") > MANY_BLOCKS * BLOCK).select("bucket")
     if n := large.count():
         some = staged(with_small(members, large, "bucket", "left_semi", n), "large")
         drawn = F.array(*(F.min(F.struct(F.xxhash64("cid", F.lit(turn)), "cid", "comp")) for turn in range(PIVOTS)))

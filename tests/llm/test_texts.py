@@ -57,6 +57,7 @@ def test_blocks_of_large_families(spark, monkeypatch):
 
 def test_many_near_copies_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 32)
+    monkeypatch.setattr(minhash, "MANY_BLOCKS", 2)
     rng = random.Random(8)
     bases = [[f"w{rng.randint(0, 9999)}" for _ in range(600)] for _ in range(3)]
     rows = []
