@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import fresh, join_spread, slices, staged
-from matchloom.llm.shingles import _BYTE, mixed, powers
+from matchloom.llm.shingles import _BYTE, mixed, powers, prime_sums
 
 #: Bytes of a gram; bytes of text that are sieved at once; bytes of regions in a bin; most different regions of one
 #: minimiser in a bin; window ranges of a minimiser are split into so many.
@@ -75,7 +75,7 @@ def regions(data: bytes, bounds: np.ndarray, window: int, length: int) -> tuple[
     whole = np.clip(stop - begin - length + 1, 0, windows)
     offset = least[first] - begin
     shape = mixed((offset << 42 | windows << 21 | (end - begin)).astype(np.uint64))
-    content = mixed((sums[end] - sums[begin]) * down[begin] + shape)
+    content = mixed((sums[end] - sums[begin]) * down[begin] + shape) + prime_sums(raw, begin, end)
     return owner[first], place[first], windows, offset, whole, gram[least[first]].view(np.int64), content.view(np.int64)
 
 

@@ -14,6 +14,7 @@ _BASE = 0x9E3779B97F4A7C15
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_weights: dict[int, np.ndarray] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -23,6 +24,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def weights(n: int) -> np.ndarray:
+    """n odd random words, always the same: what a symbol counts by its place in its word.
+
+    Sums of symbols times such weights, modulo 2**64, tell words apart whatever their structure. Powers of one odd base
+    don't: two different words that follow a Thue-Morse sequence for a thousand letters get the same sum.
+    """
+    kept = _weights.get(0, ())
+    if n > len(kept):
+        kept = mixed(np.arange(1, max(n, 1 << 12) + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+        if n <= CHUNK_BYTES:
+            _weights[0] = kept
+    return kept[:n]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
     size = max(1 << 16, 1 << (n - 1).bit_length() if n > 1 else 1)
@@ -34,6 +49,39 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
+#: A prime, and two random numbers below it.
+PRIME, BASES = np.uint64((1 << 31) - 1), (1102930943, 1886519531)
+_prime_powers: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _prime_powers_of(base: int, n: int) -> np.ndarray:
+    size = max(1 << 16, 1 << (n - 1).bit_length())
+    if (base, size) not in _prime_powers:
+        out = np.ones(size, np.uint64)
+        have = 1
+        while have < size:
+            out[have : 2 * have] = out[:have] * np.uint64(pow(base, have, int(PRIME))) % PRIME
+            have *= 2
+        _prime_powers[base, size] = out
+    return _prime_powers[base, size][:n]
+
+
+def prime_sums(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of ranges of bytes, which may overlap: polynomials modulo a prime at two random places.
+
+    Two different strings of n bytes agree in both with a chance of (n / 2**31) ** 2 at most, whatever their structure;
+    polynomials modulo a power of two don't keep such a bound.
+    """
+    out = np.zeros(len(begin), np.uint64)
+    for j, base in enumerate(BASES):
+        up = _prime_powers_of(base, len(raw) + 1)
+        down = _prime_powers_of(pow(base, -1, int(PRIME)), len(raw) + 1)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)] % PRIME, dtype=np.uint64)])
+        one = (sums[end] - sums[begin]) % PRIME * down[begin] % PRIME
+        out |= one << np.uint64(31 * j)
+    return mixed(out + np.uint64(1))
+
+
 def word_hashes(data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (runs of bytes other than white space; A-Z count as a-z) of texts in a row, and the text of
     each word. bounds: where the texts begin, and the end of the last."""
@@ -47,9 +95,13 @@ def word_hashes(data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     begin[cuts] = inside[cuts]
     end[cuts - 1] = inside[cuts - 1]
     begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    up, down = powers(len(raw))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[raw] * up, dtype=np.uint64)])
-    words = mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)) if len(begin) else np.empty(0, np.uint64)
+    if not len(begin):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    size = end - begin
+    to = np.cumsum(size)
+    place = np.arange(to[-1]) - np.repeat(to - size, size)
+    terms = _BYTE[raw[inside]] * weights(int(size.max()))[place]
+    words = mixed(np.add.reduceat(terms, to - size) + size.astype(np.uint64))
     return words, np.searchsorted(bounds, begin, side="right") - 1
 
 

@@ -16,6 +16,8 @@ from functools import cache
 
 import numpy as np
 
+from matchloom.llm.shingles import mixed, weights
+
 #: Characters that are split at once, and pretokens that a worker remembers.
 CHUNK_CHARS, REMEMBERED = 1_000_000, 2_500_000
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
@@ -37,14 +39,18 @@ def _classes() -> np.ndarray:
 
 
 @cache
-def _mix() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random word for each code point, and the powers of an odd number and of its inverse, modulo 2**64."""
-    rng = np.random.default_rng(11)
-    base = np.uint64(0x9E3779B97F4A7C15)
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    n = CHUNK_CHARS + 1
-    powers = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)])) for b in (base, inverse)]
-    return rng.integers(0, 1 << 63, 0x110000, dtype=np.uint64) * np.uint64(2) + np.uint64(1), *powers
+def _mix() -> np.ndarray:
+    """Two random odd words for each code point."""
+    return np.random.default_rng(11).integers(0, 1 << 63, (2, 0x110000), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def keys(chars: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each pretoken: sums of what its characters count at their places."""
+    size = np.diff(np.append(begin, len(chars)))
+    weight = weights(int(size.max()) if len(size) else 1)[np.arange(len(chars)) - np.repeat(begin, size)]
+    first, second = (np.add.reduceat(v[chars] * weight, begin) for v in _mix())
+    length = size.astype(np.uint64)
+    return mixed(first + length), mixed(second ^ length)
 
 
 def split(chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -84,36 +90,44 @@ def _merged(a: tuple, b: tuple) -> tuple:
     return tuple(np.insert(x, at, y) for x, y in zip(a, b, strict=True))
 
 
+class SharedHash(Exception):
+    """Two different pretokens have one hash."""
+
+
 class Words:
     """Ids of texts, by way of their distinct pretokens.
 
-    encode turns a list of pretokens into a list of id lists. Pretokens are told apart by 64-bit hashes; what is known
-    of each is its hash, and place and number of its ids, in two sorted tables: new ones go to the small table, which
-    is merged into the large one when it has an eighth of its size. What is remembered is dropped as a whole once it is
-    full, so memory stays bounded: some 40 bytes a pretoken.
+    encode turns a list of pretokens into a list of id lists; cut says where pretokens begin (see split), and pattern is
+    a regular expression of them. A pretoken must begin wherever a letter meets a blank. What is known of each pretoken is
+    a 64-bit hash, a second one as proof, and place and number of its ids, in two sorted tables: new ones go to the small
+    table, which is merged into the large one when it has an eighth of its size. Where two pretokens share the first hash
+    but not the second, the text is encoded without the tables. What is remembered is dropped as a whole once it is full,
+    so memory stays bounded: some 50 bytes a pretoken.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], cut: Callable[[np.ndarray, np.ndarray], np.ndarray] = split, pattern: str | None = None):
+        self.encode, self.cut, self.pattern = encode, cut, pattern
         self._forget()
 
     def _forget(self):
         self.ids, self.used = np.empty(1 << 20, np.uint32), 0
-        nothing = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32)
+        nothing = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32)
         self.large, self.small = nothing, nothing
 
-    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _known(self, keys: np.ndarray, proofs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place and number of the ids of each pretoken, and whether it is known."""
         at, size, found = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        for table, where, n in (self.large, self.small):
+        for table, proof, where, n in (self.large, self.small):
             if len(table):
                 i = np.minimum(np.searchsorted(table, keys), len(table) - 1)
                 hit = table[i] == keys
+                if (proof[i[hit]] != proofs[hit]).any():
+                    raise SharedHash
                 at[hit], size[hit] = where[i[hit]], n[i[hit]]
                 found |= hit
         return at, size, found
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, proofs: np.ndarray, words: list[str]) -> None:
         """Encodes new pretokens; keys are sorted."""
         if len(self.large[0]) + len(self.small[0]) > REMEMBERED or self.used > 1 << 30:
             self._forget()
@@ -123,7 +137,7 @@ class Words:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(max(1 << 20, len(self.ids) // 4), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
-        new = keys, (self.used + np.cumsum(size) - size).astype(np.uint32), size.astype(np.uint32)
+        new = keys, proofs, (self.used + np.cumsum(size) - size).astype(np.uint32), size.astype(np.uint32)
         self.used += len(flat)
         self.small = _merged(self.small, new)
         if len(self.small[0]) * 8 > len(self.large[0]):
@@ -131,30 +145,35 @@ class Words:
 
     def _chunk(self, text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts in a row, and how many each has."""
+        try:
+            return self._by_tables(text, lengths)
+        except SharedHash:
+            ends = np.cumsum(lengths)
+            ids = [self._whole(text[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+            return np.concatenate(ids), np.array([len(i) for i in ids], np.int64)
+
+    def _by_tables(self, text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = np.cumsum(lengths) - lengths
         chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        begin = split(chars, starts[lengths > 0])
+        begin = self.cut(chars, starts[lengths > 0])
         end = np.append(begin[1:], len(chars))
-        values, power, inverse = _mix()
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(values[chars] * power[: len(chars)], dtype=np.uint64)])
-        keys = (sums[end] - sums[begin]) * inverse[begin]
-        order = np.argsort(keys)
-        ranked = keys[order]
+        key, proof = keys(chars, begin)
+        order = np.argsort(key)
+        ranked, proofs = key[order], proof[order]
         fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        which = np.empty(len(keys), np.int64)
+        if ((proofs[1:] != proofs[:-1]) & ~fresh[1:]).any():
+            raise SharedHash
+        which = np.empty(len(key), np.int64)
         which[order] = np.cumsum(fresh) - 1
-        some, distinct = order[fresh], ranked[fresh]
-        at, size, found = self._known(distinct)
-        if not found.all():
+        some, distinct, proofs = order[fresh], ranked[fresh], proofs[fresh]
+        at, size, found = self._known(distinct, proofs)
+        for _ in range(2):  # a second time if all was forgotten to make room
+            if found.all():
+                break
             new = np.flatnonzero(~found)
             a, b = begin[some[new]].tolist(), end[some[new]].tolist()
-            self._learn(distinct[new], [text[i:j] for i, j in zip(a, b, strict=True)])
-            at, size, found = self._known(distinct)
-            if not found.all():  # all was forgotten to make room
-                new = np.flatnonzero(~found)
-                a, b = begin[some[new]].tolist(), end[some[new]].tolist()
-                self._learn(distinct[new], [text[i:j] for i, j in zip(a, b, strict=True)])
-                at, size, found = self._known(distinct)
+            self._learn(distinct[new], proofs[new], [text[i:j] for i, j in zip(a, b, strict=True)])
+            at, size, found = self._known(distinct, proofs)
         at, size = at[which], size[which]
         to = np.cumsum(size)
         ids = self.ids[np.repeat(at - (to - size), size) + np.arange(to[-1])]
@@ -197,7 +216,7 @@ class Words:
         import regex
         from public_tokenizers import PATTERN
 
-        return np.array([i for x in self.encode(regex.findall(PATTERN, text)) for i in x], np.uint32)
+        return np.array([i for x in self.encode(regex.findall(self.pattern or PATTERN, text)) for i in x], np.uint32)
 
 
 @cache

@@ -105,3 +105,9 @@ def check_packing(rows, texts, encode, length=1024):
             at += n
         assert at <= length
     return len(filled), -(-sum(r[3] for r in rows) // length)
+
+
+def thue_morse(n):
+    """Two different words of n letters, the second with both letters exchanged."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

@@ -3,7 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
-from helpers import ODD, near_duplicates, odd, repeats, shingles
+from helpers import ODD, near_duplicates, odd, repeats, shingles, thue_morse
 
 from matchloom.llm import backoff, common, compression, licenses, minhash, queries, runindex
 from matchloom.llm.components import components
@@ -335,3 +335,21 @@ def test_duplicates_are_dropped_by_row(spark):
     kept = minhash.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     out = sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in kept)
     assert out == sorted([(1, a), (5, b), (0, c), (7, d), (0, ""), (0, " "), (0, " ")])
+
+
+def test_words_of_regular_structure_are_told_apart(spark):
+    for n in (512, 1024, 2048):
+        one, other = thue_morse(n)
+        docs = spark.createDataFrame([(1, one), (2, other), (3, one), (4, f"x {other}")], "doc_id long, text string")
+        found = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
+        assert found == {1: (1, True), 2: (2, True), 3: (1, False), 4: (4, True)}
+        counts = {bytes(r[0]) if isinstance(r[0], bytearray) else r[0]: r["log_score"] for r in backoff.scores(docs).select("doc_id", "log_score").collect()}
+        assert abs(counts[1] - np.log(2 / 5)) < 1e-9 and abs(counts[2] - np.log(2 / 5)) < 1e-9
+
+
+def test_passages_of_regular_structure_are_told_apart(spark):
+    one, other = thue_morse(2048)
+    for texts in ([one, other], [one[:600], other[:600]], [one[:512], other[:512], one[512:1024]]):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = sorted((r["doc_id"], r["n_removed"]) for r in runindex.remove_repeats(docs).collect())
+        assert rows == [(i, x[1]) for i, x in enumerate(repeats(texts, 400))]

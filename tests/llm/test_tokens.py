@@ -6,7 +6,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
-from helpers import ODD, check_packing, crc, library, odd
+from helpers import ODD, check_packing, crc, library, odd, thue_morse
 
 from matchloom.llm import bytebpe, packing, queries, rans, words
 
@@ -176,3 +176,26 @@ def test_added_tokens_follow_the_plain_library(spark):
     assert {r["doc_id"]: bytes(r["ids"]) for r in rans.read_ids(spark, out).collect()} == {d: np.array([*encode(t), 0], "<u4").tobytes() for d, t in docs}
     rows = packing.pack(df, vocabulary=path, end_id=2, length=64).collect()
     check_packing([tuple(r)[:5] + tuple(r)[6:] for r in rows], dict(docs), encode, 64)
+
+
+@pytest.mark.parametrize("n", [256, 512, 1024, 2048])
+def test_words_of_regular_structure_keep_their_ids(n):
+    one, other = thue_morse(n)
+    encode, mine = library(), words.Words(words.library_words(public_tokenizers.path("byte_bpe_50k.json")).encode)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bytebpe.read_ranks(path), special_tokens={})
+    texts = [one, other, f"x {one} y", f"x {other} y"]
+    for have, expected in ((mine, encode), (words.Words(bytebpe.rank_words(path)[0].encode), reference.encode_ordinary)):
+        for some in (texts, texts[::-1]):
+            ids, counts = have.texts(some)
+            assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == [expected(t) for t in some]
+
+
+def test_pretokens_that_share_a_hash_are_encoded_apart(monkeypatch):
+    monkeypatch.setattr(words, "mixed", lambda x: x & np.uint64(7))
+    encode = library()
+    mine = words.Words(words.library_words(public_tokenizers.path("byte_bpe_50k.json")).encode)
+    monkeypatch.setattr(words, "keys", lambda chars, begin, f=words.keys: (f(chars, begin)[0], np.add.reduceat(chars.astype(np.uint64), begin)))
+    texts = ["some words of a text", "and more words", "", "x"]
+    ids, counts = mine.texts(texts)
+    assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == [encode(t) for t in texts]
