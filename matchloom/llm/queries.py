@@ -89,6 +89,19 @@ def op10_vafile_topk(spark, sf_dir):
     return exact_top_k(rows, rows.filter(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op11_slice_codes(spark, sf_dir):
+    from matchloom.llm.codebooks import encode
+
+    return encode(read(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_multiset_fingerprints(spark, sf_dir):
+    from matchloom.llm.fingerprints import edited_halves
+
+    out = edited_halves(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def queries():
     return {
         "op1_mih_neighbours": op1_mih_neighbours,
@@ -101,10 +114,30 @@ def queries():
         "op8_licence_scan": op8_licence_scan,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_vafile_topk": op10_vafile_topk,
+        "op11_slice_codes": op11_slice_codes,
+        "op13_multiset_fingerprints": op13_multiset_fingerprints,
     }
 
 
+def _codes_sql(parts=8, entries=16, rounds=6, scale=4096):
+    """The rounds of assignment and averaging of op11, one after another."""
+    away = "CAST(list_sum(list_transform(list_zip(p.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    steps = [
+        f"v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT vec_id, label, part, e[part * len(e) // {parts} + 1 : (part + 1) * len(e) // {parts}] AS c FROM v, range({parts}) AS t(part))",
+        f"b0 AS MATERIALIZED (SELECT part, entry, c FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries}) USING (vec_id))",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, label, part, c, best.d AS d, best.entry AS entry FROM (SELECT p.vec_id, p.label, p.part, p.c, min({{'d': {away}, 'entry': b.entry}}) AS best FROM p JOIN b{i} b ON b.part = p.part GROUP BY ALL))")
+        if i < rounds:
+            steps.append(f"m{i} AS (SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY place) AS c FROM (SELECT part, entry, place, sum(c[place]) AS s, CAST(count(*) AS DOUBLE) AS n FROM (SELECT part, entry, c, unnest(range(1, len(c) + 1)) AS place FROM a{i}) GROUP BY ALL) GROUP BY ALL)")
+            steps.append(f"b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN m{i} m ON m.part = b.part AND m.entry = b.entry)")
+    return f"""WITH {", ".join(steps)}, r AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY ALL)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256 FROM r"""
+
+
 ORACLE = {
+    "op11_slice_codes": _codes_sql(),
     "op2_backoff_scores": """
         WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D ]+'), lambda w: w <> '') AS ws FROM documents),
              tok AS (SELECT doc_id, ws[i - 2] AS u, ws[i - 1] AS v, ws[i] AS w, least(i - 1, 2) AS before FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM t)),
