@@ -95,6 +95,12 @@ def op11_slice_codes(spark, sf_dir):
     return encode(read(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op12_galloping_alignment(spark, sf_dir):
+    from matchloom.llm.alignment import align
+
+    return align(read(spark, sf_dir, "documents"), byte_level=vocabulary("byte_bpe_50k.json"), pieces=vocabulary("piece_bpe_32k.model"))
+
+
 def op13_multiset_fingerprints(spark, sf_dir):
     from matchloom.llm.fingerprints import edited_halves
 
@@ -115,6 +121,7 @@ def queries():
         "op9_byte_bpe": op9_byte_bpe,
         "op10_vafile_topk": op10_vafile_topk,
         "op11_slice_codes": op11_slice_codes,
+        "op12_galloping_alignment": op12_galloping_alignment,
         "op13_multiset_fingerprints": op13_multiset_fingerprints,
     }
 
