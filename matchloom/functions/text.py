@@ -69,6 +69,48 @@ def _padded(values: np.ndarray, sizes: np.ndarray, fill: int) -> np.ndarray:
     return out
 
 
+def _swept(hit: np.ndarray, place: np.ndarray, row: np.ndarray, rows: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The best share of each of the rows, which have hits and no repeated trigram.
+
+    A run from hit a to hit b at places p shares b - a + 1 of m + (p[b] - p[a] + 1) - (b - a + 1) trigrams. The best share
+    s is where the largest shared - s * all is 0: from a first share on, one sweep over the hits, with the least of what
+    came before, finds the run that beats it most, until none does.
+    """
+    chosen = np.zeros(len(m), bool)
+    chosen[rows] = True
+    at = np.flatnonzero(hit & chosen[row])
+    counts = np.bincount(row[at], minlength=len(m))[rows]
+    # hits come in the order of the texts, which is not that of rows
+    rank = np.argsort(np.argsort(rows, kind="stable"), kind="stable")
+    ordered = np.argsort(rows, kind="stable")
+    sizes = counts[ordered]
+    out = np.empty(len(rows))
+    begin = 0
+    while begin < len(rows):
+        end = min(len(rows), begin + max(1, 200_000 // max(1, int(sizes.max()))))
+        n, low = sizes[begin:end], int(sizes[:begin].sum())
+        p = _padded(place[at[low : low + int(n.sum())]].astype(np.float64), n, 0)
+        k = np.arange(p.shape[1])[None, :]
+        good = k < n[:, None]
+        size = m[rows[ordered[begin:end]]][:, None].astype(np.float64)
+        best = 1.0 / size  # of one hit alone
+        while True:
+            # shared - best * all, as what depends on the end less what depends on the beginning
+            value = (1 + best) * k - best * p
+            gain = np.where(good, value - np.minimum.accumulate(np.where(good, value, np.inf), axis=1), -np.inf)
+            b = gain.argmax(axis=1)
+            a = np.where(k <= b[:, None], value, np.inf).argmin(axis=1)
+            i = np.arange(len(b))
+            shared = (b - a + 1).astype(np.float64)
+            share = (shared / (size[:, 0] + (p[i, b] - p[i, a] + 1) - shared))[:, None]
+            if (share <= best + 1e-15).all():
+                break
+            best = np.maximum(best, share)
+        out[begin:end] = best[:, 0]
+        begin = end
+    return out[rank]
+
+
 def best_runs(own: pa.ListArray, ordered: pa.ListArray, words: pa.ListArray | None, threshold: float) -> np.ndarray:
     """For each row the largest share of its trigram set `own` in a run of its trigrams `ordered`: shared ones by all
     distinct ones. words: how many trigrams each word has; runs are then of whole words. 0 where the set and the whole
@@ -91,7 +133,12 @@ def best_runs(own: pa.ListArray, ordered: pa.ListArray, words: pa.ListArray | No
     todo = np.flatnonzero((shared > 0) & (shared >= np.ceil(m * threshold - 1e-9)))
     todo = todo[np.argsort(sizes[todo], kind="stable")]
     begins = np.cumsum(sizes) - sizes
-    if words is not None:
+    if words is None:
+        # rows without repeated trigrams: one sweep over the hits
+        plain = todo[np.bincount(row[before >= 0], minlength=len(sizes))[todo] == 0]
+        out[plain] = _swept(hit, place, row, plain, m)
+        todo = todo[~np.isin(todo, plain)]
+    else:
         first, last = np.zeros(len(key), bool), np.zeros(len(key), bool)
         each = words.flatten().to_numpy()
         ends = np.cumsum(each)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import text as T
 from matchloom.policy import POLICY
+from matchloom.storage import staged
 
 MODES = ("similarity", "word", "strict_word")
 FIELDS = ("full_reference", "title", "authors", "bugs_reference")
@@ -27,18 +28,28 @@ def _texts(df: DataFrame, column: str) -> DataFrame:
     return grams.filter(F.size("grams") > 0)
 
 
-#: The most frequent trigrams, so many at most, are joined by a broadcast: they would else be hot keys of a shuffle.
-HOT_GRAMS = 1000
+def _numbered(texts: DataFrame, label: str) -> DataFrame:
+    """texts with id, a number of the text, and n, the size of its trigram set; written once, as several steps use both.
+
+    Whatever follows is shuffled by numbers, however long texts are.
+    """
+    return staged(texts.withColumn("n", F.size("grams")).withColumn("id", F.monotonically_increasing_id()), label)
+
+
+def needed(n: Column, threshold: float) -> Column:
+    """How many of a set's n trigrams another one must hold for a similarity of threshold; 1 at least."""
+    return F.greatest(F.lit(1), F.ceil(n * threshold - EPS).cast("int"))
 
 
 def _probes(texts: DataFrame, frequency: DataFrame, keep: Column) -> DataFrame:
-    """The keep rarest trigrams of each text, ties by the trigram itself."""
-    each = texts.select("t", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    hot = F.broadcast(frequency.orderBy(F.desc("frequency"), "gram").limit(HOT_GRAMS))
-    rest = each.join(hot.select("gram"), "gram", "left_anti").join(frequency, "gram", "left")
-    ranked = each.join(hot, "gram").unionByName(rest)
-    place = F.row_number().over(Window.partitionBy("t").orderBy(F.coalesce("frequency", F.lit(0)), "gram"))
-    return ranked.withColumn("place", place).filter(F.col("place") <= keep).select("t", "n", "gram")
+    """The keep rarest trigrams of each text, ties by the trigram itself. A frequent trigram meets one row of frequency."""
+    each = texts.select("id", "n", F.explode("grams").alias("gram")).join(frequency, "gram", "left")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("frequency", F.lit(0)), "gram"))
+    return each.withColumn("place", place).filter(F.col("place") <= keep).select("id", "n", "gram")
+
+
+def _frequency(texts: DataFrame) -> DataFrame:
+    return texts.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("frequency"))
 
 
 def similar_texts(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -48,36 +59,53 @@ def similar_texts(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     and their sizes differ by the factor t at most; so few trigrams are joined, the frequent ones seldom, and none that
     could match is lost. The pairs are then measured on whole sets. threshold > 0.
     """
+    left = _numbered(left, "left")
     # texts of other sizes match nothing: few sizes, as texts on the left have few
     n = F.size("grams")
-    sizes = left.select(n.alias("n")).distinct().select(F.explode(F.sequence(F.ceil(F.col("n") * threshold - EPS).cast("int"), F.floor(F.col("n") / threshold + EPS).cast("int"))).alias("n")).distinct()
-    right = right.withColumn("n", n).join(sizes, "n", "left_semi").drop("n")
-    frequency = right.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("frequency"))
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - EPS) + 1
-    a = _probes(left, frequency, keep).select("gram", F.col("t").alias("left_text"), F.col("n").alias("na"))
-    b = _probes(right, frequency, keep).select("gram", F.col("t").alias("right_text"), F.col("n").alias("nb"))
+    sizes = left.select("n").distinct().select(F.explode(F.sequence(F.ceil(F.col("n") * threshold - EPS).cast("int"), F.floor(F.col("n") / threshold + EPS).cast("int"))).alias("n")).distinct()
+    right = _numbered(right.withColumn("n", n).join(sizes, "n", "left_semi").drop("n"), "right")
+    frequency = _frequency(right)
+    keep = F.col("n") - needed(F.col("n"), threshold) + 1
+    a = _probes(left, frequency, keep).select("gram", F.col("id").alias("left_id"), F.col("n").alias("na"))
+    b = _probes(right, frequency, keep).select("gram", F.col("id").alias("right_id"), F.col("n").alias("nb"))
     sized = (F.col("nb") >= F.col("na") * threshold - EPS) & (F.col("na") >= F.col("nb") * threshold - EPS)
-    pairs = a.join(b, "gram").filter(sized).select("left_text", "right_text").distinct()
-    both = pairs.join(left.select(F.col("t").alias("left_text"), F.col("grams").alias("ga")), "left_text")
-    both = both.join(right.select(F.col("t").alias("right_text"), F.col("grams").alias("gb")), "right_text")
+    pairs = a.join(b, "gram").filter(sized).select("left_id", "right_id").distinct()
+    both = pairs.join(left.select(F.col("id").alias("left_id"), F.col("t").alias("left_text"), F.col("grams").alias("ga")), "left_id")
+    both = both.join(right.select(F.col("id").alias("right_id"), F.col("t").alias("right_text"), F.col("grams").alias("gb")), "right_id")
     return both.withColumn("sim", T.jaccard(F.col("ga"), F.col("gb"))).filter(F.col("sim") >= threshold).select("left_text", "right_text", "sim")
 
 
+#: So many shared trigrams are counted in the join that finds pairs: pairs that share fewer are never measured.
+COUNTED = 8
+
+
+def containment_candidates(needles: DataFrame, haystacks: DataFrame, threshold: float, counted: int = COUNTED) -> DataFrame:
+    """Pairs (needle, haystack: ids) that may have threshold or more; both sides have id, n, grams.
+
+    A run of the haystack with similarity t holds ceil(t n) of the needle's n trigrams. Of any so many, at least c are among
+    the n - ceil(t n) + c rarest ones: the join on these counts what a pair shares, and pairs that share fewer than c
+    are dropped. c is `counted`, or all that is needed, if that is less.
+    """
+    least = needed(F.col("n"), threshold)
+    count = F.least(least, F.lit(counted))
+    a = _probes(needles, _frequency(haystacks), F.col("n") - least + count).select("gram", F.col("id").alias("needle"), count.alias("least"))
+    b = haystacks.select(F.col("id").alias("haystack"), F.explode("grams").alias("gram"))
+    shared = a.join(b, "gram").groupBy("needle", "haystack").agg(F.count("*").alias("shared"), F.first("least").alias("least"))
+    return shared.filter("shared >= least").select("needle", "haystack")
+
+
 def contained_texts(needles: DataFrame, haystacks: DataFrame, threshold: float, strict: bool) -> DataFrame:
-    """Pairs (right_text = needle, left_text = haystack, sim) by (strict) word similarity.
+    """Pairs (right_text = needle, left_text = haystack, sim) by (strict) word similarity; columns t and grams on both sides.
 
-    A run of the haystack with similarity t holds ceil(t n) of the needle's n trigrams, so one of the needle's
-    n - ceil(t n) + 1 rarest trigrams occurs in the haystack. Pairs that share too few are dropped before any run is
-    measured. threshold > 0.
+    Pairs come from a join that counts shared trigrams (containment_candidates); their best runs are found over arrays
+    of trigrams, which are fetched by number. threshold > 0.
     """
-    frequency = haystacks.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("frequency"))
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - EPS) + 1
-    a = _probes(needles, frequency, keep).select("gram", F.col("t").alias("right_text"))
-    b = haystacks.select(F.col("t").alias("left_text"), F.explode("grams").alias("gram"))
-    pairs = a.join(b, "gram").select("left_text", "right_text").distinct()
-    both = pairs.join(needles.select(F.col("t").alias("right_text"), F.col("grams").alias("own")), "right_text")
-    both = both.join(haystacks.select(F.col("t").alias("left_text"), *T.ordered_pieces(F.col("t"))), "left_text")
-    return T.with_best_runs(both, threshold, strict=strict).select("left_text", "right_text", "sim")
+    needles = _numbered(needles, "needles")
+    haystacks = _numbered(haystacks.select("t", "grams", *T.ordered_pieces(F.col("t"))), "haystacks")
+    pairs = containment_candidates(needles, haystacks, threshold)
+    both = pairs.join(needles.select(F.col("id").alias("needle"), F.col("t").alias("right_text"), F.col("grams").alias("own")), "needle")
+    both = both.join(haystacks.select(F.col("id").alias("haystack"), F.col("t").alias("left_text"), "ordered", "word_sizes"), "haystack")
+    return T.with_best_runs(both.select("left_text", "right_text", "own", "ordered", "word_sizes"), threshold, strict=strict).select("left_text", "right_text", "sim")
 
 
 def fuzzy(queries: DataFrame, authority: DataFrame, *, threshold: float = POLICY.similarity, limit: int = POLICY.limit, mode: str = "similarity", field: str = "label", normalise: bool = True, floor: bool = True, needle: str = "column") -> DataFrame:

@@ -28,11 +28,23 @@ def jaccard(a: str, b: str) -> str:
     return f"coalesce(CAST({both} AS DOUBLE) / nullif(len({a}) + len({b}) - {both}, 0), 0)"
 
 
-def extent(own: str, ordered: str) -> str:
-    """Word similarity of a set with ordered trigrams."""
+def before(ordered: str) -> str:
+    """For each place of a list the last place before it that holds the same, 0 where there is none."""
+    return f"list_transform(range(1, len({ordered}) + 1), lambda q: coalesce(list_max(list_filter(range(1, q), lambda p: {ordered}[p] = {ordered}[q])), 0))"
+
+
+def extent(own: str, ordered: str, earlier: str) -> str:
+    """Word similarity of a set with ordered trigrams; earlier: before(ordered).
+
+    For each place i that holds one of the set, `new` has the places from i on whose trigram is new in a run from i, and
+    `hit` those of them that hold one of the set: the run up to the r-th hit shares r trigrams.
+    """
     places = f"list_filter(range(1, len({ordered}) + 1), lambda i: list_contains({own}, {ordered}[i]))"
-    share = jaccard(own, f"list_distinct({ordered}[i:j])")
-    return f"coalesce(list_max(flatten(list_transform({places}, lambda i: list_transform(list_filter({places}, lambda j: j >= i), lambda j: {share})))), 0)"
+    new = f"list_filter(range(i, len({ordered}) + 1), lambda q: {earlier}[q] < i)"
+    hit = "list_filter(x.places, lambda q: list_contains(y.new, q))"
+    best = f"list_max(list_transform(range(1, len(z) + 1), lambda r: CAST(r AS DOUBLE) / (len({own}) + list_position(y.new, z[r]) - r)))"
+    per_start = f"list_transform([{{'new': {new}}}], lambda y: list_transform([{hit}], lambda z: {best})[1])[1]"
+    return f"coalesce(list_transform([{{'places': {places}}}], lambda x: list_max(list_transform(x.places, lambda i: {per_start})))[1], 0)"
 
 
 def strict_extent(own: str, pieces: str) -> str:
@@ -67,15 +79,24 @@ CORPUS_QUERIES = f"""(SELECT query AS query_id, query FROM ({PLAIN_SEARCHES} UNI
 
 
 def fuzzy(queries: str, authority: str, threshold: float = 0.3, limit: int = 10, field: str = "label", mode: str = "similarity", floor: bool = True, plain: bool = False) -> str:
-    """A subquery query_id, entity_id, label, name_sim, rank by comparison of all pairs of texts."""
+    """A subquery query_id, entity_id, label, name_sim, rank by comparison of all pairs of texts; in the word modes of all
+    pairs that share as many trigrams as any run must."""
     shape = (lambda x: x) if plain else norm
-    q = f"(SELECT query_id, {shape('query')} AS q, {trigrams(shape('query'))} AS g, {grams(shape('query'))} AS og, {word_pieces(shape('query'))} AS wp FROM {queries} WHERE query IS NOT NULL)"
+    q = f"(SELECT query_id, {shape('query')} AS q FROM {queries} WHERE query IS NOT NULL)"
     dist = f"(SELECT DISTINCT {field} AS label FROM {authority} WHERE {field} IS NOT NULL)"
-    a = f"(SELECT label, {shape('label')} AS a, {trigrams(shape('label'))} AS g FROM {dist})"
-    sim = {"similarity": jaccard("q.g", "a.g"), "word": extent("a.g", "q.og"), "strict_word": strict_extent("a.g", "q.wp")}[mode]
-    pre = "true" if mode == "similarity" else f"len(list_intersect(a.g, q.g)) >= ceil({threshold} * len(a.g) - 1e-9)"
+    a = f"(SELECT label, {shape('label')} AS a FROM {dist})"
     score = "greatest(CASE WHEN q = a THEN 1.0 ELSE sim END, 0.0001)" if floor else "sim"
-    pairs = f"(SELECT q.query_id, a.label, q.q, a.a, {sim} AS sim FROM {q} q JOIN {a} a ON len(q.g) > 0 AND len(a.g) > 0 AND {pre})"
+    if mode == "similarity":
+        side = lambda rows, t: f"(SELECT *, {trigrams(t)} AS g FROM {rows})"
+        pairs = f"(SELECT q.query_id, a.label, q.q, a.a, {jaccard('q.g', 'a.g')} AS sim FROM {side(q, 'q')} q JOIN {side(a, 'a')} a ON len(q.g) > 0 AND len(a.g) > 0)"
+    else:
+        # distinct texts on both sides; the pairs by how many trigrams they share
+        hay = f"(SELECT q, g, og, {word_pieces('q')} AS wp, {before('og')} AS eb FROM (SELECT q, {trigrams('q')} AS g, {grams('q')} AS og FROM (SELECT DISTINCT q FROM {q})))"
+        needle = f"(SELECT a, {trigrams('a')} AS g FROM (SELECT DISTINCT a FROM {a}))"
+        met = f"(SELECT h.q, n.a FROM (SELECT q, unnest(g) AS gram FROM {hay}) h JOIN (SELECT a, unnest(g) AS gram, len(g) AS n FROM {needle}) n ON h.gram = n.gram GROUP BY h.q, n.a, n.n HAVING count(*) >= ceil({threshold} * n.n - 1e-9))"
+        sim = extent("n.g", "h.og", "h.eb") if mode == "word" else strict_extent("n.g", "h.wp")
+        measured = f"(SELECT m.q, m.a, {sim} AS sim FROM {met} m JOIN {hay} h ON h.q = m.q JOIN {needle} n ON n.a = m.a)"
+        pairs = f"(SELECT q.query_id, a.label, q.q, a.a, s.sim FROM {measured} s JOIN {q} q ON q.q = s.q JOIN {a} a ON a.a = s.a WHERE s.sim >= {threshold} - 1e-9)"
     joined = f"(SELECT s.query_id, r.entity_id, s.label, CAST({score} AS DOUBLE) AS name_sim FROM {pairs} s JOIN {authority} r ON r.{field} = s.label WHERE sim >= {threshold} - 1e-9)"
     return f"(SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY name_sim DESC, label, entity_id) AS INTEGER) AS rank FROM {joined}) WHERE rank <= {limit})"
 

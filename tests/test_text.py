@@ -1,3 +1,6 @@
+import random
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as T
@@ -40,3 +43,16 @@ def test_languages(spark):
     assert one(spark, T.guessed_language(F.lit("räksmörgås")))["lang"] == "unknown"
     assert tuple(one(spark, T.answered_language(F.lit("SV, 0.7")))) == ("sv", 0.7)
     assert tuple(one(spark, T.answered_language(F.lit("who knows")))) == ("en", 0.5)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sweeps_find_the_best_run(seed):
+    """best_runs against all runs, for haystacks with and without repeated trigrams."""
+    rng = random.Random(seed)
+    own = [rng.sample([f"g{i}" for i in range(30)], rng.randint(1, 8)) for _ in range(400)]
+    ordered = [rng.sample([f"g{i}" for i in range(30)], rng.randint(0, 25)) if i % 2 else rng.choices([f"g{i}" for i in range(30)], k=rng.randint(1, 20)) for i in range(400)]
+    got = T.best_runs(pa.array(own, pa.list_(pa.string())), pa.array(ordered, pa.list_(pa.string())), None, 0.0)
+    for mine, a, b in zip(got, own, ordered, strict=True):
+        a = set(a)
+        share = [len(a & set(b[i:j])) / len(a | set(b[i:j])) for i in range(len(b)) for j in range(i + 1, len(b) + 1)]
+        assert abs(mine - max(share, default=0)) < 1e-12
