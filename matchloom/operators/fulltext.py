@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from matchloom.functions import text as T
 from matchloom.operators.match import top_k
@@ -49,41 +50,50 @@ def tokens(rows: DataFrame) -> DataFrame:
 
 
 def terms(queries: DataFrame) -> DataFrame:
-    """Parsed web-search queries: query_id, clause, lexeme, negated, place (in a phrase, from 0), size (of the phrase).
+    """Parsed web-search queries: query_id, branch, clause, negated, lexeme, place (in a phrase, from 0), size (of the phrase).
 
-    Words stand for all of them; "several words" for that phrase; a word or phrase after - must not occur; a word `or`
-    between two clauses lets either stand: the two get the same clause number.
+    A query is a disjunction of branches, which a word `or` divides; so `or` binds weaker than the white space between the
+    words and phrases of a branch, all of which must be met. "Several words" are a phrase, as are the words of a piece like
+    a-b; what follows a minus must not occur, two minuses cancel out. An `or` that begins or ends the query, or follows
+    another that divides, is a word.
     """
-    norm = T.normalise(F.col("query"))
-    pieces = F.expr("""regexp_extract_all(__q, '(-?"[^"]*"|\\\\S+)', 1)""")
-    split = queries.withColumn("__q", norm).select("query_id", F.posexplode(pieces).alias("i", "piece"))
-    order = Window.partitionBy("query_id").orderBy("i")
-    marked = split.withColumn("is_or", F.col("piece") == "or").withColumn("after_or", F.coalesce(F.lag("is_or").over(order), F.lit(False)))
-    kept = marked.filter(~F.col("is_or")).withColumn("clause", F.sum(F.when(F.col("after_or"), 0).otherwise(1)).over(order))
-    parsed = kept.withColumn("negated", F.col("piece").startswith("-")).withColumn("lexemes", T.words(F.col("piece"))).filter(F.size("lexemes") > 0)
-    return parsed.select("query_id", "clause", F.col("i").alias("part"), "negated", F.size("lexemes").alias("size"), F.posexplode("lexemes").alias("place", "lexeme"))
+    norm = F.regexp_replace(T.normalise(F.col("query")), r"(^|\s)(-+)\s+", "$1$2")
+    kept = "array<struct<branch:int,piece:string>>"
+
+    def step(state: Column, x: Column, last: Column) -> Column:
+        divides = (x["piece"] == "or") & ~state["after"] & (x["i"] < last)
+        more = F.concat(state["kept"], F.array(F.struct(state["branch"].alias("branch"), x["piece"].alias("piece"))))
+        return F.struct((state["branch"] + divides.cast("int")).alias("branch"), divides.alias("after"), F.when(divides, state["kept"]).otherwise(more).alias("kept"))
+
+    pieces = F.expr("""regexp_extract_all(__q, '(-*"[^"]*"|\\\\S+)', 1)""")
+    split = queries.withColumn("__q", norm).select("query_id", F.transform(pieces, lambda p, i: F.struct(i.alias("i"), p.alias("piece"))).alias("pieces"))
+    start = F.struct(F.lit(0).alias("branch"), F.lit(True).alias("after"), F.array().cast(kept).alias("kept"))
+    branches = F.aggregate("pieces", start, lambda state, x: step(state, x, F.size("pieces") - 1), lambda state: state["kept"])
+    parsed = split.select("query_id", F.posexplode(branches).alias("clause", "p")).select("query_id", "p.branch", "clause", "p.piece")
+    minuses = F.length(F.regexp_extract("piece", "^-*", 0))
+    parsed = parsed.withColumn("negated", minuses % 2 == 1).withColumn("lexemes", T.words(F.col("piece"))).filter(F.size("lexemes") > 0)
+    return parsed.select("query_id", "branch", F.col("clause").cast("long").alias("clause"), "negated", F.size("lexemes").alias("size"), F.posexplode("lexemes").alias("place", "lexeme"))
 
 
 def candidates(parsed: DataFrame, toks: DataFrame) -> DataFrame:
-    """query_id and the keys of rows that may satisfy the query: those with the rarest word of its rarest clause.
+    """query_id, branch and the keys of rows that may satisfy the branch: those with the rarest word that it asks for.
 
     A row has to meet every clause that is not negated, so frequent words are never joined to all rows that hold them.
     """
     often = toks.groupBy("lexeme").agg(F.count("*").alias("f"))
     wanted = parsed.filter(~F.col("negated")).join(often, "lexeme", "left").withColumn("f", F.coalesce("f", F.lit(0)))
-    parts = wanted.groupBy("query_id", "clause", "part").agg(F.min(F.struct("f", "lexeme")).alias("rare"))
-    clauses = parts.groupBy("query_id", "clause").agg(F.sum("rare.f").alias("cost"))
-    best = clauses.groupBy("query_id").agg(F.min(F.struct("cost", "clause")).alias("best")).select("query_id", F.col("best.clause").alias("clause"))
-    probes = parts.join(best, ["query_id", "clause"]).select("query_id", F.col("rare.lexeme").alias("lexeme")).distinct()
-    return probes.join(toks.select("lexeme", *KEY), "lexeme").select("query_id", *KEY).distinct()
+    rarest = wanted.groupBy("query_id", "branch").agg(F.min(F.struct("f", "lexeme")).alias("rare"))
+    probes = rarest.select("query_id", "branch", F.col("rare.lexeme").alias("lexeme"))
+    return probes.join(toks.select("lexeme", *KEY), "lexeme").select("query_id", "branch", *KEY).distinct()
 
 
-def cover_density(hits: Column, clauses: Column) -> Column:
+def cover_density(hits: Column, branches: Column) -> Column:
     """Sum over the minimal covers of a row's hits: 1 / (1 + words in the cover that are no hit).
 
-    hits: array of (pos, clause), sorted; clauses: all that must be hit. A minimal cover hits every clause and holds no
-    smaller range that does. One ends at each place where the earliest of the latest hits of all clauses moves, and begins
-    at that hit; several hits at one place count together.
+    hits: array of (pos, clause), sorted; branches: arrays of the clauses that must be hit together. A minimal cover hits
+    every clause of some branch and holds no smaller range that does. One ends at each place where the best beginning
+    moves: of each branch the earliest of the latest hits of its clauses, and of these the latest; several hits at one place
+    count together.
     """
     following = F.concat(F.slice(hits, 2, F.size(hits)), F.array(F.lit(None).cast("struct<pos:int,clause:bigint>")))
     marked = F.zip_with(hits, following, lambda x, y: F.struct(x.pos.alias("pos"), x.clause.alias("clause"), F.coalesce(x.pos != y.pos, F.lit(True)).alias("last")))
@@ -91,8 +101,8 @@ def cover_density(hits: Column, clauses: Column) -> Column:
     seen = lambda i, pos: F.struct(i.alias("i"), pos.alias("pos"))
 
     def step(state: Column, hit: Column) -> Column:
-        latest = F.transform(clauses, lambda c, j: F.when(c == hit.clause, seen(state.i, hit.pos)).otherwise(F.get(state.latest, j)))
-        return F.struct(latest.alias("latest"), state.least.alias("least"), state.i.alias("i"), state.total.alias("total"), hit.last.alias("last"), F.array_min(latest).alias("new"), hit.pos.alias("pos"))
+        latest = F.transform(branches, lambda b, k: F.transform(b, lambda c, j: F.when(c == hit.clause, seen(state.i, hit.pos)).otherwise(F.get(F.get(state.latest, k), j))))
+        return F.struct(latest.alias("latest"), state.least.alias("least"), state.i.alias("i"), state.total.alias("total"), hit.last.alias("last"), F.array_max(F.transform(latest, lambda b: F.array_min(b))).alias("new"), hit.pos.alias("pos"))
 
     def closed(state: Column) -> Column:
         moved = state.last & (state.new.i > state.least)
@@ -104,30 +114,82 @@ def cover_density(hits: Column, clauses: Column) -> Column:
     # what a step uses several times is made once: as an element of an array of one
     once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
     none = F.lit(-1)
-    start = F.struct(F.transform(clauses, lambda c: seen(none, none)).alias("latest"), none.alias("least"), F.lit(0).alias("i"), F.lit(0.0).alias("total"))
+    start = F.struct(F.transform(branches, lambda b: F.transform(b, lambda c: seen(none, none))).alias("latest"), none.alias("least"), F.lit(0).alias("i"), F.lit(0.0).alias("total"))
     covers = F.aggregate(marked, start, lambda state, hit: once(step(state, hit), closed), lambda state: state.total)
-    # of one clause every place is a cover
-    return F.when(F.size(clauses) == 1, F.size(F.array_distinct(hits.pos)).cast("double")).otherwise(covers)
+    # where every branch has one clause every place is a cover
+    return F.when(F.forall(branches, lambda b: F.size(b) == 1), F.size(F.array_distinct(hits.pos)).cast("double")).otherwise(covers)
 
 
 def hits(parsed: DataFrame, toks: DataFrame) -> DataFrame:
-    """query_id and the keys of the rows that satisfy the query, with rank: the row's weight times its cover density.
+    """query_id and the keys of the rows that satisfy a branch of the query that asks for some word, with rank: the row's
+    weight times the cover density of the branches that it satisfies.
 
     A phrase hits where it begins. Of the corpus only the words that some query asks for go further. These, and where
     they meet the queries, are staged, as both are used several times.
     """
     toks = staged(toks.join(parsed.select("lexeme").distinct(), "lexeme", "left_semi"), "tokens")
-    met = staged(candidates(parsed, toks).join(toks, KEY).join(parsed, ["query_id", "lexeme"]), "met")
-    hit = ["query_id", *KEY, "clause", "negated", "weight"]
-    # a phrase is met where all its words follow each other
-    phrases = met.filter("size > 1").groupBy(*hit, "part", "size", (F.col("pos") - F.col("place")).alias("pos")).agg(F.count("*").alias("n")).filter("n = size")
-    found = met.filter("size = 1").select(*hit, "pos").unionByName(phrases.select(*hit, "pos"))
-    asked = parsed.filter(~F.col("negated")).groupBy("query_id").agg(F.sort_array(F.collect_set("clause")).alias("clauses"))
-    # hits of the words of one query in one row: no more than the row has words
-    rows = found.groupBy("query_id", *KEY).agg(F.collect_list(F.when(~F.col("negated"), F.struct("pos", "clause"))).alias("hits"), F.max("negated").alias("bad"), F.max("weight").alias("weight"))
-    rows = rows.filter(~F.col("bad")).join(asked, "query_id")
-    met_all = F.size(F.array_distinct("hits.clause")) == F.size("clauses")
-    return rows.filter(met_all).select("query_id", *KEY, (F.col("weight") * cover_density(F.sort_array("hits"), F.col("clauses"))).alias("rank"))
+    met = staged(candidates(parsed, toks).join(toks, KEY).join(parsed, ["query_id", "branch", "lexeme"]), "met")
+    hit = ["query_id", *KEY, "branch", "clause", "negated", "weight"]
+    found = met.filter("size = 1").select(*hit, "pos").unionByName(_phrases(met, hit))
+    each = parsed.filter(~F.col("negated")).groupBy("query_id", "branch").agg(F.sort_array(F.collect_set("clause")).alias("clauses"))
+    asked = each.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("branch", "clauses"))).alias("branches"))
+    # hits of the words of one query in one row: no more than the row has words for each of the query's
+    met_by = F.when(~F.col("negated"), F.struct("pos", "clause", "branch"))
+    rows = found.groupBy("query_id", *KEY).agg(F.collect_list(met_by).alias("hits"), F.collect_set(F.when(F.col("negated"), F.col("branch"))).alias("bad"), F.max("weight").alias("weight")).join(asked, "query_id")
+    good = F.filter("branches", lambda b: ~F.array_contains("bad", b.branch) & (F.size(F.array_except(b.clauses, F.col("hits.clause"))) == 0))
+    rows = rows.withColumn("branches", good).filter(F.size("branches") > 0)
+    counted = F.filter("hits", lambda h: F.exists("branches", lambda b: b.branch == h.branch))
+    rows = rows.withColumn("hits", F.sort_array(F.transform(counted, lambda h: F.struct(h.pos.alias("pos"), h.clause.alias("clause")))))
+    return rows.select("query_id", *KEY, (F.col("weight") * cover_density(F.col("hits"), F.col("branches.clauses"))).alias("rank"))
+
+
+def _phrases(met: DataFrame, hit: list[str]) -> DataFrame:
+    """Where all words of a phrase follow each other."""
+    return met.filter("size > 1").groupBy(*hit, "size", (F.col("pos") - F.col("place")).alias("pos")).agg(F.count("*").alias("n")).filter("n = size").select(*hit, "pos")
+
+
+#: Rows of the corpus in a block of the complement.
+BLOCK_ROWS = 1000
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """The keys of corpus rows with number, from 0 in their order, and block; staged.
+
+    Keys are sorted by ranges and numbered within each; what comes before a range is a table of as many rows as partitions.
+    """
+    ranges = staged(rows.select(*KEY).repartitionByRange(*KEY).sortWithinPartitions(*KEY).withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes, before, at = ranges.groupBy("part").agg(F.count("*").alias("n"), F.min("place").alias("first")).orderBy("part").collect(), [], 0
+    for r in sizes:
+        before.append((r["part"], at - r["first"]))
+        at += r["n"]
+    numbered = ranges.join(F.broadcast(rows.sparkSession.createDataFrame(before, "part int, offset long")), "part").withColumn("number", F.col("place") + F.col("offset"))
+    return staged(numbered.select(*KEY, "number", F.floor(F.col("number") / BLOCK_ROWS).alias("block")), "ordered")
+
+
+def without(parsed: DataFrame, toks: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
+    """query_id and the keys of the first `limit` rows, in the order of keys, that satisfy a branch which only says what must
+    not occur; rank is 0.
+
+    If n rows hold what must not occur, the answer lies among the first n + limit rows: so many are taken, in whole blocks,
+    and those that hold it are taken away.
+    """
+    asks = parsed.groupBy("query_id", "branch").agg(F.min("negated").alias("none")).filter("none").select("query_id", "branch")
+    only = staged(parsed.join(asks, ["query_id", "branch"]), "without")
+    if only.isEmpty():
+        return only.sparkSession.createDataFrame([], hits_schema(parsed, rows))
+    met = toks.join(only, "lexeme")
+    hit = ["query_id", *KEY, "branch", "clause", "negated", "weight"]
+    bad = staged(met.filter("size = 1").select("query_id", "branch", *KEY).unionByName(_phrases(met, hit).select("query_id", "branch", *KEY)).distinct(), "held")
+    many = bad.groupBy("query_id", "branch").agg(F.count("*").alias("n"))
+    wanted = only.select("query_id", "branch").distinct().join(many, ["query_id", "branch"], "left").withColumn("upto", F.coalesce("n", F.lit(0)) + limit)
+    blocks = wanted.select("query_id", "branch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("upto") - 1) / BLOCK_ROWS))).alias("block"))
+    found = blocks.join(in_order(rows), "block").join(bad, ["query_id", "branch", *KEY], "left_anti")
+    first = top_k(found.dropDuplicates(["query_id", *KEY]), limit, ["query_id"], [F.col("number")])
+    return first.select("query_id", *KEY, F.lit(0.0).alias("rank"))
+
+
+def hits_schema(parsed: DataFrame, rows: DataFrame) -> S.StructType:
+    return S.StructType([parsed.schema["query_id"], *(rows.schema[c] for c in KEY), S.StructField("rank", S.DoubleType())])
 
 
 def row_score(rank: Column, sim: Column, weight: float = POLICY.trigram_weight) -> Column:
@@ -139,7 +201,7 @@ def scored(queries: DataFrame, rows: DataFrame, toks: DataFrame | None = None, *
     """Corpus rows that a query hits by words or by trigrams: fts_rank, trigram_sim (null where not hit), row_score.
 
     The two ways are separate joins put together by an outer join on the row, as a join on either would compare every
-    query with every row.
+    query with every row. Rows that satisfy a query only by what they don't hold are no hits here.
     """
     by_word = hits(terms(queries), tokens(rows) if toks is None else toks)
     q = queries.select("query_id", T.normalise(F.col("query")).alias("q"))
@@ -169,5 +231,9 @@ def table_scores(queries: DataFrame, rows: DataFrame, *, limit: int = 5, thresho
 
 
 def search(queries: DataFrame, rows: DataFrame, *, limit: int = 20) -> DataFrame:
-    """Corpus rows by full-text rank."""
-    return with_values(top_k(hits(terms(queries), tokens(rows)), limit, ["query_id"], [F.desc("rank"), *map(F.col, KEY)], rank="place"), rows)
+    """Corpus rows by full-text rank, equal ranks by the rows' keys. Rows that satisfy a query only by what they don't hold
+    have rank 0."""
+    parsed, toks = staged(terms(queries), "terms"), tokens(rows)
+    found = hits(parsed, toks).unionByName(without(parsed, toks, rows, limit))
+    best = found.groupBy("query_id", *KEY).agg(F.max("rank").alias("rank"))
+    return with_values(top_k(best, limit, ["query_id"], [F.desc("rank"), *map(F.col, KEY)], rank="place"), rows)

@@ -212,30 +212,62 @@ def fts_corpus(spark, sf_dir):
 
 # words of values by a digest of the value; queries as clauses, written from how they are made
 TOKENS = f"(SELECT table_name, column_name, system_id, vid, weight, unnest(ws) AS lexeme, generate_subscripts(ws, 1) AS pos FROM (SELECT table_name, column_name, system_id, md5(value) AS vid, CASE column_type WHEN 'label' THEN 1.0 WHEN 'abbreviation' THEN 0.4 ELSE 0.2 END AS weight, {sql.words(sql.norm('value'))} AS ws FROM {sql.CORPUS}))"
-PLAIN_PIECES = f"SELECT query AS query_id, part AS clause, part, false AS negated, unnest(ws) AS lexeme, generate_subscripts(ws, 1) - 1 AS place, len(ws) AS size FROM (SELECT query, part, {sql.words('piece')} AS ws FROM (SELECT query, unnest(p) AS piece, generate_subscripts(p, 1) AS part FROM (SELECT query, string_split({sql.norm('query')}, ' ') AS p FROM ({sql.PLAIN_SEARCHES}))))"
-PIECES = f"""({PLAIN_PIECES}
-    UNION ALL SELECT '"' || p_name || '"', 1, 1, false, a, 0, 2 FROM {sql.NAME_WORDS} UNION ALL SELECT '"' || p_name || '"', 1, 1, false, b, 1, 2 FROM {sql.NAME_WORDS}
-    UNION ALL SELECT a || ' or ' || b, 1, 1, false, a, 0, 1 FROM {sql.NAME_WORDS} UNION ALL SELECT a || ' or ' || b, 1, 2, false, b, 0, 1 FROM {sql.NAME_WORDS}
-    UNION ALL SELECT b || ' -' || a, 1, 1, false, b, 0, 1 FROM {sql.NAME_WORDS} UNION ALL SELECT b || ' -' || a, 2, 2, true, a, 0, 1 FROM {sql.NAME_WORDS})"""
+PLAIN_PIECES = f"SELECT query AS query_id, 1 AS branch, part AS clause, false AS negated, unnest(ws) AS lexeme, generate_subscripts(ws, 1) - 1 AS place, len(ws) AS size FROM (SELECT query, part, {sql.words('piece')} AS ws FROM (SELECT query, unnest(p) AS piece, generate_subscripts(p, 1) AS part FROM (SELECT query, string_split({sql.norm('query')}, ' ') AS p FROM ({sql.PLAIN_SEARCHES}))))"
+
+
+def word(query: str, branch: int, clause: int, lexeme: str, negated: bool = False, place: int = 0, size: int = 1) -> str:
+    """One word of a query about the two words a and b of a name."""
+    return f"SELECT {query} AS query_id, {branch} AS branch, {clause} AS clause, {str(negated).lower()} AS negated, {lexeme} AS lexeme, {place} AS place, {size} AS size FROM {sql.NAME_WORDS}"
+
+
+PHRASE, EITHER, LESS = "'\"' || p_name || '\"'", "a || ' or ' || b", "b || ' -' || a"
+PIECES = "(" + " UNION ALL ".join([PLAIN_PIECES, word(PHRASE, 1, 1, "a", size=2), word(PHRASE, 1, 1, "b", place=1, size=2), word(EITHER, 1, 1, "a"), word(EITHER, 2, 2, "b"), word(LESS, 1, 1, "b"), word(LESS, 1, 2, "a", negated=True)]) + ")"
 ROW = "query_id, table_name, column_name, system_id, vid"
-# covers by definition: pairs of hits between which every clause is hit, though not without either end
-HITS = f"""pc AS MATERIALIZED {PIECES}, tk AS MATERIALIZED (SELECT * FROM {TOKENS} WHERE lexeme IN (SELECT lexeme FROM pc)),
-    ph AS (SELECT query_id, clause, part, negated, table_name, column_name, system_id, vid, pos - place AS pos, max(weight) AS weight FROM pc JOIN tk USING (lexeme) GROUP BY ALL HAVING count(*) = max(size)),
-    n AS (SELECT query_id, count(DISTINCT clause) AS clauses FROM pc WHERE NOT negated GROUP BY 1),
-    ok AS (SELECT {ROW}, max(clauses) AS clauses FROM ph JOIN n USING (query_id) WHERE NOT negated GROUP BY ALL HAVING count(DISTINCT clause) = max(clauses)),
-    good AS MATERIALIZED (SELECT DISTINCT {ROW}, clause, pos, weight, clauses FROM ph JOIN ok USING ({ROW}) WHERE NOT negated AND ({ROW}) NOT IN (SELECT ({ROW}) FROM ph WHERE negated)),
+
+
+def full_text(pieces: str) -> str:
+    """Rows that satisfy some branch and their ranks; covers by definition: pairs of hits between which every clause of some
+    satisfied branch is hit, though not without either end."""
+    return f"""pc AS MATERIALIZED {pieces}, tk AS MATERIALIZED (SELECT * FROM {TOKENS} WHERE lexeme IN (SELECT lexeme FROM pc)),
+    ph AS MATERIALIZED (SELECT query_id, branch, clause, negated, table_name, column_name, system_id, vid, pos - place AS pos, max(weight) AS weight FROM pc JOIN tk USING (lexeme) GROUP BY ALL HAVING count(*) = max(size)),
+    n AS (SELECT query_id, branch, count(DISTINCT clause) AS clauses FROM pc WHERE NOT negated GROUP BY ALL),
+    ok AS (SELECT {ROW}, branch, max(clauses) AS clauses FROM ph JOIN n USING (query_id, branch) WHERE NOT negated GROUP BY ALL HAVING count(DISTINCT clause) = max(clauses)),
+    good AS MATERIALIZED (SELECT DISTINCT {ROW}, branch, clause, pos, weight, clauses FROM ph JOIN ok USING ({ROW}, branch) WHERE NOT negated AND ({ROW}, branch) NOT IN (SELECT ({ROW}, branch) FROM ph WHERE negated)),
     ends AS (SELECT DISTINCT {ROW}, pos FROM good),
-    covers AS (SELECT {ROW}, a.pos AS p, b.pos AS q, max(weight) AS weight, count(DISTINCT c.pos) AS entries FROM ends a JOIN ends b USING ({ROW}) JOIN good c USING ({ROW}) WHERE a.pos <= b.pos AND c.pos BETWEEN a.pos AND b.pos GROUP BY ALL
-        HAVING count(DISTINCT c.clause) = max(clauses) AND count(DISTINCT CASE WHEN c.pos > a.pos THEN c.clause END) < max(clauses) AND count(DISTINCT CASE WHEN c.pos < b.pos THEN c.clause END) < max(clauses)),
+    spans AS (SELECT {ROW}, a.pos AS p, b.pos AS q, branch, max(weight) AS weight, list_distinct(list(c.pos)) AS held, count(DISTINCT c.clause) = max(clauses) AS met, count(DISTINCT CASE WHEN c.pos > a.pos THEN c.clause END) = max(clauses) OR count(DISTINCT CASE WHEN c.pos < b.pos THEN c.clause END) = max(clauses) AS smaller
+        FROM ends a JOIN ends b USING ({ROW}) JOIN good c USING ({ROW}) WHERE a.pos <= b.pos AND c.pos BETWEEN a.pos AND b.pos GROUP BY ALL),
+    covers AS (SELECT {ROW}, p, q, max(weight) AS weight, len(list_distinct(flatten(list(held)))) AS entries FROM spans GROUP BY ALL HAVING bool_or(met) AND NOT bool_or(smaller)),
     hits AS MATERIALIZED (SELECT {ROW}, CAST(sum(weight / (1 + (q - p + 1) - entries)) AS DOUBLE) AS fts_rank FROM covers GROUP BY ALL),
     vals AS MATERIALIZED (SELECT md5(value) AS vid, any_value(value) AS value FROM {sql.CORPUS} GROUP BY 1)"""
 
 
+HITS = full_text(PIECES)
+
+
 @query(f"WITH {HITS} SELECT query_id, table_name, column_name, system_id, value, round(fts_rank, 6) AS rank, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(fts_rank, 9) DESC, table_name, column_name, system_id) AS INTEGER) AS place FROM hits) JOIN vals USING (vid) WHERE place <= 20")
 def fts_rank(spark, sf_dir):
     return rounded(fulltext.search(roles.corpus_queries(spark, sf_dir), roles.search_corpus(spark, sf_dir)), "rank")
 
 
+# queries in which `or`, phrases and minus signs meet: a or b a; a -b or "b a"; -a; b or -a; or a
+MIXED, TURNED, NEVER, PERHAPS, LEADING = "a || ' or ' || b || ' ' || a", "a || ' -' || b || ' or \"' || b || ' ' || a || '\"'", "'-' || a", "b || ' or - ' || a", "'or ' || a || ' or'"
+BOOLEAN_PIECES = "(SELECT DISTINCT * FROM (" + " UNION ALL ".join([
+    word(MIXED, 1, 1, "a"), word(MIXED, 2, 2, "b"), word(MIXED, 2, 3, "a"),
+    word(TURNED, 1, 1, "a"), word(TURNED, 1, 2, "b", negated=True), word(TURNED, 2, 3, "b", size=2), word(TURNED, 2, 3, "a", place=1, size=2),
+    word(NEVER, 1, 1, "a", negated=True), word(PERHAPS, 1, 1, "b"), word(PERHAPS, 2, 2, "a", negated=True),
+    word(LEADING, 1, 1, "'or'"), word(LEADING, 1, 2, "a"), word(LEADING, 1, 3, "'or'"),
+]) + "))"
+
+
+@query(f"""WITH {full_text(BOOLEAN_PIECES)}, absent AS (SELECT query_id, branch FROM pc GROUP BY ALL HAVING bool_and(negated)),
+    rest AS (SELECT query_id, table_name, column_name, system_id, md5(value) AS vid, 0.0::DOUBLE AS fts_rank FROM absent, {sql.CORPUS} WHERE (query_id, table_name, column_name, system_id, md5(value), branch) NOT IN (SELECT ({ROW}, branch) FROM ph)),
+    every AS (SELECT {ROW}, max(fts_rank) AS fts_rank FROM (SELECT * FROM hits UNION ALL SELECT {ROW}, fts_rank FROM rest) GROUP BY ALL)
+    SELECT query_id, table_name, column_name, system_id, value, round(fts_rank, 6) AS rank, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(fts_rank, 9) DESC, table_name, column_name, system_id) AS INTEGER) AS place FROM every) JOIN vals USING (vid) WHERE place <= 20""")
+def fts_boolean(spark, sf_dir):
+    """Disjunctions of conjunctions, and queries that only say what must not occur."""
+    return rounded(fulltext.search(roles.boolean_queries(spark, sf_dir), roles.search_corpus(spark, sf_dir)), "rank")
+
+
 SCORED = f"""{HITS}, qs AS (SELECT query_id, {sql.trigrams(sql.norm('query'))} AS g FROM {sql.CORPUS_QUERIES}),
     cs AS (SELECT v.value, {sql.trigrams(sql.norm('v.value'))} AS g FROM (SELECT DISTINCT value FROM {sql.CORPUS}) v),
     vs AS (SELECT query_id, value, {sql.jaccard('qs.g', 'cs.g')} AS trigram_sim FROM qs JOIN cs ON {sql.jaccard('qs.g', 'cs.g')} >= 0.3),

@@ -97,6 +97,16 @@ def corpus_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select(F.col("query").alias("query_id"), "query")
 
 
+def boolean_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches about the two words a and b of each part name that mix `or`, phrases and minus signs."""
+    name = F.split("p_name", " ")
+    a, b = name[0], name[1]
+    quoted = F.concat(F.lit('"'), b, F.lit(" "), a, F.lit('"'))
+    shapes = [F.concat(a, F.lit(" or "), b, F.lit(" "), a), F.concat(a, F.lit(" -"), b, F.lit(" or "), quoted), F.concat(F.lit("-"), a), F.concat(b, F.lit(" or - "), a), F.concat(F.lit("or "), a, F.lit(" or"))]
+    texts = table(spark, sf_dir, "part").select(F.explode(F.array(*shapes)).alias("query")).distinct()
+    return texts.select(F.col("query").alias("query_id"), "query")
+
+
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as gazetteer records, with scores and populations from their keys."""
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))

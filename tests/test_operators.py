@@ -211,3 +211,43 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("query_id long, query string").parquet(str(tmp_path / "in"))
     reconcile_stream(stream, lambda df: match.fuzzy(df, names), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert [r["entity_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [3]
+
+
+def corpus_of(spark, values):
+    df = spark.createDataFrame(list(enumerate(values, 1)), "id long, v string")
+    return fulltext.corpus([(df, "tbl_tree", "id", "v", "label")])
+
+
+@pytest.mark.parametrize(
+    ("query", "ids"),
+    [
+        ("oak or birch pine", {1, 2, 3}),
+        ("birch pine or oak", {1, 2, 3}),
+        ("-oak", {2, 4}),
+        ("- oak", {2, 4}),
+        ("--oak", {1, 3}),
+        ("pine -oak", {2}),
+        ("oak -pine or -birch", {1, 3}),
+        ('"birch pine" or "pine oak"', {2}),
+        ("or", set()),
+        ("or oak", set()),
+        ("oak or", set()),
+        ("oak or or", {1, 3}),
+        ("oak or birch or pine", {1, 2, 3, 4}),
+        ("-oak -birch", set()),
+        ("", set()),
+        (None, set()),
+        ("-", set()),
+    ],
+)
+def test_boolean_searches(spark, query, ids):
+    rows = corpus_of(spark, ["oak", "birch pine", "oak pine", "birch"])
+    found = fulltext.search(spark.createDataFrame([(1, query)], "query_id long, query string"), rows)
+    assert {r["system_id"] for r in found.collect()} == ids
+
+
+def test_complements_are_taken_from_the_first_rows(spark, monkeypatch):
+    monkeypatch.setattr(fulltext, "BLOCK_ROWS", 3)
+    rows = corpus_of(spark, ["oak" if i % 3 else f"elm {i}" for i in range(1, 40)])
+    found = fulltext.search(spark.createDataFrame([(1, "-oak"), (2, "-elm")], "query_id long, query string"), rows, limit=5).orderBy("query_id", "place").collect()
+    assert [r["system_id"] for r in found] == [3, 6, 9, 12, 15, 1, 2, 4, 5, 7]
