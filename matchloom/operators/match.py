@@ -28,7 +28,7 @@ def _texts(df: DataFrame, column: str) -> DataFrame:
     return grams.filter(F.size("grams") > 0)
 
 
-def _numbered(texts: DataFrame, label: str) -> DataFrame:
+def numbered(texts: DataFrame, label: str) -> DataFrame:
     """texts with id, a number of the text, and n, the size of its trigram set; written once, as several steps use both.
 
     Whatever follows is shuffled by numbers, however long texts are.
@@ -59,11 +59,11 @@ def similar_texts(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     and their sizes differ by the factor t at most; so few trigrams are joined, the frequent ones seldom, and none that
     could match is lost. The pairs are then measured on whole sets. threshold > 0.
     """
-    left = _numbered(left, "left")
+    left = numbered(left, "left")
     # texts of other sizes match nothing: few sizes, as texts on the left have few
     n = F.size("grams")
     sizes = left.select("n").distinct().select(F.explode(F.sequence(F.ceil(F.col("n") * threshold - EPS).cast("int"), F.floor(F.col("n") / threshold + EPS).cast("int"))).alias("n")).distinct()
-    right = _numbered(right.withColumn("n", n).join(sizes, "n", "left_semi").drop("n"), "right")
+    right = numbered(right.withColumn("n", n).join(sizes, "n", "left_semi").drop("n"), "right")
     frequency = _frequency(right)
     keep = F.col("n") - needed(F.col("n"), threshold) + 1
     a = _probes(left, frequency, keep).select("gram", F.col("id").alias("left_id"), F.col("n").alias("na"))
@@ -100,8 +100,8 @@ def contained_texts(needles: DataFrame, haystacks: DataFrame, threshold: float,
     Pairs come from a join that counts shared trigrams (containment_candidates); their best runs are found over arrays
     of trigrams, which are fetched by number. threshold > 0.
     """
-    needles = _numbered(needles, "needles")
-    haystacks = _numbered(haystacks.select("t", "grams", *T.ordered_pieces(F.col("t"))), "haystacks")
+    needles = numbered(needles, "needles")
+    haystacks = numbered(haystacks.select("t", "grams", *T.ordered_pieces(F.col("t"))), "haystacks")
     pairs = containment_candidates(needles, haystacks, threshold)
     both = pairs.join(needles.select(F.col("id").alias("needle"), F.col("t").alias("right_text"), F.col("grams").alias("own")), "needle")
     both = both.join(haystacks.select(F.col("id").alias("haystack"), F.col("t").alias("left_text"), "ordered", "word_sizes"), "haystack")
@@ -116,11 +116,17 @@ def fuzzy(queries: DataFrame, authority: DataFrame, *, threshold: float = POLICY
     texts and texts without letters and digits match nothing. normalise=False compares plain texts; floor=False leaves
     out the exact override and the least score.
 
+    authority may be a stored index (operators.index.TrigramIndex) instead, whose table is then not read.
+
     Equal texts are matched once; of the rows that share a label only the first `limit` can be among the best, so a
     label that is held by very many rows costs no more than another.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; one of {MODES}")
+    if not isinstance(authority, DataFrame):
+        if mode != "similarity" or not normalise:
+            raise ValueError("an index is of normalised texts, for mode 'similarity'")
+        return authority.search(queries, threshold=threshold, limit=limit, floor=floor)
     shaped = T.normalise if normalise else (lambda c: c)
     q = queries.select("query_id", F.col("query").alias("q_raw"), shaped(F.col("query")).alias("q"))
     a = authority.select("entity_id", F.col(field).cast("string").alias("label")).withColumn("a", shaped(F.col("label")))
