@@ -185,9 +185,10 @@ class TrigramIndex:
         sized = (F.col("n") >= F.col("na") * threshold - EPS) & (F.col("na") >= F.col("n") * threshold - EPS)
         return asked.join(stored, "gram").filter(sized).select("id", "text_id").distinct()
 
-    def search(self, queries: DataFrame, *, threshold: float = POLICY.similarity, limit: int = POLICY.limit, floor: bool = True) -> DataFrame:
-        """query_id, entity_id, label, name_sim, rank: what match.fuzzy gives for the table as it is after all changes."""
-        snapshot = self.snapshot()
+    def search(self, queries: DataFrame, *, threshold: float = POLICY.similarity, limit: int = POLICY.limit, floor: bool = True, snapshot: tuple[int, list[int]] | None = None) -> DataFrame:
+        """query_id, entity_id, label, name_sim, rank: what match.fuzzy gives for the table as it is after all changes, or as it
+        was at a snapshot."""
+        snapshot = snapshot or self.snapshot()
         q = queries.select("query_id", T.normalise(F.col("query")).alias("q"))
         texts = numbered(q.select(F.col("q").alias("t")).filter("t IS NOT NULL").distinct().withColumn("grams", T.trigrams(F.col("t"))).filter(F.size("grams") > 0), "asked")
         pairs = self.candidates(texts, threshold, snapshot).join(texts.select("id", "t", F.col("grams").alias("ga")), "id")

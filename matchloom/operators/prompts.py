@@ -105,7 +105,8 @@ def completed(rows: DataFrame, complete: Callable[[str], str]) -> DataFrame:
         for prompts in batches:
             yield prompts.map(one)
 
-    return rows.withColumn("completion", answer("prompt"))
+    # each row is asked once, wherever its answer is used
+    return rows.withColumn("completion", answer.asNondeterministic()("prompt"))
 
 
 def parsed(completion: Column) -> Column:

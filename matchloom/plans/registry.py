@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import text as T
 from matchloom.operators import cascades, details, exact, fulltext, gazetteer, match, merge, prompts, score
+from matchloom.operators.completions import CompletionLog
 from matchloom.operators.index import TrigramIndex
+from matchloom.operators.translations import TranslationStore
 from matchloom.plans import roles, sql
 from matchloom.plans.roles import table
 from matchloom.policy import POLICY
 from matchloom.sources import authority, batches
 from matchloom.storage import shared_dir
-from matchloom.streaming.reconcile import reconcile_stream
+from matchloom.streaming.reconcile import asked_once, reconcile_stream, reconcile_with_index
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -833,3 +835,66 @@ def stream_reconcile(spark, sf_dir):
 def sphere_distance(spark, sf_dir):
     km = score.haversine_km(F.col("longitude"), F.col("latitude"), F.lit(18.07), F.lit(59.33))
     return roles.parts(spark, sf_dir).select("entity_id", F.round(km, 4).alias("km"))
+
+
+@query(f"""SELECT query_id, entity_id, label, round(name_sim, 6) AS name_sim, rank, 0 AS segment FROM {sql.fuzzy(f'(SELECT query_id, query FROM {sql.PART_QUERIES} WHERE query_id % 2 = 0)', sql.PARTS)}
+    UNION ALL SELECT query_id, entity_id, label, round(name_sim, 6), rank, 1 FROM {sql.fuzzy(f'(SELECT query_id, query FROM {sql.PART_QUERIES} WHERE query_id % 2 = 1)', f'(SELECT * FROM {sql.PARTS} WHERE entity_id % 3 > 0)')}""")
+def stream_with_repeats(spark, sf_dir):
+    """A stream of many files against an index: queries repeat within and after the first run, the index loses rows while the
+    stream is down, and what comes too late is left out."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    parts = roles.parts(spark, sf_dir).select("entity_id", "label")
+    index = TrigramIndex.create(parts, f"{path}/index", buckets=8)
+    asked, k = roles.part_queries(spark, sf_dir), F.col("query_id")
+    at = lambda hour: F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * hour) + k % 3000)
+    even, odd = (asked.filter(k % 2 == i) for i in (0, 1))
+
+    def run(*parts_in):
+        for rows in parts_in:
+            rows.repartition(3, "query_id").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("query_id long, query string, asked_at timestamp").option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+        reconcile_with_index(asked_once(stream, lateness="6 hours"), index, f"{path}/out", f"{path}/state").awaitTermination()
+
+    run(even.withColumn("asked_at", at(0)), even.withColumn("asked_at", at(1)))
+    index.apply(parts.filter("entity_id % 3 = 0").select("entity_id", F.lit(None).cast("string").alias("label")))
+    late = asked.select((k + 1_000_000_000).alias("query_id"), "query").withColumn("asked_at", at(-100))
+    run(even.withColumn("asked_at", at(2)), odd.withColumn("asked_at", at(2)), odd.withColumn("asked_at", at(3)), late)
+    return rounded(spark.read.parquet(f"{path}/out/results").drop("batch", "generation"), "name_sim")
+
+
+ENTRIES = "(SELECT o_orderpriority || ' ' || o_orderkey % 500 AS text, 'sv' AS lang, 't' || o_orderkey AS translation, o_orderkey AS ts FROM orders WHERE o_orderkey % 5 > 0)"
+
+
+@query(f"""WITH e AS (SELECT text, lang, translation, ts FROM {ENTRIES} QUALIFY row_number() OVER (PARTITION BY text, lang ORDER BY ts DESC, translation DESC) = 1)
+    SELECT o.o_orderkey, coalesce(e.translation, o.text) AS translation, e.translation IS NOT NULL AS hit FROM (SELECT o_orderkey, o_orderpriority || ' ' || o_orderkey % 700 AS text FROM orders) o LEFT JOIN e ON e.text = o.text""")
+def translation_store(spark, sf_dir):
+    """Three upserts into a stored cache, newer entries before older ones and one upsert that fails half-way, and a look-up."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    entry = o.select(F.concat_ws(" ", "o_orderpriority", (k % 500).cast("string")).alias("text"), F.lit("sv").alias("lang"), F.concat(F.lit("t"), k.cast("string")).alias("translation"), k.alias("ts"))
+    store = TranslationStore(spark, f"{shared_dir(spark)}/translations-{uuid.uuid4().hex}", buckets=16)
+    store.upsert(entry.filter(k % 5 == 3))
+    commit, store._commit = store._commit, lambda *_: None  # ends before it counts
+    store.upsert(entry.filter(k % 5 == 0).withColumn("ts", F.col("ts") * 2))
+    store._commit = commit
+    store.upsert(entry.filter((k % 5 == 1) | (k % 5 == 4)))
+    store.upsert(entry.filter(k % 5 == 2))
+    asked = o.select(k, F.concat_ws(" ", "o_orderpriority", (k % 700).cast("string")).alias("text"), F.lit("en").alias("source_lang"), F.lit("sv").alias("lang"))
+    answers = store.translate(asked.select("text", "source_lang", "lang").distinct()).select("text", "translation", "hit")
+    return asked.join(answers, "text").select("o_orderkey", "translation", "hit")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 40 = 7 THEN NULL ELSE upper(o_orderpriority) || ' ' || (o_orderkey % 40) END AS completion FROM orders")
+def completion_log(spark, sf_dir):
+    """Answers to prompts that many rows share, from a log filled in rounds; the model never answers one of the prompts."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k, F.concat_ws(" ", "o_orderpriority", (k % 40).cast("string")).alias("prompt"))
+    log = CompletionLog(spark, f"{shared_dir(spark)}/completions-{uuid.uuid4().hex}", round_prompts=100, partitions=4)
+    log.ask(rows.filter(k % 3 == 0), _answer)
+    return log.ask(rows, _answer).drop("prompt")
+
+
+def _answer(prompt):
+    """A model that fails on one kind of prompt."""
+    if prompt.endswith(" 7"):
+        raise ValueError(prompt)
+    return prompt.upper()
