@@ -51,19 +51,31 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 #: A prime, and two random numbers below it.
 PRIME, BASES = np.uint64((1 << 31) - 1), (1102930943, 1886519531)
-_prime_powers: dict[tuple[int, int], np.ndarray] = {}
+_prime_powers: dict[int, np.ndarray] = {}
 
 
 def _prime_powers_of(base: int, n: int) -> np.ndarray:
-    size = max(1 << 16, 1 << (n - 1).bit_length())
-    if (base, size) not in _prime_powers:
-        out = np.ones(size, np.uint64)
+    """The first n powers of base modulo the prime, as 32-bit numbers."""
+    kept = _prime_powers.get(base, ())
+    if n > len(kept):
+        out = np.ones(-(-n // (1 << 16)) << 16, np.uint32)
         have = 1
-        while have < size:
-            out[have : 2 * have] = out[:have] * np.uint64(pow(base, have, int(PRIME))) % PRIME
+        while have < len(out):
+            part = out[have : 2 * have]
+            part[:] = out[: len(part)] * np.uint64(pow(base, have, int(PRIME))) % PRIME
             have *= 2
-        _prime_powers[base, size] = out
-    return _prime_powers[base, size][:n]
+        _prime_powers[base] = kept = out
+    return kept[:n]
+
+
+def _prime_power(base: int, exponents: np.ndarray) -> np.ndarray:
+    """base to each exponent, modulo the prime."""
+    out, square = np.ones(len(exponents), np.uint64), base
+    for bit in range(int(exponents.max(initial=0)).bit_length()):
+        odd = (exponents >> bit) & 1 == 1
+        out[odd] = out[odd] * np.uint64(square) % PRIME
+        square = square * square % int(PRIME)
+    return out
 
 
 def prime_sums(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -74,10 +86,10 @@ def prime_sums(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
     """
     out = np.zeros(len(begin), np.uint64)
     for j, base in enumerate(BASES):
-        up = _prime_powers_of(base, len(raw) + 1)
-        down = _prime_powers_of(pow(base, -1, int(PRIME)), len(raw) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)] % PRIME, dtype=np.uint64)])
-        one = (sums[end] - sums[begin]) % PRIME * down[begin] % PRIME
+        terms = _prime_powers_of(base, len(raw)) * (raw.astype(np.uint64) + np.uint64(1))
+        terms %= PRIME
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(terms, out=terms)])
+        one = (sums[end] - sums[begin]) % PRIME * _prime_power(pow(base, -1, int(PRIME)), begin) % PRIME
         out |= one << np.uint64(31 * j)
     return mixed(out + np.uint64(1))
 
