@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from matchloom.functions import text as T
 from matchloom.operators.match import fuzzy_modification_types, top_k
 from matchloom.policy import POLICY
+from matchloom.storage import staged
 
 CANDIDATE = "struct<id:string,value:string,score:double,reasons:array<string>>"
 ANSWER = f"array<struct<input_id:string,input_value:string,candidates:array<{CANDIDATE}>>>"
@@ -72,6 +73,39 @@ def lookup_lines(rows: DataFrame, columns: list[str], order: str, *, by: list[st
     return rows.groupBy(*(by or [])).agg(F.array_join(F.transform(listed, lambda x: x.l), "\n").alias("lookup"))
 
 
+LINES = {"markdown": markdown_line, "csv": csv_line, "lookup": lambda columns: F.concat_ws(", ", *(F.col(c).cast("string") for c in columns))}
+
+
+def chunked(rows: DataFrame, columns: list[str], order: list[str], *, by: list[str] | None = None, most_chars: int = 20_000, form: str = "markdown") -> DataFrame:
+    """(by..., chunk, n_rows, table): the rows of each group, in order, as texts of bounded size, however many rows it has.
+
+    A row goes to chunk number (characters of the lines before it in its group, line ends included) // most_chars, so a text
+    has fewer than most_chars characters besides its header and its last line. form: markdown, csv (both with a header) or
+    lookup. order has to tell the rows of a group apart.
+
+    Characters are summed over ranges of the sorted rows; what comes before a range is summed over the totals of ranges, one row
+    for each range and group in it.
+    """
+    if form not in LINES:
+        raise ValueError(f"unknown form {form!r}; one of {sorted(LINES)}")
+    keys = by or []
+    line = rows.select(*keys, F.struct(*order).alias("__order"), LINES[form](columns).alias("__line"))
+    sized = line.withColumn("__chars", F.length("__line") + 1)
+    ranges = staged(sized.repartitionByRange(*keys, "__order").sortWithinPartitions(*keys, "__order").withColumn("__place", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id()), "lines")
+    earlier = lambda total, part, place: F.coalesce(F.sum(total).over(Window.partitionBy(*part).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = ranges.withColumn("__inside", earlier("__chars", ["__part", *keys], "__place"))
+    totals = ranges.groupBy("__part", *keys).agg(F.sum("__chars").alias("__total"))
+    # of one group no more rows than there are ranges
+    before = totals.withColumn("__group", F.lit(0)).withColumn("__before", earlier("__total", ["__group", *keys], "__part")).drop("__total", "__group")
+    # keys may be null
+    same = [inside[c].eqNullSafe(before[c]) for c in ["__part", *keys]]
+    placed = inside.join(before, same).select(*(inside[c] for c in keys), "__order", "__line", F.floor((F.col("__inside") + F.col("__before")) / most_chars).alias("chunk"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("__order", "__line"))), lambda x: x["__line"])
+    head = {"markdown": "| " + " | ".join(columns) + " |\n| " + " | ".join("---" for _ in columns) + " |", "csv": "|".join(columns)}.get(form)
+    text = F.array_join(lines if head is None else F.concat(F.array(F.lit(head)), lines), "\n")
+    return placed.groupBy(*keys, "chunk").agg(F.count("*").alias("n_rows"), text.alias("table"))
+
+
 TEMPLATE = "Match each input to a controlled list of {entity_type}.\nAnswer with JSON only.\n\nContext:\n{context}\n\nList ({format}):\n{lookup}\n\nInputs:\n{data}\n"
 
 

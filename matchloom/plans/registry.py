@@ -898,3 +898,29 @@ def _answer(prompt):
     if prompt.endswith(" 7"):
         raise ValueError(prompt)
     return prompt.upper()
+
+
+@query("""SELECT p_name || ', "' || p_brand || '"' AS site_name, CASE WHEN p_partkey % 3 > 0 THEN p_type END AS country, 55.0::DOUBLE + (p_partkey % 1000) / 100.0::DOUBLE AS latitude, CASE WHEN p_partkey % 4 > 0 THEN 11.0::DOUBLE + (p_partkey % 700) / 100.0::DOUBLE END AS longitude,
+    p_type || chr(10) || p_size AS place_name, CAST(p_partkey AS VARCHAR) AS national_id, NULL::VARCHAR AS description FROM part""")
+def source_csv(spark, sf_dir):
+    """Sites written as CSV and read back: quotes, separators, line ends and nulls."""
+    p, k = roles.parts(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), "p_type", "p_size"), "entity_id"), F.col("entity_id")
+    name = F.concat(F.col("label"), F.lit(', "'), F.col("national_id"), F.lit('"'))
+    rows = p.select(name.alias("site_name"), F.when(k % 3 > 0, F.col("p_type")).alias("country"), "latitude", F.when(k % 4 > 0, F.col("longitude")).alias("longitude"), F.concat_ws("\n", "p_type", "p_size").alias("place_name"), k.cast("string").alias("national_id"), F.lit(None).cast("string").alias("description"))
+    path = f"{shared_dir(spark)}/sites-{uuid.uuid4().hex}"
+    rows.write.options(header=True, escape='"').csv(path)
+    return authority.sites_csv(spark, path)
+
+
+@query("""SELECT p_type, chunk, count(*) AS n_rows, '| p_partkey | p_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(l, chr(10) ORDER BY p_partkey) AS "table" FROM
+    (SELECT *, CAST(coalesce(sum(length(l) + 1) OVER (PARTITION BY p_type ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 2000 AS BIGINT) AS chunk FROM (SELECT p_type, p_partkey, '| ' || p_partkey || ' | ' || p_name || ' |' AS l FROM part)) GROUP BY 1, 2""")
+def prompt_chunks(spark, sf_dir):
+    """Lists of any length cut into texts of bounded size."""
+    return prompts.chunked(table(spark, sf_dir, "part"), LISTED, ["p_partkey"], by=["p_type"], most_chars=2000)
+
+
+@query("""SELECT chunk, count(*) AS n_rows, string_agg(l, chr(10) ORDER BY l_orderkey, l_linenumber, l_partkey) AS "table" FROM
+    (SELECT *, CAST(coalesce(sum(length(l) + 1) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 5000 AS BIGINT) AS chunk FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey || ', ' || l_linenumber || ', ' || l_partkey AS l FROM lineitem)) GROUP BY 1""")
+def lookup_chunks(spark, sf_dir):
+    """The whole of a long table as one ordered list in parts."""
+    return prompts.chunked(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], ["l_orderkey", "l_linenumber", "l_partkey"], most_chars=5000, form="lookup")

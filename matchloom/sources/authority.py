@@ -63,7 +63,8 @@ def gazetteer(df: DataFrame, column: str = "value") -> DataFrame:
 
 
 def sites_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).schema(SITE_CSV).csv(path)
+    """Sites of CSV files with a header; quotes within quoted values are doubled, values may go over several lines."""
+    return spark.read.options(header=True, escape='"', multiLine=True).schema(SITE_CSV).csv(path)
 
 
 def trigram_index(rows: DataFrame) -> DataFrame:

@@ -251,3 +251,15 @@ def test_complements_are_taken_from_the_first_rows(spark, monkeypatch):
     rows = corpus_of(spark, ["oak" if i % 3 else f"elm {i}" for i in range(1, 40)])
     found = fulltext.search(spark.createDataFrame([(1, "-oak"), (2, "-elm")], "query_id long, query string"), rows, limit=5).orderBy("query_id", "place").collect()
     assert [r["system_id"] for r in found] == [3, 6, 9, 12, 15, 1, 2, 4, 5, 7]
+
+
+def test_chunks_of_null_groups_and_few_rows(spark):
+    rows = spark.createDataFrame([(g, i, "x" * (i % 7)) for g in (None, "a") for i in range(40)], "g string, i int, v string")
+    out = prompts.chunked(rows, ["i", "v"], ["i"], by=["g"], most_chars=50, form="csv").collect()
+    for g in (None, "a"):
+        mine = sorted((r for r in out if r["g"] == g), key=lambda r: r["chunk"])
+        assert "\n".join(line for r in mine for line in r["table"].split("\n")[1:]) == "\n".join(f"{i}|{'x' * (i % 7)}" for i in range(40))
+        assert all(len(r["table"]) <= 50 + len("i|v\n") + 9 for r in mine) and len(mine) > 3
+    assert prompts.chunked(rows.limit(0), ["i"], ["i"]).count() == 0
+    with pytest.raises(ValueError):
+        prompts.chunked(rows, ["i"], ["i"], form="xml")
