@@ -28,15 +28,19 @@ INDEX_ROWS, INDEX_QUERIES = 8192, 256
 
 @dataclass(frozen=True)
 class Coder:
-    """center and rotation: what turns a vector into bits; norm: the largest norm; radius: Hamming distance to search."""
+    """center and rotation: what turns a vector into bits; scale: the largest component, norm: the largest norm after division
+    by it; radius: Hamming distance to search."""
 
     center: np.ndarray
     rotation: np.ndarray
+    scale: float
     norm: float
     radius: int
 
     def codes(self, x: np.ndarray, *, query: bool) -> np.ndarray:
-        return signs(lifted(x, self.norm, query=query), self.center, self.rotation)
+        # squares of components must not overflow: rows are divided by the largest of all, queries by their own largest
+        by = np.abs(x).max(axis=1, keepdims=True) if query else self.scale
+        return signs(lifted(x / by, self.norm, query=query), self.center, self.rotation)
 
     @property
     def bits(self) -> int:
@@ -64,13 +68,14 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.int16) for w in range(a.shape[1]))
 
 
-def fit(sample: np.ndarray, n_rows: int, norm: float, *, k: int, target: float, bits: int = 128, rounds: int = 40) -> Coder:
+def fit(sample: np.ndarray, n_rows: int, scale: float, norm: float, *, k: int, target: float, bits: int = 128, rounds: int = 40) -> Coder:
     """Rotations by iterative quantisation, and the radius that holds the share target of the sample's near pairs.
 
     One rotation gives as many bits as there are dimensions, so longer codes take several, learned from different starts
     (two at most). Near is as deep in the sample as k neighbours are in n_rows rows, one at least, so the radius is not
     too small.
     """
+    sample = sample / scale
     x = lifted(sample, norm, query=False)
     center = x.mean(axis=0)
     d = x.shape[1]
@@ -94,7 +99,7 @@ def fit(sample: np.ndarray, n_rows: int, norm: float, *, k: int, target: float,
     near = np.argpartition(-scores, depth - 1, axis=1)[:, :depth]
     q, c = signs(lifted(trial, norm, query=True), center, rotation), signs(x, center, rotation)
     distance = np.take_along_axis(apart(q, c), near, axis=1)
-    return Coder(center, rotation, norm, int(np.quantile(distance, target, method="higher")))
+    return Coder(center, rotation, scale, norm, int(np.quantile(distance, target, method="higher")))
 
 
 class SubstringIndex:
@@ -158,8 +163,13 @@ class MultiIndex:
         return hits
 
     def within(self, queries: np.ndarray, radius: int) -> np.ndarray:
-        """Which rows have codes within radius bits of each query's: all of them, by the pigeonhole rule."""
-        return self.probed(queries, radius) & (apart(queries, self.codes) <= radius)
+        """Which rows have codes within radius bits of each query's: all of them, by the pigeonhole rule. Only codes of rows
+        that the probes bring are compared."""
+        hits = self.probed(queries, radius)
+        for row, query in zip(hits, queries, strict=True):
+            some = np.flatnonzero(row)
+            row[some[apart(query[None], self.codes[some])[0] > radius]] = False
+        return hits
 
 
 def _searched(batches: Iterator[pa.RecordBatch], coder: Coder, own: np.ndarray, q: np.ndarray, k: int, radius: int) -> Iterator[pa.RecordBatch]:
@@ -213,10 +223,11 @@ def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
     out = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     if n:
         rows, todo = rows.filter(F.size("vec") == d), queries.filter(F.size("vec") == d)
-        length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+        scale = rows.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0]
+        length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x / scale) * (x / scale)))
         norm = rows.agg(F.max(length)).first()[0]
         sample = np.array([r["vec"] for r in least_by_hash(rows, "vec_id", SAMPLE_ROWS).collect()])
-        coder = fit(sample, n, norm, k=k, target=target, bits=bits)
+        coder = fit(sample, n, scale, norm, k=k, target=target, bits=bits)
         for radius in (coder.radius, (coder.radius + coder.bits) // 2, coder.bits):
             found = []
             for own, q in query_blocks(todo, d, block_queries):

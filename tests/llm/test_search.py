@@ -110,3 +110,16 @@ def test_recall_on_the_whole_table(spark, sf_dir):
 
 def test_vafile_equals_sql(same):
     same(queries.op10_vafile_topk, queries.ORACLE["op10_vafile_topk"])
+
+
+@pytest.mark.parametrize("far", [1e200, 1e-300, 1e307])
+def test_mih_takes_components_of_any_size(spark, far):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=6) * (far if i == 33 else 1)).tolist()) for i in range(200)]
+    df = table(spark, rows)
+    out = mih.nearest(df, df.filter("vec_id IN (3, 33)"), k=5).orderBy("query_id", "rank").collect()
+    assert [r["query_id"] for r in out] == [3] * 5 + [33] * 5
+    vectors = dict(rows)
+    for r in out:
+        assert r["score"] == (np.array(vectors[r["vec_id"]]) * np.array(vectors[r["query_id"]])).sum()
+    assert [r["score"] for r in out if r["query_id"] == 3] == sorted((r["score"] for r in out if r["query_id"] == 3), reverse=True)
