@@ -31,7 +31,8 @@ def exact_then_fuzzy(queries: DataFrame, sites: DataFrame, *, limit: int = POLIC
 
 def site(queries: DataFrame, sites: DataFrame, bridge: DataFrame, *, limit: int = POLICY.limit) -> DataFrame:
     """The cascade of exact_then_fuzzy, raised for near sites and for sites in the place asked for, and sorted anew."""
-    rows = exact_then_fuzzy(queries, sites, limit=limit)
+    # used for distances, for places and for what both are added to
+    rows = staged(exact_then_fuzzy(queries, sites, limit=limit), "sites")
     rows = score.with_distances(rows, queries, sites).withColumn("name_sim", score.proximity(F.col("name_sim"), F.col("distance_km")))
     rows = score.best_place(rows, queries, bridge, T.similarity).withColumn("name_sim", score.place_boost(F.col("name_sim"), F.col("place_sim")))
     return merge.resorted(rows, limit)

@@ -27,10 +27,18 @@ def corpus(parts: list[tuple[DataFrame, str, str, str, str]]) -> DataFrame:
 
     parts: (table, table name, key column, value column, column type).
     """
+    return normalised(union_distinct(*values(parts)))
+
+
+def values(parts: list[tuple[DataFrame, str, str, str, str]]) -> list[DataFrame]:
+    """kind, table_name, column_name, system_id, value, column_type of each part's non-null values."""
     names = sorted({t for _, t, *_ in parts})
     kinds = {(t, c): KINDS * names.index(t) + i for t in names for i, c in enumerate(sorted({p[3] for p in parts if p[1] == t}))}
-    rows = [df.select(F.lit(kinds[t, c]).alias("kind"), F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.col(k).cast("long").alias("system_id"), F.col(c).cast("string").alias("value"), F.lit(kind).alias("column_type")).filter("value IS NOT NULL") for df, t, k, c, kind in parts]
-    out = union_distinct(*rows)
+    return [df.select(F.lit(kinds[t, c]).alias("kind"), F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.col(k).cast("long").alias("system_id"), F.col(c).cast("string").alias("value"), F.lit(kind).alias("column_type")).filter("value IS NOT NULL") for df, t, k, c, kind in parts]
+
+
+def normalised(out: DataFrame) -> DataFrame:
+    """Values with what searches need of them."""
     return out.withColumn("entity_name", T.entity_name(F.col("table_name"))).withColumn("value_norm", T.normalise(F.col("value"))).withColumn("value_id", F.xxhash64("value"))
 
 
@@ -230,10 +238,10 @@ def table_scores(queries: DataFrame, rows: DataFrame, *, limit: int = 5, thresho
     return top_k(per, limit, ["query_id"], [F.desc("score"), F.col("table_name")], rank="rank")
 
 
-def search(queries: DataFrame, rows: DataFrame, *, limit: int = 20) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, *, limit: int = 20, toks: DataFrame | None = None) -> DataFrame:
     """Corpus rows by full-text rank, equal ranks by the rows' keys. Rows that satisfy a query only by what they don't hold
-    have rank 0."""
-    parsed, toks = staged(terms(queries), "terms"), tokens(rows)
+    have rank 0. toks: tokens(rows), where they are stored."""
+    parsed, toks = staged(terms(queries), "terms"), tokens(rows) if toks is None else toks
     found = hits(parsed, toks).unionByName(without(parsed, toks, rows, limit))
     best = found.groupBy("query_id", *KEY).agg(F.max("rank").alias("rank"))
     return with_values(top_k(best, limit, ["query_id"], [F.desc("rank"), *map(F.col, KEY)], rank="place"), rows)

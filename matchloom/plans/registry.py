@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import text as T
 from matchloom.operators import cascades, details, exact, fulltext, gazetteer, match, merge, prompts, score
 from matchloom.operators.completions import CompletionLog
+from matchloom.operators.corpus import StoredCorpus
 from matchloom.operators.index import TrigramIndex
 from matchloom.operators.translations import TranslationStore
 from matchloom.plans import roles, sql
@@ -924,3 +925,28 @@ def prompt_chunks(spark, sf_dir):
 def lookup_chunks(spark, sf_dir):
     """The whole of a long table as one ordered list in parts."""
     return prompts.chunked(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], ["l_orderkey", "l_linenumber", "l_partkey"], most_chars=5000, form="lookup")
+
+
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'no payload' WHEN 1 THEN 'no JSON' WHEN 2 THEN 'no object' WHEN 3 THEN 'a query is no object' WHEN 4 THEN 'no JSON' END AS problem FROM events WHERE event_id % 8 < 5""")
+def rejected_payloads(spark, sf_dir):
+    """Payloads of events that can't be read, and what is wrong with each."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    one = F.concat(F.lit('{"q0": {"query": "'), kind, F.lit('"}}'))
+    odd = F.when(k % 8 == 0, F.lit(None).cast("string")).when(k % 8 == 1, F.concat(F.lit('{"q0": {"query": "'), kind)).when(k % 8 == 2, F.concat(F.lit('["'), kind, F.lit('"]'))).when(k % 8 == 3, F.concat(F.lit('{"q0": "'), kind, F.lit('"}')))
+    odd = odd.when(k % 8 == 4, F.concat(F.lit('"'), kind, F.lit('"'))).when(k % 8 == 5, F.concat(F.lit('"'), F.replace(one, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(one)
+    return batches.rejected(table(spark, sf_dir, "events").select(k, odd.alias("payload"))).drop("payload")
+
+
+@query(f"WITH {HITS} SELECT query_id, table_name, column_name, system_id, value, round(fts_rank, 6) AS rank, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(fts_rank, 9) DESC, table_name, column_name, system_id) AS INTEGER) AS place FROM hits) JOIN vals USING (vid) WHERE place <= 20")
+def corpus_refresh(spark, sf_dir):
+    """A stored corpus of rows that were fewer and partly other ones, refreshed and searched."""
+    parts = roles.search_parts(spark, sf_dir)
+
+    def former(df, key, column):
+        other = F.when(F.col(key) % 5 == 0, F.concat(F.col(column), F.lit(" formerly"))).otherwise(F.col(column))
+        return df.filter(F.col(key) % 3 > 0).withColumn(column, other)
+
+    stored = StoredCorpus(spark, f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}")
+    stored.refresh([(former(df, k, c), t, k, c, kind) for df, t, k, c, kind in parts])
+    stored.refresh(parts)
+    return rounded(stored.search(roles.corpus_queries(spark, sf_dir)), "rank")

@@ -77,14 +77,17 @@ def reference_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.unionByName(free).unionByName(names)
 
 
-def search_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names, brands, types and references of parts, names of suppliers and nations, sources and whole texts of documents;
-    staged, as a corpus is made once and searched often."""
+def search_parts(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str, str, str, str]]:
+    """Names, brands, types and references of parts, names of suppliers and nations, sources and whole texts of documents."""
     p, s, n, d = (table(spark, sf_dir, t) for t in ("part", "supplier", "nation", "documents"))
     p = p.withColumn("reference", F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_name"))
     columns = ((p, "tbl_part", "p_partkey", "p_name", "label"), (p, "tbl_part", "p_partkey", "p_brand", "abbreviation"), (p, "tbl_part", "p_partkey", "p_type", "description"), (p, "tbl_part", "p_partkey", "reference", "description"))
-    rows = corpus([*columns, (s, "tbl_supplier", "s_suppkey", "s_name", "label"), (n, "tbl_nation", "n_nationkey", "n_name", "label"), (d, "tbl_documents", "doc_id", "source", "abbreviation"), (d, "tbl_documents", "doc_id", "text", "description")])
-    return staged(rows, "corpus")
+    return [*columns, (s, "tbl_supplier", "s_suppkey", "s_name", "label"), (n, "tbl_nation", "n_nationkey", "n_name", "label"), (d, "tbl_documents", "doc_id", "source", "abbreviation"), (d, "tbl_documents", "doc_id", "text", "description")]
+
+
+def search_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search_parts as a corpus; staged, as a corpus is made once and searched often."""
+    return staged(corpus(search_parts(spark, sf_dir)), "corpus")
 
 
 def corpus_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,23 @@ def queries(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return rows.select(*others, "query_id", F.col("q.query").alias("query"), F.coalesce("q.type", F.lit("site")).alias("type"), F.col("q.type_strict").alias("type_strict"), F.col("q.limit").alias("limit"), F.col("q.lang").alias("lang"), F.coalesce(properties, F.create_map().cast("map<string,string>")).alias("properties"))
 
 
+def rejected(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """payloads that hold no queries, with problem: no payload, no JSON, no object, or a member that is no object.
+
+    The others are those that queries() takes; a batch encoded twice is judged by what it holds.
+    """
+    text = F.trim(column)
+    inner = F.when(text.startswith('"'), F.trim(F.get_json_object(F.concat(F.lit('{"x":'), F.col(column), F.lit("}")), "$.x"))).otherwise(text)
+    members = F.from_json(inner, "map<string,string>")
+    problem = (
+        F.when(F.col(column).isNull() | (text == ""), "no payload")
+        .when(inner.isNull() | F.try_parse_json(inner).isNull(), "no JSON")
+        .when(~inner.startswith("{"), "no object")
+        .when(F.exists(F.map_values(members), lambda m: m.isNull() | ~F.trim(m).startswith("{")), "a query is no object")
+    )
+    return payloads.withColumn("problem", problem).filter("problem IS NOT NULL")
+
+
 def validated(rows: DataFrame, types: list[str]) -> DataFrame:
     """rows with error: null for a good query; bad ones can be set aside one by one."""
     error = (

@@ -6,7 +6,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom.operators import fulltext
 from matchloom.operators.completions import CompletionLog
+from matchloom.operators.corpus import StoredCorpus
 from matchloom.operators.index import TrigramIndex
 from matchloom.operators.translations import TranslationStore
 from matchloom.streaming.reconcile import asked_once, pinned, reconcile_with_index
@@ -105,3 +107,37 @@ def test_stream_restarts_with_its_snapshots(spark, tmp_path):
     assert rows == {(1, 1, 0), (1, 2, 0), (2, 1, 0), (2, 2, 0), (3, 2, 1), (3, 3, 1)}
     # a batch that runs again sees what it saw
     assert pinned(index, f"file://{tmp_path}/out/snapshots", 0) == (0, [0]) != index.snapshot()
+
+
+def test_refreshed_corpus_equals_a_rebuilt_one(spark, tmp_path):
+    table = lambda rows: [(spark.createDataFrame(rows, "id long, name string, note string"), "tbl_x", "id", c, k) for c, k in (("name", "label"), ("note", "description"))]
+    rows = [(i, f"name {i}", "a note" if i % 2 else None) for i in range(30)]
+    stored = StoredCorpus(spark, f"file://{tmp_path}/corpus")
+    state = lambda df: sorted(map(str, df.collect()))
+
+    def check(rows, words):
+        before = stored.segments()
+        stored.refresh(table(rows))
+        new = [s for s in stored.segments() if s not in before]
+        assert sum(spark.read.parquet(f"file://{tmp_path}/corpus/tokens/segment={s}").count() for s in new) == words
+        rebuilt = fulltext.corpus(table(rows))
+        order = sorted(rebuilt.columns)
+        assert state(stored.rows().select(order)) == state(rebuilt.select(order))
+        toks = fulltext.tokens(rebuilt)
+        assert state(stored.tokens().select(sorted(toks.columns))) == state(toks.select(sorted(toks.columns)))
+
+    check(rows, 30 * 2 + 15 * 2)
+    check(rows, 0)
+    assert stored.segments() == [0]
+    changed = [(i, "other words here" if i == 3 else n, x) for i, n, x in rows if i != 7] + [(99, "new", "twice")]
+    check(changed, 3 + 2)
+    check(rows, 2 + 2 + 2)  # back again: what went is new
+    commit, stored._commit = stored._commit, lambda *_: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        stored.refresh(table(changed))
+    stored._commit = commit
+    check(rows, 0)
+    check(changed, 3 + 2)
+    asked = spark.createDataFrame([(1, "other -note"), (2, "twice")], "query_id long, query string")
+    found = lambda df: sorted((r["query_id"], r["system_id"], r["value"]) for r in df.collect())
+    assert found(stored.search(asked)) == found(fulltext.search(asked, fulltext.corpus(table(changed)))) == [(1, 3, "other words here"), (2, 99, "twice")]
