@@ -93,17 +93,17 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", dictionary_rows: int = DICTIONARY_ROWS, curve_rows: int = CURVE_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", dictionary_rows: int = DICTIONARY_ROWS, curve_rows: int = CURVE_ROWS, fit_chars: int = FIT_CHARS) -> Model:
     """Fits on labelled rows whose fold is not 0: dictionaries on folds 1 and 2, the curve on folds 3 and 4.
 
     The rows are those of least id hash, dictionary_rows of each label and curve_rows for the curve, texts up to
-    FIT_CHARS; that bounds what the driver gets. Rows with a null id or label, or a label other than 0 and 1, are not
+    fit_chars characters; that bounds what the driver gets. Rows with a null id or label, or a label other than 0 and 1, are not
     used; repeated labels of one row count as often as they are given. Without both labels in both parts, every score
     is the share of label 1, 0.5 without any label.
     """
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), fold(id_col).alias("fold"))
     rows = rows.filter("id IS NOT NULL AND label IN (0, 1) AND fold <> 0")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text") <= FIT_CHARS)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text") <= fit_chars)
     least = lambda df, n: least_by_hash(df, "id", n)
     part = rows.filter("fold <= 2")
     sides = [least(part.filter(F.col("label") == q), dictionary_rows) for q in (1, 0)]

@@ -224,14 +224,15 @@ def fit(background: list[str], *, seed: int = 5, variants: int = 30, rounds: int
     return Model(families[1:], {g: [float(a) for a in w[i]] for g, i in vocabulary.items()}, [float(a) for a in b], sorted(gate), templates)
 
 
-def background_of(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> list[str]:
-    """Paragraphs of a bounded sample (SAMPLE_DOCS rows of least id hash) that hold no word about licences."""
-    texts = docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS).alias("t"))
-    ids = least_by_hash(texts.select("id").filter("id IS NOT NULL"), "id", SAMPLE_DOCS)
-    rows = texts.join(F.broadcast(ids.distinct()), "id").filter("t IS NOT NULL").orderBy("id", "t").limit(SAMPLE_DOCS).collect()
+def background_of(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, sample_paragraphs: int = SAMPLE_PARAGRAPHS, text_col: str = "text", id_col: str = "doc_id") -> list[str]:
+    """Paragraphs that hold no word about licences, of a bounded sample: sample_docs rows of least id hash, the first
+    sample_chars characters of each, sample_paragraphs paragraphs in all. It goes through the driver, so it is bounded."""
+    texts = docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col).cast("string"), 1, sample_chars).alias("t"))
+    ids = least_by_hash(texts.select("id").filter("id IS NOT NULL"), "id", sample_docs)
+    rows = texts.join(F.broadcast(ids.distinct()), "id").filter("t IS NOT NULL").orderBy("id", "t").limit(sample_docs).collect()
     parts = [p for r in rows for p in r["t"].split("\n") if p.strip()]
     about = ("licen", "copyright", "spdx", "creative commons", "public domain", "cc by", "rights reserved")
-    return [p for p in parts if not any(a in p.lower() for a in about)][:SAMPLE_PARAGRAPHS]
+    return [p for p in parts if not any(a in p.lower() for a in about)][:sample_paragraphs]
 
 
 def scan(docs: DataFrame, model: Model, *, confirm: float = 0.6, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

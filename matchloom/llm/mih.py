@@ -202,7 +202,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
         yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
 
 
-def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", target: float = 0.96, bits: int = 128, block_queries: int = 4096) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", target: float = 0.96, bits: int = 128, block_queries: int = 4096, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The k rows of largest inner product found for each query: query_id, rank (from 1), vec_id, score.
 
     score is the inner product of the original vectors in double precision; ties go to the smaller vec_id; a row with
@@ -210,7 +210,7 @@ def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
     another length than most rows, or with null or non-finite components. A query id in several rows is asked once,
     with its least vector; repeated rows are candidates each. Empty tables give no rows. Other columns are ignored.
 
-    target: share of the near pairs of the fitting sample (SAMPLE_ROWS rows of least id hash) that the radius must
+    target: share of the near pairs of the fitting sample (sample_rows rows of least id hash) that the radius must
     hold. Every row is indexed, and a query's candidates are all rows within the radius, however rows and queries are
     cut into parts. Queries that find fewer than k rows are asked again with a wider radius, at last with all bits, so k
     rows come back whenever there are as many. The rows are read once for each block of queries (see query_blocks) and
@@ -226,7 +226,7 @@ def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
         scale = rows.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0]
         length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x / scale) * (x / scale)))
         norm = rows.agg(F.max(length)).first()[0]
-        sample = np.array([r["vec"] for r in least_by_hash(rows, "vec_id", SAMPLE_ROWS).collect()])
+        sample = np.array([r["vec"] for r in least_by_hash(rows, "vec_id", sample_rows).collect()])
         coder = fit(sample, n, scale, norm, k=k, target=target, bits=bits)
         for radius in (coder.radius, (coder.radius + coder.bits) // 2, coder.bits):
             found = []
