@@ -311,7 +311,8 @@ def fts_boolean(spark, sf_dir):
 
 SCORED = f"""{HITS}, qs AS (SELECT query_id, {sql.trigrams(sql.norm('query'))} AS g FROM {sql.CORPUS_QUERIES}),
     cs AS (SELECT v.value, {sql.trigrams(sql.norm('v.value'))} AS g FROM (SELECT DISTINCT value FROM {sql.CORPUS}) v),
-    vs AS (SELECT query_id, value, {sql.jaccard('qs.g', 'cs.g')} AS trigram_sim FROM qs JOIN cs ON {sql.jaccard('qs.g', 'cs.g')} >= 0.3),
+    vs AS (SELECT query_id, value, CAST(count(*) AS DOUBLE) / (any_value(nq) + any_value(nv) - count(*)) AS trigram_sim FROM (SELECT query_id, len(g) AS nq, unnest(g) AS gram FROM qs)
+        JOIN (SELECT value, len(g) AS nv, unnest(g) AS gram FROM cs WHERE len(g) <= (SELECT max(len(g)) FROM qs) / 0.3) USING (gram) GROUP BY query_id, value HAVING count(*) >= 0.3 * (any_value(nq) + any_value(nv) - count(*))),
     near AS (SELECT query_id, table_name, column_name, system_id, md5(value) AS vid, trigram_sim FROM vs JOIN {sql.CORPUS} USING (value)),
     scored AS MATERIALIZED (SELECT *, coalesce(fts_rank, 0) + 0.35 * coalesce(trigram_sim, 0) AS row_score FROM hits FULL JOIN near USING ({ROW}))"""
 ONE = "SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, table_name ORDER BY round(row_score, 9) DESC, column_name, system_id) = 1"
