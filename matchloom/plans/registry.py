@@ -624,85 +624,11 @@ def types_by_name(spark, sf_dir):
     return merge.types_by_name(types)
 
 
-# every fifth part gets its words in the other order, every seventh goes, suppliers come
-CHANGED = f"""(SELECT entity_id, CASE WHEN entity_id % 5 = 0 THEN split_part(label, ' ', 2) || ' ' || split_part(label, ' ', 1) ELSE label END AS label FROM {sql.PARTS} WHERE entity_id % 7 > 0
-    UNION ALL SELECT 100000000 + s_suppkey, s_name FROM supplier)"""
-CHANGED_QUERIES = f"(SELECT query_id, query FROM {sql.PART_QUERIES} UNION ALL SELECT 100000000 + s_suppkey, substr(s_name, 1, 4) || substr(s_name, 6) FROM supplier)"
-
-
-def _changed_index(spark, sf_dir):
-    """An index of the parts, and the changes to it in three segments."""
-    parts = roles.parts(spark, sf_dir).select("entity_id", "label")
-    index = TrigramIndex.create(parts, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", buckets=16)
-    words = F.split("label", " ")
-    index.apply(parts.filter("entity_id % 5 = 0").select("entity_id", F.concat_ws(" ", words[1], words[0]).alias("label")))
-    index.apply(parts.filter("entity_id % 7 = 0").select("entity_id", F.lit(None).cast("string").alias("label")))
-    index.apply(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 100000000).alias("entity_id"), F.col("s_name").alias("label")))
-    return index
-
-
-def _changed_queries(spark, sf_dir):
-    more = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 100000000).alias("query_id"), F.concat(F.substring("s_name", 1, 4), F.substring("s_name", 6, 1000)).alias("query"))
-    return roles.part_queries(spark, sf_dir).unionByName(more)
-
-
-@query(f"SELECT {FUZZY} FROM {sql.fuzzy(CHANGED_QUERIES, CHANGED)}")
-def index_after_changes(spark, sf_dir):
-    """A stored index searched after updates, deletions and insertions, each a segment of its own."""
-    return rounded(match.fuzzy(_changed_queries(spark, sf_dir), _changed_index(spark, sf_dir)), "name_sim")
-
-
-@query(f"SELECT {FUZZY} FROM {sql.fuzzy(CHANGED_QUERIES, CHANGED, 0.5, 5)}")
-def index_after_compaction(spark, sf_dir):
-    """The same index compacted, its former generation deleted, and searched for fewer and better matches."""
-    index = _changed_index(spark, sf_dir)
-    index.compact()
-    index.vacuum()
-    return rounded(match.fuzzy(_changed_queries(spark, sf_dir), index, threshold=0.5, limit=5), "name_sim")
-
-
 @query(f"SELECT {FUZZY} FROM {sql.fuzzy(sql.PART_QUERIES, f'(SELECT * FROM {sql.PARTS} WHERE location_type_id = 1)')}")
 def fuzzy_countries(spark, sf_dir):
     return rounded(match.fuzzy_countries(roles.part_queries(spark, sf_dir), roles.parts(spark, sf_dir)), "name_sim")
 
 
-# every fifth part gets its words in the other order, every seventh goes, suppliers come
-CHANGED = f"""(SELECT entity_id, CASE WHEN entity_id % 5 = 0 THEN split_part(label, ' ', 2) || ' ' || split_part(label, ' ', 1) ELSE label END AS label FROM {sql.PARTS} WHERE entity_id % 7 > 0
-    UNION ALL SELECT 100000000 + s_suppkey, s_name FROM supplier)"""
-CHANGED_QUERIES = f"(SELECT query_id, query FROM {sql.PART_QUERIES} UNION ALL SELECT 100000000 + s_suppkey, substr(s_name, 1, 4) || substr(s_name, 6) FROM supplier)"
-
-
-def _changed_index(spark, sf_dir):
-    """An index of the parts, and the changes to it in three segments."""
-    parts = roles.parts(spark, sf_dir).select("entity_id", "label")
-    index = TrigramIndex.create(parts, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", buckets=16)
-    words = F.split("label", " ")
-    index.apply(parts.filter("entity_id % 5 = 0").select("entity_id", F.concat_ws(" ", words[1], words[0]).alias("label")))
-    index.apply(parts.filter("entity_id % 7 = 0").select("entity_id", F.lit(None).cast("string").alias("label")))
-    index.apply(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 100000000).alias("entity_id"), F.col("s_name").alias("label")))
-    return index
-
-
-def _changed_queries(spark, sf_dir):
-    more = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 100000000).alias("query_id"), F.concat(F.substring("s_name", 1, 4), F.substring("s_name", 6, 1000)).alias("query"))
-    return roles.part_queries(spark, sf_dir).unionByName(more)
-
-
-@query(f"SELECT {FUZZY} FROM {sql.fuzzy(CHANGED_QUERIES, CHANGED)}")
-def index_after_changes(spark, sf_dir):
-    """A stored index searched after updates, deletions and insertions, each a segment of its own."""
-    return rounded(match.fuzzy(_changed_queries(spark, sf_dir), _changed_index(spark, sf_dir)), "name_sim")
-
-
-@query(f"SELECT {FUZZY} FROM {sql.fuzzy(CHANGED_QUERIES, CHANGED, 0.5, 5)}")
-def index_after_compaction(spark, sf_dir):
-    """The same index compacted, its former generation deleted, and searched for fewer and better matches."""
-    index = _changed_index(spark, sf_dir)
-    index.compact()
-    index.vacuum()
-    return rounded(match.fuzzy(_changed_queries(spark, sf_dir), index, threshold=0.5, limit=5), "name_sim")
-
-
 @query(f"SELECT {FUZZY} FROM {sql.fuzzy(sql.PART_QUERIES, f'(SELECT * FROM {sql.PARTS} WHERE location_type_id = 7)')}")
 def fuzzy_regions(spark, sf_dir):
     return rounded(match.fuzzy_regions(roles.part_queries(spark, sf_dir), roles.parts(spark, sf_dir)), "name_sim")
