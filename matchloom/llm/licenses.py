@@ -1,9 +1,11 @@
 """Licence scans by a trained paragraph classifier.
 
 A sparse logistic regression over word n-grams tells which licence family a paragraph states, or none (the class
-unknown). It is trained here, on variants of the licence statements below and on paragraphs that state no licence;
-probabilities are calibrated on variants that the weights have not seen. A prediction is confirmed if the paragraph
-holds enough of the n-grams of one of its family's statements.
+unknown). It is trained here, on variants of the licence statements below, on sentences made of the names of licences
+and of ways to state one, and on paragraphs that state no licence: those of a sample, sentences that mention a name only,
+and statements of other licences. Probabilities are calibrated on variants and on whole ways of stating that the weights
+have not seen. A prediction is confirmed if the paragraph holds enough of the n-grams of one of its family's statements,
+or the whole of one of its marks: a name that is no other word, or a short name beside a word that says licence.
 
 Scanning takes DataFrame functions only: paragraphs without any word that could lift a family above unknown are passed
 over, the n-grams of the others are joined to the weights and summed.
@@ -82,6 +84,7 @@ STATEMENTS = {
     "all-rights-reserved": [
         "All rights reserved",
         "Copyright by the author. All rights reserved",
+        "Reproduction in whole or in part without written permission of the copyright holder is prohibited",
         "No part of this publication may be reproduced or transmitted in any form without prior written permission of the publisher",
     ],
 }
@@ -104,6 +107,50 @@ PLAIN = [
     "This file is a list of persons with a license to fish",
 ]
 
+# What licences are called.
+NAMES = {
+    "apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0", "Apache-2.0", "Apache v2", "Apache 2", "Apache License v2.0", "Apache Software License 2.0", "Apache License", "ASL 2.0"],
+    "mit": ["MIT License", "MIT", "MIT licence", "Expat License", "MIT-style license", "MIT/X11 license", "X11 MIT license"],
+    "gpl": ["GNU General Public License version 3", "GNU General Public License", "GNU GPL", "GPL", "GPLv3", "GPLv2", "GPL v3", "GPL v2", "GPL-3.0", "GPL-2.0-only", "GPL version 2", "GPL version 3", "GNU GPL version 2 or later", "GPL 3", "GPL 2"],
+    "lgpl": ["GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL", "LGPL", "LGPLv3", "LGPLv2.1", "LGPL-2.1", "LGPL-3.0", "LGPL version 2.1", "Lesser GPL"],
+    "agpl": ["GNU Affero General Public License", "Affero General Public License", "GNU AGPL", "AGPL", "AGPLv3", "AGPL-3.0", "AGPL version 3", "Affero GPL"],
+    "bsd": ["BSD License", "BSD", "3-clause BSD license", "BSD-3-Clause", "BSD 2-Clause License", "2-clause BSD license", "new BSD license", "modified BSD license", "simplified BSD license", "BSD-style license", "BSD licence"],
+    "mpl-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License", "MPL 2.0", "MPL-2.0", "MPLv2", "MPL v2", "MPL"],
+    "cc-by": ["CC BY 4.0", "CC BY 3.0", "CC-BY", "Creative Commons Attribution 4.0", "Creative Commons Attribution 3.0", "Creative Commons Attribution License"],
+    "cc-by-sa": ["CC BY-SA 4.0", "CC BY-SA 3.0", "CC BY-SA", "Creative Commons Attribution-ShareAlike 4.0", "Creative Commons Attribution-ShareAlike License", "Creative Commons BY-SA"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC BY-NC 3.0", "CC BY-NC", "Creative Commons Attribution-NonCommercial 4.0", "Creative Commons Attribution-NonCommercial License", "Creative Commons BY-NC"],
+    "public-domain": ["CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero", "the public domain", "the Unlicense"],
+}
+
+# Names that need a word about licences beside them, as they are names of other things too.
+SHORT = ["mit", "bsd", "gpl", "mpl", "apache 2", "the public domain"]
+
+# How a licence is stated.
+FRAMES = [
+    "licensed under {}", "this project is licensed under the terms of the {}", "released under the {}", "the code is released under {}",
+    "distributed under the {}", "License: {}", "made available under {}", "published under the terms of {}",
+    "{} licensed", "the package is {} licensed software", "see the LICENSE file ({})", "{}, see LICENSE",
+    "subject to the terms of the {}", "covered by the {}", "governed by the {}", "you may use this under the {}",
+    "our sources fall under {}", "this file is part of a work under the {}", "terms: {}", "license = {}",
+    "copyright the authors, {}", "the documentation is under {}", "the {} applies to this repository", "you can redistribute it under {}",
+    "contributions are accepted under the {}", "dual licensed under {}", "offered under {}", "this library uses the {}",
+    "SPDX-License-Identifier: {}", "under the {} license", "dedicated to {}", "provided under {} without warranty",
+]
+
+# How things that licences are named after are mentioned.
+MENTIONS = [
+    "the history of {} is told in the next chapter", "students of {} met in the hall", "{} held a conference in the spring", "he worked for {} for ten years",
+    "a talk about {} and its rivals", "the people of {} were under pressure", "{} released a new study", "{} is the name of a server and of a system",
+    "we read about {} in the paper", "the river near {} was high", "{} published its yearly report", "the {} team lost by two goals",
+    "what does {} mean", "the office of {} is in the city", "an engineer at {} wrote the first version", "they compared {} with others",
+]
+
+# What licences are named after, and what shares their words.
+THINGS = ["MIT", "Apache", "BSD", "GNU", "Mozilla", "Creative Commons", "the public", "the general public", "CC", "the foundation", "the library"]
+
+# What else things are licensed, released or published under.
+OTHERS = ["zlib License", "ISC License", "Eclipse Public License 2.0", "Artistic License 2.0", "Boost Software License 1.0", "European Union Public Licence", "separate agreement", "law of 1990", "state board of health", "terms of the contract", "new name", "Microsoft Public License", "license of the vendor"]
+
 #: Most documents that background paragraphs are taken from, and the longest text taken.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_PARAGRAPHS = 300, 20_000, 1500
 #: A paragraph with this share of the three-word n-grams of a statement may state a licence, so it is no background.
@@ -144,6 +191,48 @@ def _silent(background: list[list[str]]) -> list[list[str]]:
     return [w for w in background if not any(len(s & t) >= STATED * len(t) for s in [_triples(w)] for t in statements)]
 
 
+def _marks(family: str) -> list[str]:
+    """What states the family by itself where the classifier agrees: its names, short ones beside a word about licences."""
+    names = list(dict.fromkeys(" ".join(_words(n)) for n in NAMES.get(family, [])))
+    beside = ["{} license", "{} licence", "{} licensed", "license {}", "licence {}", "licensed {}", "under {}", "under the {}", "terms of {}", "terms of the {}"]
+    domain = ["in {}", "to {}"]
+    return [m for n in names for m in ([n] if n not in SHORT else [f.format(n) for f in (domain if n.startswith("the ") else beside)])]
+
+
+def _template(words: list[str]) -> list[str]:
+    """The n-grams that a paragraph is compared by: of up to three words only the whole."""
+    return sorted(_grams(words)) if len(words) > 3 else [" ".join(words)]
+
+
+def _stated(rng, plain: list[list[str]], every: int) -> list[tuple[list[str], set[str], int, bool]]:
+    """words, n-grams with a word of the name, class, fitted: each name in some of FRAMES, some of these within a paragraph,
+    and each mark within paragraphs. Each fourth frame, and a quarter of the paragraphs with marks, is kept for calibration."""
+    out = []
+
+    def within(words: list[str]) -> list[str]:
+        other = plain[rng.integers(len(plain))]
+        at = rng.integers(len(other) + 1)
+        return other[:at] + words + other[at:]
+
+    for k, family in enumerate(sorted(STATEMENTS), 1):
+        for name in NAMES.get(family, []):
+            for f in rng.permutation(len(FRAMES))[:every]:
+                words = _words(FRAMES[f].format(name))
+                grams = {g for g in _grams(words) if set(_words(name)) & set(g.split(" "))}
+                out.append((within(words) if rng.random() < 0.4 else words, grams, k, bool(f % 4 < 3)))
+        for mark in _marks(family):
+            words = mark.split(" ")
+            out += [(within(words), _grams(words), k, i % 4 < 3) for i in range(every // 4)]
+    return out
+
+
+def _unstated() -> list[tuple[list[str], bool]]:
+    """words, fitted: what licences are named after mentioned, other licences stated."""
+    mentioned = [(frame.format(n), i) for i, frame in enumerate(MENTIONS) for n in THINGS]
+    others = [(frame.format(n), i) for i, frame in enumerate(FRAMES) for n in OTHERS]
+    return [(_words(t), i % 4 < 3) for t, i in mentioned + others]
+
+
 @dataclass(frozen=True)
 class Model:
     """weights: for each n-gram one number a family, over unknown's; gate: words without which no family can win."""
@@ -167,8 +256,9 @@ def _variants(rng, words: list[str], background: list[list[str]], n: int) -> lis
     return out
 
 
-def fit(background: list[str], *, seed: int = 5, variants: int = 30, rounds: int = 150) -> Model:
-    """Trains on variants of STATEMENTS against PLAIN and those background paragraphs that hold no part of a statement."""
+def fit(background: list[str], *, seed: int = 5, variants: int = 30, wordings: int = 16, rounds: int = 150) -> Model:
+    """Trains on variants of STATEMENTS and on each of NAMES in some of FRAMES (wordings of them), against PLAIN, mentions of
+    names, statements of other licences and those background paragraphs that hold no part of a statement."""
     rng = np.random.default_rng(seed)
     families = [UNKNOWN, *sorted(STATEMENTS)]
     plain = [w for w in [*map(_words, PLAIN), *_silent(list(map(_words, background)))] if w]
@@ -177,17 +267,28 @@ def fit(background: list[str], *, seed: int = 5, variants: int = 30, rounds: int
     for k, family in enumerate(families[1:], 1):
         for text in STATEMENTS[family]:
             w = _words(text)
-            templates.append((len(templates), family, sorted(_grams(w))))
+            templates.append((len(templates), family, _template(w)))
             examples += [(v, k) for v in _variants(rng, w, plain, variants)]
             for _ in range(variants // 2):  # the statement's words without its order, and scraps of it, state nothing
                 some = list(rng.permutation(w))[: max(1, len(w) // 2)]
                 examples.append((plain[rng.integers(len(plain))] + some, 0))
-    vocabulary = {g: i for i, g in enumerate(sorted({g for _, _, grams in templates for g in grams}))}
+        templates += [(len(templates) + i, family, _template(mark.split(" "))) for i, mark in enumerate(_marks(family))]
+    made = rng.random(len(examples)) < 0.7
+    stated, unstated = _stated(rng, plain, wordings), _unstated()
+    examples += [(w, k) for w, _, k, _ in stated] + [(w, 0) for w, _ in unstated]
+    fitted = np.concatenate([made, [f for *_, f in stated], [f for _, f in unstated]]).astype(bool)
+    # of the sentences that are made, the n-grams with a word of the name: the words around it are those of any text
+    named = {g for _, grams, _, f in stated if f for g in grams}
+    known = {g for texts in STATEMENTS.values() for t in texts for g in _grams(_words(t))}
+    often: dict[str, int] = {}
+    for words in plain:
+        for word in set(words):
+            often[word] = often.get(word, 0) + 1
+    vocabulary = {g: i for i, g in enumerate(sorted(known | named | {g for _, _, grams in templates for g in grams}))}
     x = np.zeros((len(examples), len(vocabulary)), np.float32)
     for i, (w, _) in enumerate(examples):
         x[i, [vocabulary[g] for g in _grams(w) if g in vocabulary]] = 1
     y = np.array([k for _, k in examples])
-    fitted = rng.random(len(y)) < 0.7
     w, b = np.zeros((x.shape[1], len(families)), np.float32), np.zeros(len(families), np.float32)
     xf, goal = x[fitted], np.eye(len(families), dtype=np.float32)[y[fitted]]
     m = v = np.zeros_like(w)
@@ -214,10 +315,6 @@ def fit(background: list[str], *, seed: int = 5, variants: int = 30, rounds: int
             if best is None or loss < best[0]:
                 best = (loss, heat, bias)
     w, b = w / best[1], offsets(*best[1:])
-    often: dict[str, int] = {}
-    for words in plain:
-        for word in set(words):
-            often[word] = often.get(word, 0) + 1
     # each n-gram that speaks for a family has a word in the gate, its rarest one: what the gate leaves out has none
     helps = [g for g, i in vocabulary.items() if w[i].max() > 0]
     gate = {min(g.split(" "), key=lambda t: (often.get(t, 0), t)) for g in helps}
@@ -239,8 +336,8 @@ def scan(docs: DataFrame, model: Model, *, confirm: float = 0.6, text_col: str =
     """Paragraphs (lines) that state a licence: doc_id, paragraph (from 0), family, probability, similarity, confirmed, text.
 
     probability is the family's, calibrated against unknown; paragraphs whose likeliest class is unknown give no row.
-    similarity: the largest share of the n-grams of one of the family's statements that the paragraph holds; confirmed:
-    it is confirm at least. Equal probabilities go to the family first by name. Null and empty texts give no rows; null
+    similarity: the largest share of the n-grams of one of the family's statements or marks that the paragraph holds (of
+    texts of up to three words the whole counts alone); confirmed: it is confirm at least. Equal probabilities go to the family first by name. Null and empty texts give no rows; null
     and repeated ids are kept, each row by itself. A paragraph of any length is one: its distinct n-grams are summed.
     Empty tables give no rows, extra columns are ignored.
 
@@ -263,7 +360,7 @@ def scan(docs: DataFrame, model: Model, *, confirm: float = 0.6, text_col: str =
     first = F.array_position("scores", F.col("top"))
     found = likely.select(*key, "grams", F.element_at(F.lit(model.families), first.cast("int")).alias("family"), (1 / total).alias("probability"))
     templates = spark.createDataFrame(model.templates, "template int, family string, statement array<string>")
-    # a dozen families with a few statements each: one array of statements a family
+    # a dozen families with some statements and marks each: one array of them a family
     by_family = F.broadcast(templates.groupBy("family").agg(F.collect_list("statement").alias("statements")))
     share = F.array_max(F.transform("statements", lambda s: F.size(F.array_intersect(s, F.col("grams"))) / F.size(s)))
     out = found.join(by_family, "family").withColumn("similarity", share)
