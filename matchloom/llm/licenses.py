@@ -7,8 +7,8 @@ and statements of other licences. Probabilities are calibrated on variants and o
 have not seen. A prediction is confirmed if the paragraph holds enough of the n-grams of one of its family's statements,
 or the whole of one of its marks: a name that is no other word, or a short name beside a word that says licence.
 
-Scanning takes DataFrame functions only: paragraphs without any word that could lift a family above unknown are passed
-over, the n-grams of the others are joined to the weights and summed.
+Scanning takes DataFrame functions only: paragraphs without any of the words that it takes to lift a family above unknown are
+passed over, the n-grams of the others are joined to the weights and summed.
 """
 
 from __future__ import annotations
@@ -162,15 +162,20 @@ def words_of(paragraph: Column) -> Column:
     return F.filter(F.split(F.lower(paragraph), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def grams_of(words: Column) -> Column:
-    """Distinct n-grams of one to three words."""
+def grams_of(words: Column, known: list[str]) -> Column:
+    """Distinct n-grams of one to three words that are among the known ones.
+
+    Texts of n-grams are made only where their first word begins a known one of that length.
+    """
     n = F.size(words)
 
     def runs(k: int) -> Column:
+        first = sorted({g.split(" ")[0] for g in known if g.count(" ") == k - 1})
         starts = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
+        begun = F.filter(starts, lambda i: F.get(words, i - 1).isin(*first))
+        return F.transform(begun, lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
 
-    return F.array_distinct(F.concat(words, runs(2), runs(3)))
+    return F.array_distinct(F.filter(F.concat(F.filter(words, lambda w: w.isin(*known)), runs(2), runs(3)), lambda g: g.isin(*known)))
 
 
 def _words(text: str) -> list[str]:
@@ -233,14 +238,35 @@ def _unstated() -> list[tuple[list[str], bool]]:
     return [(_words(t), i % 4 < 3) for t, i in mentioned + others]
 
 
+def _core(helps: dict[str, np.ndarray], offsets: np.ndarray, often: dict[str, int]) -> set[str]:
+    """Words without one of which no paragraph scores above unknown.
+
+    The most frequent words are left out as long as what the n-grams of left words alone add to a family, all taken
+    together, stays below what unknown has over it. Every other n-gram that helps has its rarest word in the core.
+    """
+    held: dict[str, list[str]] = {}
+    for g in helps:
+        for word in set(g.split(" ")):
+            held.setdefault(word, []).append(g)
+    left, total = set(), np.zeros(len(offsets))
+    for word in sorted(held, key=lambda t: (-often.get(t, 0), t)):
+        more = total + sum((np.maximum(helps[g], 0) for g in held[word] if set(g.split(" ")) <= left | {word}), np.zeros(len(offsets)))
+        if often.get(word, 0) and (more < -offsets - 1e-6).all():
+            left.add(word)
+            total = more
+    return {min((t for t in g.split(" ") if t not in left), key=lambda t: (often.get(t, 0), t)) for g in helps if not set(g.split(" ")) <= left}
+
+
 @dataclass(frozen=True)
 class Model:
-    """weights: for each n-gram one number a family, over unknown's; gate: words without which no family can win."""
+    """weights: for each n-gram one number a family, over unknown's; gate: words without one of which no n-gram speaks for a
+    family; core: those of them without one of which all n-grams together don't outweigh unknown."""
 
     families: list[str]
     weights: dict[str, list[float]]
     offsets: list[float]
     gate: list[str]
+    core: list[str]
     templates: list[tuple[int, str, list[str]]]
 
 
@@ -318,7 +344,8 @@ def fit(background: list[str], *, seed: int = 5, variants: int = 30, wordings: i
     # each n-gram that speaks for a family has a word in the gate, its rarest one: what the gate leaves out has none
     helps = [g for g, i in vocabulary.items() if w[i].max() > 0]
     gate = {min(g.split(" "), key=lambda t: (often.get(t, 0), t)) for g in helps}
-    return Model(families[1:], {g: [float(a) for a in w[i]] for g, i in vocabulary.items()}, [float(a) for a in b], sorted(gate), templates)
+    core = _core({g: w[i] for g, i in vocabulary.items() if w[i].max() > 0}, b, often)
+    return Model(families[1:], {g: [float(a) for a in w[i]] for g, i in vocabulary.items()}, [float(a) for a in b], sorted(gate), sorted(core), templates)
 
 
 def background_of(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, sample_paragraphs: int = SAMPLE_PARAGRAPHS, text_col: str = "text", id_col: str = "doc_id") -> list[str]:
@@ -346,8 +373,8 @@ def scan(docs: DataFrame, model: Model, *, confirm: float = 0.6, text_col: str =
     """
     spark = docs.sparkSession
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("paragraph", "text"))
-    gated = lines.withColumn("words", words_of(F.col("text"))).filter(F.exists("words", lambda w: w.isin(*model.gate)))
-    rows = gated.withColumn("row", F.monotonically_increasing_id()).withColumn("gram", F.explode(grams_of(F.col("words")))).drop("words")
+    gated = lines.withColumn("words", words_of(F.col("text"))).filter(F.exists("words", lambda w: w.isin(*model.core)))
+    rows = gated.withColumn("row", F.monotonically_increasing_id()).withColumn("gram", F.explode(grams_of(F.col("words"), list(model.weights)))).drop("words")
     k = len(model.families)
     weights = spark.createDataFrame([(g, *w) for g, w in model.weights.items()], "gram string, " + ", ".join(f"w{i} double" for i in range(k)))
     key = ["row", "doc_id", "paragraph", "text"]
