@@ -2,7 +2,9 @@
 
 import pytest
 
+from matchloom.operators import fulltext
 from matchloom.plans.registry import QUERIES
+from matchloom.storage import staged
 
 
 @pytest.mark.parametrize("name", ["biblio_exact_passes", "gazetteer_search", "proximity_boost"])
@@ -10,3 +12,12 @@ def test_tables_that_grow_are_not_broadcast(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     large = [line for line in plan.split("\n") if "strategy=broadcast" in line]
     assert "strategy=merge" in plan and not large
+
+
+def test_rows_of_one_text_are_searched_once(spark):
+    rows = spark.createDataFrame([(i, "Red Bolt" if i % 2 else "red bolt") for i in range(50)], "id long, name string")
+    corpus = staged(fulltext.corpus([(rows, "tbl_a", "id", "name", "label")]), "corpus")
+    queries = spark.createDataFrame([("red", "red"), ("-blue", "-blue")], "query_id string, query string")
+    assert [(r["query_id"], r["system_id"]) for r in fulltext.scored(queries, corpus).collect()] == [("red", 0)]
+    found = sorted((r["query_id"], r["place"], r["system_id"], r["value"]) for r in fulltext.search(queries, corpus, limit=3).collect())
+    assert found == [(q, i + 1, i, "Red Bolt" if i % 2 else "red bolt") for q in ("-blue", "red") for i in range(3)]
