@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as T
-from matchloom.operators.match import EPS, needed, numbered, top_k
+from matchloom.operators.match import EPS, MANY_PAIRS, by_steps, needed, numbered, similar_texts, top_k
 from matchloom.policy import POLICY
+from matchloom.storage import staged
 
 #: The columns of each table without segment, and what its buckets are of.
 TABLES = {
@@ -185,17 +186,37 @@ class TrigramIndex:
         sized = (F.col("n") >= F.col("na") * threshold - EPS) & (F.col("na") >= F.col("n") * threshold - EPS)
         return asked.join(stored, "gram").filter(sized).select("id", "text_id").distinct()
 
-    def search(self, queries: DataFrame, *, threshold: float = POLICY.similarity, limit: int = POLICY.limit, floor: bool = True, snapshot: tuple[int, list[int]] | None = None) -> DataFrame:
+    def _at(self, texts: DataFrame, threshold: float, snapshot: tuple[int, list[int]]) -> DataFrame:
+        """(t, a, text_id, sim) of texts (id, t, n, grams) and indexed texts with the threshold or more, by the postings."""
+        pairs = self.candidates(texts, threshold, snapshot).join(texts.select("id", "t", F.col("grams").alias("ga")), "id")
+        met = pairs.join(self.table("texts", snapshot).select("text_id", "a", F.col("grams").alias("gb")), "text_id")
+        met = met.withColumn("sim", T.jaccard(F.col("ga"), F.col("gb"))).filter(F.col("sim") >= threshold)
+        # a text may be in several segments
+        return met.select("t", "a", "text_id", "sim").dropDuplicates(["t", "text_id"])
+
+    def _by_steps(self, texts: DataFrame, threshold: float, snapshot: tuple[int, list[int]], limit: int) -> DataFrame:
+        """The same as far as the best `limit` rows of each text are concerned, by steps of similarity (match.by_steps), for
+        which the indexed texts that have live rows are joined as a whole; what is left then goes by the postings."""
+        held = self.live(self.table("members", snapshot), snapshot).groupBy("text_id").agg(F.least(F.count("*"), F.lit(limit)).alias("n"))
+        stored = self.table("texts", snapshot).select("text_id", F.col("a").alias("t"), "grams").dropDuplicates(["text_id"])
+        right = staged(stored.join(held, "text_id"), "stored")
+
+        def found(left: DataFrame, step: float) -> DataFrame:
+            if step > threshold:
+                return similar_texts(left.select("t", "grams"), right.select("t", "grams"), step)
+            return self._at(left, step, snapshot).select(F.col("t").alias("left_text"), F.col("a").alias("right_text"), "sim")
+
+        pairs = by_steps(texts, threshold, found, right.select(F.col("t").alias("right_text"), "n"), limit)
+        return pairs.select(F.col("left_text").alias("t"), F.col("right_text").alias("a"), F.md5("right_text").alias("text_id"), "sim")
+
+    def search(self, queries: DataFrame, *, threshold: float = POLICY.similarity, limit: int = POLICY.limit, floor: bool = True, snapshot: tuple[int, list[int]] | None = None, many_pairs: int = MANY_PAIRS) -> DataFrame:
         """query_id, entity_id, label, name_sim, rank: what match.fuzzy gives for the table as it is after all changes, or as it
         was at a snapshot."""
         snapshot = snapshot or self.snapshot()
         q = queries.select("query_id", T.normalise(F.col("query")).alias("q"))
         texts = numbered(q.select(F.col("q").alias("t")).filter("t IS NOT NULL").distinct().withColumn("grams", T.trigrams(F.col("t"))).filter(F.size("grams") > 0), "asked")
-        pairs = self.candidates(texts, threshold, snapshot).join(texts.select("id", "t", F.col("grams").alias("ga")), "id")
-        met = pairs.join(self.table("texts", snapshot).select("text_id", "a", F.col("grams").alias("gb")), "text_id")
-        met = met.withColumn("sim", T.jaccard(F.col("ga"), F.col("gb"))).filter(F.col("sim") >= threshold)
-        # a text may be in several segments
-        met = met.select("t", "a", "text_id", "sim").dropDuplicates(["t", "text_id"])
+        many = texts.count() * self.table("texts", snapshot).count() > many_pairs
+        met = staged(self._by_steps(texts, threshold, snapshot, limit), "met") if many else self._at(texts, threshold, snapshot)
         found = self.live(self.table("members", snapshot).join(met.select("text_id").distinct(), "text_id", "left_semi"), snapshot)
         first = top_k(found, limit, ["text_id"], [F.col("label"), F.col("entity_id")])
         score = T.exact_or(F.col("t"), F.col("a"), F.col("sim")) if floor else F.col("sim")

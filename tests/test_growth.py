@@ -1,8 +1,11 @@
 """Plans and counts that decide how queries grow with their tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from matchloom.operators import fulltext
+from matchloom.functions import text as T
+from matchloom.operators import fulltext, match
+from matchloom.operators.index import TrigramIndex
 from matchloom.plans.registry import QUERIES
 from matchloom.storage import staged
 
@@ -21,3 +24,41 @@ def test_rows_of_one_text_are_searched_once(spark):
     assert [(r["query_id"], r["system_id"]) for r in fulltext.scored(queries, corpus).collect()] == [("red", 0)]
     found = sorted((r["query_id"], r["place"], r["system_id"], r["value"]) for r in fulltext.search(queries, corpus, limit=3).collect())
     assert found == [(q, i + 1, i, "Red Bolt" if i % 2 else "red bolt") for q in ("-blue", "red") for i in range(3)]
+
+
+NUMBERED = [f"Item {i:05d}" for i in range(0, 4000, 7)] + [f"{a} {b}" for a in ("red", "blue", "old", "redd") for b in ("bolt", "nut", "bolts", "a")] + ["a", "b a", "x y z"]
+
+
+@pytest.mark.parametrize("mode", ["similarity", "word"])
+@pytest.mark.parametrize("options", [{}, {"threshold": 0.6, "limit": 3}, {"threshold": 0.85}])
+def test_steps_lose_no_match(spark, mode, options):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(NUMBERED * 2)], "entity_id long, label string")
+    queries = spark.createDataFrame([(i, t[:2] + t[3:]) for i, t in enumerate(NUMBERED[::5] + NUMBERED[-20:])], "query_id long, query string")
+    found = lambda many: sorted(map(tuple, match.fuzzy(queries, rows, mode=mode, many_pairs=many, **options).collect()))
+    assert found(0) == found(1 << 60)
+
+
+@pytest.mark.parametrize("threshold", [0.51, 0.6, 0.8, 0.999])
+def test_similar_texts_equal_brute_force(spark, threshold):
+    texts = staged(match._texts(spark.createDataFrame([(t,) for t in NUMBERED + [t[:-1] for t in NUMBERED]], "t string"), "t"), "texts")
+    sim = T.jaccard(F.col("ga"), F.col("gb"))
+    every = texts.select(F.col("t").alias("a"), F.col("grams").alias("ga")).crossJoin(texts.select(F.col("t").alias("b"), F.col("grams").alias("gb"))).select("a", "b", sim.alias("sim")).filter(F.col("sim") >= threshold)
+    assert sorted(map(tuple, match.similar_texts(texts, texts, threshold).collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_steps_of_an_index(spark, tmp_path):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(NUMBERED)], "entity_id long, label string")
+    index = TrigramIndex.create(rows.filter("entity_id % 2 = 0"), f"file://{tmp_path}/index", buckets=4)
+    index.apply(rows.filter("entity_id % 3 = 0"))
+    index.apply(rows.filter("entity_id % 10 = 0").withColumn("label", F.lit(None).cast("string")))
+    queries = spark.createDataFrame([(i, t[:2] + t[3:]) for i, t in enumerate(NUMBERED[::5] + NUMBERED[-20:])], "query_id long, query string")
+    found = lambda many: sorted(map(tuple, index.search(queries, many_pairs=many).collect()))
+    assert found(0) == found(1 << 60) != []
+
+
+def test_full_matches_end_the_search(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"bugs {i % 40} ring") for i in range(400)], "entity_id long, label string")
+    asked, plain = [], match.similar_texts
+    monkeypatch.setattr(match, "similar_texts", lambda left, right, t: asked.append(t) or plain(left, right, t))
+    assert match.fuzzy(rows.select(F.col("entity_id").alias("query_id"), F.col("label").alias("query")), rows, many_pairs=0).count() == 4000
+    assert asked == [0.999]
