@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as T
-from matchloom.operators import fulltext, match
+from matchloom.operators import cascades, fulltext, match
 from matchloom.operators.index import TrigramIndex
 from matchloom.plans.registry import QUERIES
 from matchloom.storage import staged
@@ -62,3 +62,17 @@ def test_full_matches_end_the_search(spark, monkeypatch):
     monkeypatch.setattr(match, "similar_texts", lambda left, right, t: asked.append(t) or plain(left, right, t))
     assert match.fuzzy(rows.select(F.col("entity_id").alias("query_id"), F.col("label").alias("query")), rows, many_pairs=0).count() == 4000
     assert asked == [0.999]
+
+
+def test_exact_passes_of_a_cascade_are_cut_before_the_join(spark):
+    """Forty references share title and year with two queries: each pass brings the first ten, and the best are those of the whole."""
+    row = lambda i: (i, f"ref {(i * 7) % 40:02d}", "title", "authors", f"bugs {i}", "1900", f"10.1/{i}", f"isbn {i}")
+    biblio = spark.createDataFrame([row(i) for i in range(40)], "entity_id long, full_reference string, title string, authors string, bugs_reference string, year string, doi string, isbn string")
+    asked = [(1, "zzz", None, None, None, "title", "1900", None, None), (2, "zzz", "3", "10.1/5", None, "title", "1900", None, "bugs 9")]
+    queries = spark.createDataFrame(asked, "query_id long, query string, isbn string, doi string, full_reference string, title string, year string, authors string, bugs_reference string")
+    passes = cascades.bibliographic_passes(queries, biblio).filter("pass_no = 3")
+    assert [r["count"] for r in passes.groupBy("query_id").count().collect()] == [10, 10]
+    by_label = sorted(range(40), key=lambda i: row(i)[1])
+    best = {q: [r["entity_id"] for r in sorted(rows, key=lambda r: r["rank"])] for q, rows in ((q, [r for r in cascades.bibliographic(queries, biblio).collect() if r["query_id"] == q]) for q in (1, 2))}
+    first = [3, 5]
+    assert best == {1: by_label[:10], 2: (first + [i for i in by_label if i not in first])[:10]}
