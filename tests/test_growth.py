@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom import storage
 from matchloom.functions import text as T
 from matchloom.operators import cascades, fulltext, match
 from matchloom.operators.index import TrigramIndex
+from matchloom.plans import roles
 from matchloom.plans.registry import QUERIES
 from matchloom.storage import staged
 
@@ -76,3 +78,11 @@ def test_exact_passes_of_a_cascade_are_cut_before_the_join(spark):
     best = {q: [r["entity_id"] for r in sorted(rows, key=lambda r: r["rank"])] for q, rows in ((q, [r for r in cascades.bibliographic(queries, biblio).collect() if r["query_id"] == q]) for q in (1, 2))}
     first = [3, 5]
     assert best == {1: by_label[:10], 2: (first + [i for i in by_label if i not in first])[:10]}
+
+
+@pytest.mark.parametrize("name", ["details_left_agg", "details_sampling_context", "place_boost"])
+def test_rows_of_sites_are_dealt(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(storage, "TASK_ROWS", 500)
+    tasks = -(-roles.table(spark, sf_dir, "lineitem").count() // 500)
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert tasks > 4 and f", {tasks}), REPARTITION_BY_NUM" in plan
