@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as T
-from matchloom.operators.match import EPS, MANY_PAIRS, by_steps, needed, numbered, similar_texts, top_k
+from matchloom.operators.match import EPS, MANY_PAIRS, answers, by_steps, needed, numbered, similar_texts, top_k
 from matchloom.policy import POLICY
 from matchloom.storage import staged
 
@@ -222,5 +222,4 @@ class TrigramIndex:
         score = T.exact_or(F.col("t"), F.col("a"), F.col("sim")) if floor else F.col("sim")
         named = met.withColumn("name_sim", score).join(first, "text_id").select(F.col("t").alias("q"), "entity_id", "label", "name_sim")
         order: list[Column] = [F.desc("name_sim"), F.col("label"), F.col("entity_id")]
-        best = top_k(named, limit, ["q"], order)
-        return top_k(q.join(best, "q").select("query_id", "entity_id", "label", "name_sim"), limit, ["query_id"], order, rank="rank")
+        return answers(q, top_k(named, limit, ["q"], order, rank="rank"), limit, order)

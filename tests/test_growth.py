@@ -86,3 +86,14 @@ def test_rows_of_sites_are_dealt(spark, sf_dir, monkeypatch, name):
     tasks = -(-roles.table(spark, sf_dir, "lineitem").count() // 500)
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert tasks > 4 and f", {tasks}), REPARTITION_BY_NUM" in plan
+
+
+def test_queries_asked_once_are_not_ranked_again(spark):
+    best = spark.createDataFrame([(t, 10 * i + r, f"{t}{r}", 1.0 - r / 10 - i / 100, r) for i, t in enumerate("ab") for r in (1, 2)], "q string, entity_id long, label string, name_sim double, rank int")
+    q = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (3, "b"), (4, "a"), (4, "a"), (5, None), (6, "a"), (6, None), (7, "c")], "query_id long, q string")
+    out = match.answers(q, best, 2, [F.desc("name_sim"), F.col("label"), F.col("entity_id")])
+    a, b = [(1, 1), (2, 2)], [(11, 1), (12, 2)]
+    expected = {1: a, 2: b, 3: [(1, 1), (11, 2)], 4: [(1, 1), (1, 2)], 6: a}
+    assert sorted((r["query_id"], r["entity_id"], r["rank"]) for r in out.collect()) == sorted((k, *r) for k, rows in expected.items() for r in rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "strategy=broadcast" not in plan and plan.count("strategy=merge") == 2
