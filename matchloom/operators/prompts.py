@@ -12,7 +12,7 @@ from pyspark.sql import types as S
 from matchloom.functions import text as T
 from matchloom.operators.match import fuzzy_modification_types, top_k
 from matchloom.policy import POLICY
-from matchloom.storage import staged
+from matchloom.storage import staged, tasks_for
 
 CANDIDATE = "struct<id:string,value:string,score:double,reasons:array<string>>"
 ANSWER = f"array<struct<input_id:string,input_value:string,candidates:array<{CANDIDATE}>>>"
@@ -83,17 +83,18 @@ def chunked(rows: DataFrame, columns: list[str], order: list[str], *, by: list[s
     has fewer than most_chars characters besides its header and its last line. form: markdown, csv (both with a header) or
     lookup. order has to tell the rows of a group apart.
 
-    Characters are summed over ranges of the sorted rows; what comes before a range is summed over the totals of ranges, one row
-    for each range and group in it.
+    Characters are summed over ranges of the sorted rows, of bounded size; what comes before a range is summed over the totals of
+    ranges, one row for each range and group in it.
     """
     if form not in LINES:
         raise ValueError(f"unknown form {form!r}; one of {sorted(LINES)}")
     keys = by or []
     line = rows.select(*keys, F.struct(*order).alias("__order"), LINES[form](columns).alias("__line"))
     sized = line.withColumn("__chars", F.length("__line") + 1)
-    ranges = staged(sized.repartitionByRange(*keys, "__order").sortWithinPartitions(*keys, "__order").withColumn("__place", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id()), "lines")
+    tasks = tasks_for(rows.count())
+    ranges = staged(sized.repartitionByRange(tasks, *keys, "__order").sortWithinPartitions(*keys, "__order").withColumn("__place", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id()), "lines")
     earlier = lambda total, part, place: F.coalesce(F.sum(total).over(Window.partitionBy(*part).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = ranges.withColumn("__inside", earlier("__chars", ["__part", *keys], "__place"))
+    inside = ranges.repartition(tasks, "__part", *keys).withColumn("__inside", earlier("__chars", ["__part", *keys], "__place"))
     totals = ranges.groupBy("__part", *keys).agg(F.sum("__chars").alias("__total"))
     # of one group no more rows than there are ranges
     before = totals.withColumn("__group", F.lit(0)).withColumn("__before", earlier("__total", ["__group", *keys], "__part")).drop("__total", "__group")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from matchloom import storage
 from matchloom.functions import text as T
-from matchloom.operators import cascades, fulltext, match
+from matchloom.operators import cascades, fulltext, match, prompts
 from matchloom.operators.index import TrigramIndex
 from matchloom.plans import roles
 from matchloom.plans.registry import QUERIES
@@ -97,3 +97,12 @@ def test_queries_asked_once_are_not_ranked_again(spark):
     assert sorted((r["query_id"], r["entity_id"], r["rank"]) for r in out.collect()) == sorted((k, *r) for k, rows in expected.items() for r in rows)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1 and "strategy=broadcast" not in plan and plan.count("strategy=merge") == 2
+
+
+def test_ranges_of_a_list_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_ROWS", 100)
+    kept, plain = [], prompts.staged
+    monkeypatch.setattr(prompts, "staged", lambda df, label: kept.append(plain(df, label)) or kept[-1])
+    out = prompts.chunked(spark.range(1000), ["id"], ["id"], most_chars=500, form="lookup").orderBy("chunk").collect()
+    assert "\n".join(r["table"] for r in out).split("\n") == [str(i) for i in range(1000)]
+    assert max(r["n"] for r in kept[0].groupBy("__part").agg(F.count("*").alias("n")).collect()) < 400
