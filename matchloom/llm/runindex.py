@@ -103,11 +103,18 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
             return order
         places = order[slots]
         key = rank[places] << 32 | rank[np.minimum(places + step, n)]
-        sort = np.argsort(key)
+        sort = np.argsort(key, kind="stable")  # the ranks are in order, only what is tied in them is not
         order[slots], ranked = places[sort], key[sort]
         step *= 2
 
 
+def inverse(order: np.ndarray) -> np.ndarray:
+    """Where each number stands in a permutation."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
+
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of texts, with the suffixes sampled at both ends of every run."""
 
@@ -128,7 +135,7 @@ class RunIndex:
         self.run = np.cumsum(head, dtype=np.int32) - 1
         self.letters, self.lengths = before[self.starts], np.diff(np.append(self.starts, len(order)))
         self.heads, self.tails = order[self.starts], order[self.starts + self.lengths - 1]
-        self.stops = np.argsort(order)[self.ends]  # the ranks of the separators, where texts begin to stream
+        self.stops = inverse(order)[self.ends]  # the ranks of the separators, where texts begin to stream
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes that the suffixes at a and b have in common, not beyond their regions."""
@@ -161,27 +168,32 @@ class RunIndex:
         some = np.flatnonzero((earlier >= 0) & (self.heads > 0))
         some = some[self.tails[earlier[some]] > 0]
         jump[some] = self.common(self.heads[some] - 1, self.tails[earlier[some]] - 1)
-        rank, common = np.zeros(len(self.raw), np.int64), np.zeros(len(self.raw), np.int64)
+        rank, shift = np.zeros(len(self.raw), np.int64), base - self.starts
         texts = np.argsort(-self.sizes, kind="stable")
-        at = self.stops[texts]
-        rank[self.ends[texts]] = at
+        at, ends = self.stops[texts], self.ends[texts]
+        rank[ends] = at
         left = -np.sort(-self.sizes)
         for step in range(1, int(left[0]) + 1 if len(left) else 1):
             live = int(np.searchsorted(-left, -step, side="right"))
             at = at[:live]
-            run = self.run[at]
-            off = at - self.starts[run]
-            to = base[run] + off
-            common[to] = np.where(off > 0, common[at] + 1, jump[run])
-            rank[self.ends[texts[:live]] - step] = to
-            at = to
+            at = at + shift[self.run[at]]
+            rank[ends[:live] - step] = at
+        # a match is one more than that of the place behind it, but what the samples give at the head of a run, and none at
+        # an end: each place counts from the nearest of these at or behind it
+        place, known = np.arange(len(rank)), np.full(len(rank), -1)
+        run = self.run[rank[1:]]
+        known[:-1] = np.where(rank[1:] == self.starts[run], jump[run], -1)
+        known[self.ends] = 0
+        near = np.minimum.accumulate(np.where(known >= 0, place, len(rank))[::-1])[::-1]
+        common = np.empty(len(rank), np.int64)
+        common[rank] = known[near] + near - place
         return rank, common
 
     def statistics(self, places: np.ndarray, copies: np.ndarray) -> np.ndarray:
         """The longest match of each of the places (a mask) with any other of them, or with a copy of its text."""
         rank, common = self.stream()
-        where = np.flatnonzero(places)
-        where = where[np.argsort(rank[where])]
+        where = inverse(rank)
+        where = where[places[where]]
         best = np.zeros(len(self.raw), np.int64)
         if len(where) > 1:
             # matches between neighbours among the places: the least of those in between
