@@ -1,5 +1,7 @@
 """Plans and counts that decide how queries grow with their tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +21,29 @@ def test_tables_that_grow_are_not_broadcast(spark, sf_dir, name):
     assert "strategy=merge" in plan and not large
 
 
+def sent(df):
+    """The broadcast joins of the plan as it is before anything has run, but those with the few sizes of trigram sets."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return [line for line in lines if "Broadcast" in line and "Join" in line and not re.search(r"BroadcastHashJoin \[n#\d+\], \[n#\d+\], LeftSemi", line)]
+
+
+@pytest.fixture
+def plans(spark, monkeypatch):
+    """What is sent in the joins of each table that a search stages, where every table counts as large."""
+    found, plain = [], storage.staged
+    monkeypatch.setattr(storage, "SENT_ROWS", 0, raising=False)
+    monkeypatch.setattr(match, "staged", lambda df, label: found.append((label, sent(df))) or plain(df, label))
+    return found
+
+
+def test_searches_send_no_texts(spark, plans):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(NUMBERED)], "entity_id long, label string")
+    queries = spark.createDataFrame([(i, t[:2] + t[3:]) for i, t in enumerate(NUMBERED[::5])], "query_id long, query string")
+    found = match.fuzzy(queries, rows, threshold=0.8, many_pairs=0)
+    assert [(label, lines) for label, lines in [*plans, ("result", sent(found))] if lines] == []
+    assert {label for label, _ in plans} >= {"ranked", "frequency", "step", "many", "rest"} and found.count() > 0
+
+
 def test_rows_of_one_text_are_searched_once(spark):
     rows = spark.createDataFrame([(i, "Red Bolt" if i % 2 else "red bolt") for i in range(50)], "id long, name string")
     corpus = staged(fulltext.corpus([(rows, "tbl_a", "id", "name", "label")]), "corpus")
