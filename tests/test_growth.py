@@ -44,6 +44,12 @@ def test_searches_send_no_texts(spark, plans):
     assert {label for label, _ in plans} >= {"ranked", "frequency", "step", "many", "rest"} and found.count() > 0
 
 
+def test_the_search_of_a_country_sends_no_tables(spark, sf_dir, plans):
+    last = sent(QUERIES["gazetteer_search_country"](spark, sf_dir))
+    lines = [line for line in sum((lines for _, lines in plans), last) if "n_nationkey" not in line]
+    assert {label for label, _ in plans} >= {"rows", "texts", "ranked"} and lines == []
+
+
 def test_rows_of_one_text_are_searched_once(spark):
     rows = spark.createDataFrame([(i, "Red Bolt" if i % 2 else "red bolt") for i in range(50)], "id long, name string")
     corpus = staged(fulltext.corpus([(rows, "tbl_a", "id", "name", "label")]), "corpus")
