@@ -7,12 +7,13 @@ what is new becomes a segment, what is no longer there goes to `gone`. A changed
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.operators.fulltext import KEY, normalised, search, tokens, values
-from matchloom.operators.merge import union_distinct
-from matchloom.storage import staged
+from matchloom.operators.fulltext import KEY, best_keys, normalised, terms, tokens, values, with_digest, with_values
+from matchloom.storage import looked_up, staged, unsent
 
 COMMITS = "segment int"
 
@@ -32,9 +33,14 @@ class StoredCorpus:
     def _of(self, table: str, segments: list[int]) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.path}/{table}/segment={s}" for s in segments])
 
-    def _live(self, table: str, segments: list[int]) -> DataFrame:
-        """Rows of a table that no later segment took away: those whose key is in no later `gone`."""
-        rows = [self._of(table, [s]).withColumn("segment", F.lit(s)) for s in segments]
+    def _live(self, table: str, segments: list[int], only: DataFrame | None = None) -> DataFrame:
+        """Rows of a table that no later segment took away: those whose key is in no later `gone`. only: values of some columns,
+        staged; other rows are left out before their keys are compared, which sorts them."""
+        rows = [self._of(table, [s]) for s in segments]
+        # a digest made here goes through the join in the place of its text
+        rows = [(with_digest(r) if table == "rows" else r).withColumn("segment", F.lit(s)) for r, s in zip(rows, segments, strict=True)]
+        if only is not None:
+            rows = [r.join(looked_up(only), only.columns, "left_semi") for r in rows]
         out, gone = rows[0], [self._of("gone", [s]).withColumn("since", F.lit(s)) for s in segments]
         taken = gone[0]
         for more in rows[1:]:
@@ -42,11 +48,11 @@ class StoredCorpus:
         for more in gone[1:]:
             taken = taken.unionByName(more)
         last = taken.groupBy(*KEY).agg(F.max("since").alias("since"))
-        return out.join(last, KEY, "left").filter("since IS NULL OR segment >= since").drop("since", "segment")
+        return out.join(unsent(last), KEY, "left").filter("since IS NULL OR segment >= since").drop("since", "segment")
 
     def rows(self) -> DataFrame:
         """The corpus as fulltext.corpus makes it of the tables at the last refresh."""
-        return self._live("rows", self.segments())
+        return self._live("rows", self.segments()).drop("digest")
 
     def tokens(self) -> DataFrame:
         """The words of the corpus, as fulltext.tokens cuts them."""
@@ -58,15 +64,16 @@ class StoredCorpus:
         parts: as of fulltext.corpus, the same tables and columns each time (their numbers go by their names).
         """
         segments = self.segments()
-        now = union_distinct(*values(parts)).withColumn("value_id", F.xxhash64("value"))
+        now = reduce(DataFrame.unionByName, values(parts)).withColumn("value_id", F.xxhash64("value"))
         if segments:
             known = self._live("rows", segments).select(*KEY)
-            new = staged(now.join(known, KEY, "left_anti"), "new")
-            gone = staged(known.join(now.select(*KEY), KEY, "left_anti"), "gone")
+            # repeated values go after the join, where those of one key are together: values are shuffled once
+            new = staged(now.join(unsent(known), KEY, "left_anti").distinct(), "new")
+            gone = staged(known.join(unsent(now.select(*KEY)), KEY, "left_anti"), "gone")
             if new.isEmpty() and gone.isEmpty():
                 return None
         else:
-            new, gone = staged(now, "new"), None
+            new, gone = staged(now.distinct(), "new"), None
         segment = max(segments, default=-1) + 1
         while self._taken(segment):
             segment += 1  # left by a refresh that failed
@@ -87,4 +94,7 @@ class StoredCorpus:
 
     def search(self, queries: DataFrame, *, limit: int = 20) -> DataFrame:
         """fulltext.search over the stored rows and words."""
-        return search(queries, self.rows(), limit=limit, toks=self.tokens())
+        segments = self.segments()
+        words = staged(terms(queries).select("lexeme").distinct(), "words")
+        found = staged(best_keys(queries, self._live("rows", segments), limit=limit, toks=self._live("tokens", segments, words)), "found")
+        return with_values(found, self._live("rows", segments, staged(found.select(*KEY).distinct(), "keys")))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from matchloom import storage
 from matchloom.functions import text as T
 from matchloom.operators import cascades, fulltext, match, prompts
+from matchloom.operators import corpus as corpus_module
+from matchloom.operators.corpus import StoredCorpus
 from matchloom.operators.index import TrigramIndex
 from matchloom.plans import roles
 from matchloom.plans.registry import QUERIES
@@ -59,6 +61,28 @@ def test_rows_of_one_text_are_searched_once(spark):
     assert found == [(q, i + 1, i, "Red Bolt" if i % 2 else "red bolt") for q in ("-blue", "red") for i in range(3)]
 
 
+def test_a_search_ranks_each_text_once(spark, monkeypatch):
+    """Forty rows of one text and one of another: what meets the words of the query are two rows, the best are those of the whole."""
+    rows = spark.createDataFrame([(i, "red bolt, red nut" if i == 25 else "red bolt") for i in range(41)], "id long, name string")
+    corpus = staged(fulltext.corpus([(rows, "tbl_a", "id", "name", "label")]), "corpus")
+    kept, plain = {}, fulltext.staged
+    monkeypatch.setattr(fulltext, "staged", lambda df, label: kept.setdefault(label, plain(df, label)))
+    out = fulltext.search(spark.createDataFrame([("red",), ("-nut",), ("-bolt or nut",)], "query string").selectExpr("query AS query_id", "query"), corpus, limit=20).collect()
+    found = lambda q: [r["system_id"] for r in sorted(out, key=lambda r: r["place"]) if r["query_id"] == q]
+    assert found("red") == [25, *range(19)] and found("-nut") == [*range(20)] and found("-bolt or nut") == [25]
+    assert kept["met"].filter("query_id = 'red'").select("system_id").distinct().count() == 2
+
+
+def test_refreshed_values_are_shuffled_once(spark, monkeypatch, tmp_path):
+    rows = spark.createDataFrame([(i, f"name {i}") for i in range(20)], "id long, name string")
+    stored, plans, plain = StoredCorpus(spark, f"file://{tmp_path}/corpus"), {}, corpus_module.staged
+    stored.refresh([(rows.filter("id % 3 > 0"), "tbl_a", "id", "name", "label")])
+    monkeypatch.setattr(corpus_module, "staged", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()) and plain(df, label))
+    stored.refresh([(rows.unionByName(rows), "tbl_a", "id", "name", "label")])
+    assert stored.rows().count() == 20 and stored.tokens().count() == 40
+    assert not re.findall(r"hashpartitioning\([^)]*\bvalue#", plans["new"] + plans["gone"])
+
+
 NUMBERED = [f"Item {i:05d}" for i in range(0, 4000, 7)] + [f"{a} {b}" for a in ("red", "blue", "old", "redd") for b in ("bolt", "nut", "bolts", "a")] + ["a", "b a", "x y z"]
 
 
