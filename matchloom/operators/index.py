@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import text as T
 from matchloom.operators.match import EPS, MANY_PAIRS, answers, by_steps, needed, numbered, similar_texts, top_k
 from matchloom.policy import POLICY
-from matchloom.storage import staged
+from matchloom.storage import staged, unsent
 
 #: The columns of each table without segment, and what its buckets are of.
 TABLES = {
@@ -108,7 +108,7 @@ class TrigramIndex:
         each = texts.select("text_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
         self._add(generation, "postings", self._ranked(each, "text_id", generation), segment)
         # texts without trigrams have no members either
-        self._add(generation, "members", keyed.join(texts.select("text_id"), "text_id", "left_semi"), segment)
+        self._add(generation, "members", keyed.join(unsent(texts.select("text_id")), "text_id", "left_semi"), segment)
 
     def _ranked(self, each: DataFrame, by: str, generation: int) -> DataFrame:
         """each (by, n, gram) with k, the place of the trigram in the generation's order."""
@@ -143,7 +143,7 @@ class TrigramIndex:
     def live(self, members: DataFrame, snapshot: tuple[int, list[int]]) -> DataFrame:
         """members without those that a later segment took away."""
         last = self.table("gone", snapshot).groupBy("entity_id").agg(F.max("segment").alias("since"))
-        return members.join(last, "entity_id", "left").filter("since IS NULL OR segment >= since").select("text_id", "entity_id", "label")
+        return members.join(unsent(last), "entity_id", "left").filter("since IS NULL OR segment >= since").select("text_id", "entity_id", "label")
 
     def compact(self) -> int:
         """Writes what is live as a new generation and makes it the current one; its number. Former ones stay for whom
@@ -184,12 +184,12 @@ class TrigramIndex:
         asked = self._ranked(each, "id", snapshot[0]).filter(F.col("k") <= keep(F.col("na"))).select("gram", "id", "na")
         stored = self.table("postings", snapshot).filter(F.col("k") <= keep(F.col("n"))).select("gram", "text_id", "n")
         sized = (F.col("n") >= F.col("na") * threshold - EPS) & (F.col("na") >= F.col("n") * threshold - EPS)
-        return asked.join(stored, "gram").filter(sized).select("id", "text_id").distinct()
+        return asked.join(unsent(stored), "gram").filter(sized).select("id", "text_id").distinct()
 
     def _at(self, texts: DataFrame, threshold: float, snapshot: tuple[int, list[int]]) -> DataFrame:
         """(t, a, text_id, sim) of texts (id, t, n, grams) and indexed texts with the threshold or more, by the postings."""
-        pairs = self.candidates(texts, threshold, snapshot).join(texts.select("id", "t", F.col("grams").alias("ga")), "id")
-        met = pairs.join(self.table("texts", snapshot).select("text_id", "a", F.col("grams").alias("gb")), "text_id")
+        pairs = self.candidates(texts, threshold, snapshot).join(unsent(texts.select("id", "t", F.col("grams").alias("ga"))), "id")
+        met = pairs.join(unsent(self.table("texts", snapshot).select("text_id", "a", F.col("grams").alias("gb"))), "text_id")
         met = met.withColumn("sim", T.jaccard(F.col("ga"), F.col("gb"))).filter(F.col("sim") >= threshold)
         # a text may be in several segments
         return met.select("t", "a", "text_id", "sim").dropDuplicates(["t", "text_id"])
@@ -199,7 +199,7 @@ class TrigramIndex:
         which the indexed texts that have live rows are joined as a whole; what is left then goes by the postings."""
         held = self.live(self.table("members", snapshot), snapshot).groupBy("text_id").agg(F.least(F.count("*"), F.lit(limit)).alias("n"))
         stored = self.table("texts", snapshot).select("text_id", F.col("a").alias("t"), "grams").dropDuplicates(["text_id"])
-        right = staged(stored.join(held, "text_id"), "stored")
+        right = staged(unsent(stored).join(held, "text_id"), "stored")
 
         def found(left: DataFrame, step: float) -> DataFrame:
             if step > threshold:
@@ -217,9 +217,9 @@ class TrigramIndex:
         texts = numbered(q.select(F.col("q").alias("t")).filter("t IS NOT NULL").distinct().withColumn("grams", T.trigrams(F.col("t"))).filter(F.size("grams") > 0), "asked")
         many = texts.count() * self.table("texts", snapshot).count() > many_pairs
         met = staged(self._by_steps(texts, threshold, snapshot, limit), "met") if many else self._at(texts, threshold, snapshot)
-        found = self.live(self.table("members", snapshot).join(met.select("text_id").distinct(), "text_id", "left_semi"), snapshot)
+        found = self.live(self.table("members", snapshot).join(unsent(met.select("text_id").distinct()), "text_id", "left_semi"), snapshot)
         first = top_k(found, limit, ["text_id"], [F.col("label"), F.col("entity_id")])
         score = T.exact_or(F.col("t"), F.col("a"), F.col("sim")) if floor else F.col("sim")
-        named = met.withColumn("name_sim", score).join(first, "text_id").select(F.col("t").alias("q"), "entity_id", "label", "name_sim")
+        named = unsent(met).withColumn("name_sim", score).join(first, "text_id").select(F.col("t").alias("q"), "entity_id", "label", "name_sim")
         order: list[Column] = [F.desc("name_sim"), F.col("label"), F.col("entity_id")]
         return answers(q, top_k(named, limit, ["q"], order, rank="rank"), limit, order)

@@ -9,6 +9,7 @@ from matchloom import storage
 from matchloom.functions import text as T
 from matchloom.operators import cascades, fulltext, match, prompts
 from matchloom.operators import corpus as corpus_module
+from matchloom.operators import index as trigrams
 from matchloom.operators.corpus import StoredCorpus
 from matchloom.operators.index import TrigramIndex
 from matchloom.plans import roles
@@ -113,6 +114,24 @@ def test_steps_of_an_index(spark, tmp_path):
     assert found(0) == found(1 << 60) != []
 
 
+@pytest.mark.parametrize("compacted", [False, True])
+def test_a_changed_index_sends_no_tables(spark, plans, monkeypatch, tmp_path, compacted):
+    """Neither while it is changed, nor while it is searched, by steps or by postings."""
+    asked, plain = [], TrigramIndex._add
+    monkeypatch.setattr(TrigramIndex, "_add", lambda self, g, table, rows, segment: asked.append((table, sent(rows))) or plain(self, g, table, rows, segment))
+    monkeypatch.setattr(trigrams, "staged", match.staged)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(NUMBERED)], "entity_id long, label string")
+    index = TrigramIndex.create(rows.filter("entity_id % 2 = 0"), f"file://{tmp_path}/index", buckets=4)
+    index.apply(rows.filter("entity_id % 3 = 0"))
+    if compacted:
+        index.compact()
+    queries = spark.createDataFrame([(i, t[:2] + t[3:]) for i, t in enumerate(NUMBERED[::5])], "query_id long, query string")
+    results = [("result", sent(index.search(queries, many_pairs=many))) for many in (0, 1 << 60)]
+    # the frequencies of trigrams are as few as there are trigrams
+    assert [(label, line) for label, lines in [*asked, *plans, *results] for line in lines if not re.search(r"BroadcastHashJoin \[gram#\d+\], \[gram#\d+\], LeftOuter", line)] == []
+    assert {"members", "postings"} <= {table for table, _ in asked} and {"stored", "step", "met"} <= {label for label, _ in plans}
+
+
 def test_full_matches_end_the_search(spark, monkeypatch):
     rows = spark.createDataFrame([(i, f"bugs {i % 40} ring") for i in range(400)], "entity_id long, label string")
     asked, plain = [], match.similar_texts
